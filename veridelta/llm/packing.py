@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -24,6 +25,9 @@ SCHEMA = (
     "sequence_id bigint, offset bigint, sequence_tokens bigint, tier int, step_group bigint"
 )
 
+#: Printable Latin-1 without the no-break space.
+PLAIN = re.compile(r"[!-~\xa1-\xff]+").fullmatch
+
 
 class WordIds:
     """Token ids of a text as little-endian unsigned 32-bit numbers.
@@ -39,18 +43,19 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids = Cached(self._word)
+        self.ids = Cached(self._word, 600_000)
         self.parts = Cached(self._part)
         self.spelled = str.maketrans({chr(b): c for c, b in byte_characters().items()})
+        self.merge = self.tokenizer.model.tokenize
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def _part(self, part: str) -> bytes:
         spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.spelled)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(spelled)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if min(text) > " " and max(text) <= "\xff" and not any("\x7f" <= c <= "\xa0" for c in text) and not any(s in text for s in self.special):
+        if PLAIN(text) and not any(s in text for s in self.special):
             return b"".join(map(self.parts.__getitem__, WORD_PARTS.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
