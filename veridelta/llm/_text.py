@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 PIECE = 1 << 20
@@ -46,9 +47,26 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-def column(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    """The UTF-8 bytes of a string column; null counts as empty."""
-    return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
+def groups(batch: pa.RecordBatch, name: str = "text", most: int = PIECE) -> Iterator[list[bytes]]:
+    """The UTF-8 bytes of a string column, in consecutive lists of about ``most`` bytes; null counts as empty.
+
+    Only one list is held as Python objects at a time.
+    """
+    col = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):
+        if total and total + n > most:
+            yield [x or b"" for x in col.slice(start, i - start).to_pylist()]
+            start, total = i, 0
+        total += n + 1
+    if start < len(col):
+        yield [x or b"" for x in col.slice(start).to_pylist()]
+
+
+def column(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
+    """The UTF-8 bytes of a string column, one by one; null counts as empty."""
+    for group in groups(batch, name):
+        yield from group
 
 
 def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
@@ -68,7 +86,7 @@ class WordHasher:
 
     def __init__(self, table: bytes | None = None, lower: bool = True):
         self.table, self.lower = table, lower
-        self.of = Cached(xxhash.xxh64_intdigest)
+        self.of = Cached(xxhash.xxh64_intdigest, 50_000)
 
     def __call__(self, text: bytes) -> np.ndarray:
         out = []
@@ -107,15 +125,3 @@ def shingles(words: np.ndarray, k: int, factors: np.ndarray) -> np.ndarray:
     for i in range(1, k):
         h += words[i : i + n] * factors[i]
     return np.unique(mix(h))
-
-
-def groups_of(sizes: list[int], most: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges whose sizes add up to about ``most``."""
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)

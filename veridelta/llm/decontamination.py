@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import ALNUM, WordHasher, mix, seeds
+from ._text import ALNUM, WordHasher, column, mix, seeds
 
 #: Of the words under a mask those at a 1 are hashed and those at a 0 ignored.
 MASKS = ("110101", "11001011", "1010011001")
@@ -130,7 +130,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, min_similarity:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, hasher = shared.value, WordHasher(ALNUM)
             for b in batches:
-                rows = [(i, index.items[k][0], *x) for i, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True) if text for k, *x in index.search(hasher(text))]
+                rows = [(i, index.items[k][0], *x) for i, text in zip(b.column(0).to_pylist(), column(b), strict=True) if text for k, *x in index.search(hasher(text))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.float64()], strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
@@ -140,13 +140,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, min_similarity:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_similarity: float = 0.6, window: int = 50, slip: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item of ``benchmark``; no shuffle."""
-    at = docs.columns.index("text")
     for shared in _indexes(benchmark, block_bytes, min_similarity=min_similarity, window=window, slip=slip):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, hasher = shared.value, WordHasher(ALNUM)
             for b in batches:
-                yield b.filter(pa.array([not (text and index.search(hasher(text))) for text in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not (text and index.search(hasher(text))) for text in column(b)], pa.bool_()))
 
         docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
     return docs

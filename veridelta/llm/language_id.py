@@ -107,12 +107,11 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, min_marg
     is below ``min_margin``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = _classifier(shared.value)
         for b in batches:
-            got = [classify(x or b"") for x in b.column(at).cast(pa.binary()).to_pylist()]
+            got = list(map(classify, column(b)))
             yield b.filter(pa.array([name != UNKNOWN and margin >= min_margin for name, _, margin in got], pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -86,10 +86,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 1024, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         for b in batches:
-            texts = column(b, "text")
-            n = [count(t) for t in texts]
+            size, n = zip(*((len(t), count(t)) for t in column(b)), strict=True) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+                [b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
