@@ -1,0 +1,309 @@
+"""Queries on the property graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veridelta.operators import graph
+from veridelta.registry import query
+
+KINDS = "(kind = 'depends_on' OR kind = 'declares')"
+
+
+@query(
+    "agg5_edge_dedupe",
+    """WITH ok AS (SELECT * FROM edge_sites WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)), p AS (SELECT *, row_number() OVER (PARTITION BY src, kind, dst ORDER BY seq, path, line) AS n, count(*) OVER (PARTITION BY src, kind, dst) AS c FROM ok)
+SELECT src, kind, dst, path, CAST(line AS BIGINT) AS line, CASE WHEN c > 1 THEN c END AS count FROM p WHERE n = 1""",
+)
+def _(edge_sites, nodes):
+    return graph.merge_sites(edge_sites, nodes)
+
+
+@query("joi9_call_edge_join", "SELECT src, dst, count(*) AS sites FROM edge_sites WHERE kind = 'calls' AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY src, dst")
+def _(edge_sites, nodes):
+    ids = nodes.select("id")
+    calls = edge_sites.where("kind = 'calls'").join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
+    return calls.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("sites"))
+
+
+@query("agg34_call_pairs", "SELECT src, dst, CAST(min(seq) AS BIGINT) AS first_seq, bool_or(line > 3) AS call, count(*) AS sites FROM edge_sites WHERE kind = 'calls' GROUP BY src, dst")
+def _(edge_sites):
+    return edge_sites.where("kind = 'calls'").groupBy("src", "dst").agg(F.min("seq").alias("first_seq"), F.bool_or(F.col("line") > 3).alias("call"), F.count(F.lit(1)).alias("sites"))
+
+
+@query("agg4_graph_kind_counts", "SELECT 'node' AS what, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY kind")
+def _(nodes, edges):
+    return graph.kind_counts(nodes, edges)
+
+
+@query("agg6_external_dependencies", "SELECT src, count(DISTINCT dst) AS dependencies FROM edges WHERE dst LIKE 'dependency:%' GROUP BY src")
+def _(edges):
+    return graph.external_dependencies(edges)
+
+
+SHORT = "CASE WHEN regexp_matches(name, '[./]') THEN lower(regexp_extract(name, '[^./]*$')) ELSE '' END"
+SEARCH = f"""
+WITH s AS (SELECT id, kind, name, CASE WHEN lower(name) = '{{q}}' OR {SHORT} = '{{q}}' THEN 0 WHEN ends_with(lower(name), '{{q}}') OR ends_with(lower(path), '{{q}}') THEN 1 WHEN contains(lower(name), '{{q}}') OR contains(lower(path), '{{q}}') THEN 2 END AS score FROM nodes)
+SELECT id, kind, name, CAST(score AS BIGINT) AS score, count(*) OVER () AS total FROM s WHERE score IS NOT NULL ORDER BY score, strlen(name), id LIMIT 30"""
+
+
+@query("gra2_search", SEARCH.format(q="00001"))
+def _(nodes):
+    return graph.search(nodes, "00001")
+
+
+@query("srt7_search_ranking", SEARCH.format(q="an"))
+def _(nodes):
+    return graph.search(nodes, " AN ")
+
+
+@query("flt14_kind_search", SEARCH.format(q="n").replace("FROM nodes)", "FROM nodes WHERE kind = 'package')"))
+def _(nodes):
+    return graph.search(nodes, "n", "package")
+
+
+@query("gra1_view", "SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id")
+def _(edges):
+    return graph.degrees(edges)
+
+
+@query("gra13_adjacency", "SELECT dst, list(src ORDER BY src) AS sources FROM calls GROUP BY dst")
+def _(calls):
+    return calls.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("sources"))
+
+
+START = "function:Supplier#000000010"
+LEVELS = """
+WITH steps AS (SELECT src AS at_, dst AS to_, 'out' AS dir, kind, '0' || chr(2) || src || chr(2) || kind || chr(2) || dst AS o FROM edges UNION ALL SELECT dst, src, 'in', kind, '1' || chr(2) || src || chr(2) || kind || chr(2) || dst FROM edges),
+l0 AS (SELECT '{start}' AS node, CAST([] AS VARCHAR[]) AS place),
+r1 AS (SELECT to_ AS node, 1 AS depth, dir, kind, node AS via, list_append(place, o) AS place FROM l0 JOIN steps ON at_ = node WHERE to_ NOT IN (SELECT node FROM l0)),
+l1 AS (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY node ORDER BY place) = 1),
+r2 AS (SELECT to_ AS node, 2 AS depth, s.dir, s.kind, node AS via, list_append(place, o) AS place FROM l1 JOIN steps s ON at_ = node WHERE to_ NOT IN (SELECT node FROM l0 UNION ALL SELECT node FROM l1)),
+l2 AS (SELECT * FROM r2 QUALIFY row_number() OVER (PARTITION BY node ORDER BY place) = 1),
+f AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)
+SELECT node, CAST(depth AS BIGINT) AS depth, dir, kind, via, count(*) OVER () AS total FROM f ORDER BY depth, place LIMIT 100"""
+
+
+def start(nodes):
+    return nodes.where("kind = 'function'").agg(F.min("id")).first()[0]
+
+
+@query("gra3_neighbors", LEVELS.format(start="component:ASIA"))
+def _(edges):
+    return graph.neighbors(edges, "component:ASIA")
+
+
+PATHS = """
+WITH RECURSIVE walk AS (SELECT 'component:ASIA' AS node, CAST([] AS VARCHAR[]) AS place, 0 AS depth
+  UNION ALL SELECT e.dst, list_append(place, '0' || chr(2) || e.src || chr(2) || e.kind || chr(2) || e.dst), depth + 1 FROM walk JOIN edges e ON e.src = walk.node WHERE depth < 3),
+best AS (SELECT place FROM walk WHERE node = (SELECT max(dst) FROM edges WHERE kind = 'contains' AND src IN (SELECT dst FROM edges WHERE src = 'component:ASIA')) ORDER BY depth, place LIMIT 1),
+h AS (SELECT unnest(place) AS e, generate_subscripts(place, 1) AS hop FROM best)
+SELECT hop, string_split(e, chr(2))[2] AS src, string_split(e, chr(2))[4] AS dst, string_split(e, chr(2))[3] AS kind FROM h"""
+
+
+@query("gra4_shortest_path", PATHS)
+def _(edges):
+    inside = edges.where("src = 'component:ASIA'").select(F.col("dst").alias("src"))
+    end = edges.where("kind = 'contains'").join(inside, "src", "left_semi").agg(F.max("dst")).first()[0]
+    return graph.shortest_path(edges, "component:ASIA", end or "")
+
+
+@query("gra5_overview", "SELECT n.id, n.name, count(DISTINCT a.dst) AS packages, count(b.dst) AS files FROM nodes n LEFT JOIN edges a ON a.src = n.id AND a.kind = 'contains' LEFT JOIN edges b ON b.src = a.dst AND b.kind = 'contains' WHERE n.kind = 'component' GROUP BY ALL")
+def _(nodes, edges):
+    return graph.components(nodes, edges)
+
+
+@query(
+    "joi13_overview_joins",
+    "SELECT f.id, p.src AS package, count(DISTINCT o.dst) AS siblings FROM nodes f JOIN edges p ON p.dst = f.id AND p.kind = 'contains' LEFT JOIN edges o ON o.src = p.src AND o.kind = 'contains' AND o.dst <> f.id WHERE f.kind = 'file' AND NOT f.test GROUP BY f.id, p.src",
+)
+def _(nodes, edges):
+    c = edges.where("kind = 'contains'")
+    size = c.groupBy("src").agg(F.countDistinct("dst").alias("n"))  # counted once a package, not once a file
+    files = nodes.where("kind = 'file' AND NOT test").select("id")
+    return files.join(c.select(F.col("dst").alias("id"), F.col("src").alias("package")), "id").join(size.withColumnRenamed("src", "package"), "package").select("id", "package", (F.col("n") - 1).alias("siblings"))
+
+
+@query("gra6_graph_build", "SELECT id AS src, kind, '' AS dst, 'node' AS what FROM nodes UNION SELECT src, kind, dst, 'edge' FROM edges")
+def _(nodes, edges):
+    return nodes.select(F.col("id").alias("src"), "kind", F.lit("").alias("dst"), F.lit("node").alias("what")).unionByName(edges.select("src", "kind", "dst", F.lit("edge").alias("what"))).distinct()
+
+
+@query("gra7_structure_edges", "SELECT DISTINCT a.src AS component, a.dst AS package, b.dst AS file FROM edges a JOIN edges b ON b.src = a.dst AND b.kind = 'contains' WHERE a.kind = 'contains' AND a.src LIKE 'component:%'")
+def _(edges):
+    c = edges.where("kind = 'contains'")
+    return c.where(F.col("src").startswith("component:")).select(F.col("src").alias("component"), F.col("dst").alias("package")).join(c.select(F.col("src").alias("package"), F.col("dst").alias("file")), "package").select("component", "package", "file").distinct()
+
+
+CALLERS = """
+WITH t AS (SELECT min(dst) AS id FROM calls), tests AS (SELECT id FROM nodes WHERE test),
+c1 AS (SELECT src AS caller, dst AS callee, 1 AS depth, [src, dst] AS via FROM calls WHERE dst = (SELECT id FROM t)),
+f1 AS (SELECT caller AS node, min(via) AS via FROM c1 WHERE caller NOT IN (SELECT id FROM t) AND caller NOT IN (SELECT id FROM tests) GROUP BY caller),
+c2 AS (SELECT src AS caller, dst AS callee, 2 AS depth, list_prepend(src, via) AS via FROM f1 JOIN calls ON dst = node),
+f2 AS (SELECT caller AS node, min(via) AS via FROM c2 WHERE caller NOT IN (SELECT id FROM t UNION ALL SELECT node FROM f1) AND caller NOT IN (SELECT id FROM tests) GROUP BY caller),
+c3 AS (SELECT src AS caller, dst AS callee, 3 AS depth, list_prepend(src, via) AS via FROM f2 JOIN calls ON dst = node)
+SELECT caller, callee, CAST(depth AS BIGINT) AS depth, array_to_string(via, '>') AS via FROM (FROM c1 UNION ALL FROM c2 UNION ALL FROM c3)"""
+
+
+@query("gra8_callers", CALLERS)
+def _(calls, nodes):
+    target = calls.agg(F.min("dst")).first()[0]
+    return graph.callers(calls, nodes, target or "").withColumn("via", F.array_join("via", ">"))
+
+
+REACH = """
+WITH RECURSIVE tg AS (SELECT id FROM nodes WHERE kind = 'function' AND id < 'function:Supplier#000000020'), tests AS (SELECT id FROM nodes WHERE test),
+w AS (SELECT id, id AS node, 0 AS depth FROM tg UNION SELECT w.id, c.src, depth + 1 FROM w JOIN calls c ON c.dst = w.node WHERE depth < 3 AND (depth = 0 OR w.node NOT IN (SELECT id FROM tests)) AND c.src <> w.id),
+m AS (SELECT w.id, node AS test, min(depth) AS depth FROM w JOIN tests ON tests.id = node WHERE depth > 0 GROUP BY w.id, node),
+p AS (SELECT m.*, n.path, n.name, count(*) OVER (PARTITION BY m.id) AS total, row_number() OVER (PARTITION BY m.id ORDER BY depth, path, name) AS place FROM m JOIN nodes n ON n.id = m.test)
+SELECT id, test, CAST(depth AS BIGINT) AS depth, path, name, total, place FROM p WHERE place <= 20"""
+
+
+def reach(calls, nodes):
+    return graph.reaching_tests(calls, nodes, nodes.where("kind = 'function' AND id < 'function:Supplier#000000020'")).select("id", "test", "depth", "path", "name", "total", "place")
+
+
+@query("gra9_reaching_tests", REACH)
+def _(calls, nodes):
+    return reach(calls, nodes)
+
+
+@query("srt14_reaching_order", REACH + " AND place = 1")
+def _(calls, nodes):
+    return reach(calls, nodes).where("place = 1")
+
+
+@query("gra14_planned_reach", REACH.replace("SELECT id, test, CAST(depth AS BIGINT) AS depth, path, name, total, place FROM p WHERE place <= 20", "SELECT id, count(*) AS tests, CAST(min(depth) AS BIGINT) AS nearest FROM p GROUP BY id"))
+def _(calls, nodes):
+    return graph.reaching_tests(calls, nodes, nodes.where("kind = 'function' AND id < 'function:Supplier#000000020'"), limit=1 << 30).groupBy("id").agg(F.count(F.lit(1)).alias("tests"), F.min("depth").alias("nearest"))
+
+
+SITES = "WITH s AS (SELECT dst, path, line, src, seq FROM edge_sites WHERE kind = 'calls' AND src NOT IN (SELECT id FROM nodes WHERE test) AND src NOT LIKE '%7'), o AS (SELECT *, row_number() OVER (PARTITION BY dst, path, line ORDER BY seq, src) AS n FROM s) SELECT dst, path, CAST(line AS BIGINT) AS line, src FROM o WHERE n = 1"
+
+
+def unchanged(edge_sites, nodes):
+    return graph.unchanged_callers(edge_sites.where("kind = 'calls'"), nodes.where(F.col("id").endswith("7")), nodes.where("test"))
+
+
+@query("gra10_unchanged_callers", SITES)
+def _(edge_sites, nodes):
+    return unchanged(edge_sites, nodes)
+
+
+@query("srt15_caller_caps", f"WITH u AS ({SITES[5:].replace('s AS (SELECT dst', 'SELECT * FROM (WITH s AS (SELECT dst', 1)})), p AS (SELECT *, count(*) OVER (PARTITION BY dst) AS total, row_number() OVER (PARTITION BY dst ORDER BY path, line, src) AS place FROM u) SELECT * FROM p WHERE place <= 10 ORDER BY dst, place LIMIT 100")
+def _(edge_sites, nodes):
+    return graph.capped_callers(unchanged(edge_sites, nodes))
+
+
+@query("gra11_references", "SELECT dst, src, sites, count(*) OVER (PARTITION BY dst) AS total FROM calls")
+def _(calls):
+    total = calls.groupBy("dst").agg(F.count(F.lit(1)).alias("total"))
+    return calls.join(total, "dst").select("dst", "src", "sites", "total")
+
+
+@query(
+    "gra12_inspect_symbol",
+    "SELECT id, CAST(coalesce((SELECT sum(sites) FROM calls WHERE dst = id), 0) AS BIGINT) AS \"references\", (SELECT count(*) FROM calls WHERE dst = id) AS callers, (SELECT count(*) FROM calls WHERE src = id) AS callees, (SELECT count(*) FROM calls c JOIN nodes t ON t.id = c.src WHERE c.dst = n.id AND t.test) AS tests FROM nodes n WHERE kind = 'function'",
+)
+def _(calls, nodes):
+    return graph.inspect(calls, nodes)
+
+
+DELTA = """
+WITH a AS (SELECT src, kind, dst FROM edges_head EXCEPT SELECT src, kind, dst FROM edges_base), r AS (SELECT src, kind, dst FROM edges_base EXCEPT SELECT src, kind, dst FROM edges_head),
+u AS (SELECT 'added' AS change, * FROM a UNION ALL SELECT 'removed', * FROM r), p AS (SELECT *, count(*) OVER (PARTITION BY change) AS total, row_number() OVER (PARTITION BY change ORDER BY CASE kind WHEN 'depends_on' THEN 1 ELSE 2 END, src, kind, dst) AS n FROM u)
+"""
+
+
+@query("joi17_structural_delta", DELTA + "SELECT change, src, kind, dst, total FROM p WHERE n <= 100")
+def _(edges_base, edges_head):
+    return graph.delta(edges_base, edges_head).select("change", "src", "kind", "dst", "total")
+
+
+@query("srt12_delta_order", DELTA + "SELECT change, src, kind, dst, total FROM p WHERE n <= 5")
+def _(edges_base, edges_head):
+    return graph.delta(edges_base, edges_head, limit=5).select("change", "src", "kind", "dst", "total")
+
+
+@query("set4_set_difference", "SELECT change, src, kind, dst FROM (SELECT 'added' AS change, * FROM (SELECT src, kind, dst FROM edges_head EXCEPT SELECT src, kind, dst FROM edges_base) UNION ALL SELECT 'removed', * FROM (SELECT src, kind, dst FROM edges_base EXCEPT SELECT src, kind, dst FROM edges_head))")
+def _(edges_base, edges_head):
+    b, h = edges_base.select("src", "kind", "dst"), edges_head.select("src", "kind", "dst")
+    return h.subtract(b).withColumn("change", F.lit("added")).unionByName(b.subtract(h).withColumn("change", F.lit("removed")))
+
+
+@query("joi12_import_edges", "SELECT DISTINCT a.n_name AS src, b.n_name AS dst FROM (SELECT DISTINCT c_nationkey AS x, s_nationkey AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey) e JOIN nation a ON a.n_nationkey = x JOIN nation b ON b.n_nationkey = y WHERE x <> y")
+def _(orders, customer, lineitem, supplier, nation):
+    pairs = (
+        lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+        .join(orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey").join(customer.select("c_custkey", "c_nationkey"), "c_custkey").join(supplier.select("s_suppkey", "s_nationkey"), "s_suppkey")
+        .select(F.col("c_nationkey").alias("x"), F.col("s_nationkey").alias("y")).where("x <> y").distinct()
+    )
+    n = nation.select("n_nationkey", "n_name")
+    return pairs.join(n.toDF("x", "src"), "x").join(n.toDF("y", "dst"), "y").select("src", "dst").distinct()
+
+
+@query("joi34_graph_node_resolve", f"WITH refs AS (SELECT id AS ref FROM nodes WHERE id LIKE '%5' UNION SELECT name FROM nodes UNION SELECT {SHORT} FROM nodes WHERE kind = 'function'), hits AS (SELECT ref, 0 AS p, id FROM refs JOIN nodes ON id = ref UNION SELECT ref, 1, id FROM refs JOIN nodes ON id = 'file:' || ref UNION SELECT ref, 2, id FROM refs JOIN nodes ON id = 'package:' || ref UNION SELECT ref, 3, id FROM refs JOIN nodes ON id = 'component:' || ref UNION SELECT ref, 9, id FROM refs JOIN nodes ON lower(ref) = lower(name) OR lower(ref) = nullif({SHORT}, '')) SELECT ref, id FROM hits QUALIFY p = min(p) OVER (PARTITION BY ref)")
+def _(nodes):
+    refs = nodes.where(F.col("id").endswith("5")).select(F.col("id").alias("ref")).union(nodes.select("name")).union(nodes.where("kind = 'function'").select(graph.short_name(F.col("name")))).distinct()
+    return graph.resolve(nodes, refs)
+
+
+@query("joi11_longest_prefix", "WITH roots AS (SELECT unnest(['src', 'src/auth', 'pkg/deep', 'internal']) AS root), h AS (SELECT path, max(length(root)) AS n FROM paths JOIN roots ON starts_with(path, root || '/') OR path = root GROUP BY path) SELECT p.path, CASE WHEN n IS NOT NULL THEN left(p.path, n) WHEN contains(p.path, '/') THEN string_split(p.path, '/')[1] ELSE '.' END AS component FROM paths p LEFT JOIN h USING (path)")
+def _(paths):
+    roots = paths.sparkSession.createDataFrame([(r,) for r in ("src", "src/auth", "pkg/deep", "internal")], "root string")
+    return graph.longest_prefix(paths, roots)
+
+
+@query("joi36_implementers", "WITH m AS (SELECT DISTINCT p_brand AS type, p_size AS method FROM part), i AS (SELECT DISTINCT concat('I', CAST(p_size % 7 AS string)) AS interface, p_size AS method FROM part WHERE p_size % 2 = 0), n AS (SELECT interface, count(*) AS need FROM i GROUP BY interface) SELECT m.type, i.interface FROM m JOIN i USING (method) JOIN n ON n.interface = i.interface GROUP BY m.type, i.interface HAVING count(*) = max(need)")
+def _(part):
+    methods = part.select(F.col("p_brand").alias("type"), F.col("p_size").alias("method"))
+    return graph.implementers(methods, part.where("p_size % 2 = 0").select(F.concat(F.lit("I"), (F.col("p_size") % 7).cast("string")).alias("interface"), F.col("p_size").alias("method")))
+
+
+@query("gra16_literal_search", "SELECT doc_id, CAST(n AS BIGINT) AS line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE contains(text, 'License')")
+def _(documents):
+    lines = documents.where(F.contains("text", F.lit("License"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return lines.where(F.contains("text", F.lit("License"))).select("doc_id", (F.col("n") + 1).alias("line"), "text")
+
+
+@query("gra17_commit_graph", "WITH RECURSIVE c AS (SELECT concat('k', CAST(n_nationkey AS string)) AS sha, concat('k', CAST(n_nationkey + 1 + n_regionkey AS string)) AS parent FROM nation UNION SELECT concat('k', CAST(n_nationkey AS string)), concat('k', CAST(n_nationkey + 2 AS string)) FROM nation WHERE n_nationkey % 3 = 0), w AS (SELECT 'k0' AS sha, 0 AS depth UNION SELECT parent, depth + 1 FROM w JOIN c USING (sha) WHERE depth < 300) SELECT sha, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY sha")
+def _(nation):
+    k = lambda c: F.concat(F.lit("k"), c.cast("string"))
+    a = nation.select(k(F.col("n_nationkey")).alias("sha"), k(F.col("n_nationkey") + 1 + F.col("n_regionkey")).alias("parent"))
+    return graph.commit_depths(a.union(nation.where("n_nationkey % 3 = 0").select(k(F.col("n_nationkey")), k(F.col("n_nationkey") + 2))).distinct(), "k0")
+
+
+@query("joi32_symbol_resolve", "WITH refs AS (SELECT DISTINCT concat('pkg.', s_name) AS ref FROM supplier UNION SELECT s_name FROM supplier WHERE s_suppkey % 3 = 0 UNION SELECT concat('function:', s_name) FROM supplier WHERE s_suppkey % 5 = 0), h AS (SELECT ref, id, CASE WHEN id = ref THEN 0 WHEN name = ref THEN 2 ELSE 3 END AS class FROM refs JOIN nodes ON kind = 'function' AND (id = ref OR name = ref OR ends_with(name, '.' || ref))) SELECT ref, id, CAST(class AS BIGINT) AS class FROM h QUALIFY class = min(class) OVER (PARTITION BY ref)")
+def _(supplier, nodes):
+    name = F.col("s_name")
+    refs = supplier.select(F.concat(F.lit("pkg."), name).alias("ref")).union(supplier.where("s_suppkey % 3 = 0").select(name)).union(supplier.where("s_suppkey % 5 = 0").select(F.concat(F.lit("function:"), name))).distinct()
+    keyed = nodes.where("kind = 'function'").select("id", F.explode(F.array(F.struct(F.lit(0).alias("class"), F.col("id").alias("ref")), F.struct(F.lit(2).alias("class"), F.col("name").alias("ref")), F.struct(F.lit(3).alias("class"), F.regexp_replace("name", r"^.*\.", "").alias("ref")))).alias("k")).select("id", "k.*")
+    hits = refs.join(keyed, "ref").groupBy("ref", "id").agg(F.min("class").alias("class"))
+    return hits.join(hits.groupBy("ref").agg(F.min("class").alias("class")), ["ref", "class"]).select("ref", "id", "class")
+
+
+@query("joi33_call_resolve", "WITH c AS (SELECT l_suppkey AS caller, l_partkey % 30 AS name, l_orderkey % 8 AS file FROM lineitem WHERE l_orderkey % 50 = 0), d AS (SELECT s_suppkey AS id, s_suppkey % 30 AS name, s_suppkey % 8 AS file FROM supplier), h AS (SELECT DISTINCT c.caller, c.name, c.file, d.id, CASE WHEN d.file = c.file THEN 0 ELSE 1 END AS class FROM c JOIN d ON d.name = c.name), b AS (SELECT * FROM h QUALIFY class = min(class) OVER (PARTITION BY caller, name, file)) SELECT caller, name, file, id, CAST(class AS BIGINT) AS class, count(*) OVER (PARTITION BY caller, name, file) > 3 AS unresolved FROM b")
+def _(lineitem, supplier):
+    c = lineitem.where("l_orderkey % 50 = 0").selectExpr("l_suppkey AS caller", "l_partkey % 30 AS name", "l_orderkey % 8 AS file").distinct()
+    d = supplier.selectExpr("s_suppkey AS id", "s_suppkey % 30 AS name", "s_suppkey % 8 AS home")
+    h = c.join(d, "name").withColumn("class", F.when(F.col("home") == F.col("file"), 0).otherwise(1))
+    best = h.groupBy("caller", "name", "file").agg(F.min("class").alias("class"))
+    best = h.join(best, ["caller", "name", "file", "class"])
+    n = best.groupBy("caller", "name", "file").agg(F.count(F.lit(1)).alias("n"))
+    return best.join(n, ["caller", "name", "file"]).select("caller", "name", "file", "id", "class", (F.col("n") > 3).alias("unresolved"))
+
+
+@query("joi10_import_resolution", "WITH s AS (SELECT DISTINCT path, concat('f', CAST(length(path) * 7 % 300 AS string)) AS spec FROM paths), t AS (SELECT path AS target, regexp_extract(path, 'f[0-9]+') AS name, starts_with(path, 'src/') AS own FROM paths), h AS (SELECT s.path, spec, target, CASE WHEN own THEN 0 ELSE 1 END AS priority FROM s JOIN t ON name = spec) SELECT path, spec, arg_min(target, {'p': priority, 't': target}) AS target FROM h GROUP BY path, spec")
+def _(paths):
+    s = paths.select("path", F.concat(F.lit("f"), (F.length("path") * 7 % 300).cast("string")).alias("spec"))
+    t = paths.select(F.col("path").alias("target"), F.regexp_extract("path", "f[0-9]+", 0).alias("spec"), F.when(F.col("path").startswith("src/"), 0).otherwise(1).alias("priority"))
+    best = t.groupBy("spec").agg(F.min_by("target", F.struct("priority", "target")).alias("target"))  # candidates of a name are reduced before the join
+    return s.join(best, "spec").select("path", "spec", "target")
+
+
+@query("joi38_head_labels", "SELECT commit, string_agg(DISTINCT repo_key, ',' ORDER BY repo_key) AS labels FROM (SELECT repo_key, arg_max(commit, seq) AS commit FROM runs GROUP BY repo_key) GROUP BY commit")
+def _(runs):
+    heads = runs.groupBy("repo_key").agg(F.max_by("commit", "seq").alias("commit"))
+    return heads.groupBy("commit").agg(F.array_join(F.array_sort(F.collect_set("repo_key")), ",").alias("labels"))
+
+
