@@ -61,6 +61,24 @@ CARRIERS: dict[str, str] = {
     "alerts": """
         SELECT id, path, side, line, end_line, kind IN ('secret') AS issue, severity, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END * CAST(100000000000 AS bigint) + ord AS rank
         FROM signals WHERE line > 0""",
+    # Claims, what they cite, evidence (some ids twice) and checks.
+    "claims": """
+        SELECT concat('h', CAST(o_orderkey AS string)) AS id, CASE o_orderkey % 5 WHEN 0 THEN 'REPRODUCED' WHEN 1 THEN 'DIVERGED' WHEN 2 THEN 'UNVERIFIED' WHEN 3 THEN 'DISMISSED' ELSE 'NOT_REPRODUCED' END AS status,
+               concat('src/f', CAST(o_custkey % 200 AS string), '.go') AS path, CAST(1 + o_orderkey % 60 AS int) AS line, CASE o_orderkey % 7 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'low' ELSE 'medium' END AS severity,
+               concat(CASE WHEN o_orderkey % 2 = 0 THEN 'Wrong  total ' ELSE 'wrong Total ' END, CAST(o_custkey % 9 AS string)) AS title, concat('agent', CAST(o_orderkey % 4 AS string)) AS agent, CAST(o_orderkey AS bigint) AS ord
+        FROM {orders} WHERE o_orderkey % 8 = 0""",
+    "citations": """
+        SELECT concat('h', CAST(o_orderkey AS string)) AS claim_id, pos, concat('e', CAST((o_custkey + pos * 7) % 140 AS string)) AS evidence_id FROM {orders} CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2) p WHERE o_orderkey % 8 = 0 AND (o_orderkey + pos) % 4 <> 0""",
+    "evidence": """
+        SELECT concat('e', CAST(c_custkey % 130 AS string)) AS id, CASE c_custkey % 3 WHEN 0 THEN 'base_test' WHEN 1 THEN 'observation' ELSE 'fuzz' END AS kind, CASE c_custkey % 4 WHEN 0 THEN 'REPRODUCED' WHEN 1 THEN 'DIVERGED' WHEN 2 THEN 'NOT_REPRODUCED' ELSE 'UNVERIFIED' END AS verified, c_custkey AS ord
+        FROM {customer} WHERE c_custkey < 135""",
+    "checks": """
+        SELECT concat('k', CAST(s_suppkey AS string)) AS id, CASE s_suppkey % 3 WHEN 0 THEN 'lint' WHEN 1 THEN 'test' ELSE 'build' END AS kind, CASE s_suppkey % 5 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'TIMEOUT' ELSE 'PASS' END AS status,
+               CAST(CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 17 = 0 THEN 1 ELSE 0 END AS int) AS exit_code, concat('e', CAST(s_suppkey % 130 AS string)) AS evidence_id
+        FROM {supplier}""",
+    "assessments": """
+        SELECT concat('s', CAST(o_orderkey - o_orderkey % 3 AS string)) AS signal_id, CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE concat('title ', CAST(o_orderkey AS string)) END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'no_risk' ELSE 'risk' END AS judgment, CAST(o_orderkey AS bigint) AS ord
+        FROM {orders} WHERE o_orderkey % 5 < 3""",
     # Runs of repositories, from events.
     "runs": """
         SELECT concat('u', CAST(user_id % 10 AS string)) AS user_key, concat('r', CAST(user_id AS string)) AS repo_key, concat('c', CAST(event_id % 3000 AS string)) AS commit, event_id AS seq,

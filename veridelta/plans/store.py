@@ -1,0 +1,287 @@
+"""Queries on the history of runs, feedback, outcomes and event streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from veridelta.operators import core, store
+from veridelta.registry import query
+from veridelta.streaming import limiter, replay
+
+SINCE = "2024-01-20"
+ACT = "greatest(queued_at, finished_at)"
+LWW = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_key, repo_key, commit, variant ORDER BY seq DESC) AS n FROM runs) WHERE n = 1"
+
+
+@query("snk6_history_upsert", f"SELECT user_key, repo_key, commit, variant, seq, status, queued_at FROM ({LWW})")
+def _(runs):
+    return store.upsert(runs, ["user_key", "repo_key", "commit", "variant"]).select("user_key", "repo_key", "commit", "variant", "seq", "status", "queued_at")
+
+
+RET = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_key, repo_key ORDER BY queued_at DESC, commit, variant, seq) AS place FROM runs)"
+
+
+@query("snk7_upsert_and_prune", f"WITH u AS ({LWW}), r AS (SELECT *, row_number() OVER (PARTITION BY user_key, repo_key ORDER BY queued_at DESC, commit, variant, seq) AS place FROM u) SELECT user_key, repo_key, commit, variant, seq FROM r WHERE place <= 20")
+def _(runs):
+    return store.retained(store.upsert(runs, ["user_key", "repo_key", "commit", "variant"])).where("kept").select("user_key", "repo_key", "commit", "variant", "seq")
+
+
+@query("snk8_bulk_import", "SELECT repo_key, commit, seq FROM runs WHERE seq % 3 = 0 UNION ALL SELECT repo_key, commit, seq FROM runs WHERE seq % 3 <> 0 AND (repo_key, commit) NOT IN (SELECT (repo_key, commit) FROM runs WHERE seq % 3 = 0)")
+def _(runs):
+    r = runs.select("repo_key", "commit", "seq")
+    return store.import_new(r.where("seq % 3 = 0"), r.where("seq % 3 <> 0"), ["repo_key", "commit"])
+
+
+@query("snk9_content_addressed_put", "SELECT sha256(text) AS key, min(doc_id) AS doc_id, max(strlen(text)) AS size FROM documents GROUP BY 1")
+def _(documents):
+    return documents.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("size"))
+
+
+@query("snk10_graph_cache_key", "SELECT kind, sha256(concat_ws('|', 'v1', kind, CAST(count(*) AS VARCHAR))) AS key FROM nodes GROUP BY kind")
+def _(nodes):
+    return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select("kind", F.sha2(F.concat_ws("|", F.lit("v1"), "kind", F.col("n").cast("string")), 256).alias("key"))
+
+
+@query("win8_keep_newest", RET + " SELECT user_key, repo_key, seq, place, place <= 20 AS kept FROM r")
+def _(runs):
+    return store.retained(runs).select("user_key", "repo_key", "seq", "place", "kept")
+
+
+@query("win9_keep_newest_files", RET + " SELECT user_key, repo_key, count(*) FILTER (place <= 5) AS kept, count(*) FILTER (place > 5) AS evicted FROM r GROUP BY ALL")
+def _(runs):
+    return store.retained(runs, 5).groupBy("user_key", "repo_key").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("evicted"))
+
+
+MARK = RET + f", w AS (SELECT user_key, repo_key, max(CASE WHEN status NOT IN ('queued', 'running') THEN {ACT} END) AS through, bool_or(finished_at IS NULL) AS incomplete FROM r WHERE place > {{n}} AND variant <> 'plan' GROUP BY ALL)"
+
+
+@query("agg25_retention_watermark", MARK.format(n=20) + " SELECT * FROM w")
+def _(runs):
+    return store.watermark(runs)
+
+
+@query("agg26_retention_upsert", MARK.format(n=20) + f", w2 AS (SELECT user_key, repo_key, max(CASE WHEN status NOT IN ('queued', 'running') THEN {ACT} END) AS through, bool_or(finished_at IS NULL) AS incomplete FROM r WHERE place > 5 AND variant <> 'plan' GROUP BY ALL) SELECT user_key, repo_key, max(through) AS through, bool_or(incomplete) AS incomplete FROM (FROM w UNION ALL FROM w2) GROUP BY ALL")
+def _(runs):
+    return store.merge_watermarks(store.watermark(runs), store.watermark(runs, 5))
+
+
+@query("sca36_window_incomplete", MARK.format(n=20) + f" SELECT user_key, repo_key, incomplete OR coalesce(through >= TIMESTAMP '{SINCE}', false) AS incomplete FROM w")
+def _(runs):
+    return store.watermark(runs).select("user_key", "repo_key", (F.col("incomplete") | F.coalesce(F.col("through") >= F.lit(SINCE).cast("timestamp"), F.lit(False))).alias("incomplete"))
+
+
+REC = f"""WITH a AS (SELECT *, status IN ('queued', 'running') OR finished_at IS NULL AS always FROM runs), r AS (SELECT *, CASE WHEN NOT always THEN {ACT} END AS at_ FROM a),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_key, repo_key ORDER BY always DESC, at_ DESC NULLS LAST, commit, seq) AS place, count(*) OVER (PARTITION BY user_key, repo_key) > 30 AS incomplete FROM r WHERE always OR at_ >= TIMESTAMP '{SINCE}')"""
+
+
+@query("srt6_recent", REC + " SELECT user_key, repo_key, seq, place, incomplete FROM k WHERE place <= 30")
+def _(runs):
+    return store.recent(runs, F.lit(SINCE).cast("timestamp"), 30).select("user_key", "repo_key", "seq", "place", "incomplete")
+
+
+@query("joi37_repo_recent", REC + " SELECT r.user_key, r.repo_key, count(k.seq) AS recent, max(k.at_) AS latest FROM (SELECT DISTINCT user_key, repo_key FROM runs) r LEFT JOIN (FROM k WHERE place <= 30) k USING (user_key, repo_key) GROUP BY ALL")
+def _(runs):
+    rec = store.recent(runs, F.lit(SINCE).cast("timestamp"), 30).groupBy("user_key", "repo_key").agg(F.count("seq").alias("recent"), F.max("at").alias("latest"))
+    return runs.select("user_key", "repo_key").distinct().join(rec, ["user_key", "repo_key"], "left").select("user_key", "repo_key", F.coalesce("recent", F.lit(0)).alias("recent"), "latest")
+
+
+@query("srt5_history", "SELECT seq, queued_at, commit FROM runs WHERE repo_key = 'r7' ORDER BY queued_at DESC, commit, seq LIMIT 50")
+def _(runs):
+    return runs.where("repo_key = 'r7'").orderBy(F.desc("queued_at"), "commit", "seq").limit(50).select("seq", "queued_at", "commit")
+
+
+@query("srt16_active_analyses", "SELECT user_key, repo_key, commit, seq, queued_at FROM runs WHERE status IN ('queued', 'running') ORDER BY queued_at DESC, repo_key, seq LIMIT 100")
+def _(runs):
+    return runs.where("status IN ('queued', 'running')").orderBy(F.desc("queued_at"), "repo_key", "seq").limit(100).select("user_key", "repo_key", "commit", "seq", "queued_at")
+
+
+@query("sca35_activity_timestamp", f"SELECT seq, {ACT} AS at_time FROM runs")
+def _(runs):
+    return runs.select("seq", store.activity_at().alias("at_time"))
+
+
+@query("flt8_recent_projection", "SELECT repo_key, commit, status, queued_at FROM runs")
+def _(runs):
+    return runs.select("repo_key", "commit", "status", "queued_at")
+
+
+@query("flt9_activity_window", f"SELECT seq FROM runs WHERE status IN ('queued', 'running') OR finished_at IS NULL OR {ACT} >= TIMESTAMP '{SINCE}'")
+def _(runs):
+    return runs.where(F.col("status").isin(*store.PENDING) | F.col("finished_at").isNull() | (store.activity_at() >= F.lit(SINCE).cast("timestamp"))).select("seq")
+
+
+@query("flt6_name_filter", "SELECT DISTINCT repo_key FROM runs WHERE contains(lower(repo_key), 'r1')")
+def _(runs):
+    return runs.where(F.contains(F.lower("repo_key"), F.lit("r1"))).select("repo_key").distinct()
+
+
+ENTRIES = "WITH e AS (SELECT user_key AS store, CAST(seq AS VARCHAR) AS key, size, queued_at AS mtime FROM runs), f AS (SELECT * FROM e WHERE mtime >= TIMESTAMP '2024-01-30' - INTERVAL 20 DAYS)"
+
+
+def entries(runs):
+    return runs.select(F.col("user_key").alias("store"), F.col("seq").cast("string").alias("key"), "size", F.col("queued_at").alias("mtime"))
+
+
+@query("win10_size_age_eviction", ENTRIES + ", s AS (SELECT *, count(*) OVER (PARTITION BY store) AS n, sum(size) OVER (PARTITION BY store) AS b, count(*) OVER (PARTITION BY store ORDER BY mtime DESC, key ROWS UNBOUNDED PRECEDING) AS p, sum(size) OVER (PARTITION BY store ORDER BY mtime DESC, key ROWS UNBOUNDED PRECEDING) AS t FROM f) SELECT store, key, size, mtime FROM s WHERE NOT (n > 300 OR b > 20000) OR (p <= 270 AND t <= 18000)")
+def _(runs):
+    return store.trim(entries(runs), F.lit("2024-01-30").cast("timestamp"), 20, 300, 20000)
+
+
+@query("win11_lru_ttl", ENTRIES + " SELECT store, key, size, mtime FROM f QUALIFY row_number() OVER (PARTITION BY store ORDER BY mtime DESC, key) <= 200")
+def _(runs):
+    return store.newest(entries(runs), F.lit("2024-01-30").cast("timestamp"), 20, 200)
+
+
+VOTES = "WITH v AS (SELECT * FROM feedback WHERE vote <> '' QUALIFY row_number() OVER (PARTITION BY commit, alert_id, author ORDER BY seq DESC) = 1), t AS (SELECT topic, count(*) FILTER (vote = 'up') AS up, count(*) FILTER (vote = 'down') AS down, count(*) AS total FROM v GROUP BY topic)"
+
+
+@query("agg16_latest_vote", VOTES + " SELECT * FROM t")
+def _(feedback):
+    return store.vote_counts(feedback)
+
+
+@query("srt8_topic_ranking", VOTES + " SELECT topic, total, row_number() OVER (ORDER BY total DESC, topic) AS place FROM t ORDER BY place LIMIT 100")
+def _(feedback):
+    top = store.vote_counts(feedback).orderBy(F.desc("total"), "topic").limit(100)
+    return top.select("topic", "total", F.row_number().over(Window.orderBy(F.desc("total"), "topic")).alias("place"))  # of 100 rows
+
+
+@query("srt9_newest_comments", "SELECT topic, seq, comment FROM feedback WHERE trim(comment) <> '' QUALIFY row_number() OVER (PARTITION BY topic ORDER BY seq DESC) <= 30")
+def _(feedback):
+    return core.top_with_total(feedback.where("trim(comment) <> ''"), ["topic"], [F.desc("seq")], 30).select("topic", "seq", "comment")
+
+
+@query("agg33_review_marks", "SELECT commit FROM feedback GROUP BY commit HAVING arg_max(vote, seq) = 'up'")
+def _(feedback):
+    return feedback.groupBy("commit").agg(F.max_by("vote", "seq").alias("v")).where("v = 'up'").select("commit")
+
+
+@query("agg31_activity_snapshot", "SELECT user_key, repo_key, arg_max(status, seq) AS status, max(seq) AS seq FROM runs GROUP BY ALL")
+def _(runs):
+    return runs.groupBy("user_key", "repo_key").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
+
+
+@query("agg32_usage_per_day", "SELECT user_key, CAST(CAST(queued_at AS DATE) AS VARCHAR) AS day, CAST(sum(size) AS BIGINT) AS tokens FROM runs GROUP BY ALL")
+def _(runs):
+    return runs.groupBy("user_key", F.to_date("queued_at").cast("string").alias("day")).agg(F.sum("size").alias("tokens"))
+
+
+OUT = "WITH f AS (SELECT DISTINCT commit AS base, topic, alert_id AS path FROM feedback WHERE topic <> '' AND alert_id <> ''), c AS (SELECT DISTINCT commit AS base, alert_id AS path FROM feedback WHERE seq % 5 = 0)"
+
+
+def found(feedback):
+    return feedback.select(F.col("commit").alias("base"), "topic", F.col("alert_id").alias("path")), feedback.where("seq % 5 = 0").select(F.col("commit").alias("base"), F.col("alert_id").alias("path"))
+
+
+@query("joi29_outcome_join", OUT + " SELECT topic, count(*) AS found, count(c.base) AS addressed FROM f LEFT JOIN c USING (base, path) GROUP BY topic")
+def _(feedback):
+    return store.outcomes(*found(feedback))
+
+
+@query("agg17_outcome_accumulate", OUT + " SELECT topic, count(*) FILTER (base < 'c15') AS found FROM f GROUP BY topic")
+def _(feedback):
+    f, _ = found(feedback)
+    return f.distinct().groupBy("topic").agg(F.count_if(F.col("base") < "c15").alias("found"))
+
+
+@query("joi30_base_lookup", "SELECT a.seq, max(b.seq) AS base_seq FROM runs a JOIN runs b ON b.repo_key = a.repo_key AND b.commit = concat('c', CAST((a.seq + 150) % 3000 AS string)) WHERE b.seq < a.seq GROUP BY a.seq")
+def _(runs):
+    a = runs.select("seq", "repo_key", F.concat(F.lit("c"), ((F.col("seq") + 150) % 3000).cast("string")).alias("commit"))
+    return a.join(runs.select(F.col("seq").alias("base_seq"), "repo_key", "commit"), ["repo_key", "commit"]).where("base_seq < seq").groupBy("seq").agg(F.max("base_seq").alias("base_seq"))
+
+
+@query("sca42_badge_state", "SELECT repo_key, CASE arg_max(status, seq) WHEN 'queued' THEN 'pending' WHEN 'running' THEN 'pending' WHEN 'failed' THEN 'error' ELSE CASE WHEN arg_max(critical, seq) > 0 THEN 'blocked' WHEN arg_max(high, seq) > 0 THEN 'review' ELSE 'clear' END END AS badge FROM runs GROUP BY repo_key")
+def _(runs):
+    last = runs.groupBy("repo_key").agg(F.max_by(F.struct("status", "critical", "high"), "seq").alias("r"))
+    state = F.when(F.col("r.status").isin(*store.PENDING), "pending").when(F.col("r.status") == "failed", "error").when(F.col("r.critical") > 0, "blocked").when(F.col("r.high") > 0, "review").otherwise("clear")
+    return last.select("repo_key", state.alias("badge"))
+
+
+@query("src39_record_read", "SELECT repo_key, commit, seq, status FROM runs WHERE repo_key = 'r3' AND commit = 'c42' AND variant = ''")
+def _(runs):
+    return runs.where("repo_key = 'r3' AND commit = 'c42' AND variant = ''").select("repo_key", "commit", "seq", "status")
+
+
+@query("src40_bounded_record_read", "SELECT seq, CASE WHEN size <= 50 THEN status END AS status, size > 50 AS oversized FROM runs WHERE repo_key = 'r5'")
+def _(runs):
+    return runs.where("repo_key = 'r5'").select("seq", F.when(F.col("size") <= 50, F.col("status")).alias("status"), (F.col("size") > 50).alias("oversized"))
+
+
+# Streams: each processor runs over the events as a stream of files and is held against SQL over the same rows.
+
+
+@query("str5_ttl_state", "SELECT seq FROM runs WHERE status IN ('queued', 'running') OR coalesce(finished_at, queued_at) >= TIMESTAMP '2024-01-30' - INTERVAL 48 HOURS")
+def _(runs):
+    return runs.where(F.col("status").isin(*store.PENDING) | (F.coalesce("finished_at", "queued_at") >= F.lit("2024-01-30").cast("timestamp") - F.expr("INTERVAL 48 HOURS"))).select("seq")
+
+
+@query("str7_incremental_learning", "SELECT topic, count(*) AS n, count(*) FILTER (vote = 'up') AS up FROM feedback GROUP BY topic")
+def _(feedback):
+    return replay.totals(feedback, "topic", {"n": F.count(F.lit(1)), "up": F.count_if(F.col("vote") == "up")})
+
+
+@query("str1_inflight_dedupe", "SELECT repo_key, commit, min(seq) AS seq FROM runs WHERE status IN ('queued', 'running') GROUP BY ALL")
+def _(runs):
+    return runs.where(F.col("status").isin(*store.PENDING)).groupBy("repo_key", "commit").agg(F.min("seq").alias("seq"))
+
+
+@query("str9_push_filter", "SELECT repo_key, commit, seq FROM runs WHERE variant = '' AND status <> 'failed' AND repo_key <> ''")
+def _(runs):
+    return replay.filtered(runs).select("repo_key", "commit", "seq")
+
+
+@query("str11_change_feed", "SELECT key, arg_max(value, seq) AS value FROM (SELECT concat('k', CAST(user_id AS string)) AS key, event_type AS kind, CAST(event_id AS VARCHAR) AS value, event_id AS seq FROM events) GROUP BY key HAVING arg_max(kind, seq) <> 'error'")
+def _(events):
+    feed = events.select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("value"), F.col("event_id").alias("seq"))
+    return replay.apply_feed(feed)
+
+
+@query("str12_absence_detection", "WITH seen AS (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0), all_ AS (SELECT DISTINCT user_id, user_id % 5 AS source FROM events), done AS (SELECT 0 AS source UNION ALL SELECT 1 UNION ALL SELECT 2) SELECT a.user_id, CASE WHEN s.user_id IS NOT NULL THEN 'present' WHEN d.source IS NOT NULL THEN 'removed' ELSE 'unknown' END AS state FROM all_ a LEFT JOIN seen s USING (user_id) LEFT JOIN done d USING (source)")
+def _(events):
+    known = events.select("user_id", (F.col("user_id") % 5).alias("source")).distinct()
+    return replay.absent(known, events.where("event_id % 2 = 0").select("user_id").distinct(), [0, 1, 2])
+
+
+@query("str4_document_state", "SELECT user_id, event_id, CASE WHEN value IS NULL THEN 'unknown' WHEN value > 90 THEN 'too_large' WHEN lag(event_type) OVER w IS NULL THEN 'new' WHEN lag(event_type) OVER w = event_type THEN 'clean' ELSE 'changed' END AS state FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def _(events):
+    return replay.document_states(events)
+
+
+@query("win16_version_compare", "SELECT doc, version, CASE WHEN before IS NULL THEN 'new' WHEN before = after THEN 'clean' ELSE 'changed' END AS state FROM versions")
+def _(versions):
+    return versions.select("doc", "version", F.when(F.col("before").isNull(), "new").when(F.col("before") == F.col("after"), "clean").otherwise("changed").alias("state"))
+
+
+LIMIT = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE user_id < 20),
+w AS (SELECT n, t, t AS start FROM e WHERE n = 1 UNION ALL SELECT e.n, e.t, CASE WHEN e.t >= w.start + 3600 THEN e.t ELSE w.start END FROM w JOIN e ON e.n = w.n + 1),
+c AS (SELECT e.event_id, e.user_id, row_number() OVER (PARTITION BY w.start, e.user_id ORDER BY e.n) AS k FROM w JOIN e USING (n))
+SELECT event_id, user_id, k <= 2 AS allowed FROM c"""
+
+
+@query("str2_fixed_window_limiter", LIMIT, python=True)
+def _(events):
+    return limiter.limit(events.where("user_id < 20"), 3600, 2)
+
+
+@query("str10_scan_loop", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(events):
+    return replay.totals(events, "event_type", {"n": F.count(F.lit(1))})
+
+
+@query("str8_explanation_carry", "WITH ties AS (SELECT commit AS explanation, alert_id AS tie FROM feedback WHERE seq % 2 = 0), cur AS (SELECT DISTINCT alert_id AS tie FROM feedback WHERE seq % 7 <> 0 AND seq < 400) SELECT explanation, bool_and(tie IN (SELECT tie FROM cur)) AS kept FROM ties GROUP BY explanation")
+def _(feedback):
+    ties = feedback.where("seq % 2 = 0").select(F.col("commit").alias("explanation"), F.col("alert_id").alias("tie")).distinct()
+    now = feedback.where("seq % 7 <> 0 AND seq < 400").select(F.col("alert_id").alias("tie")).distinct().withColumn("_in", F.lit(True))
+    return ties.join(now, "tie", "left").groupBy("explanation").agg(F.bool_and(F.col("_in").isNotNull()).alias("kept"))
+
+
+@query("str6_fan_out", "SELECT user_key, seq FROM runs QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq) <= 32")
+def _(runs):
+    return core.top_with_total(runs, ["user_key"], [F.col("seq")], 32).select("user_key", "seq")
+
+
+@query("snk11_event_push", "SELECT user_key, count(*) AS published, least(count(*), 32) AS delivered FROM runs GROUP BY user_key")
+def _(runs):
+    return runs.groupBy("user_key").agg(F.count(F.lit(1)).alias("published"), F.least(F.count(F.lit(1)), F.lit(32)).alias("delivered"))
