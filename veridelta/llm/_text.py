@@ -116,10 +116,8 @@ def shingles(words: np.ndarray, k: int, factors: np.ndarray) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < k:
-        h = np.uint64(len(words)) * factors[k]
-        for i, w in enumerate(words):
-            h = h + w * factors[i]
-        return mix(np.array([h], np.uint64))
+        # Sums of arrays wrap around silently.
+        return mix((words * factors[: len(words)]).sum(keepdims=True) + np.uint64(len(words)) * factors[k : k + 1])
     n = len(words) - k + 1
     h = words[:n] * factors[0]
     for i in range(1, k):
