@@ -1,0 +1,314 @@
+"""Queries on line rules, paths, plans and mutation runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veridelta.functions import paths as p
+from veridelta.operators import mutation, plan, rules
+from veridelta.registry import query
+
+LINES = "lines AS (SELECT concat('doc/', CAST(doc_id AS VARCHAR)) AS path, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
+HITS = f"WITH {LINES}, h AS (" + " UNION ALL ".join(f"SELECT path, line, '{k}' AS kind, '{s}' AS severity, {i} AS rule FROM lines WHERE regexp_matches(content, '{r}')" for i, (k, s, r) in enumerate(rules.SECURITY)) + ")"
+CAPPED = HITS + ", r AS (SELECT path, rule, min(line) AS first, count(*) AS hits FROM h GROUP BY path, rule), k AS (SELECT h.*, hits, row_number() OVER (PARTITION BY path, kind ORDER BY first, rule, line) AS n FROM h JOIN r USING (path, rule))"
+
+
+@query("evd13_security_signals", CAPPED + " SELECT path, line, kind, severity, CAST(rule AS BIGINT) AS rule, hits FROM k WHERE n <= 3")
+def _(documents):
+    return rules.security_signals(rules.file_lines(documents))
+
+
+@query("agg21_capped_per_kind", CAPPED + " SELECT path, kind, count(*) FILTER (n <= 3) AS kept, count(*) AS total FROM k GROUP BY path, kind")
+def _(documents):
+    hits = rules.security_hits(rules.file_lines(documents)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("total"))
+    return hits.select("path", "kind", F.least("total", F.lit(3)).alias("kept"), "total")
+
+
+@query("sca10_security_rules", HITS + " SELECT path, line, kind, CAST(rule AS BIGINT) AS rule FROM h")
+def _(documents):
+    return rules.security_hits(rules.file_lines(documents)).select("path", "line", "kind", "rule")
+
+
+@query("sca11_mixed_enough", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n\\t]{6,}')) AS v FROM documents WHERE doc_id % 10 = 0), k AS (SELECT v, CAST(regexp_matches(v, '[a-z]') AS INT) + CAST(regexp_matches(v, '[A-Z]') AS INT) + CAST(regexp_matches(v, '[0-9]') AS INT) + CAST(regexp_matches(v, '[^A-Za-z0-9]') AS INT) AS kinds FROM w) SELECT v, kinds >= 3 OR (kinds >= 2 AND regexp_matches(v, '[0-9]') AND length(v) >= 16) AS mixed FROM k")
+def _(documents):
+    v = documents.where("doc_id % 10 = 0").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\t]{6,}"), F.lit(0))).alias("v")).distinct()
+    return v.select("v", rules.mixed_enough(F.col("v")).alias("mixed"))
+
+
+@query("sca12_adjusted_severity", CAPPED + " SELECT path, line, kind, CASE WHEN hash_ % 2 = 0 AND severity = 'high' THEN 'medium' WHEN hash_ % 2 = 0 THEN 'low' ELSE severity END AS severity FROM (SELECT *, length(path) AS hash_ FROM k)")
+def _(documents):
+    doc = F.length("path") % 2 == 0
+    return rules.security_hits(rules.file_lines(documents)).select("path", "line", "kind", F.when(doc & (F.col("severity") == "high"), "medium").when(doc, "low").otherwise(F.col("severity")).alias("severity"))
+
+
+@query("sca9_function_risk", "SELECT DISTINCT name, CASE WHEN regexp_matches(replace(name, '_', ''), '(?i)(authori[sz]|authenticat|password|login|logout|csrf|permission)') THEN 'auth' WHEN regexp_matches(replace(name, '_', ''), '(?i)(payment|refund|charge|withdraw|deposit|balance)') THEN 'money' ELSE 'none' END AS risk FROM (SELECT concat(event_type, CASE event_id % 5 WHEN 0 THEN '_Log_in' WHEN 1 THEN 'Refund' WHEN 2 THEN 'checkPermission' ELSE 'Total' END) AS name FROM events)")
+def _(events):
+    k = F.col("event_id") % 5
+    name = F.concat("event_type", F.when(k == 0, "_Log_in").when(k == 1, "Refund").when(k == 2, "checkPermission").otherwise("Total"))
+    return events.select(name.alias("name"), rules.function_risk(name).alias("risk")).distinct()
+
+
+@query("sca13_strictness", "SELECT DISTINCT content, CASE WHEN s AND w THEN 'both' WHEN s THEN 'strict' WHEN w THEN 'loose' ELSE 'none' END AS strictness FROM (SELECT content, regexp_matches(content, '(==|toBe\\(|assertEqual|toEqual)') AS s, regexp_matches(content, '(>=|<=|<|>|toBeTruthy|assertTrue|contains)') AS w FROM diff_lines)")
+def _(diff_lines):
+    return diff_lines.select("content", rules.strictness(F.col("content")).alias("strictness")).distinct()
+
+
+@query("sca14_comparison_flags", "SELECT DISTINCT content, regexp_matches(b, '[!=]=') AS equality, regexp_matches(b, '[<>]') AS ordering FROM (SELECT content, regexp_replace(regexp_replace(content, '<<|>>|->|=>|<-', ' ', 'g'), '[!=]=\\s*(nil|null|None)\\b', ' ', 'g') AS b FROM diff_lines)")
+def _(diff_lines):
+    return diff_lines.select("content", rules.comparisons(F.col("content")).alias("c")).select("content", "c.*").distinct()
+
+
+BR = "regexp_matches(content, '(^|[^a-z])(if|for|case|switch|while) ')"
+
+
+@query("agg19_branch_growth", f"SELECT path, count(*) FILTER (kind = 'add') AS added, count(*) FILTER (kind = 'delete') AS removed FROM diff_lines WHERE {BR} GROUP BY path HAVING count(*) FILTER (kind = 'add') - count(*) FILTER (kind = 'delete') >= 2")
+def _(diff_lines):
+    return rules.growth(diff_lines, least=2)
+
+
+UNMOVED = "WITH t AS (SELECT path, kind, line, trim(content) AS content, row_number() OVER (PARTITION BY path, kind, trim(content) ORDER BY line) - 1 AS n FROM diff_lines), u AS (SELECT * FROM t g WHERE kind = 'delete' AND NOT EXISTS (FROM t b WHERE b.kind = 'add' AND b.path = g.path AND b.content = g.content AND b.n = g.n)), v AS (SELECT * FROM t g WHERE kind = 'add' AND NOT EXISTS (FROM t b WHERE b.kind = 'delete' AND b.path = g.path AND b.content = g.content AND b.n = g.n))"
+
+
+@query("win13_moved_lines", UNMOVED + " SELECT path, content, CAST(line AS BIGINT) AS line FROM u")
+def _(diff_lines):
+    return rules.unmoved(diff_lines).select("path", "content", "line")
+
+
+WEAK = UNMOVED + ", a AS (SELECT path, count(*) AS removed FROM u WHERE regexp_matches(content, '(assert|expect)[ (]') GROUP BY path), b AS (SELECT path, count(*) AS added FROM v WHERE regexp_matches(content, '(assert|expect)[ (]') GROUP BY path) SELECT a.path, removed, coalesce(added, 0) AS added FROM a LEFT JOIN b USING (path) WHERE removed > coalesce(added, 0)"
+
+
+@query("evd14_test_weakening", WEAK)
+def _(diff_lines):
+    return rules.weakened_tests(diff_lines)
+
+
+@query("agg18_assertion_balance", "SELECT path, count(*) FILTER (kind = 'delete') AS removed, count(*) FILTER (kind = 'add') AS added FROM diff_lines WHERE regexp_matches(content, '(assert|expect)[ (]') GROUP BY path HAVING count(*) FILTER (kind = 'delete') > count(*) FILTER (kind = 'add')")
+def _(diff_lines):
+    g = diff_lines.where(F.col("content").rlike(rules.ASSERTION)).groupBy("path").agg(F.count_if(F.col("kind") == "delete").alias("removed"), F.count_if(F.col("kind") == "add").alias("added"))
+    return g.where("removed > added")
+
+
+@query("agg20_first_match", f"SELECT path, rule, CAST(min(line) AS BIGINT) AS line, array_to_string(list_sort(list(DISTINCT kind)), '+') AS sides FROM (SELECT path, line, kind, 'branch' AS rule FROM diff_lines WHERE kind <> 'context' AND {BR} UNION ALL SELECT path, line, kind, 'assert' FROM diff_lines WHERE kind <> 'context' AND regexp_matches(content, '(assert|expect)[ (]')) GROUP BY path, rule")
+def _(diff_lines):
+    return rules.first_match(diff_lines, {"branch": rules.BRANCH, "assert": rules.ASSERTION})
+
+
+FILES = "files AS (SELECT path, CASE length(path) % 5 WHEN 0 THEN 'D' WHEN 1 THEN 'T' ELSE 'M' END AS status, length(path) * 20 AS additions, length(path) AS deletions FROM paths)"
+
+
+def files(paths):
+    n = F.length("path")
+    return paths.select("path", F.when(n % 5 == 0, "D").when(n % 5 == 1, "T").otherwise("M").alias("status"), (n * 20).alias("additions"), n.alias("deletions"))
+
+
+MAN = ", ".join(f"'{m}'" for m in p.MANIFESTS)
+
+
+@query("evd15_file_rules", f"WITH {FILES}, r AS (SELECT path, 'dependency_change' AS kind FROM files WHERE lower(regexp_extract(path, '[^/]*$')) IN ({MAN}) OR ends_with(path, '.csproj') UNION ALL SELECT path, 'migration_change' FROM files WHERE contains(lower(path), 'migration') OR ends_with(lower(path), '.sql') UNION ALL SELECT path, 'file_deleted' FROM files WHERE status = 'D' UNION ALL SELECT path, 'file_type_change' FROM files WHERE status = 'T' UNION ALL SELECT path, 'large_change' FROM files WHERE additions + deletions > 400) SELECT * FROM r")
+def _(paths):
+    return rules.file_signals(files(paths))
+
+
+TEST = "(regexp_matches(regexp_extract(lower(path), '[^/]*$'), '(_test\\.go|_test\\.py|test\\.java)$|\\.(test|spec)\\.|^test_') OR regexp_matches('/' || lower(path), '/(tests|__tests__)/'))"
+EXT = "lower(regexp_extract(path, '\\.([^./]*)$', 1))"
+SRC = f"{EXT} IN ({', '.join(repr(s) for s in p.SOURCE)})"
+STEM = "regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '')"
+
+
+NEAR = "FROM paths WHERE path NOT LIKE '%\\_test.go' ESCAPE '\\' OR path LIKE 'docs/%'"
+
+
+@query("joi14_nearby_test", f"WITH {FILES.replace('FROM paths', NEAR)}, t AS (SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS folder, regexp_replace(regexp_replace({STEM}, '(_test|\\.test|\\.spec)$', ''), '^test_', '') AS stem FROM files WHERE {TEST}) SELECT path FROM files WHERE {SRC} AND NOT {TEST} AND status <> 'D' AND CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END NOT IN (SELECT folder FROM t) AND {STEM} NOT IN (SELECT stem FROM t)")
+def _(paths):
+    return rules.without_test_change(files(paths.where(~F.col("path").endswith("_test.go") | F.col("path").startswith("docs/"))))
+
+
+@query("flt3_path_classes", f"SELECT path, {SRC} AS source, lower(regexp_extract(path, '[^/]*$')) IN ({MAN}) OR ends_with(path, '.csproj') AS manifest, {TEST} AS test FROM paths")
+def _(paths):
+    c = F.col("path")
+    return paths.select("path", p.is_source(c).alias("source"), p.is_manifest(c).alias("manifest"), p.is_test(c).alias("test"))
+
+
+@query("flt4_low_noise", f"SELECT path, {EXT} IN ('md', 'rst', 'txt', 'adoc', 'html') OR regexp_matches(regexp_extract(lower(path), '[^/]*$'), '^(license|notice|authors|codeowners)') OR {TEST} OR regexp_matches('/' || lower(path), '/(testdata|docs|examples)/') AS low_noise FROM paths")
+def _(paths):
+    return paths.select("path", p.is_low_noise(F.col("path")).alias("low_noise"))
+
+
+#: Patterns of the globs of the carriers, written out for the oracle.
+GLOBS = {"**/auth/**": "^(.*/)?auth/.*$", "*.md": "^[^/]*\\.md$", "**/payment/*.go": "^(.*/)?payment/[^/]*\\.go$", "**/go.mod": "^(.*/)?go\\.mod$", "src/**/f?.go": "^src/(.*/)?f[^/]\\.go$"}
+FIRST = "CASE " + " ".join(f"WHEN regexp_matches(path, '{r}') THEN '{g}'" for g, r in GLOBS.items()) + " END"
+
+
+@query("flt1_glob_match", "SELECT path, \"glob\" FROM paths, (VALUES " + ", ".join(f"('{g}', '{r}')" for g, r in GLOBS.items()) + ") g(\"glob\", re) WHERE regexp_matches(path, re)")
+def _(paths, globs):
+    return p.matching(paths, globs)
+
+
+@query("flt2_sensitive_path", f"SELECT path, {FIRST} AS glob FROM paths")
+def _(paths):
+    return paths.select("path", p.first_glob(F.col("path"), list(GLOBS)).alias("glob"))
+
+
+@query("joi41_prepare_inputs", "SELECT DISTINCT path FROM paths WHERE regexp_matches(path, '^(.*/)?go\\.mod$') OR regexp_matches(path, '^(.*/)?package\\.json$')")
+def _(paths):
+    return plan.changed_inputs(paths, ["**/go.mod", "**/package.json"])
+
+
+@query("evd17_manifest_signals", "SELECT path, 'prepare_input_changed' AS kind FROM paths WHERE regexp_matches(path, '^(.*/)?go\\.mod$')")
+def _(paths):
+    return plan.changed_inputs(paths, ["**/go.mod"]).withColumn("kind", F.lit("prepare_input_changed"))
+
+
+KN = "WITH k(title, ord, size, re) AS (VALUES ('auth', 1, 40, '^(.*/)?auth/.*$'), ('docs', 2, 30, '^docs/.*$'), ('pay', 3, 50, '^(.*/)?payment/.*$'), ('none', 4, 5, '^nowhere/.*$'), ('deep', 5, 20, '^pkg/(.*/)?er/[^/]*$'), ('mods', 6, 8, '^(.*/)?go\\.mod$')), r AS (SELECT title, ord, size FROM k WHERE EXISTS (FROM paths WHERE regexp_matches(path, re)))"
+
+
+@query("joi31_knowledge_globs", KN + " SELECT title, CAST(ord AS BIGINT) AS ord, CAST(size AS BIGINT) AS size FROM r")
+def _(knowledge, paths):
+    return plan.relevant(knowledge, paths)
+
+
+@query("win12_budgeted_pick", KN.replace("WITH k", "WITH RECURSIVE k") + ", o AS (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM r), w AS (SELECT 0 AS n, '' AS title, 0 AS used, false AS taken UNION ALL SELECT o.n, o.title, CASE WHEN used + size <= 100 THEN used + size ELSE used END, used + size <= 100 FROM w JOIN o ON o.n = w.n + 1) SELECT title FROM w WHERE taken")
+def _(knowledge, paths):
+    return plan.within_budget(plan.relevant(knowledge, paths), 100)
+
+
+DRIFT = "WITH planned AS (SELECT path FROM paths WHERE length(path) % 3 = 0 UNION SELECT path || '.new' FROM paths WHERE length(path) % 7 = 0), changed AS (SELECT path FROM paths WHERE length(path) % 2 = 0)"
+
+
+@query("joi15_plan_drift", DRIFT + f", d AS (SELECT path, CASE WHEN {TEST} THEN 'unplanned_test' ELSE 'unplanned_file' END AS kind FROM changed WHERE path NOT IN (SELECT path FROM planned) UNION ALL SELECT path, 'untouched' FROM planned WHERE path NOT IN (SELECT path FROM changed) UNION ALL SELECT path, 'unannounced_critical' FROM changed WHERE {FIRST} IS NOT NULL AND path NOT IN (SELECT path FROM planned) UNION ALL SELECT path, 'unannounced_manifest' FROM changed WHERE lower(regexp_extract(path, '[^/]*$')) IN ({MAN}) AND path NOT IN (SELECT path FROM planned)) SELECT path, kind, CASE kind WHEN 'unannounced_critical' THEN 'high' WHEN 'unplanned_test' THEN 'low' WHEN 'untouched' THEN 'low' ELSE 'medium' END AS severity FROM d")
+def _(paths):
+    return plan.drift(*planned(paths), list(GLOBS))
+
+
+def planned(paths):
+    n = F.length("path")
+    return paths.where(n % 3 == 0).union(paths.where(n % 7 == 0).select(F.concat("path", F.lit(".new")))).distinct(), paths.where(n % 2 == 0)
+
+
+@query("agg23_drift_status", DRIFT + " SELECT count(*) AS items, bool_or(path NOT LIKE '%.md') AS drifted FROM changed WHERE path NOT IN (SELECT path FROM planned)")
+def _(paths):
+    a, b = planned(paths)
+    return b.join(a, "path", "left_anti").agg(F.count(F.lit(1)).alias("items"), F.bool_or(~F.col("path").endswith(".md")).alias("drifted"))
+
+
+@query("joi16_plan_evaluation", "SELECT s.path, count(*) AS signals, count(DISTINCT c.id) AS claims, bool_or(s.severity IN ('high', 'critical')) AS risky FROM signals s LEFT JOIN (SELECT path, line, min(id) AS id FROM claims GROUP BY path, line) c ON c.path = s.path AND c.line = s.line GROUP BY s.path")
+def _(signals, claims):
+    return plan.evaluate(signals, claims)
+
+
+@query("agg22_plan_categories", "SELECT CASE kind WHEN 'secret' THEN 'security' WHEN 'dependency' THEN 'dependencies' WHEN 'coverage' THEN 'tests' WHEN 'test_removed' THEN 'tests' ELSE 'structure' END AS category, count(*) AS n, bool_or(severity IN ('medium', 'high', 'critical')) AS flagged FROM signals GROUP BY 1")
+def _(signals):
+    return plan.categories(signals)
+
+
+@query("flt17_live_paths", f"WITH {FILES} SELECT DISTINCT path FROM files WHERE status <> 'D'")
+def _(paths):
+    return files(paths).where("status <> 'D'").select("path").distinct()
+
+
+@query("flt15_row_budget", "WITH RECURSIVE h AS (SELECT path, (line - 1) // 2 AS hunk, count(*) AS n FROM diff_lines GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY hunk) AS k FROM h), w AS (SELECT path, 0 AS k, 0 AS used, false AS kept, -1 AS hunk, false AS stopped FROM (SELECT DISTINCT path FROM h) UNION ALL SELECT o.path, o.k, CASE WHEN stopped OR used + n > 3 THEN used ELSE used + n END, NOT (stopped OR used + n > 3), o.hunk, stopped OR used + n > 3 FROM w JOIN o ON o.path = w.path AND o.k = w.k + 1) SELECT path, CAST(hunk AS BIGINT) AS hunk FROM w WHERE kept")
+def _(diff_lines):
+    return plan.within_rows(diff_lines.withColumn("hunk", F.floor((F.col("line") - 1) / 2)), 3)
+
+
+LOG = "WITH t AS (SELECT log_id, test, count(*) FILTER (action = 'run') AS runs, count(*) FILTER (action IN ('pass', 'fail', 'skip')) AS ends, min(pos) FILTER (action = 'run') AS first_run, min(pos) FILTER (action IN ('pass', 'fail', 'skip')) AS first_end, arg_max(action, pos) FILTER (action IN ('pass', 'fail', 'skip')) AS last, count(DISTINCT package) AS packages FROM test_log GROUP BY log_id, test)"
+
+
+@query("src13_event_log_scan", LOG + " SELECT log_id, count(*) AS tests, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(ends) AS BIGINT) AS ends, bool_or(packages > 1) AS conflict FROM t GROUP BY log_id")
+def _(test_log):
+    return mutation.logs(test_log)
+
+
+@query("src14_event_accumulate", LOG + " SELECT log_id, test, runs, ends, last, coalesce(first_run < first_end, false) AS ordered FROM t")
+def _(test_log):
+    return mutation.tests(test_log).select("log_id", "test", "runs", "ends", "last", F.coalesce(F.col("first_run") < F.col("first_end"), F.lit(False)).alias("ordered"))
+
+
+@query("src15_named_outcome", LOG + " SELECT log_id, test, last AS action FROM t WHERE runs = 1 AND ends = 1 AND first_run < first_end AND packages = 1")
+def _(test_log):
+    return mutation.named_outcomes(test_log)
+
+
+CONTROL = LOG + ", c AS (SELECT log_id, count(*) FILTER (last = 'pass') AS passed, count(*) FILTER (last = 'fail') AS failed, bool_or(packages > 1) AS conflict FROM t GROUP BY log_id)"
+
+
+@query("evd2_control_validity", CONTROL + " SELECT log_id, CASE WHEN failed > 0 THEN 'failed' WHEN passed = 0 THEN 'no_pass' WHEN conflict THEN 'packages' ELSE '' END AS problem FROM c")
+def _(test_log):
+    return mutation.control(test_log)
+
+
+MUT = CONTROL + ", m AS (SELECT log_id, CAST(substr(log_id, 4) AS BIGINT) AS k, * EXCLUDE (log_id) FROM c), v AS (SELECT a.log_id AS mutant, b.log_id AS control, CASE WHEN b.passed = 0 THEN 'INCONCLUSIVE' WHEN a.k % 11 = 0 THEN 'TIMEOUT' WHEN a.k % 7 = 0 THEN 'INVALID' WHEN a.failed > b.failed THEN 'KILLED' WHEN a.passed >= b.passed THEN 'SURVIVED' ELSE 'INCONCLUSIVE' END AS status FROM m a JOIN m b ON b.k = a.k - a.k % 10)"
+
+
+@query("evd1_mutant_classify", MUT + " SELECT * FROM v")
+def _(test_log):
+    return mutation.classify(test_log)
+
+
+@query("agg9_mutant_recount", MUT + " SELECT control, count(*) FILTER (status = 'KILLED') AS killed, count(*) FILTER (status = 'SURVIVED') AS survived, count(*) FILTER (status = 'INVALID') AS invalid, count(*) FILTER (status = 'TIMEOUT') AS timeout, count(*) FILTER (status = 'INCONCLUSIVE') AS inconclusive FROM v GROUP BY control")
+def _(test_log):
+    return mutation.recount(mutation.classify(test_log))
+
+
+@query("evd3_script_classify", MUT + " SELECT mutant, CASE WHEN status = 'KILLED' AND length(mutant) = 5 THEN 'INVALID' ELSE status END AS status FROM v")
+def _(test_log):
+    return mutation.classify(test_log).select("mutant", F.when((F.col("status") == "KILLED") & (F.length("mutant") == 5), "INVALID").otherwise(F.col("status")).alias("status"))
+
+
+@query("evd4_mutation_verify", MUT + ", s AS (SELECT mutant, CASE WHEN length(mutant) = 6 THEN 'KILLED' ELSE status END AS stored, status FROM v) SELECT mutant, CASE WHEN stored IN ('KILLED', 'SURVIVED') AND stored <> status THEN 'INCONCLUSIVE' ELSE stored END AS status FROM s")
+def _(test_log):
+    v = mutation.classify(test_log).withColumn("stored", F.when(F.length("mutant") == 6, "KILLED").otherwise(F.col("status")))
+    return mutation.verified(v)
+
+
+@query("joi35_base_candidate_verdict", LOG + ", n AS (SELECT log_id, test, last, packages FROM t WHERE runs >= 1) SELECT a.log_id, a.test, CASE WHEN b.last IS NULL OR b.last <> 'pass' OR a.packages > 1 OR b.packages > 1 THEN 'UNVERIFIED' WHEN a.last = 'fail' THEN 'FAILS' WHEN a.last = 'pass' THEN 'PASSES' ELSE 'UNVERIFIED' END AS verdict FROM n a LEFT JOIN n b ON b.test = a.test AND b.log_id = 'log0'")
+def _(test_log):
+    return mutation.verdicts(test_log, "log0")
+
+
+@query("evd6_base_test_verify", LOG + ", n AS (SELECT log_id, test, last FROM t WHERE runs = 1 AND ends = 1 AND packages = 1) SELECT test, count(*) FILTER (last = 'fail') AS fails, count(*) FILTER (last = 'pass') AS passes, CASE WHEN count(*) FILTER (last = 'pass') > 0 AND count(*) FILTER (last = 'fail') > 0 THEN 'REPRODUCED' ELSE '' END AS status FROM n GROUP BY test")
+def _(test_log):
+    n = mutation.tests(test_log).where("runs = 1 AND ends = 1 AND packages = 1").groupBy("test").agg(F.count_if(F.col("last") == "fail").alias("fails"), F.count_if(F.col("last") == "pass").alias("passes"))
+    return n.withColumn("status", F.when((F.col("passes") > 0) & (F.col("fails") > 0), "REPRODUCED").otherwise(""))
+
+
+@query("evd7_impacted_verify", LOG + " SELECT test, CASE WHEN count(*) FILTER (last = 'pass') >= 2 THEN 'PASSES' WHEN count(*) FILTER (last = 'fail' AND runs = 1) >= 1 THEN 'FAILS' ELSE '' END AS status FROM t GROUP BY test")
+def _(test_log):
+    g = mutation.tests(test_log).groupBy("test").agg(F.count_if(F.col("last") == "pass").alias("a"), F.count_if((F.col("last") == "fail") & (F.col("runs") == 1)).alias("b"))
+    return g.select("test", F.when(F.col("a") >= 2, "PASSES").when(F.col("b") >= 1, "FAILS").otherwise("").alias("status"))
+
+
+@query("evd5_fuzz_verify", "WITH c AS (SELECT evidence_id, count(DISTINCT claim_id) AS n FROM citations GROUP BY 1) SELECT e.id, CASE WHEN n = 1 AND e.kind = 'fuzz' THEN e.verified ELSE 'UNVERIFIED' END AS status FROM (SELECT id, arg_min(kind, ord) AS kind, arg_min(verified, ord) AS verified FROM evidence GROUP BY id) e LEFT JOIN c ON c.evidence_id = e.id")
+def _(evidence, citations):
+    n = citations.groupBy(F.col("evidence_id").alias("id")).agg(F.countDistinct("claim_id").alias("n"))
+    e = evidence.groupBy("id").agg(F.min_by(F.struct("kind", "verified"), "ord").alias("r"))
+    return e.join(n, "id", "left").select("id", F.when((F.col("n") == 1) & (F.col("r.kind") == "fuzz"), F.col("r.verified")).otherwise("UNVERIFIED").alias("status"))
+
+
+@query("evd18_suite_plan", "WITH b AS (SELECT p_partkey // 2 AS name, min(p_size) AS digest, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1), h AS (SELECT p_partkey // 2 AS name, min(p_size) AS digest, count(*) AS n FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1) SELECT b.name, CASE WHEN h.name IS NULL THEN 'removed' WHEN b.digest <> h.digest THEN 'modified' ELSE 'shared_code_changed' END AS reason FROM b LEFT JOIN h USING (name) WHERE b.n = 1 AND coalesce(h.n, 1) = 1")
+def _(part):
+    side = lambda k: part.where(f"p_partkey % {k} <> 0").groupBy(F.floor(F.col("p_partkey") / 2).alias("name")).agg(F.min("p_size").alias(f"d{k}"), F.count(F.lit(1)).alias(f"n{k}"))
+    j = side(3).join(side(4), "name", "left").where("n3 = 1 AND coalesce(n4, 1) = 1")
+    return j.select("name", F.when(F.col("n4").isNull(), "removed").when(F.col("d3") != F.col("d4"), "modified").otherwise("shared_code_changed").alias("reason"))
+
+
+SITES = "WITH s AS (SELECT DISTINCT l_orderkey % 40 AS file, l_linenumber AS line, l_suppkey % 6 AS op FROM lineitem WHERE l_orderkey < 4000), d AS (SELECT *, dense_rank() OVER (PARTITION BY file ORDER BY line) AS li, row_number() OVER (PARTITION BY file, line ORDER BY op) AS depth FROM s)"
+
+
+@query("win5_round_robin", SITES + " SELECT file, CAST(line AS BIGINT) AS line, op FROM d ORDER BY depth, li, file LIMIT 100")
+def _(lineitem):
+    return mutation.round_robin(sites(lineitem), 100)
+
+
+def sites(lineitem):
+    return lineitem.where("l_orderkey < 4000").select((F.col("l_orderkey") % 40).alias("file"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 6).alias("op")).distinct()
+
+
+@query("win6_execution_order", SITES + " SELECT file, CAST(line AS BIGINT) AS line, op FROM s ORDER BY file, line, op LIMIT 200")
+def _(lineitem):
+    return sites(lineitem).orderBy("file", "line", "op").limit(200)
+
+
+@query("evd12_seeded_corpus", python=True)
+def _(part):
+    return mutation.corpus(part.where("p_partkey <= 50").select(F.concat(F.lit("fn"), F.col("p_partkey").cast("string")).alias("target")), 16)
