@@ -17,6 +17,11 @@ def lines(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("line", F.regexp_replace("line", "\r$", ""))
 
 
+def bare(c: Column | str) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _before(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
 
@@ -62,7 +67,7 @@ def name_status(texts: DataFrame) -> DataFrame:
 
 def coverage_format(texts: DataFrame) -> DataFrame:
     """block, lcov or unknown, by the first line that isn't blank."""
-    first = lines(texts).where("trim(line) <> ''").groupBy("id").agg(F.min_by(F.trim("line"), "n").alias("f"))
+    first = lines(texts).where("trim(line) <> ''").groupBy("id").agg(F.min_by(bare("line"), "n").alias("f"))
     return first.select("id", F.when(F.col("f").startswith("mode:"), "block").when(F.col("f").rlike("^(TN|SF):"), "lcov").otherwise("unknown").alias("format"))
 
 
@@ -95,7 +100,7 @@ def framed(texts: DataFrame) -> DataFrame:
 def go_mod_requires(texts: DataFrame) -> DataFrame:
     """Modules of require lines and blocks."""
     w = _before(["id"])
-    t = lines(texts).withColumn("line", F.trim(F.regexp_replace("line", "//.*$", "")))
+    t = lines(texts).withColumn("line", bare(F.regexp_replace("line", "//.*$", "")))
     state = F.last(F.when(F.col("line").rlike(r"^require\s*\($"), 1).when(F.col("line") == ")", 0), ignorenulls=True).over(w)
     inside = t.withColumn("_in", F.coalesce(state, F.lit(0)))
     one, block = F.regexp_extract("line", r"^require\s+(\S+)\s+v", 1), F.regexp_extract("line", r"^(\S+)\s+v\S+", 1)
@@ -113,7 +118,7 @@ def package_json_deps(texts: DataFrame) -> DataFrame:
 def toml_keys(texts: DataFrame, sections: tuple[str, ...]) -> DataFrame:
     """Keys of the wanted sections and names of tables under them."""
     w = _before(["id"])
-    t = lines(texts).withColumn("line", F.trim("line"))
+    t = lines(texts).withColumn("line", bare("line"))
     head = F.regexp_extract("line", r"^\[([^\[\]]+)\]", 1)
     s = t.withColumn("section", F.last(F.when(head != "", head), ignorenulls=True).over(w))
     keys = s.where(F.col("section").isin(*sections) & F.col("line").rlike(r"^[A-Za-z0-9_.\-\"]+\s*=")).select("id", F.regexp_replace(F.regexp_extract("line", r"^([A-Za-z0-9_.\-\"]+)\s*=", 1), '"', "").alias("name"))
@@ -123,7 +128,7 @@ def toml_keys(texts: DataFrame, sections: tuple[str, ...]) -> DataFrame:
 
 def requirements(texts: DataFrame) -> DataFrame:
     """Names of requirement lines, in lower case; comments and options aren't any."""
-    t = lines(texts).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).where("line <> '' AND NOT startswith(line, '-')")
+    t = lines(texts).withColumn("line", bare(F.regexp_replace("line", "#.*$", ""))).where("line <> '' AND NOT startswith(line, '-')")
     return t.select("id", F.lower(F.regexp_extract("line", r"^([A-Za-z0-9._\-]+)", 1)).alias("name")).where("name <> ''").distinct()
 
 
