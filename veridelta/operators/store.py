@@ -11,7 +11,7 @@ KEEP, RECENT = 20, 200
 PENDING = ("queued", "running")
 
 
-def activity_at(queued: Column = F.col("queued_at"), finished: Column = F.col("finished_at")) -> Column:
+def activity_at(queued: str = "queued_at", finished: str = "finished_at") -> Column:
     """When a run was last active: the later of its end and its start."""
     return F.greatest(queued, finished)
 
