@@ -44,7 +44,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids = Cached(self._word, 600_000)
-        self.parts = Cached(self._part)
+        self.parts = Cached(self._part, 600_000)
         self.spelled = str.maketrans({chr(b): c for c, b in byte_characters().items()})
         self.merge = self.tokenizer.model.tokenize
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -55,6 +55,10 @@ class WordIds:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
+        if text.isalpha() and max(text) <= "\xff":
+            return self.parts[text.lower()]
+        if text[:-1].isalpha() and text[-1] in ".,!?;:" and max(text) <= "\xff":
+            return self.parts[text[:-1].lower()] + self.parts[text[-1]]
         if PLAIN(text) and not any(s in text for s in self.special):
             return b"".join(map(self.parts.__getitem__, WORD_PARTS.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
