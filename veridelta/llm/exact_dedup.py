@@ -94,6 +94,7 @@ def exact_duplicates(docs: DataFrame, *, block: int = BLOCK, hash_block=F.xxhash
     tables = Tables(docs.sparkSession)
     named = tables.save(name_documents(docs, tables, block=block, hash_block=hash_block))
     groups = named.groupBy("bytes", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
+    groups = tables.save(groups)  # apart from the join, which can then split a skewed group
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))).alias("copy")
     return (
         named.join(groups, ["bytes", "name"])
