@@ -94,5 +94,36 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+#: Every pair that shares a shingle, and all that each document reaches: for small tables.
+OP7_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
+def op4_sql() -> str:
+    """The license scan in SQL, over the same phrases and templates."""
+    k, grams = license_scan.K, []
+    for n, (label, text, base) in enumerate([(*p, True) for p in license_scan.PHRASES] + [(*t, False) for t in license_scan.TEMPLATES]):
+        w = text.split()
+        grams += [f"({n}, '{label}', {base}, {len(w)}, {i}, {', '.join(repr(x) for x in w[i : i + k])})" for i in range(len(w) - k + 1)]
+    return f"""
+WITH grams(template, label, base, size, place, t0, t1, t2) AS (VALUES {", ".join(grams)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2),
+v AS (SELECT doc_id, template, label, base, size, i - 1 - place AS diagonal, list(DISTINCT place) AS places FROM p JOIN grams ON w[i] = t0 AND w[i + 1] = t1 AND w[i + 2] = t2 GROUP BY ALL),
+s AS (SELECT *, sum(CASE WHEN base OR coalesce(diagonal - before > 2, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM v)),
+f AS (SELECT doc_id, template, label, base, size, min(diagonal) AS diagonal, len(list_distinct(flatten(list(places)))) / (size - 2) AS share FROM s GROUP BY doc_id, template, label, base, size, span),
+g AS (SELECT doc_id, count(*) FILTER (base AND share = 1) AS n_base, min(diagonal) FILTER (base AND share = 1) AS first_word, max(diagonal) FILTER (base AND share = 1) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (base AND share = 1)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (share >= CASE WHEN base OR size < 12 THEN 1.0 ELSE 0.8 END)), ',') AS labels, max(share) AS score FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_license_scan": op4_sql(), "op7_near_dedup": OP7_SQL}
