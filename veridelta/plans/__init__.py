@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from . import differential, graphs, reports, rules, store, texts  # noqa: F401
+from . import differential, extensions, graphs, reports, rules, store, texts  # noqa: F401
