@@ -170,7 +170,7 @@ def _(nation, region):
     return paged.full_sync(p.select("source", F.to_json("items").alias("body")), region.select(F.col("r_regionkey").alias("source"), F.concat(F.lit("t"), F.col("r_regionkey").cast("string")).alias("token")))
 
 
-@query("src43_change_feed", "SELECT CAST(n_regionkey AS BIGINT) AS source, CAST(n_nationkey % 7 AS VARCHAR) AS id, arg_max(n_name, n_nationkey) AS name, arg_max(concat('n', n_nationkey // 5), n_nationkey // 5) AS token_ FROM nation GROUP BY 1, 2 HAVING arg_max(n_nationkey % 3 <> 0, n_nationkey)".replace("arg_max(concat('n', n_nationkey // 5), n_nationkey // 5) AS token_", "concat('n', (SELECT max(m.n_nationkey // 5) FROM nation m WHERE m.n_regionkey = nation.n_regionkey)) AS token"))
+@query("src43_change_feed", "SELECT CAST(source AS BIGINT) AS source, id, name, token FROM (SELECT n_regionkey AS source, CAST(n_nationkey % 7 AS VARCHAR) AS id, arg_max(n_name, n_nationkey) AS name, arg_max(concat('n', n_nationkey // 5), n_nationkey // 5) AS token_ FROM nation GROUP BY 1, 2 HAVING arg_max(n_nationkey % 3 <> 0, n_nationkey))".replace("arg_max(concat('n', n_nationkey // 5), n_nationkey // 5) AS token_", "concat('n', (SELECT max(m.n_nationkey // 5) FROM nation m WHERE m.n_regionkey = nation.n_regionkey)) AS token"))
 def _(nation):
     p = pages(nation, F.struct((F.col("n_nationkey") % 7).cast("string").alias("id"), (F.col("n_nationkey") % 3 == 0).alias("removed"), F.col("n_name").alias("name")))
     body = F.to_json(F.struct(F.col("items").alias("changes"), F.concat(F.lit("n"), F.col("page").cast("string")).alias("next")))
