@@ -16,7 +16,7 @@ from veridelta.session import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; without a letter, or where two languages tie, they go."""
+    """Documents whose language is identified; those without a letter go, and longer ones where two languages come out alike."""
     ship(spark)
     return language_id.keep_identified(docs, language_id.fit_languages(docs), min_margin=0.0005)
 

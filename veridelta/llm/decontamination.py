@@ -33,9 +33,9 @@ def _seeded(words: np.ndarray, mask: str, factors: np.ndarray) -> np.ndarray:
 class Index:
     """Seed hashes of a block of test items, and the search of documents for them."""
 
-    def __init__(self, items: list[tuple[int, str]], min_similarity: float, window: int, slip: int):
+    def __init__(self, items: list[tuple[int, str]], min_similarity: float, window: int, window_similarity: float, slip: int):
         hasher = WordHasher(ALNUM)
-        self.min_similarity, self.window, self.slip = min_similarity, window, slip
+        self.min_similarity, self.window, self.window_similarity, self.slip = min_similarity, window, window_similarity, slip
         self.items = [(i, w) for i, text in items if len(w := hasher((text or "").encode()))]
         longest = max(map(len, MASKS))
         self.masks = [*MASKS, *("1" * n for n in sorted({len(w) for _, w in self.items if len(w) < longest}))]
@@ -73,9 +73,8 @@ class Index:
                         m |= _runs(same[e], 4)
                 got = int(m.sum())
                 share = got / len(w)
-                if share < self.min_similarity and len(w) > self.window:
-                    share = float(np.convolve(m, np.ones(self.window), "valid").max()) / self.window
-                if share >= self.min_similarity:
+                part = share < self.min_similarity and len(w) > self.window and np.convolve(m, np.ones(self.window), "valid").max() >= self.window_similarity * self.window
+                if share >= self.min_similarity or part:
                     found = (round(share, 6), got, -max(d, 0))
                     if k not in best or found > best[k]:
                         best[k] = found
@@ -109,12 +108,13 @@ def _indexes(benchmark: DataFrame, block_bytes: int, **how) -> Iterator:
         yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in part.collect()), key=str), **how))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, min_similarity: float = 0.6, window: int = 50, slip: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, min_similarity: float = 0.6, window: int = 20, window_similarity: float = 0.8, slip: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per document and test item that it holds: doc_id, item_id, doc_start, item_words, matched, similarity.
 
     Words are runs of letters and digits, ASCII letters in lower case. An item is
     held if at least ``min_similarity`` of its words stand in the document in
-    their order and distance, or that share of some ``window`` of its words.
+    their order and distance, or ``window_similarity`` of some ``window`` of its
+    words in a row, a part of a long item.
     Words that differ are ignored by the masks; words put in or left out are
     bridged where both parts were hit, at most ``slip`` words apart.
 
@@ -125,7 +125,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, min_similarity:
     empty table on either side gives no rows; other columns are ignored.
     """
     found = []
-    for shared in _indexes(benchmark, block_bytes, min_similarity=min_similarity, window=window, slip=slip):
+    for shared in _indexes(benchmark, block_bytes, min_similarity=min_similarity, window=window, window_similarity=window_similarity, slip=slip):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, hasher = shared.value, WordHasher(ALNUM)
@@ -138,9 +138,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, min_similarity:
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_similarity: float = 0.6, window: int = 50, slip: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_similarity: float = 0.6, window: int = 20, window_similarity: float = 0.8, slip: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item of ``benchmark``; no shuffle."""
-    for shared in _indexes(benchmark, block_bytes, min_similarity=min_similarity, window=window, slip=slip):
+    for shared in _indexes(benchmark, block_bytes, min_similarity=min_similarity, window=window, window_similarity=window_similarity, slip=slip):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, hasher = shared.value, WordHasher(ALNUM)

@@ -17,6 +17,10 @@ from ._text import column
 
 LETTER = regex.compile(r"\p{L}")
 LEVEL = 9
+#: Where the best two tie, as they may for a few words, texts are encoded again at this level, with matches of three bytes too.
+CLOSER = 13
+#: Texts of fewer bytes aren't rejected for a narrow margin: so few words can't give a wide one.
+JUDGED = 256
 UNKNOWN = "und"
 #: Texts are encoded in blocks of this many bytes, so that a long one leans on the dictionary and not on itself.
 BLOCK = 512
@@ -57,11 +61,14 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        self.packers = []
+        self.packers, self.closer = [], []
+        plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         for name in self.names:
             d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, **plain))
+            d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.closer.append(zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(CLOSER, min_match=3, **plain), dict_data=d))
 
     def __call__(self, text: bytes) -> tuple[str, float, float]:
         """The best language, its score and the margin: by how much the next one's size is larger, as a share of it."""
@@ -70,6 +77,8 @@ class Classifier:
         text = normal(text)
         blocks = [text[i : i + BLOCK] for i in range(0, max(1, len(text)), BLOCK)]
         sizes = sorted((sum(map(len, map(p.compress, blocks))), i) for i, p in enumerate(self.packers))
+        if len(sizes) > 1 and sizes[0][0] == sizes[1][0]:
+            sizes = sorted((sum(map(len, map(p.compress, blocks))), i) for i, p in enumerate(self.closer))
         margin = 1.0 if len(sizes) == 1 else 1 - sizes[0][0] / sizes[1][0]
         return self.names[sizes[0][1]], 1 - 0.5 * 2 ** (-margin * 50), margin
 
@@ -103,15 +112,18 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFra
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, min_margin: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is identified; no shuffle.
 
-    Rejected are texts that are null or hold no letter, and those whose margin
-    is below ``min_margin``.
+    Rejected are texts that are null or hold no letter, and those of at least
+    ``JUDGED`` bytes whose margin is below ``min_margin``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = _classifier(shared.value)
         for b in batches:
-            got = list(map(classify, column(b)))
-            yield b.filter(pa.array([name != UNKNOWN and margin >= min_margin for name, _, margin in got], pa.bool_()))
+            keep = []
+            for text in column(b):
+                name, _, margin = classify(text)
+                keep.append(name != UNKNOWN and (margin >= min_margin or len(text) < JUDGED))
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
