@@ -27,7 +27,9 @@ class Tables:
         self.spark = spark
         self.at = f"{folder(spark)}/veridelta-{uuid.uuid4().hex}"
         self.n = 0
-        self._path(self.at)[0].deleteOnExit(self._path(self.at)[1])
+        fs, path = self._path(self.at)
+        fs.mkdirs(path)  # only what exists is noted for deletion
+        fs.deleteOnExit(path)
 
     def _path(self, at: str):
         jvm = self.spark.sparkContext._jvm
