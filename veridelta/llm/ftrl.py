@@ -107,4 +107,4 @@ def score(docs: DataFrame, weights: np.ndarray, features: Features, threshold: f
             p = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")

@@ -106,7 +106,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFra
             names, scores, margins = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, margin double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, margin double")
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, min_margin: float = 0.0) -> DataFrame:
