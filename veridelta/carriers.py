@@ -91,6 +91,20 @@ CARRIERS: dict[str, str] = {
         SELECT concat('log', CAST(user_id AS string)) AS log_id, event_id AS pos, CASE event_type WHEN 'view' THEN 'run' WHEN 'purchase' THEN 'pass' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' ELSE 'output' END AS action,
                concat('pkg', CAST(CASE WHEN event_id % 101 = 0 THEN 1 ELSE 0 END AS string)) AS package, concat('Test', CAST(event_id % 40 AS string)) AS test
         FROM {events}""",
+    # Recorded runs of tests against mutants, with what their logs say.
+    "mutant_runs": """
+        SELECT event_id AS id, CASE WHEN event_id % 29 = 0 THEN 'control' ELSE 'mutant' END AS kind, concat('cmd', CAST(CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END AS string)) AS command,
+               CASE event_type WHEN 'view' THEN 'PASS' WHEN 'purchase' THEN 'PASS' WHEN 'error' THEN 'FAIL' WHEN 'click' THEN 'FAIL' ELSE CASE event_id % 3 WHEN 0 THEN 'SKIPPED' WHEN 1 THEN 'TIMEOUT' ELSE 'ERROR' END END AS status,
+               CAST(CASE WHEN event_type IN ('error', 'click') THEN 1 + event_id % 126 ELSE 0 END AS int) AS exit_code, event_id % 37 = 0 AS truncated, event_id % 41 <> 0 AS readable, CAST(event_id % 3 AS int) AS passed,
+               CAST(CASE WHEN event_type IN ('error', 'click') THEN event_id % 4 ELSE 0 END AS int) AS failed, CAST(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS int) AS load_failures, CAST(1 + CASE WHEN event_id % 43 = 0 THEN 1 ELSE 0 END AS int) AS packages
+        FROM {events}""",
+    # Evidence of one test run on two revisions.
+    "test_evidence": """
+        SELECT event_id AS id, CAST(1 + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS int) AS names, concat('k', CAST(event_id % 900 AS string)) AS base_check, concat('k', CAST((event_id + 450) % 900 AS string)) AS candidate_check,
+               CASE event_id % 3 WHEN 0 THEN 'FAILS' WHEN 1 THEN 'PASSES' ELSE 'UNVERIFIED' END AS verdict
+        FROM {events} WHERE event_id < 4000""",
+    "test_checks": """
+        SELECT concat('k', CAST(event_id % 950 AS string)) AS id, CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'candidate' END AS kind, event_id % 5 = 0 AS replayed, CAST(event_id % 3 AS int) AS agreeing FROM {events} WHERE event_id < 1000""",
     # Votes and comments on alerts.
     "feedback": """
         SELECT event_id AS seq, concat('c', CAST(user_id % 20 AS string)) AS commit, concat('a', CAST(event_id % 30 AS string)) AS alert_id, concat('t', CAST(event_id % 7 AS string)) AS topic,

@@ -32,36 +32,61 @@ def named_outcomes(log: DataFrame) -> DataFrame:
     return ok.select("log_id", "test", F.col("last").alias("action"))
 
 
-def _sums(log: DataFrame) -> DataFrame:
-    return tests(log).groupBy("log_id").agg(F.count_if(F.col("last") == "pass").alias("passed"), F.count_if(F.col("last") == "fail").alias("failed"), F.bool_or(F.col("packages") > 1).alias("conflict"))
-
+def control(runs: DataFrame) -> DataFrame:
+    """Why a run can't serve as the control, or an empty text: it has to pass, whole and readable, with a test passed, none failed, in one package."""
+    problem = (
+        F.when(F.col("status") != "PASS", "not_passed").when(F.col("exit_code") != 0, "exit_code").when(F.col("truncated"), "truncated").when(~F.col("readable"), "unreadable")
+        .when(F.col("load_failures") > 0, "load_failure").when(F.col("passed") < 1, "no_pass").when(F.col("failed") > 0, "failed").when(F.col("packages") > 1, "packages").otherwise("")
+    )
+    return runs.select("id", problem.alias("problem"))
 
-def control(log: DataFrame) -> DataFrame:
-    """Why a log can't serve as the control, or an empty text."""
-    return _sums(log).select("log_id", F.when(F.col("failed") > 0, "failed").when(F.col("passed") == 0, "no_pass").when(F.col("conflict"), "packages").otherwise("").alias("problem"))
 
+def classify(runs: DataFrame, command: str, script: bool = False) -> DataFrame:
+    """The status of each run of a mutant against a control that ran ``command``.
 
-def classify(log: DataFrame) -> DataFrame:
-    """The status of each log as a mutant, against the control of its ten."""
-    s = _sums(log).withColumn("k", F.substring("log_id", 4, 20).cast("bigint"))
-    a, b = s.alias("a"), s.alias("b")
+    The rules are tried in order; the first that holds decides. A log in lines
+    (not ``script``) proves a build failure by itself; a script's report does so
+    only where no test failed. A kill needs a failed test and an exit code from
+    1 to 124, a survival a passed test, none failed and exit code 0.
+    """
+    kill = (F.col("status") == "FAIL") & F.col("exit_code").between(1, 124) & (F.col("failed") > 0)
+    survive = (F.col("status") == "PASS") & (F.col("exit_code") == 0) & (F.col("failed") == 0) & (F.col("passed") > 0)
+    broken = (F.col("load_failures") > 0) & ((F.col("failed") == 0) if script else F.lit(True))
     status = (
-        F.when(F.col("b.passed") == 0, "INCONCLUSIVE").when(F.col("a.k") % 11 == 0, "TIMEOUT").when(F.col("a.k") % 7 == 0, "INVALID").when(F.col("a.failed") > F.col("b.failed"), "KILLED")
-        .when(F.col("a.passed") >= F.col("b.passed"), "SURVIVED").otherwise("INCONCLUSIVE")
+        F.when(F.col("kind") != "mutant", "INCONCLUSIVE").when(F.col("command") != command, "INCONCLUSIVE").when(F.col("status") == "SKIPPED", "NOT_RUN").when(F.col("status") == "TIMEOUT", "TIMEOUT")
+        .when(F.col("status") == "ERROR", "INCONCLUSIVE").when(F.col("truncated") | ~F.col("readable"), "INCONCLUSIVE").when(broken, "INVALID")
+        .when(F.lit(not script) & (F.col("packages") > 1), "INCONCLUSIVE").when(kill, "KILLED").when(survive, "SURVIVED").otherwise("INCONCLUSIVE")
     )
-    return a.join(b, F.col("b.k") == F.col("a.k") - F.col("a.k") % 10).select(F.col("a.log_id").alias("mutant"), F.col("b.log_id").alias("control"), status.alias("status"))
+    return runs.select("id", F.col("status").alias("run"), status.alias("status"))
+
+
+def evidence_status(evidence: DataFrame, checks: DataFrame, replays: bool) -> DataFrame:
+    """The status that evidence of one test on two revisions keeps, or an empty text.
+
+    Both checks have to be cited by ids that occur once, of the right kinds, the
+    candidate not replayed. A failure needs a base that ran; a pass one that ran
+    or, with ``replays``, one replayed from two agreeing runs.
+    """
+    once = checks.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("kind", "replayed", "agreeing"), "kind").alias("c")).where("n = 1").select("id", "c.*")
+    side = lambda p: once.select(F.col("id").alias(f"{p}_check"), F.col("kind").alias(f"{p}_kind"), F.col("replayed").alias(f"{p}_replayed"), F.col("agreeing").alias(f"{p}_agreeing"))
+    j = evidence.join(side("base"), "base_check", "left").join(side("candidate"), "candidate_check", "left")
+    ok = (F.col("names") == 1) & (F.col("base_kind") == "base") & (F.col("candidate_kind") == "candidate") & ~F.col("candidate_replayed")
+    ran = ~F.col("base_replayed")
+    known = ran | (F.col("base_agreeing") >= 2) if replays else ran
+    status = F.when(ok & (F.col("verdict") == "FAILS") & ran, "FAILS").when(ok & (F.col("verdict") == "PASSES") & known, "PASSES").otherwise("")
+    return j.select("id", status.alias("status"))
 
 
 def recount(verdicts: DataFrame) -> DataFrame:
     """Numbers of mutants by status, a column each."""
-    names = ("KILLED", "SURVIVED", "INVALID", "TIMEOUT", "INCONCLUSIVE")
-    return verdicts.groupBy("control").agg(*(F.count_if(F.col("status") == n).alias(n.lower()) for n in names))
+    names = ("KILLED", "SURVIVED", "INVALID", "TIMEOUT", "INCONCLUSIVE", "NOT_RUN")
+    return verdicts.groupBy("run").agg(*(F.count_if(F.col("status") == n).alias(n.lower()) for n in names))
 
 
 def verified(verdicts: DataFrame) -> DataFrame:
     """Stored verdicts that a second classification confirms; a kill or survival it doesn't confirm is inconclusive."""
     wrong = F.col("stored").isin("KILLED", "SURVIVED") & (F.col("stored") != F.col("status"))
-    return verdicts.select("mutant", F.when(wrong, "INCONCLUSIVE").otherwise(F.col("stored")).alias("status"))
+    return verdicts.select("id", F.when(wrong, "INCONCLUSIVE").otherwise(F.col("stored")).alias("status"))
 
 
 def verdicts(log: DataFrame, base: str) -> DataFrame:

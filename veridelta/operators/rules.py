@@ -106,6 +106,14 @@ def function_risk(name: Column) -> Column:
     return F.when(n.rlike("(?i)(authori[sz]|authenticat|password|login|logout|csrf|permission)"), "auth").when(n.rlike("(?i)(payment|refund|charge|withdraw|deposit|balance)"), "money").otherwise("none")
 
 
+CREDENTIALS = ("secret", "private_key", "url_credential")
+
+
+def adjusted_severity(kind: Column, severity: Column, test: Column, docs: Column) -> Column:
+    """A severity lowered where a match is less likely to be live: medium in tests; in documentation low, but medium for credentials."""
+    return F.when(severity == "low", "low").when(docs & ~kind.isin(*CREDENTIALS), "low").when(test | docs, "medium").otherwise(severity)
+
+
 def mixed_enough(v: Column) -> Column:
     """Whether a text mixes kinds of characters as secrets do."""
     kinds = v.rlike("[a-z]").cast("int") + v.rlike("[A-Z]").cast("int") + v.rlike("[0-9]").cast("int") + v.rlike("[^A-Za-z0-9]").cast("int")

@@ -13,6 +13,7 @@ from veridelta.operators import tools
 from veridelta.registry import query
 from veridelta.shared import Tables
 from veridelta.sources import lexer, packages, paged
+from veridelta.sources import lines as src
 
 W = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
@@ -107,12 +108,11 @@ def _(part):
     return lexer.parse(code(part), lexer.tokens, "py").groupBy("id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("a") == "string").alias("strings"))
 
 
-@query("src28_go_imports", "SELECT CAST(p_size AS VARCHAR) AS id, concat('m/', p_partkey) AS name FROM part")
+@query("src28_go_imports", "SELECT CAST(p_size AS VARCHAR) AS id, concat('m/', p_partkey) AS name, 'import' AS fact FROM part UNION ALL SELECT DISTINCT CAST(p_size AS VARCHAR), 'T', 'type' FROM part")
 def _(part):
     g = part.groupBy(F.col("p_size").cast("string").alias("id")).agg(F.array_sort(F.collect_list(F.concat(F.lit('\t"m/'), F.col("p_partkey").cast("string"), F.lit('"')))).alias("l"))
-    t = g.select("id", F.concat(F.lit("package x\n\nimport (\n"), F.array_join("l", "\n"), F.lit('\n)\n\nvar s = "not"\n')).alias("text"))
-    block = F.regexp_extract("text", r"(?s)import \((.*?)\n\)", 1)
-    return t.select("id", F.explode(F.regexp_extract_all(block, F.lit('"([^"]+)"'), F.lit(1))).alias("name"))
+    t = g.select("id", F.concat(F.lit("package x\n\nimport (\n"), F.array_join("l", "\n"), F.lit('\n)\n\ntype T struct {\n}\n\nvar s = "not"\n')).alias("text"))
+    return src.go_facts(t).select("id", "fact", "name")
 
 
 @query("src6_blob_stream", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, strlen(text) AS size FROM documents WHERE doc_id < 100 AND strlen(text) <= 1000000 ORDER BY doc_id LIMIT 100")

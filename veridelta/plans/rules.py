@@ -35,10 +35,14 @@ def _(documents):
     return v.select("v", rules.mixed_enough(F.col("v")).alias("mixed"))
 
 
-@query("sca12_adjusted_severity", CAPPED + " SELECT path, line, kind, CASE WHEN hash_ % 2 = 0 AND severity = 'high' THEN 'medium' WHEN hash_ % 2 = 0 THEN 'low' ELSE severity END AS severity FROM (SELECT *, length(path) AS hash_ FROM k)")
-def _(documents):
-    doc = F.length("path") % 2 == 0
-    return rules.security_hits(rules.file_lines(documents)).select("path", "line", "kind", F.when(doc & (F.col("severity") == "high"), "medium").when(doc, "low").otherwise(F.col("severity")).alias("severity"))
+KINDS = "SELECT path, kind, severity, regexp_matches(path, '_test\\.go$') AS test, starts_with(path, 'docs/') AS docs FROM paths, (VALUES ('secret', 'high'), ('debug', 'medium'), ('email', 'low'), ('tls', 'critical')) k(kind, severity)"
+
+
+@query("sca12_adjusted_severity", f"SELECT path, kind, CASE WHEN severity = 'low' THEN 'low' WHEN docs AND kind <> 'secret' THEN 'low' WHEN test OR docs THEN 'medium' ELSE severity END AS severity FROM ({KINDS})")
+def _(paths):
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity")) for k, s in (("secret", "high"), ("debug", "medium"), ("email", "low"), ("tls", "critical")))))
+    rows = paths.select("path", kinds.alias("k")).select("path", "k.*")
+    return rows.select("path", "kind", rules.adjusted_severity(F.col("kind"), F.col("severity"), F.col("path").endswith("_test.go"), F.col("path").startswith("docs/")).alias("severity"))
 
 
 @query("sca9_function_risk", "SELECT DISTINCT name, CASE WHEN regexp_matches(replace(name, '_', ''), '(?i)(authori[sz]|authenticat|password|login|logout|csrf|permission)') THEN 'auth' WHEN regexp_matches(replace(name, '_', ''), '(?i)(payment|refund|charge|withdraw|deposit|balance)') THEN 'money' ELSE 'none' END AS risk FROM (SELECT concat(event_type, CASE event_id % 5 WHEN 0 THEN '_Log_in' WHEN 1 THEN 'Refund' WHEN 2 THEN 'checkPermission' ELSE 'Total' END) AS name FROM events)")
@@ -229,35 +233,33 @@ def _(test_log):
     return mutation.named_outcomes(test_log)
 
 
-CONTROL = LOG + ", c AS (SELECT log_id, count(*) FILTER (last = 'pass') AS passed, count(*) FILTER (last = 'fail') AS failed, bool_or(packages > 1) AS conflict FROM t GROUP BY log_id)"
+@query("evd2_control_validity", "SELECT id, CASE WHEN status <> 'PASS' THEN 'not_passed' WHEN exit_code <> 0 THEN 'exit_code' WHEN truncated THEN 'truncated' WHEN NOT readable THEN 'unreadable' WHEN load_failures > 0 THEN 'load_failure' WHEN passed < 1 THEN 'no_pass' WHEN failed > 0 THEN 'failed' WHEN packages > 1 THEN 'packages' ELSE '' END AS problem FROM mutant_runs")
+def _(mutant_runs):
+    return mutation.control(mutant_runs)
 
 
-@query("evd2_control_validity", CONTROL + " SELECT log_id, CASE WHEN failed > 0 THEN 'failed' WHEN passed = 0 THEN 'no_pass' WHEN conflict THEN 'packages' ELSE '' END AS problem FROM c")
-def _(test_log):
-    return mutation.control(test_log)
+MUT = "WITH v AS (SELECT id, status AS run, CASE WHEN kind <> 'mutant' OR command <> 'cmd0' THEN 'INCONCLUSIVE' WHEN status = 'SKIPPED' THEN 'NOT_RUN' WHEN status = 'TIMEOUT' THEN 'TIMEOUT' WHEN status = 'ERROR' OR truncated OR NOT readable THEN 'INCONCLUSIVE' WHEN load_failures > 0{script} THEN 'INVALID' WHEN {packages} THEN 'INCONCLUSIVE' WHEN status = 'FAIL' AND exit_code BETWEEN 1 AND 124 AND failed > 0 THEN 'KILLED' WHEN status = 'PASS' AND exit_code = 0 AND failed = 0 AND passed > 0 THEN 'SURVIVED' ELSE 'INCONCLUSIVE' END AS status FROM mutant_runs)"
+LINES_LOG, SCRIPT = MUT.format(script="", packages="packages > 1"), MUT.format(script=" AND failed = 0", packages="false")
 
 
-MUT = CONTROL + ", m AS (SELECT log_id, CAST(substr(log_id, 4) AS BIGINT) AS k, * EXCLUDE (log_id) FROM c), v AS (SELECT a.log_id AS mutant, b.log_id AS control, CASE WHEN b.passed = 0 THEN 'INCONCLUSIVE' WHEN a.k % 11 = 0 THEN 'TIMEOUT' WHEN a.k % 7 = 0 THEN 'INVALID' WHEN a.failed > b.failed THEN 'KILLED' WHEN a.passed >= b.passed THEN 'SURVIVED' ELSE 'INCONCLUSIVE' END AS status FROM m a JOIN m b ON b.k = a.k - a.k % 10)"
+@query("evd1_mutant_classify", LINES_LOG + " SELECT * FROM v")
+def _(mutant_runs):
+    return mutation.classify(mutant_runs, "cmd0")
 
 
-@query("evd1_mutant_classify", MUT + " SELECT * FROM v")
-def _(test_log):
-    return mutation.classify(test_log)
+@query("evd3_script_classify", SCRIPT + " SELECT * FROM v")
+def _(mutant_runs):
+    return mutation.classify(mutant_runs, "cmd0", script=True)
 
 
-@query("agg9_mutant_recount", MUT + " SELECT control, count(*) FILTER (status = 'KILLED') AS killed, count(*) FILTER (status = 'SURVIVED') AS survived, count(*) FILTER (status = 'INVALID') AS invalid, count(*) FILTER (status = 'TIMEOUT') AS timeout, count(*) FILTER (status = 'INCONCLUSIVE') AS inconclusive FROM v GROUP BY control")
-def _(test_log):
-    return mutation.recount(mutation.classify(test_log))
+@query("agg9_mutant_recount", LINES_LOG + " SELECT run, count(*) FILTER (status = 'KILLED') AS killed, count(*) FILTER (status = 'SURVIVED') AS survived, count(*) FILTER (status = 'INVALID') AS invalid, count(*) FILTER (status = 'TIMEOUT') AS timeout, count(*) FILTER (status = 'INCONCLUSIVE') AS inconclusive, count(*) FILTER (status = 'NOT_RUN') AS not_run FROM v GROUP BY run")
+def _(mutant_runs):
+    return mutation.recount(mutation.classify(mutant_runs, "cmd0"))
 
 
-@query("evd3_script_classify", MUT + " SELECT mutant, CASE WHEN status = 'KILLED' AND length(mutant) = 5 THEN 'INVALID' ELSE status END AS status FROM v")
-def _(test_log):
-    return mutation.classify(test_log).select("mutant", F.when((F.col("status") == "KILLED") & (F.length("mutant") == 5), "INVALID").otherwise(F.col("status")).alias("status"))
-
-
-@query("evd4_mutation_verify", MUT + ", s AS (SELECT mutant, CASE WHEN length(mutant) = 6 THEN 'KILLED' ELSE status END AS stored, status FROM v) SELECT mutant, CASE WHEN stored IN ('KILLED', 'SURVIVED') AND stored <> status THEN 'INCONCLUSIVE' ELSE stored END AS status FROM s")
-def _(test_log):
-    v = mutation.classify(test_log).withColumn("stored", F.when(F.length("mutant") == 6, "KILLED").otherwise(F.col("status")))
+@query("evd4_mutation_verify", LINES_LOG + ", s AS (SELECT id, CASE WHEN id % 6 = 0 THEN 'KILLED' ELSE status END AS stored, status FROM v) SELECT id, CASE WHEN stored IN ('KILLED', 'SURVIVED') AND stored <> status THEN 'INCONCLUSIVE' ELSE stored END AS status FROM s")
+def _(mutant_runs):
+    v = mutation.classify(mutant_runs, "cmd0").withColumn("stored", F.when(F.col("id") % 6 == 0, "KILLED").otherwise(F.col("status")))
     return mutation.verified(v)
 
 
@@ -266,16 +268,17 @@ def _(test_log):
     return mutation.verdicts(test_log, "log0")
 
 
-@query("evd6_base_test_verify", LOG + ", n AS (SELECT log_id, test, last FROM t WHERE runs = 1 AND ends = 1 AND packages = 1) SELECT test, count(*) FILTER (last = 'fail') AS fails, count(*) FILTER (last = 'pass') AS passes, CASE WHEN count(*) FILTER (last = 'pass') > 0 AND count(*) FILTER (last = 'fail') > 0 THEN 'REPRODUCED' ELSE '' END AS status FROM n GROUP BY test")
-def _(test_log):
-    n = mutation.tests(test_log).where("runs = 1 AND ends = 1 AND packages = 1").groupBy("test").agg(F.count_if(F.col("last") == "fail").alias("fails"), F.count_if(F.col("last") == "pass").alias("passes"))
-    return n.withColumn("status", F.when((F.col("passes") > 0) & (F.col("fails") > 0), "REPRODUCED").otherwise(""))
+EVIDENCE = "WITH o AS (SELECT id, any_value(kind) AS kind, any_value(replayed) AS replayed, any_value(agreeing) AS agreeing FROM test_checks GROUP BY id HAVING count(*) = 1) SELECT e.id, CASE WHEN names = 1 AND b.kind = 'base' AND c.kind = 'candidate' AND NOT c.replayed AND verdict = 'FAILS' AND NOT b.replayed THEN 'FAILS' WHEN names = 1 AND b.kind = 'base' AND c.kind = 'candidate' AND NOT c.replayed AND verdict = 'PASSES' AND (NOT b.replayed{replays}) THEN 'PASSES' ELSE '' END AS status FROM test_evidence e LEFT JOIN o b ON b.id = base_check LEFT JOIN o c ON c.id = candidate_check"
 
 
-@query("evd7_impacted_verify", LOG + " SELECT test, CASE WHEN count(*) FILTER (last = 'pass') >= 2 THEN 'PASSES' WHEN count(*) FILTER (last = 'fail' AND runs = 1) >= 1 THEN 'FAILS' ELSE '' END AS status FROM t GROUP BY test")
-def _(test_log):
-    g = mutation.tests(test_log).groupBy("test").agg(F.count_if(F.col("last") == "pass").alias("a"), F.count_if((F.col("last") == "fail") & (F.col("runs") == 1)).alias("b"))
-    return g.select("test", F.when(F.col("a") >= 2, "PASSES").when(F.col("b") >= 1, "FAILS").otherwise("").alias("status"))
+@query("evd6_base_test_verify", EVIDENCE.format(replays=""))
+def _(test_evidence, test_checks):
+    return mutation.evidence_status(test_evidence, test_checks, replays=False)
+
+
+@query("evd7_impacted_verify", EVIDENCE.format(replays=" OR b.agreeing >= 2"))
+def _(test_evidence, test_checks):
+    return mutation.evidence_status(test_evidence, test_checks, replays=True)
 
 
 @query("evd5_fuzz_verify", "WITH c AS (SELECT evidence_id, count(DISTINCT claim_id) AS n FROM citations GROUP BY 1) SELECT e.id, CASE WHEN n = 1 AND e.kind = 'fuzz' THEN e.verified ELSE 'UNVERIFIED' END AS status FROM (SELECT id, arg_min(kind, ord) AS kind, arg_min(verified, ord) AS verified FROM evidence GROUP BY id) e LEFT JOIN c ON c.evidence_id = e.id")

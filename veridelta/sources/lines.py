@@ -152,6 +152,18 @@ def lexical_facts(texts: DataFrame, language: str) -> DataFrame:
     return found.where("f.name <> ''").select("id", "f.fact", "f.name", (F.col("n") + 1).alias("line"))
 
 
+def go_facts(texts: DataFrame) -> DataFrame:
+    """Imports, of lines and blocks, and types that a Go text declares at its top level: id, fact, name, line. Strings elsewhere aren't imports."""
+    w = _before(["id"])
+    t = lines(texts).withColumn("bare", bare(F.regexp_replace("line", r"//.*$", "")))
+    state = F.last(F.when(F.col("bare").rlike(r"^import\s*\($"), 1).when(F.col("bare") == ")", 0), ignorenulls=True).over(w)
+    inside = F.coalesce(state, F.lit(0)) == 1
+    one, block, kind = F.regexp_extract("bare", r'^import\s+(?:[\w.]+\s+)?"([^"]+)"$', 1), F.regexp_extract("bare", r'^(?:[\w.]+\s+)?"([^"]+)"$', 1), F.regexp_extract("line", r"^type\s+(\w+)\s", 1)
+    name = F.when(one != "", one).when(F.col("_in") & (block != ""), block)
+    found = t.withColumn("_in", inside).select("id", "n", F.explode(F.array(F.struct(F.lit("import").alias("fact"), name.alias("name")), F.struct(F.lit("type").alias("fact"), kind.alias("name")))).alias("f"))
+    return found.where("f.name <> ''").select("id", "f.fact", "f.name", (F.col("n") + 1).alias("line"))
+
+
 def knowledge_base(texts: DataFrame) -> DataFrame:
     """Entries under second-level headings: title, kind and paths from their fields, text from the rest."""
     w = _before(["id"])
