@@ -198,9 +198,9 @@ def _(runs):
     return last.select("repo_key", state.alias("badge"))
 
 
-@query("src39_record_read", "SELECT repo_key, commit, seq, status FROM runs WHERE repo_key = 'r3' AND commit = 'c42' AND variant = ''")
+@query("src39_record_read", "SELECT repo_key, commit, seq, status FROM runs WHERE repo_key = 'r3' AND commit < 'c2' AND variant = ''")
 def _(runs):
-    return runs.where("repo_key = 'r3' AND commit = 'c42' AND variant = ''").select("repo_key", "commit", "seq", "status")
+    return runs.where("repo_key = 'r3' AND commit < 'c2' AND variant = ''").select("repo_key", "commit", "seq", "status")
 
 
 @query("src40_bounded_record_read", "SELECT seq, CASE WHEN size <= 50 THEN status END AS status, size > 50 AS oversized FROM runs WHERE repo_key = 'r5'")
