@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from veridelta.operators import graph
 from veridelta.registry import query
+from veridelta.shared import Tables
 
-KINDS = "(kind = 'depends_on' OR kind = 'declares')"
+def written(df):
+    """A carrier as the table it stands in for: searches read edges once a level, and would derive a carrier anew each time."""
+    return Tables(df.sparkSession).save(df)
 
 
 @query(
@@ -72,7 +75,6 @@ def _(calls):
     return calls.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("sources"))
 
 
-START = "function:Supplier#000000010"
 LEVELS = """
 WITH steps AS (SELECT src AS at_, dst AS to_, 'out' AS dir, kind, '0' || chr(2) || src || chr(2) || kind || chr(2) || dst AS o FROM edges UNION ALL SELECT dst, src, 'in', kind, '1' || chr(2) || src || chr(2) || kind || chr(2) || dst FROM edges),
 l0 AS (SELECT '{start}' AS node, CAST([] AS VARCHAR[]) AS place),
@@ -84,13 +86,9 @@ f AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)
 SELECT node, CAST(depth AS BIGINT) AS depth, dir, kind, via, count(*) OVER () AS total FROM f ORDER BY depth, place LIMIT 100"""
 
 
-def start(nodes):
-    return nodes.where("kind = 'function'").agg(F.min("id")).first()[0]
-
-
 @query("gra3_neighbors", LEVELS.format(start="component:ASIA"))
 def _(edges):
-    return graph.neighbors(edges, "component:ASIA")
+    return graph.neighbors(written(edges), "component:ASIA")
 
 
 PATHS = """
@@ -103,6 +101,7 @@ SELECT hop, string_split(e, chr(2))[2] AS src, string_split(e, chr(2))[4] AS dst
 
 @query("gra4_shortest_path", PATHS)
 def _(edges):
+    edges = written(edges)
     inside = edges.where("src = 'component:ASIA'").select(F.col("dst").alias("src"))
     end = edges.where("kind = 'contains'").join(inside, "src", "left_semi").agg(F.max("dst")).first()[0]
     return graph.shortest_path(edges, "component:ASIA", end or "")
@@ -147,6 +146,7 @@ SELECT caller, callee, CAST(depth AS BIGINT) AS depth, array_to_string(via, '>')
 
 @query("gra8_callers", CALLERS)
 def _(calls, nodes):
+    calls = written(calls)
     target = calls.agg(F.min("dst")).first()[0]
     return graph.callers(calls, nodes, target or "").withColumn("via", F.array_join("via", ">"))
 
@@ -160,7 +160,7 @@ SELECT id, test, CAST(depth AS BIGINT) AS depth, path, name, total, place FROM p
 
 
 def reach(calls, nodes):
-    return graph.reaching_tests(calls, nodes, nodes.where("kind = 'function' AND id < 'function:Supplier#000000020'")).select("id", "test", "depth", "path", "name", "total", "place")
+    return graph.reaching_tests(written(calls), nodes, nodes.where("kind = 'function' AND id < 'function:Supplier#000000020'")).select("id", "test", "depth", "path", "name", "total", "place")
 
 
 @query("gra9_reaching_tests", REACH)
@@ -175,7 +175,7 @@ def _(calls, nodes):
 
 @query("gra14_planned_reach", REACH.replace("SELECT id, test, CAST(depth AS BIGINT) AS depth, path, name, total, place FROM p WHERE place <= 20", "SELECT id, count(*) AS tests, CAST(min(depth) AS BIGINT) AS nearest FROM p GROUP BY id"))
 def _(calls, nodes):
-    return graph.reaching_tests(calls, nodes, nodes.where("kind = 'function' AND id < 'function:Supplier#000000020'"), limit=1 << 30).groupBy("id").agg(F.count(F.lit(1)).alias("tests"), F.min("depth").alias("nearest"))
+    return graph.reaching_tests(written(calls), nodes, nodes.where("kind = 'function' AND id < 'function:Supplier#000000020'"), limit=1 << 30).groupBy("id").agg(F.count(F.lit(1)).alias("tests"), F.min("depth").alias("nearest"))
 
 
 SITES = "WITH s AS (SELECT dst, path, line, src, seq FROM edge_sites WHERE kind = 'calls' AND src NOT IN (SELECT id FROM nodes WHERE test) AND src NOT LIKE '%7'), o AS (SELECT *, row_number() OVER (PARTITION BY dst, path, line ORDER BY seq, src) AS n FROM s) SELECT dst, path, CAST(line AS BIGINT) AS line, src FROM o WHERE n = 1"
