@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridelta.functions import paths
 
 from .core import occurrence, top_with_total
 
-#: (kind, severity, pattern), in the subset of patterns that both engines read alike.
+#: (kind, severity, needle, pattern): lines without the needle can't match, which is cheap to tell. Patterns are in the subset that both engines read alike.
 SECURITY = (
-    ("secret", "high", r"AKIA[0-9A-Z]{16}"),
-    ("secret", "high", r"(password|passwd|secret|api_key|token)=[0-9A-Za-z]{8,}"),
-    ("url_credential", "high", r"[a-z]+://[^\s/:@]+:[^\s/@]+@"),
-    ("email", "low", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("ip", "low", r"(^|[^0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}([^0-9.]|$)"),
-    ("debug", "medium", r"(DEBUG ?= ?(True|1)|debug: true)"),
+    ("secret", "high", "AKIA", r"AKIA[0-9A-Z]{16}"),
+    ("secret", "high", "=", r"(password|passwd|secret|api_key|token)=[0-9A-Za-z]{8,}"),
+    ("url_credential", "high", "://", r"[a-z]+://[^\s/:@]+:[^\s/@]+@"),
+    ("email", "low", "@", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("ip", "low", ".", r"(^|[^0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}([^0-9.]|$)"),
+    ("debug", "medium", "", r"(DEBUG ?= ?(True|1)|debug: true)"),
 )
 LOW_NOISE = ("email", "ip")
 PER_KIND = 3
@@ -33,16 +36,21 @@ def file_lines(docs: DataFrame) -> DataFrame:
 def security_hits(lines: DataFrame, rules: tuple = SECURITY) -> DataFrame:
     """A row for each line and rule that match: path, line, kind, severity, rule. Rules are one expression over the line, not a join."""
     low = paths.is_low_noise(F.col("path"))
-    test = lambda k, p: F.col("content").rlike(p) & ~low if k in LOW_NOISE else F.col("content").rlike(p)
-    hits = F.array(*(F.when(test(k, p), F.struct(F.lit(i).alias("rule"), F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for i, (k, s, p) in enumerate(rules)))
-    return lines.select("path", "line", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("path", "line", "h.*")
+    line = F.col("content")
+
+    def test(kind: str, needle: str, pattern: str) -> Column:
+        found = F.contains(line, F.lit(needle)) & line.rlike(pattern) if needle else line.rlike(pattern)
+        return found & ~low if kind in LOW_NOISE else found
+
+    hits = F.array(*(F.when(test(k, n, p), F.struct(F.lit(i).alias("rule"), F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for i, (k, s, n, p) in enumerate(rules)))
+    # Most lines match nothing: one condition drops them before the array is built.
+    return lines.where(reduce(or_, (test(k, n, p) for k, _, n, p in rules))).select("path", "line", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("path", "line", "h.*")
 
 
 def security_signals(lines: DataFrame, per_kind: int = PER_KIND) -> DataFrame:
     """The first hits of each kind in a file, in order of its rules' first hits, and how many lines each rule hit in all."""
-    hits = security_hits(lines)
-    rule = hits.groupBy("path", "rule").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("hits"))
-    ordered = hits.join(rule, ["path", "rule"])
+    same = Window.partitionBy("path", "rule")  # hits of one rule in one file
+    ordered = security_hits(lines).withColumn("first", F.min("line").over(same)).withColumn("hits", F.count(F.lit(1)).over(same))
     kept = top_with_total(ordered, ["path", "kind"], [F.col("first"), F.col("rule"), F.col("line")], per_kind)
     return kept.select("path", "line", "kind", "severity", "rule", "hits")
 

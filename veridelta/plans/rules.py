@@ -9,7 +9,7 @@ from veridelta.operators import mutation, plan, rules
 from veridelta.registry import query
 
 LINES = "lines AS (SELECT concat('doc/', CAST(doc_id AS VARCHAR)) AS path, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
-HITS = f"WITH {LINES}, h AS (" + " UNION ALL ".join(f"SELECT path, line, '{k}' AS kind, '{s}' AS severity, {i} AS rule FROM lines WHERE regexp_matches(content, '{r}')" for i, (k, s, r) in enumerate(rules.SECURITY)) + ")"
+HITS = f"WITH {LINES}, h AS (" + " UNION ALL ".join(f"SELECT path, line, '{k}' AS kind, '{s}' AS severity, {i} AS rule FROM lines WHERE regexp_matches(content, '{r}')" for i, (k, s, _n, r) in enumerate(rules.SECURITY)) + ")"
 CAPPED = HITS + ", r AS (SELECT path, rule, min(line) AS first, count(*) AS hits FROM h GROUP BY path, rule), k AS (SELECT h.*, hits, row_number() OVER (PARTITION BY path, kind ORDER BY first, rule, line) AS n FROM h JOIN r USING (path, rule))"
 
 
