@@ -367,6 +367,19 @@ def test_the_tree_is_a_distribution(shipped):
             assert total + 10 ** value[2] * unknown == pytest.approx(1, abs=1e-9)
 
 
+def test_contexts_do_not_depend_on_the_size_of_the_corpus(shipped):
+    """A phrase seen often enough is learnt however much else there is, and the cache changes no score."""
+    rnd = random.Random(4)
+    texts = [(n, "rare phrase here") for n in range(20)] + [(100 + n, " ".join(rnd.choices([f"w{k}" for k in range(50)], k=400))) for n in range(100)]
+    df = shipped.createDataFrame(texts, "doc_id bigint, text string")
+    asked = df.where("doc_id IN (0, 100)")
+    got = {share: {r.doc_id: (r.base_score, r.score) for r in suffix_tree.score_texts(asked, df, least_share=share, shards=3).collect()} for share in (1e-9, 1e-3, 0.5)}
+    base, score = got[1e-3][0]
+    assert score > base + 5
+    for share in (1e-9, 0.5):
+        assert {k: pytest.approx(v, abs=1e-9) for k, v in got[1e-3].items()} == got[share]
+
+
 # Pipeline and registry
 
 

@@ -1,12 +1,16 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Tokens are words between ASCII white space, ASCII letters in lower case, and an
-end after the last; 64-bit hashes stand for them. Counts of single tokens cover
-the whole training corpus and stay distributed, in shards by hash. Contexts of
-up to ``depth`` tokens are kept if they are frequent (a share of at least
-``least_share`` of the training tokens, so there are at most
-``depth / least_share`` of them whatever the corpus, which bounds the broadcast)
-and if what follows them diverges from what follows their suffix.
+end after the last; 64-bit hashes stand for them and for sequences of them.
+Counts of single tokens cover the whole training corpus. Sequences of up to
+``depth + 1`` tokens are kept from ``least_count`` on, whatever the size of the
+corpus, and a context is one if what follows it diverges from what follows its
+suffix. Counts and weights stay distributed, in shards by hash, and are joined;
+broadcast are only the frequent ones, as a cache, and filters of bounded size.
+
+A score is a sum of weights: with P(x|c) = left(c) * P(x|suffix of c) where x
+wasn't counted after c, log P is the root's, plus log left of each context, plus
+for each sequence counted by how much it differs from that.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ END = xxhash.xxh64_intdigest(b"\n")
 #: Counts are added up in memory and passed on at this many entries.
 FLUSH = 1 << 19
 COUNTS = "shard int, keys binary, counts binary"
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _tokens(hasher: WordHasher, text: bytes) -> np.ndarray:
@@ -128,121 +133,183 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys of sequences from those of the sequences without their last and without their first token."""
+    return first * _A + second * _B
+
+
+@dataclass
+class Filter:
+    """One bit for each value of a hash's first ``width`` bits, at most 64 MB: lets others pass, drops none that it holds."""
+
+    bits: np.ndarray
+    width: int
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.width)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _filter(keys: DataFrame, shards: int, widest: int = 29) -> Filter:
+    """The filter of a column ``key``; blocks of it are made where their keys are."""
+    width = min(widest, max(20, int(16 * keys.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - width)
+            block = (at >> np.uint64(16)).astype(np.int64)
+            for k in np.unique(block):
+                held.setdefault(int(k), np.zeros(1 << 16, bool))[(at[block == k] & np.uint64(0xFFFF)).astype(np.int64)] = True
+        for k, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    bits = np.zeros(1 << (width - 3), np.uint8)
+    blocks = keys.select("key", F.expr(f"shiftrightunsigned(key, {64 - width + 16})").alias("block")).repartition(shards, "block").select("key")
+    for r in blocks.mapInArrow(run, "block bigint, bits binary").toLocalIterator():
+        bits[r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return Filter(bits, width)
+
+
 @dataclass
 class Level:
-    """Frequent sequences of one length. A key is the place of all but the last token in the level before, times the number of frequent tokens, plus the last."""
+    """The frequent sequences of one length that have a weight."""
 
     keys: np.ndarray
-    counts: np.ndarray
-    #: Discounted probability of the last token after the others, 0 where that context isn't kept.
-    share: np.ndarray | None = None
+    #: log10 of the probability of the last token over what the context leaves to its suffix.
+    gain: np.ndarray
     #: Probability left to the suffix after this sequence; 1 where it isn't kept as a context.
-    left: np.ndarray | None = None
+    left: np.ndarray
 
 
 @dataclass
 class Tree:
+    """What is frequent of the tree, as a cache: others are joined."""
+
     tokens: np.ndarray
     counts: np.ndarray
     levels: list[Level]
     total: int
     distinct: int
     #: Probability left to the root after each frequent token; 1 where it isn't kept as a context.
-    first_left: np.ndarray | None = None
+    first_left: np.ndarray
+    #: Of all sequences that have a weight, frequent or not.
+    weighted: Filter
+    depth: int
 
     def p0(self, counts: np.ndarray) -> np.ndarray:
         """The root: the share of a token with such a count, half a count added to each."""
         return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-    def places(self, t: np.ndarray, level: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Of each token its place among the frequent ones, and of each sequence that ends there its place, by level."""
-        at = _find(self.tokens, t)
-        found = [at]
-        for lv in self.levels[:level]:
-            found.append(np.concatenate([[-1], self._follow(lv, found[-1][:-1], at[1:])]))
-        return at, found
-
-    def _follow(self, lv: Level, before: np.ndarray, at: np.ndarray) -> np.ndarray:
-        ok = (before >= 0) & (at >= 0)
-        out = np.full(len(at), -1, np.int64)
-        out[ok] = _find(lv.keys, before[ok].astype(np.uint64) * np.uint64(len(self.tokens)) + at[ok].astype(np.uint64))
-        return out
+    def logs(self, t: np.ndarray, asked: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: whether it is frequent, its log10 probability at the root if so, and in its contexts.
 
-    def logs(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: whether it is frequent, its log10 probability at the root if so, and in its longest kept context.
-
-        A token that isn't frequent follows no context often enough to be counted
-        there, so its value here is the log10 of what contexts leave to the root.
+        For a token that isn't frequent the latter leaves out the root's. Keys
+        that may have a weight elsewhere are added to ``asked`` with their places.
         """
-        at, found = self.places(t, len(self.levels))
-        share, left = np.zeros(len(t)), np.ones(len(t))
-        for n, lv in enumerate(self.levels, 1):
-            # The context is the sequence of length n that ends one token before.
-            context = np.concatenate([[-1], found[n - 1][:-1]])
-            ok = context >= 0
-            m = np.ones(len(t))
-            m[ok] = (self.levels[n - 2].left if n > 1 else self.first_left)[context[ok]]
-            a = np.zeros(len(t))
-            got = found[n] >= 0
-            a[got] = lv.share[found[n][got]]
-            share, left = a + m * share, m * left
+        at = _find(self.tokens, t)
         known = at >= 0
-        root = np.ones(len(t))
-        root[known] = self.p0(self.counts[at[known]])
-        return known, np.log10(root), np.log10(np.where(known, share + left * root, left))
+        root = np.zeros(len(t))
+        root[known] = np.log10(self.p0(self.counts[at[known]]))
+        value, keys = root.copy(), t
+        for n in range(self.depth + 1):
+            if n:
+                keys = _joined(keys[:-1], keys[1:])
+                lv = self.levels[n - 1]
+                at = _find(lv.keys, keys)
+            left = self.levels[n - 1].left if n else self.first_left
+            got = np.flatnonzero(at >= 0)
+            if n:
+                value[got + n] += lv.gain[at[got]]
+            got = got[got + n + 1 < len(t)]
+            value[got + n + 1] += np.log10(left[at[got]])
+            if asked is not None:
+                rest = np.flatnonzero(at < 0)
+                rest = rest[self.weighted(keys[rest])]
+                asked.append((keys[rest], rest + n))
+        return known, root, value
+
+
+def _sequences(train: DataFrame, level: int, held: Filter, least: int, shards: int) -> DataFrame:
+    """key, context, parent and n of the sequences of ``level + 1`` tokens counted ``least`` times or more.
+
+    The context is the key without the last token, the parent that without the
+    first. One whose context or parent ``held`` drops can't be counted so often.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(held)
 
-    def learn(self, discount: float, strictness: float) -> None:
-        """Keep the contexts whose next tokens diverge from those of their suffix, and set their distributions.
+    def rows(keys: np.ndarray, parents: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1, dtype=np.uint64))
+        full = [s for s in range(shards) if edges[s] < edges[s + 1]]
+        pack = lambda x: pa.array([x[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pack(keys), pack(parents), pack(n.astype("<i8"))], ["shard", "keys", "parents", "counts"])
 
-        With n a context's count, the divergence sum of n(x) * ln(p(x|s) / p(x|suffix))
-        has to exceed ``strictness`` * ln(total) for each next token counted, else
-        the suffix serves as well.
-        """
-        size = np.uint64(max(1, len(self.tokens)))
-        for n, lv in enumerate(self.levels, 1):
-            before, last = (lv.keys // size).astype(np.int64), (lv.keys % size).astype(np.int64)
-            context_counts = self.counts if n == 1 else self.levels[n - 2].counts
-            root = self.p0(self.counts[last])
-            if n == 1:
-                parent = root
-            else:
-                # The suffix of (context, x) drops the first token: found as a sequence of the level before.
-                tail = self._suffixes(n - 1)[before]
-                shorter = _find(self.levels[n - 2].keys, np.where(tail >= 0, tail, 0).astype(np.uint64) * size + last.astype(np.uint64))
-                shorter[tail < 0] = -1
-                p = self.first_left if n == 2 else self.levels[n - 3].left
-                kept_left = np.where(tail >= 0, p[tail], 1.0)
-                parent = np.where(shorter >= 0, self.levels[n - 2].share[shorter], 0.0) + kept_left * root
-            p = np.maximum(lv.counts - discount, 0) / context_counts[before]
-            gain = lv.counts * np.log(np.maximum(p, 1e-12) / parent)
-            total = np.bincount(before, weights=gain, minlength=len(context_counts))
-            kinds = np.bincount(before, minlength=len(context_counts))
-            keep = total > strictness * kinds * np.log(max(2, self.total))
-            keep &= kinds > 0
-            lv.share = np.where(keep[before], p, 0.0)
-            left = np.where(keep, 1 - np.bincount(before, weights=lv.share, minlength=len(context_counts)), 1.0)
-            left = np.maximum(left, 1e-9)
-            if n == 1:
-                self.first_left = left
-            else:
-                self.levels[n - 2].left = left
-            lv.left = np.ones(len(lv.keys))
-
-    def _suffixes(self, n: int) -> np.ndarray:
-        """Of each sequence of length n + 1, the place of the one without its first token in length n."""
-        size = np.uint64(max(1, len(self.tokens)))
-        keys = self.levels[n - 1].keys
-        last = (keys % size).astype(np.int64)
-        if n == 1:
-            return last
-        before = self._suffixes(n - 1)[(keys // size).astype(np.int64)]
-        out = _find(self.levels[n - 2].keys, np.where(before >= 0, before, 0).astype(np.uint64) * size + last.astype(np.uint64))
-        return np.where(before >= 0, out, -1)
-
-
-def fit(train: DataFrame, tables: Tables, *, depth: int, least_share: float, least_count: int, discount: float, strictness: float, shards: int) -> tuple[Tree, DataFrame]:
-    """The tree, and the table of all single-token counts by shard."""
-    spark = train.sparkSession
+    def added(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, parents, n = map(np.concatenate, zip(*held, strict=True))
+        k, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        return k, parents[first], np.bincount(at, weights=n, minlength=len(k)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test, hasher, found, size, solid = shared.value, WordHasher(), [], 0, 0
+        for b in batches:
+            for texts in groups(b):
+                t = np.concatenate([_tokens(hasher, x) for x in texts])
+                keys = t
+                for _ in range(level - 1):
+                    keys = _joined(keys[:-1], keys[1:])
+                # The context must hold no end, else it crosses texts.
+                ends = np.concatenate([[0], np.cumsum(t == np.uint64(END))])
+                inner = ends[level : len(t)] == ends[: len(t) - level]
+                ok = test(keys)
+                ok = ok[:-1] & ok[1:] & inner
+                first, second = keys[:-1][ok], keys[1:][ok]
+                found.append((_joined(first, second), second, np.ones(len(first), np.int64)))
+                size += len(first)
+                if size >= max(FLUSH // 4, 2 * solid):
+                    found = [added(found)]
+                    size = solid = len(found[0][0])
+                    if size >= FLUSH // 2:
+                        yield rows(*found[0])
+                        found, size, solid = [], 0, 0
+        if found:
+            yield rows(*added(found))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = np.uint64(pow(int(_A), -1, 1 << 64))
+        held: dict[int, tuple[list, list[int]]] = {}
+        for b in batches:
+            for s, *x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                own, size = held.setdefault(s, ([], [0, 1 << 17]))
+                own.append((np.frombuffer(x[0], "<u8"), np.frombuffer(x[1], "<u8"), np.frombuffer(x[2], "<i8")))
+                size[0] += len(own[-1][0])
+                if size[0] >= size[1]:
+                    own[:] = [added(own)]
+                    size[:] = len(own[0][0]), max(1 << 17, len(own[0][0]) * 3 // 2)
+        for own, _ in held.values():
+            keys, parents, n = added(own)
+            keep = n >= least
+            keys, parents, n = keys[keep], parents[keep], n[keep]
+            contexts = (keys - parents * _B) * back
+            for i in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)].view(np.int64)) for x in (keys, contexts, parents, n)], ["key", "context", "parent", "n"])
+
+    counted = train.select("text").mapInArrow(count, "shard int, keys binary, parents binary, counts binary")
+    return counted.repartition(shards, "shard").mapInArrow(merge, "key bigint, context bigint, parent bigint, n bigint")
+
+
+def _look_up(rows: DataFrame, table: DataFrame, on: str, cut: int, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``table``, whose ``often`` counts tell frequent keys, which many rows may have: those are broadcast, the rest joined by key."""
+    hot, cold = F.broadcast(table.where(F.col("often") >= cut).drop("often")), table.where(F.col("often") < cut).drop("often")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on, how))
+
+
+def fit(train: DataFrame, tables: Tables, *, depth: int, least_share: float, least_count: int, discount: float, strictness: float, shards: int) -> tuple[Tree, tuple[DataFrame, DataFrame]]:
+    """The tree's cache, and the tables of all single-token counts by shard and of the weights (key, w) that the cache doesn't hold.
+
+    With n a context's count, the divergence sum of n(x) * ln(p(x|c) / p(x|suffix))
+    has to exceed ``strictness`` * ln(total) for each next token counted, else
+    the suffix serves as well.
+    """
 
     def single():
         return lambda texts: np.concatenate(texts)
@@ -256,56 +323,72 @@ def fit(train: DataFrame, tables: Tables, *, depth: int, least_share: float, lea
 
     total, kinds = singles.select("counts").mapInArrow(sums, "total bigint, kinds bigint").agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = total or 0, kinds or 0
-    least = max(least_count, int(np.ceil(least_share * total)))
-    tree = Tree(*_frequent(singles, least), [], total, kinds)
-    for level in range(1, depth + 1):
-        shared = spark.sparkContext.broadcast(tree)
-        size = np.uint64(max(1, len(tree.tokens)))
-
-        def sequences(shared=shared, level=level, size=size):
-            tree = shared.value
-
-            def keys(texts: list[np.ndarray]) -> np.ndarray:
-                out = []
-                for t in texts:
-                    at, found = tree.places(t, level - 1)
-                    before, last = found[-1][:-1], at[1:]
-                    # A sequence can only be frequent if both that without its last token and that without its first are.
-                    ok = (before >= 0) & (last >= 0)
-                    if level > 1:
-                        ok &= found[-1][1:] >= 0
-                    out.append(before[ok].astype(np.uint64) * size + last[ok].astype(np.uint64))
-                return np.concatenate(out)
-
-            return keys
-
-        counted = _counted_small(train, sequences, shards)
-        keys, counts = _frequent(counted, least)
-        if not len(keys):
-            break
-        tree.levels.append(Level(keys, counts))
-    tree.learn(discount, strictness)
-    return tree, singles
-
-
-def _counted_small(docs: DataFrame, keys_of, shards: int) -> DataFrame:
-    """As ``_counted`` for keys that are small numbers: bits are mixed, reversibly, to deal them out evenly."""
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    back = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-    def mixed():
-        keys = keys_of()
-        return lambda texts: keys(texts) * odd
+    # Where the cache ends; what is rarer is joined.
+    cut = max(1, int(np.ceil(least_share * total)))
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.set_column(1, "keys", pa.array([(np.frombuffer(k, "<u8") * back).tobytes() for k in b.column(1).to_pylist()], pa.binary()))
-
-    return _counted(docs, mixed, shards).mapInArrow(plain, COUNTS)
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                k, n = np.frombuffer(k, "<i8"), np.frombuffer(c, "<i8")
+                for i in range(0, len(k), 1 << 16):
+                    some = n[i : i + (1 << 16)] >= least_count
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][some]) for x in (k, n)], ["key", "n"])
+
+    before = tables.save(singles.select("keys", "counts").mapInArrow(plain, "key bigint, n bigint").withColumn("p", (F.col("n") + 0.5) / (total + 0.5 * (kinds + 1))))
+    pieces = before.limit(0).select(F.lit(0).alias("level"), "key", "n", F.lit(0.0).alias("gain"), F.lit(0.0).alias("left"))
+    for level in range(1, depth + 1):
+        found = tables.save(_sequences(train, level, _filter(before, shards), least_count, shards))
+        if found.isEmpty():
+            break
+        found = _look_up(found, before.select(F.col("key").alias("context"), F.col("n").alias("context_n"), F.col("n").alias("often")), "context", cut)
+        found = _look_up(found, before.select(F.col("key").alias("parent"), F.col("p").alias("parent_p"), F.col("n").alias("often")), "parent", cut)
+        found = tables.save(found.withColumn("own", F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("context_n")))
+        gain = F.col("n") * F.log(F.greatest("own", F.lit(1e-12)) / F.col("parent_p"))
+        contexts = found.groupBy("context").agg(F.sum(gain).alias("gain"), F.count(F.lit(1)).alias("kinds"), F.sum("own").alias("own"), F.first("context_n").alias("often"))
+        contexts = contexts.where(F.col("gain") > strictness * F.col("kinds") * float(np.log(max(2, total))))
+        contexts = tables.save(contexts.select("context", F.greatest(1 - F.col("own"), F.lit(1e-9)).alias("left"), "often"))
+        found = _look_up(found, contexts, "context", cut, "left")
+        found = found.withColumn("p", F.coalesce(F.col("own") + F.col("left") * F.col("parent_p"), "parent_p"))
+        before = tables.save(found.select("key", "n", "p", F.log10(F.col("p") / (F.col("left") * F.col("parent_p"))).alias("gain")))
+        pieces = pieces.unionByName(before.where("gain IS NOT NULL").select(F.lit(level).alias("level"), "key", "n", "gain", F.lit(0.0).alias("left")))
+        pieces = pieces.unionByName(contexts.select(F.lit(level - 1).alias("level"), F.col("context").alias("key"), F.col("often").alias("n"), F.lit(0.0).alias("gain"), F.log10("left").alias("left")))
+    weights = tables.save(pieces.groupBy("level", "key").agg(F.max("n").alias("n"), F.sum("gain").alias("gain"), F.sum("left").alias("left")))
+    often = weights.where(F.col("n") >= cut).drop("n").toArrow()
+    level, key, gain, left = (often.column(c).to_numpy() for c in ("level", "key", "gain", "left"))
+    key = key.view(np.uint64)
+    levels = []
+    for n in range(depth + 1):
+        own = np.flatnonzero(level == n)
+        own = own[np.argsort(key[own])]
+        levels.append(Level(key[own], gain[own], 10 ** left[own]))
+    tokens, counts = _frequent(singles, cut)
+    at = _find(levels[0].keys, tokens)
+    first_left = np.ones(len(tokens))
+    first_left[at >= 0] = levels[0].left[at[at >= 0]]
+    rest = weights.where(F.col("n") < cut)
+    tree = Tree(tokens, counts, levels[1:], total, kinds, first_left, _filter(rest, shards), depth)
+    return tree, (singles, rest.select("key", (F.col("gain") + F.col("left")).alias("w")))
+
+
+def _sharded(weights: DataFrame, shards: int) -> DataFrame:
+    """Weights (key, w) as one row a shard: its sorted keys and their weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        if held:
+            keys, w = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, w = keys[order], w[order]
+            edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1, dtype=np.uint64))
+            for s in np.flatnonzero(np.diff(edges)):
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x[edges[s] : edges[s + 1]].tobytes()], pa.binary()) for x in (keys, w))], ["shard", "keys", "w"])
+
+    shard = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(key, 32) * {shards}L, 32) AS int)")
+    return weights.repartition(shards, shard).select("key", "w").mapInArrow(run, "shard int, keys binary, w binary")
 
 
 PARTS = "batch bigint, shard int, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
-DOCS, QUERY, TABLE, PART = 3, 2, 0, 1
+DOCS, QUERY, TABLE, PART, WEIGHTS, ASKED = 5, 2, 0, 4, 1, 3
 
 
 def score_texts(
@@ -327,9 +410,10 @@ def score_texts(
     that ``train`` doesn't hold has the share of half a count, as one of its kind.
 
     ``shards`` (spark.sql.shuffle.partitions if not given) should grow with the
-    data as shuffle partitions do: a task holds one shard of the counts. Frequent
-    tokens are looked up in the broadcast tree and never shuffled; others go to
-    their shard, packed, once for a document. Null texts count as empty, of the
+    data as shuffle partitions do: a task holds one shard of the counts. Tokens and
+    sequences of ``least_share`` of all tokens or more are looked up in a broadcast
+    cache (at most ``(depth + 1) / least_share``) and never shuffled; others go to
+    their shard, packed, once for a document. The score doesn't depend on it. Null texts count as empty, of the
     end alone. Null ids and repeated rows are scored as others; an empty table
     gives no rows, an empty ``train`` the score of unknown tokens; columns other
     than doc_id and text are ignored.
@@ -337,7 +421,7 @@ def score_texts(
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = Tables(spark)
-    tree, singles = fit(train, tables, depth=depth, least_share=least_share, least_count=least_count, discount=discount, strictness=strictness, shards=shards)
+    tree, (singles, weights) = fit(train, tables, depth=depth, least_share=least_share, least_count=least_count, discount=discount, strictness=strictness, shards=shards)
     shared = spark.sparkContext.broadcast(tree)
     total = tree.total
 
@@ -346,45 +430,54 @@ def score_texts(
         tree, hasher, name = shared.value, WordHasher(), TaskContext.get().partitionId() << 32
         for b in batches:
             end = 0
-            for texts in groups(b, most=8 << 20):
+            for texts in groups(b, most=2 << 20):
                 start, end = end, end + len(texts)
-                sums, rest, of, times = [], [], [], []
-                for i, text in enumerate(texts):
-                    t = _tokens(hasher, text)
-                    known, root, value = tree.logs(t)
-                    sums.append((len(t), int(known.sum()), root.sum(), value.sum()))
-                    k, n = np.unique(t[~known], return_counts=True)
-                    rest.append(k)
-                    times.append(n)
-                    of.append(np.full(len(k), i, "<u4"))
-                cols = [np.array(c) for c in zip(*sums, strict=True)]
+                tokens = [_tokens(hasher, text) for text in texts]
+                lengths = np.array([len(t) for t in tokens])
+                t, own, first = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), lengths), np.cumsum(lengths) - lengths
+                asked: list[tuple[np.ndarray, np.ndarray]] = []
+                # No context holds an end, so the texts may follow each other.
+                known, root, value = tree.logs(t, asked)
+                cols = [lengths, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(root, first), np.add.reduceat(value, first)]
                 part = b.column(0).slice(start, end - start)
                 rows = [(name, name % shards, DOCS, _packed(part), *(c.astype(d).tobytes() for c, d in zip(cols, ("<i8", "<i8", "<f8", "<f8"), strict=True)), None)]
-                keys, of, times = np.concatenate(rest), np.concatenate(of), np.concatenate(times).astype("<u4")
-                order = np.argsort(keys, kind="stable")
-                keys, of, times = keys[order], of[order], times[order]
-                edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1, dtype=np.uint64))
-                rows += [(name, s, QUERY, *(x[edges[s] : edges[s + 1]].tobytes() for x in (keys.astype("<u8"), of, times)), None, None, None) for s in range(shards) if edges[s] < edges[s + 1]]
+                for kind, keys, of in ((QUERY, t[~known], own[~known]), (ASKED, np.concatenate([k for k, _ in asked]), own[np.concatenate([at for _, at in asked])])):
+                    order = np.lexsort((of, keys))
+                    keys, of = keys[order], of[order]
+                    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])) if len(keys) else np.empty(0, np.int64)
+                    times = np.diff(np.append(new, len(keys))).astype("<u4")
+                    keys, of = keys[new], of[new].astype("<u4")
+                    edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1, dtype=np.uint64))
+                    rows += [(name, s, kind, *(x[edges[s] : edges[s + 1]].tobytes() for x in (keys.astype("<u8"), of, times)), None, None, None) for s in range(shards) if edges[s] < edges[s + 1]]
                 yield _batch(rows)
                 name += 1
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of a shard, then the tokens that ask for them; gives sums by document."""
-        tree, held, keys, counts = shared.value, None, None, None
+        """Counts and weights of a shard, then the keys that ask for them; gives sums by document."""
+        tree, empty = shared.value, (None, np.empty(0, "<u8"), np.empty(0))
+        held = {TABLE: empty, WEIGHTS: empty}
         for b in batches:
             for name, s, kind, a, bb, c, d, e, f in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
                 if kind == DOCS:
                     yield _batch([(name, s, DOCS, a, bb, c, d, e, f)])
-                elif kind == TABLE:
-                    held, keys, counts = s, np.frombuffer(a, "<u8"), np.frombuffer(bb, "<i8")
+                elif kind in held:
+                    held[kind] = s, np.frombuffer(a, "<u8"), np.frombuffer(bb, "<i8" if kind == TABLE else "<f8")
                 else:
-                    at = _find(keys, np.frombuffer(a, "<u8")) if held == s else np.full(len(a) // 8, -1)
-                    n = np.where(at >= 0, counts[at], 0) if held == s else np.zeros(len(at), np.int64)
                     of, times = np.frombuffer(bb, "<u4"), np.frombuffer(c, "<u4")
+                    own, keys, values = held[TABLE if kind == QUERY else WEIGHTS]
+                    keys, values = (keys, values) if own == s else empty[1:]
+                    at = _find(keys, np.frombuffer(a, "<u8"))
+                    n = np.zeros(len(at), values.dtype)
+                    n[at >= 0] = values[at[at >= 0]]
+                    if kind == ASKED:
+                        of, times, n = of[at >= 0], times[at >= 0], n[at >= 0]
+                        if not len(of):
+                            continue
                     docs_at, where = np.unique(of, return_inverse=True)
-                    logs = np.bincount(where, weights=times * np.log10(tree.p0(n)))
-                    known = np.bincount(where, weights=times * (n > 0)).astype("<i8")
-                    yield _batch([(name, s, PART, docs_at.astype("<u4").tobytes(), logs.astype("<f8").tobytes(), known.tobytes(), None, None, None)])
+                    base = np.bincount(where, weights=times * (np.log10(tree.p0(n)) if kind == QUERY else 0.0))
+                    score = base if kind == QUERY else np.bincount(where, weights=times * n)
+                    known = np.bincount(where, weights=times * (n > 0) * (kind == QUERY)).astype("<i8")
+                    yield _batch([(name, s, PART, docs_at.astype("<u4").tobytes(), base.astype("<f8").tobytes(), known.tobytes(), score.astype("<f8").tobytes(), None, None)])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The documents of each batch with the sums of all shards; rows come sorted by batch."""
@@ -398,13 +491,14 @@ def score_texts(
                 if kind == DOCS:
                     state |= {"ids": a, "n": np.frombuffer(bb, "<i8"), "own": np.frombuffer(c, "<i8"), "base": np.frombuffer(d, "<f8"), "score": np.frombuffer(e, "<f8")}
                 else:
-                    state.setdefault("parts", []).append((np.frombuffer(a, "<u4"), np.frombuffer(bb, "<f8"), np.frombuffer(c, "<i8")))
+                    state.setdefault("parts", []).append((np.frombuffer(a, "<u4"), np.frombuffer(bb, "<f8"), np.frombuffer(c, "<i8"), np.frombuffer(d, "<f8")))
         if state:
             yield _documents(state, total)
 
     asked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(local, PARTS)
     table = singles.selectExpr("0L AS batch", "shard", f"{TABLE} AS kind", "keys AS a", "counts AS b", *(f"CAST(NULL AS binary) AS {c}" for c in "cdef"))
-    answered = table.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "batch").mapInArrow(looked_up, PARTS)
+    weighed = _sharded(weights, shards).selectExpr("0L AS batch", "shard", f"{WEIGHTS} AS kind", "keys AS a", "w AS b", *(f"CAST(NULL AS binary) AS {c}" for c in "cdef"))
+    answered = table.unionByName(weighed).unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "batch").mapInArrow(looked_up, PARTS)
     return (
         answered.repartition(shards, "batch")
         .sortWithinPartitions("batch", "shard", "kind")
@@ -427,9 +521,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _documents(state: dict, total: int) -> pa.RecordBatch:
     base, score, known = state["base"].copy(), state["score"].copy(), state["own"].copy()
-    for at, logs, n in state.get("parts", []):
+    for at, logs, n, own in state.get("parts", []):
         base[at] += logs
-        score[at] += logs
+        score[at] += own
         known[at] += n
     ids = pa.ipc.open_stream(state["ids"]).read_next_batch().column(0)
     return pa.RecordBatch.from_arrays([ids, pa.array(state["n"]), pa.array(known), pa.array(np.full(len(base), total)), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
