@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -213,6 +214,29 @@ def test_near_duplicates_against_brute_force(shipped, limit):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_every_pair_of_a_large_node_meets(shipped):
+    rows = shipped.createDataFrame([(0, 7, n) for n in range(300)] + [(1, 7, n) for n in range(40)], "tree int, node bigint, sid bigint")
+    met = collections.defaultdict(list)
+    for r in near_dedup._pairs_of_parts(rows, 32).collect():
+        met[r.tree, r.node].append(r.sid)
+    assert max(map(len, met.values())) < 100
+    pairs = {(tree, *p) for (tree, _), sids in met.items() for p in itertools.combinations(sorted(sids), 2)}
+    assert len(pairs) == math.comb(300, 2) + math.comb(40, 2)
+
+
+def test_pairs_in_a_crowd_are_found(shipped):
+    """Two pages alike among pages of one template, all of which agree on every value turned on: pivots link neither."""
+    rnd = random.Random(3)
+    body = [f"b{i}" for i in range(400)]
+    rows = [(n, " ".join([*body, *(f"u{n}x{k}" for k in range(110))])) for n in range(150)]
+    own = [f"t{k}" for k in range(110)]
+    rows += [(1000 + n, " ".join([*body, *own[:100], *(f"v{n}x{k}" for k in range(8))])) for n in range(2)]
+    rnd.shuffle(rows)
+    got = near_dedup.near_duplicates(shipped.createDataFrame(rows, "doc_id bigint, text string"), node_limit=16, most_levels=0).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 85)
+    assert {r.component_id for r in got if r.doc_id >= 1000} == {1000}
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = near_dedup.near_duplicates(odd).collect()
     want = brute_components(ODD, 85)

@@ -241,6 +241,14 @@ def _to_pivots(rows: DataFrame, least: float, ratio: float) -> DataFrame:
     return both.mapInArrow(run, "tree int, a bigint, b bigint")
 
 
+def _pairs_of_parts(rows: DataFrame, limit: int) -> DataFrame:
+    """Nodes of about ``limit`` sets, one for each two parts of a large node, so that any two of its sets meet in one."""
+    parts = rows.groupBy("tree", "node").agg((F.count(F.lit(1)) / (limit / 2) + 1).cast("int").alias("parts"))
+    own = rows.join(parts, ["tree", "node"]).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    met = own.select("tree", "node", "sid", "own", F.explode(F.expr("filter(sequence(0, parts - 1), x -> x <> own)")).alias("other"))
+    return met.select("tree", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "sid")
+
+
 FILTER_WORDS = 1 << 17
 
 
@@ -358,9 +366,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
         if depth < most_levels:
             level = branch(large, 1 / t - 1)
         else:
-            parts = large.groupBy("tree", "node").agg((F.count(F.lit(1)) / (node_limit / 2) + 1).cast("int").alias("parts"))
-            cut = large.join(parts, ["tree", "node"]).select("tree", F.xxhash64("node", F.pmod(F.xxhash64("sid"), F.col("parts"))).alias("node"), "sid")
-            nodes.append(tables.save(cut))
+            nodes.append(tables.save(_pairs_of_parts(large, node_limit)))
     small = nodes[0]
     for n in nodes[1:]:
         small = small.unionByName(n)
