@@ -237,6 +237,23 @@ def test_pairs_in_a_crowd_are_found(shipped):
     assert {r.component_id for r in got if r.doc_id >= 1000} == {1000}
 
 
+@pytest.mark.parametrize("t", [0.8, 0.85])
+@pytest.mark.parametrize("levels", [0, 4, 16])
+def test_trees_hold_the_recall_through_branchings(t, levels):
+    """Pairs at the threshold, walked through branchings at random, stay together in a tree as often as assumed."""
+    rnd, kept, runs = np.random.default_rng(5), 0, 20000
+    for _ in range(runs):
+        alive = int(rnd.random() < t**3)
+        for _ in range(levels):
+            alive = rnd.binomial(alive + rnd.binomial(alive, near_dedup.second_child(t)), t)
+        kept += alive > 0
+    share = kept / runs
+    trees = near_dedup.trees_needed(t, 3, levels, 1e-4)
+    assert (1 - share) ** trees < 3e-4
+    assert (1 - share) ** (trees - 1) > 3e-5
+    assert levels == 0 or trees > near_dedup.trees_needed(t, 3, 0, 1e-4)
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = near_dedup.near_duplicates(odd).collect()
     want = brute_components(ODD, 85)

@@ -64,14 +64,32 @@ def _sketches(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(len(col), COORDINATES)
 
 
-def walk(reps: DataFrame, trees: int, steps: int) -> DataFrame:
-    """tree, node and sid of each set in each tree, after its first ``steps`` turns."""
+def second_child(t: float) -> float:
+    """How often a large node has two children, so that a pair at the threshold is expected to stay together once."""
+    return min(1.0, 1 / t - 1)
+
+
+def trees_needed(t: float, steps: int, levels: int, miss: float) -> int:
+    """Trees that all lose a pair at the threshold with probability ``miss`` at most, if its nodes are branched on ``levels`` times.
+
+    Though a pair is expected to stay together once, that it does so at all
+    grows rarer by the level.
+    """
+    lost, second = 0.0, second_child(t)
+    for _ in range(levels):
+        child = 1 - t + t * lost
+        lost = child * (1 - second + second * child)
+    return int(np.ceil(np.log(miss) / np.log1p(-(t**steps) * (1 - lost))))
+
+
+def walk(reps: DataFrame, first: int, trees: int, steps: int) -> DataFrame:
+    """tree, node and sid of each set in each of the trees from ``first`` on, after its first ``steps`` turns."""
     roots = seeds(trees, "tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = _sketches(b.column(1))
-            for t in range(trees):
+            for t in range(first, trees):
                 path = np.full(len(sig), roots[t], np.uint64)
                 for _ in range(steps):
                     path = _step(path, sig, 0)
@@ -324,7 +342,7 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 85, trees: int = 10, steps: int = 3, node_limit: int = 1024, most_levels: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 85, trees: int = 10, steps: int = 3, node_limit: int = 1024, most_levels: int = 16, miss: float = 1e-4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
     Words lie between ASCII white space, A-Z in lower case; a set holds the
@@ -334,9 +352,11 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     one vertex from the start, so copies cost no comparison.
 
     A pair at the threshold t = percent / 100 meets in a tree with probability
-    t ** steps, so all ``trees`` miss it with (1 - t ** steps) ** trees, about one
-    in 14,000 by default. Nodes of more than ``node_limit`` sets are branched
-    again, at most ``most_levels`` times; their sets are also compared with one
+    t ** steps. Nodes of more than ``node_limit`` sets are branched again, at most
+    ``most_levels`` times, and a pair in them stays together less often. There
+    are ``trees`` trees or, if more, as many as miss such a pair with probability
+    ``miss`` at most; where nodes were branched on, as many more, for the sets of
+    large nodes, as that takes. Sets of large nodes are also compared with one
     pivot each. What is then still too large agrees on all values turned on, is
     cut into parts by hash, and its parts are tied together by the pivot.
 
@@ -352,21 +372,30 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     least = t - 4 * (t * (1 - t) / COORDINATES) ** 0.5
     sketches = tables.save(sketch(docs, shingle_words))
     reps = tables.save(sketches.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
-    level, nodes, pivoted = walk(reps, trees, steps), [], []
-    for depth in range(most_levels + 1):
-        level = tables.save(level)
-        sizes = level.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = tables.save(level.join(sizes, ["tree", "node"]))
-        nodes.append(level.where(F.col("n") <= node_limit).drop("n"))
-        large = level.where(F.col("n") > node_limit).drop("n")
-        if large.isEmpty():
-            break
-        large = tables.save(large.join(reps.drop("doc_id"), "sid"))
-        pivoted.append(tables.save(_to_pivots(large, least, t)))
-        if depth < most_levels:
-            level = branch(large, 1 / t - 1)
-        else:
-            nodes.append(tables.save(_pairs_of_parts(large, node_limit)))
+    nodes, pivoted, crowd, first, trees = [], [], reps, 0, max(trees, trees_needed(t, steps, 0, miss))
+    while first < trees:
+        level, crowded = walk(crowd, first, trees, steps), None
+        for depth in range(most_levels + 1):
+            level = tables.save(level)
+            sizes = level.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            level = tables.save(level.join(sizes, ["tree", "node"]))
+            nodes.append(level.where(F.col("n") <= node_limit).drop("n"))
+            large = level.where(F.col("n") > node_limit).drop("n")
+            if large.isEmpty():
+                depth -= 1
+                break
+            large = tables.save(large.join(reps.drop("doc_id"), "sid"))
+            crowded = large.select("sid") if crowded is None else crowded.unionByName(large.select("sid"))
+            pivoted.append(tables.save(_to_pivots(large, least, t)))
+            if depth < most_levels:
+                level = branch(large, second_child(t))
+            else:
+                depth -= 1
+                nodes.append(tables.save(_pairs_of_parts(large, node_limit)))
+        # Levels are counted by the branchings; sets that no large node holds lose nothing by them.
+        first, trees = trees, max(trees, trees_needed(t, steps, depth + 1, miss))
+        if first < trees:
+            crowd = tables.save(crowd.join(crowded.distinct(), "sid", "left_semi"))
     small = nodes[0]
     for n in nodes[1:]:
         small = small.unionByName(n)
