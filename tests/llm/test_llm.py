@@ -340,6 +340,19 @@ def test_languages_of_held_out_rows(docs, odd, none):
 # Classifiers
 
 
+def test_narrow_margins_are_rejected_and_clean_rows_stay(shipped, docs):
+    """Gibberish goes, long and short; texts of one language stay."""
+    rnd = random.Random(8)
+    gibberish = [(n, " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 10))) for _ in range(300 if n < 100 else 6))) for n in range(200)]
+    kept = corpus_pipeline.identify_language
+    learnt = language_id.fit_languages(docs)
+    left = language_id.keep_identified(shipped.createDataFrame(gibberish, "doc_id bigint, text string"), learnt, min_margin=0.05).collect()
+    assert sum(r.doc_id < 100 for r in left) <= 2
+    assert sum(r.doc_id >= 100 for r in left) <= 50
+    clean = docs.where("octet_length(text) >= 256 AND lang IS NOT NULL")
+    assert kept(shipped, docs, "").join(clean.select("doc_id"), "doc_id", "left_semi").count() >= 0.97 * clean.count() > 0
+
+
 @pytest.mark.parametrize(("classify", "label", "threshold", "least"), [(quality.classify_quality, "quality", 0.3, 0.95), (toxicity.classify_toxicity, "toxic", 0.5, 0.88)])
 def test_classifiers_on_held_out_rows(shipped, odd, none, classify, label, threshold, least):
     base = "/root/testdata/sf0.01"

@@ -19,7 +19,7 @@ LETTER = regex.compile(r"\p{L}")
 LEVEL = 9
 #: Where the best two tie, as they may for a few words, texts are encoded again at this level, with matches of three bytes too.
 CLOSER = 13
-#: Texts of fewer bytes aren't rejected for a narrow margin: so few words can't give a wide one.
+#: Texts of fewer bytes are judged by bytes: so few words can't give a share that tells, but must give one byte.
 JUDGED = 256
 UNKNOWN = "und"
 #: Texts are encoded in blocks of this many bytes, so that a long one leans on the dictionary and not on itself.
@@ -112,8 +112,9 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFra
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, min_margin: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is identified; no shuffle.
 
-    Rejected are texts that are null or hold no letter, and those of at least
-    ``JUDGED`` bytes whose margin is below ``min_margin``.
+    Rejected are texts that are null or hold no letter, those of at least
+    ``JUDGED`` bytes whose margin is below ``min_margin``, and, if that isn't 0,
+    shorter ones whose best two languages tie to the byte, in the closer encoding too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
 
@@ -123,7 +124,7 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, min_marg
             keep = []
             for text in column(b):
                 name, _, margin = classify(text)
-                keep.append(name != UNKNOWN and (margin >= min_margin or len(text) < JUDGED))
+                keep.append(name != UNKNOWN and (margin >= min_margin if len(text) >= JUDGED else margin > 0 or min_margin <= 0))
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
