@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridelta.functions import paths, text
-from veridelta.operators import core, coverage, documents, fuzz, graph, mutation, observe, report
+from veridelta.operators import core, coverage, documents, fuzz, graph, mutation, observe, report, sequences
 from veridelta.sources import lines
 from veridelta.streaming import limiter, replay
 
@@ -109,19 +109,30 @@ def test_edit_scripts_are_shortest_and_rebuild_the_text():
     rnd = random.Random(7)
     for n in range(300):
         a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(12))) for _ in range(2))
-        edits = documents.edit_script(a, b)
+        edits = sequences.edit_script(a, b)
         gone, new = [i for i, _ in edits if i >= 0], [j for _, j in edits if j >= 0]
         kept = [c for i, c in enumerate(a) if i not in gone]
         assert kept == [c for j, c in enumerate(b) if j not in new], (a, b)
         assert len(gone) + len(new) == brute_distance(a, b), (a, b)
-    assert documents.edit_script("abc", "abc") == []
-    assert documents.edit_script("ax" * 5, "by" * 5, most=2) == [(i, i) for i in range(10)]
+    assert sequences.edit_script("abc", "abc") == []
+    assert sequences.edit_script("ax" * 5, "by" * 5, most=2) == [(i, i) for i in range(10)]
+    assert sequences.gaps("qaxz", "qbyz", most=3) == ([(range(1, 3), range(1, 3))], False)
+    long = [str(n) for n in range(3000)]
+    assert sequences.edit_script(long, long[:50] + ["new"] + long[51:]) == [(50, 50)]
+    assert len(sequences.anchors(long, long[::-1])[0]) == 1
+
+
+def test_edits_apply_to_nulls_empty_and_repeated_items(spark):
+    rows = [("a", ["x", "x", "y"], ["x", "y", "y", "z"]), ("b", [], ["n"]), ("c", ["n"], []), ("d", None, None), ("e", ["q"], ["q"])]
+    pairs = make(spark, rows, "id string, before array<string>, after array<string>")
+    got = {r.id: (r.edits, r.after) for r in sequences.apply_edits(pairs, sequences.sequence_diff(pairs)).collect()}
+    assert got == {"a": (3, ["x", "y", "y", "z"]), "b": (1, ["n"]), "c": (1, []), "d": (0, []), "e": (0, ["q"])}
 
 
 def test_replaced_terms():
-    assert documents.replaced_terms("pay Acme Corp now", "pay Widget Inc now") == [("Acme Corp", "Widget Inc")]
-    assert documents.replaced_terms("ask Acme or Acme", "ask Widget or Acme") == []
-    assert documents.replaced_terms("", "x") == []
+    assert sequences.replaced_terms("pay Acme Corp now", "pay Widget Inc now") == [("Acme Corp", "Widget Inc")]
+    assert sequences.replaced_terms("ask Acme or Acme", "ask Widget or Acme") == []
+    assert sequences.replaced_terms("", "x") == []
 
 
 @pytest.mark.parametrize(("formula", "to", "want"), [("A1+$B$2", "C5", "C5+$B$2"), ('A1&"A1"', "B2", 'B2&"A1"'), ("SUM(A1:A3)", "A2", "SUM(A2:A4)")])

@@ -202,12 +202,6 @@ def _(part):
     return part.select(F.col("p_partkey").cast("string").alias("id"), fix(broken).alias("fixed"))
 
 
-@query("seq2_shortest_script", python=True)
-def _(versions):
-    t = versions.where("before IS NOT NULL").select(F.concat_ws("/", "doc", "version").alias("id"), F.split("before", " ").alias("before"), F.split("after", " ").alias("after"))
-    return dc.sequence_diff(t).groupBy("id").agg(F.count(F.lit(1)).alias("edits"))
-
-
 @query("gra15_search_budget", "SELECT count(*) AS found, max(total) AS total, bool_or(total > 10) AS truncated FROM (SELECT node, count(*) OVER () AS total FROM (SELECT dst AS node FROM edges WHERE src = 'component:ASIA' UNION SELECT b.dst FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = 'component:ASIA') LIMIT 10)")
 def _(edges):
     found = tools.bounded_neighbors(edges.where("kind = 'contains'"), "component:ASIA", 10)

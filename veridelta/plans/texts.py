@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veridelta.functions import paths as fp
 from veridelta.functions import text as tx
 from veridelta.operators import documents as dc
+from veridelta.operators import sequences as sq
 from veridelta.registry import query
 from veridelta.sources import lines as src
 
@@ -511,21 +512,51 @@ def _(documents):
     return t.where(tx.whole_word(F.col("l"), F.lit("License"))).select("doc_id", (F.col("n") + 1).alias("line")).orderBy("doc_id", "line").limit(100)
 
 
-# Sequences: no SQL says what a shortest edit script is; tests hold these against brute force.
+# Sequences: a common subsequence's length row by row, in SQL.
 
+COMMON = (
+    ", dp AS (SELECT id, 0 AS i, j, 0 AS v FROM x, unnest(range(0, len(b) + 1)) AS r(j) UNION ALL SELECT id, i + 1, j, max(c) OVER (PARTITION BY id ORDER BY j) FROM "
+    "(SELECT d.id, d.i, d.j, CASE WHEN j > 0 AND a[i + 1] = b[j] THEN lag(v) OVER (PARTITION BY d.id ORDER BY j) + 1 ELSE v END AS c FROM dp d JOIN x USING (id) WHERE i < len(a))), "
+    "n AS (SELECT id, len(a) + len(b) - 2 * v AS edits FROM dp JOIN x USING (id) WHERE i = len(a) AND j = len(b))"
+)
 
-@query("seq1_sequence_diff", python=True)
-def _(versions):
-    t = versions.where("before IS NOT NULL").select(F.concat_ws("/", s("doc"), s("version")).alias("id"), F.split("before", "\n").alias("before"), F.split("after", "\n").alias("after"))
-    return dc.sequence_diff(t)
+
+def turns(versions, split):
+    return versions.where("before IS NOT NULL").select(F.concat_ws("/", s("doc"), s("version")).alias("id"), F.split("before", split).alias("before"), F.split("after", split).alias("after"))
 
 
-@query("seq3_replaced_terms", python=True)
+@query("seq1_sequence_diff", f"WITH RECURSIVE x AS (SELECT concat(doc, '/', version) AS id, string_split(before, chr(10)) AS a, string_split(after, chr(10)) AS b FROM versions WHERE before IS NOT NULL) {COMMON} SELECT id, CAST(edits AS BIGINT) AS edits, array_to_string(b, chr(10)) AS after FROM n JOIN x USING (id)", python=True)
 def _(versions):
-    return dc.term_changes(versions.where("before IS NOT NULL").select(F.concat_ws("/", s("doc"), s("version")).alias("id"), "before", "after"))
+    t = turns(versions, "\n")
+    return sq.apply_edits(t, sq.sequence_diff(t)).withColumn("after", F.array_join("after", "\n"))
 
 
-@query("seq4_word_compare", python=True)
+@query("seq2_shortest_script", f"WITH RECURSIVE x AS (SELECT concat(doc, '/', version) AS id, string_split(before, ' ') AS a, string_split(after, ' ') AS b FROM versions WHERE before IS NOT NULL) {COMMON} SELECT id, CAST(edits AS BIGINT) AS edits FROM n WHERE edits > 0", python=True)
 def _(versions):
-    t = versions.where("before IS NOT NULL").select(F.concat_ws("/", s("doc"), s("version")).alias("id"), F.split("before", "\n").alias("before"), F.split("after", "\n").alias("after"))
-    return dc.sequence_diff(t).select("id", "i", "j", F.array_join(tx.text_rules(F.col("before"), F.col("after")), ",").alias("rules"))
+    e = sq.sequence_diff(turns(versions, " "), most=None)
+    return e.groupBy("id").agg(F.sum((F.col("i") >= 0).cast("int") + (F.col("j") >= 0).cast("int")).alias("edits"))
+
+
+TERMS = "SELECT CAST(p_partkey AS VARCHAR) AS id, concat('Firm ', chr(CAST(65 + p_partkey % 26 AS INT)), 'abc') AS term, CASE WHEN p_partkey % 4 <> 0 THEN concat('House ', chr(CAST(65 + p_partkey % 24 AS INT)), 'xyz') END AS replacement FROM part WHERE p_partkey % 3 <> 0"
+
+
+@query("seq3_replaced_terms", TERMS, python=True)
+def _(part):
+    k, letter = F.col("p_partkey"), lambda n: F.char(65 + F.col("p_partkey") % n)
+    firm, house = F.concat(F.lit("Firm "), letter(26), F.lit("abc")), F.concat(F.lit("House "), letter(24), F.lit("xyz"))
+    text = lambda name, end: F.concat(F.lit("We pay "), name, F.lit(" for "), "p_name", F.lit(" in 2024, and of the"), end)
+    # Of every fourth the article goes too, so stretches and replacements don't correspond; every third keeps its term.
+    after = F.when(k % 3 == 0, text(F.concat(house, F.lit(" or "), firm), F.lit(""))).when(k % 4 == 0, F.concat(F.lit("We pay "), house, F.lit(" for "), "p_name", F.lit(" in 2024, of the")))
+    return sq.term_changes(part.select(k.cast("string").alias("id"), text(firm, F.lit("")).alias("before"), F.coalesce(after, text(house, F.lit(""))).alias("after")))
+
+
+WORD = PROSE[: PROSE.index("SELECT id, array_to_string")] + ", r AS (" + PROSE[PROSE.index("SELECT id, array_to_string") :] + ") SELECT CAST(id // 200 AS VARCHAR) AS id, i, i AS j, rules FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id // 200 ORDER BY id) - 1 AS BIGINT) AS i FROM r) WHERE rules <> ''"
+
+
+@query("seq4_word_compare", WORD, python=True)
+def _(orders):
+    paragraph = lambda c: F.concat(F.lit("Section "), s("id"), F.lit(". "), c)
+    text = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("id", paragraph(c).alias("t")))), lambda x: x["t"]).alias(c)
+    docs = prose(orders).groupBy(F.floor(F.col("id") / 200).cast("string").alias("doc")).agg(text("before"), text("after"))
+    edits = sq.sequence_diff(docs.withColumnRenamed("doc", "id"))
+    return edits.select("id", "i", "j", F.array_join(tx.text_rules(F.col("before"), F.col("after")), ",").alias("rules"))
