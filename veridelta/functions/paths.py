@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SOURCE = ("go", "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "rs", "java", "kt", "kts", "cs", "c", "h", "cpp", "hpp", "rb", "php", "swift", "sql", "sh")
 #: Names of dependency manifests and lock files.
 MANIFESTS = (
-    "go.mod", "go.sum", "go.work", "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "cargo.toml", "cargo.lock", "requirements.txt",
+    "go.mod", "go.sum", "go.work", "go.work.sum", "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "bun.lockb", "cargo.toml", "cargo.lock", "requirements.txt",
     "pyproject.toml", "poetry.lock", "uv.lock", "pipfile", "pipfile.lock", "gemfile", "gemfile.lock", "pom.xml", "build.gradle", "build.gradle.kts", "composer.json", "composer.lock",
 )
 #: The language of a file ending.
@@ -58,7 +58,12 @@ def is_test(path: Column) -> Column:
 def is_low_noise(path: Column) -> Column:
     """Whether samples are expected in a file: documentation, licenses, tests."""
     low = F.lower(path)
-    return extension(path).isin("md", "rst", "txt", "adoc", "html") | base_name(low).rlike("^(license|notice|authors|codeowners)") | is_test(path) | F.concat(F.lit("/"), low).rlike("/(testdata|docs|examples)/")
+    return extension(path).isin("md", "rst", "txt", "adoc", "html") | base_name(low).rlike("^(license|notice|authors|codeowners)") | is_test(path) | F.concat(F.lit("/"), low).rlike("/(testdata|fixtures)/")
+
+
+def is_documentation(path: Column) -> Column:
+    """Whether a file is prose, where settings are quoted rather than made."""
+    return extension(path).isin("md", "rst", "adoc")
 
 
 def language(path: Column) -> Column:

@@ -13,9 +13,17 @@ STRONG = r"(?i)\b(shall|must|will)\b"
 WEAK = r"(?i)\b(may|might|could|should)\b"
 NEGATION = r"(?i)\b(not|never|no|without|nicht|kein|pas|jamais|sans|nunca|sin)\b"
 SENSITIVE = r"(?i)\b(payment|liabilit(y|ies)|terminat(e|ion)|penalt(y|ies)|refund|warrant(y|ies)|confidential)"
-#: Texts that look like secrets; each is replaced by the marker. The last group of words keeps the key.
-SECRETS = (r"AKIA[0-9A-Z]{16}", r"glpat-[0-9A-Za-z_-]{20,}", r"xox[abprs]-[0-9A-Za-z-]{10,}", r"(?i)(password|passwd|secret|api_key|token)=[^\s&]+")
-PASSES = 3
+#: Forms of credentials, in the order in which they are masked. White space is that of ASCII.
+SECRETS = (
+    r"(?is)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)",
+    r"(?i)Bearer[\t\n\f\r ]+[A-Za-z0-9._~+/=-]+",
+    r"(?i)(?:api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|secret|password|passwd|authorization)[\"']?[\t\n\f\r ]*[=:][\t\n\f\r ]*[\"']?[^\t\n\f\r ,\"'}]+",
+    r"(?:sk-[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9_]{8,}|github_pat_[A-Za-z0-9_]{8,}|AKIA[A-Z0-9]{16})",
+    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    r"://[^\t\n\f\r /@:]+:[^\t\n\f\r /@]+@",
+)
+#: Fixed value: a text that so many passes don't settle is masked whole.
+PASSES = 9
 
 
 def squeeze(c: Column) -> Column:
@@ -23,12 +31,33 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def _lines_of(t: Column) -> Column:
+    return F.repeat(F.lit("\n"), F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))))
+
+
+def _masked(t: Column, pattern: Column) -> Column:
+    """A text with the marker, and the line ends that it held, in place of each match."""
+    found = F.transform(F.regexp_extract_all(t, pattern, F.lit(0)), lambda m: F.concat(F.lit(MARKER), _lines_of(m)))
+    between = F.split(t, pattern, -1)
+    joined = F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.regexp_like(t, pattern), F.array_join(joined, "")).otherwise(t)
+
+
 def redact(c: Column) -> Column:
-    """Secrets replaced by the marker, in a fixed number of passes; lines stay lines."""
-    for _ in range(PASSES):
-        for p in SECRETS:
-            c = F.regexp_replace(c, p, MARKER.replace("[", r"[").replace("$", r"\$"))
-    return c
+    """A text with its credentials masked; lines stay lines, and masking again changes nothing.
+
+    A masked text may complete another match, so the rules are repeated until
+    nothing changes. Texts without any match cost one pattern.
+    """
+    rules = F.array(*map(F.lit, SECRETS))
+    once = lambda t: F.aggregate(rules, t, _masked)
+    step = lambda s, _: F.when(s["same"], s).otherwise(
+        F.element_at(F.transform(F.array(once(s["text"])), lambda n: F.struct(n.alias("text"), (n == s["text"]).alias("same"))), 1)
+    )
+    start = F.struct(c.alias("text"), F.lit(False).alias("same"))
+    settled = F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), start, step, lambda s: F.when(s["same"], s["text"]).otherwise(F.concat(F.lit(MARKER), _lines_of(s["text"]))))
+    any_of = "|".join(f"(?:{p})" for p in SECRETS)
+    return F.when(c.rlike(any_of), settled).otherwise(c)
 
 
 def dates(c: Column) -> Column:
@@ -123,3 +152,37 @@ def column_number(ref: Column) -> Column:
 
 def row_number_of(ref: Column) -> Column:
     return F.regexp_extract(ref, r"(\d+)$", 1).try_cast("int")
+
+
+def alert_topic(kind: Column, severity: Column) -> Column:
+    """What feedback on an alert is counted under."""
+    return F.when(kind == "coverage", "coverage").when(severity.isin("high", "critical"), F.concat(F.lit("risk:"), kind)).otherwise(F.concat(F.lit("signal:"), kind))
+
+
+#: Fixed value: a default of a build file.
+ASSIGNMENT = r"^ARG ([A-Za-z_][A-Za-z0-9_]*)=([A-Za-z0-9_./:@+-]+)$"
+
+
+def assignment(line: Column) -> Column:
+    """The name and value that a line of a build file gives a default; both empty where it gives none."""
+    return F.struct(F.regexp_extract(line, ASSIGNMENT, 1).alias("name"), F.regexp_extract(line, ASSIGNMENT, 2).alias("value"))
+
+
+def edit_key(edits: Column) -> Column:
+    """The hash of edits, an array of (line, kind, content), in order of their lines."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(edits), lambda e: F.concat_ws(" ", e["kind"], e["content"])), "\n"), 256)
+
+
+def dependency_name(name: Column, ecosystem: Column) -> Column:
+    """A package's name as its ecosystem compares it: Python's in lower case with runs of separators as one hyphen, others as they are."""
+    return F.when(ecosystem == "python", F.regexp_replace(F.lower(name), "[-_. ]+", "-")).otherwise(name)
+
+
+def exported(name: Column) -> Column:
+    """Whether the last element of a dotted name begins with a capital."""
+    return F.regexp_extract(name, "[^.]*$", 0).rlike("^[A-Z]")
+
+
+def tokens_digest(text: Column, comment: str = r"\[[^\]]*\]") -> Column:
+    """The hash of a text's tokens: what ``comment`` matches, and how much white space there is, make no difference."""
+    return F.sha2(F.array_join(F.regexp_extract_all(F.regexp_replace(text, comment, ""), F.lit(r"[^ \n\t\r]+"), F.lit(0)), " "), 256)

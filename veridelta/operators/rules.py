@@ -1,28 +1,14 @@
-"""Line rules: secrets, weakened tests, branch growth, and what they add up to."""
+"""Line rules: weakened tests, branch growth, and what they add up to."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridelta.functions import paths
 
-from .core import occurrence, top_with_total
-
-#: (kind, severity, needle, pattern): lines without the needle can't match, which is cheap to tell. Patterns are in the subset that both engines read alike.
-SECURITY = (
-    ("secret", "high", "AKIA", r"AKIA[0-9A-Z]{16}"),
-    ("secret", "high", "=", r"(password|passwd|secret|api_key|token)=[0-9A-Za-z]{8,}"),
-    ("url_credential", "high", "://", r"[a-z]+://[^\s/:@]+:[^\s/@]+@"),
-    ("email", "low", "@", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("ip", "low", ".", r"(^|[^0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}([^0-9.]|$)"),
-    ("debug", "medium", "", r"(DEBUG ?= ?(True|1)|debug: true)"),
-)
-LOW_NOISE = ("email", "ip")
-PER_KIND = 3
+from .core import occurrence
+
 BRANCH = r"(^|[^a-z])(if|for|case|switch|while) "
 ASSERTION = r"(assert|expect)[ (]"
 BRANCH_GROWTH = 5
@@ -33,28 +19,6 @@ def file_lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.posexplode(F.split("text", "\n")).alias("n", "content")).select("path", (F.col("n") + 1).alias("line"), "content")
 
 
-def security_hits(lines: DataFrame, rules: tuple = SECURITY) -> DataFrame:
-    """A row for each line and rule that match: path, line, kind, severity, rule. Rules are one expression over the line, not a join."""
-    low = paths.is_low_noise(F.col("path"))
-    line = F.col("content")
-
-    def test(kind: str, needle: str, pattern: str) -> Column:
-        found = F.contains(line, F.lit(needle)) & line.rlike(pattern) if needle else line.rlike(pattern)
-        return found & ~low if kind in LOW_NOISE else found
-
-    hits = F.array(*(F.when(test(k, n, p), F.struct(F.lit(i).alias("rule"), F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for i, (k, s, n, p) in enumerate(rules)))
-    # Most lines match nothing: one condition drops them before the array is built.
-    return lines.where(reduce(or_, (test(k, n, p) for k, _, n, p in rules))).select("path", "line", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("path", "line", "h.*")
-
-
-def security_signals(lines: DataFrame, per_kind: int = PER_KIND) -> DataFrame:
-    """The first hits of each kind in a file, in order of its rules' first hits, and how many lines each rule hit in all."""
-    same = Window.partitionBy("path", "rule")  # hits of one rule in one file
-    ordered = security_hits(lines).withColumn("first", F.min("line").over(same)).withColumn("hits", F.count(F.lit(1)).over(same))
-    kept = top_with_total(ordered, ["path", "kind"], [F.col("first"), F.col("rule"), F.col("line")], per_kind)
-    return kept.select("path", "line", "kind", "severity", "rule", "hits")
-
-
 def growth(diff: DataFrame, pattern: str = BRANCH, least: int = 1) -> DataFrame:
     """Files where added lines that match outnumber removed ones by at least ``least``."""
     hit = diff.where(F.col("content").rlike(pattern))
@@ -114,20 +78,6 @@ def function_risk(name: Column) -> Column:
     return F.when(n.rlike("(?i)(authori[sz]|authenticat|password|login|logout|csrf|permission)"), "auth").when(n.rlike("(?i)(payment|refund|charge|withdraw|deposit|balance)"), "money").otherwise("none")
 
 
-CREDENTIALS = ("secret", "private_key", "url_credential")
-
-
-def adjusted_severity(kind: Column, severity: Column, test: Column, docs: Column) -> Column:
-    """A severity lowered where a match is less likely to be live: medium in tests; in documentation low, but medium for credentials."""
-    return F.when(severity == "low", "low").when(docs & ~kind.isin(*CREDENTIALS), "low").when(test | docs, "medium").otherwise(severity)
-
-
-def mixed_enough(v: Column) -> Column:
-    """Whether a text mixes kinds of characters as secrets do."""
-    kinds = v.rlike("[a-z]").cast("int") + v.rlike("[A-Z]").cast("int") + v.rlike("[0-9]").cast("int") + v.rlike("[^A-Za-z0-9]").cast("int")
-    return (kinds >= 3) | ((kinds >= 2) & v.rlike("[0-9]") & (F.length(v) >= 16))
-
-
 def strictness(line: Column) -> Column:
     """strict, loose, both or none: how exactly an expectation is put."""
     s, w = line.rlike(r"(==|toBe\(|assertEqual|toEqual)"), line.rlike(r"(>=|<=|<|>|toBeTruthy|assertTrue|contains)")
@@ -138,3 +88,8 @@ def comparisons(line: Column) -> Column:
     """Whether a line has an equality with something but null, and whether it has an ordering; shifts and arrows aren't any."""
     bare = F.regexp_replace(F.regexp_replace(line, r"<<|>>|->|=>|<-", " "), r"[!=]=\s*(nil|null|None)\b", " ")
     return F.struct(bare.rlike("[!=]=").alias("equality"), bare.rlike("[<>]").alias("ordering"))
+
+
+def live_paths(files: DataFrame) -> DataFrame:
+    """Distinct paths of files that the change doesn't delete."""
+    return files.where("status <> 'D'").select("path").distinct()

@@ -1,4 +1,4 @@
-"""Line-oriented sources: patches, coverage profiles, manifests, requirement lists, criteria.
+"""Line-oriented sources: coverage profiles, manifests, requirement lists, criteria.
 
 Each reads a table of texts (id, text) and works on its lines (id, n, line): what
 a parser would keep as state is a running value over the lines of one text.
@@ -33,29 +33,6 @@ def hunk_header(line: Column) -> Column:
     return F.when(line.rlike(p), F.struct(part(1).alias("old_start"), part(2).alias("old_count"), part(3).alias("new_start"), part(4).alias("new_count")))
 
 
-def unified_patch(texts: DataFrame) -> DataFrame:
-    """Lines of hunks: id, path, hunk, pos, kind, old_line, new_line, content.
-
-    Paths and hunk numbers are running values over a text's lines, line numbers
-    running sums within a hunk.
-    """
-    w = _before(["id"])
-    raw = lines(texts).withColumn("h", hunk_header(F.col("line"))).withColumn("hunk", F.count("h").over(w))
-    named = raw.withColumn("path", F.last(F.when(F.col("line").rlike(r"^\+\+\+ "), F.regexp_replace(F.regexp_replace("line", r"^\+\+\+ ", ""), "^b/", "")), ignorenulls=True).over(w))
-    filed = named.withColumn("_file", F.sum(F.when(F.col("line").rlike("^diff --git "), 1).otherwise(0)).over(w)).withColumn("_head", F.max(F.when(F.col("h").isNotNull(), F.col("_file"))).over(Window.partitionBy("id", "hunk")))
-    body = filed.where((F.col("hunk") > 0) & F.col("h").isNull() & (F.col("_file") == F.col("_head")) & F.col("line").rlike(r"^[ +\-]") & ~F.col("line").rlike(r"^(\+\+\+|---) "))
-    starts = filed.where("h IS NOT NULL").select("id", "hunk", "h.old_start", "h.new_start")
-    kind = F.when(F.col("line").startswith("+"), "add").when(F.col("line").startswith("-"), "delete").otherwise("context")
-    k = body.withColumn("kind", kind).join(starts, ["id", "hunk"])
-    run = _before(["id", "hunk"])
-    old = F.col("old_start") + F.sum((F.col("kind") != "add").cast("int")).over(run) - 1
-    new = F.col("new_start") + F.sum((F.col("kind") != "delete").cast("int")).over(run) - 1
-    return k.select(
-        "id", "path", "hunk", F.row_number().over(Window.partitionBy("id", "hunk").orderBy("n")).alias("pos"), "kind",
-        F.when(F.col("kind") != "add", old).alias("old_line"), F.when(F.col("kind") != "delete", new).alias("new_line"), F.substring("line", 2, 1 << 30).alias("content"),
-    )
-
-
 def name_status(texts: DataFrame) -> DataFrame:
     """status, path and old path of NUL-separated records: renames and copies have two paths, others one."""
     w = Window.partitionBy("id").orderBy("n")
@@ -252,3 +229,70 @@ def fuzz_stream(texts: DataFrame) -> DataFrame:
     end = t.where("j.state IS NOT NULL").groupBy("id").agg(F.max("j.state").alias("_end"))
     state = F.when(~F.coalesce("_ok", F.lit(True)), "invalid").when(F.col("_end").isNotNull(), F.col("_end")).otherwise("interrupted")
     return texts.select("id").join(g, "id", "left").join(end, "id", "left").select("id", F.coalesce("records", F.lit(0)).alias("records"), state.alias("state"))
+
+
+def jest_observations(texts: DataFrame) -> DataFrame:
+    """(test, key, value) of JSON reports ``{"observed": {test: {key: value}}}``; values that aren't texts as their JSON. A text that is none gives no rows."""
+    j = F.from_json("text", "observed map<string,map<string,string>>")
+    t = texts.select("id", F.explode(j["observed"]).alias("test", "o"))
+    return t.select("id", "test", F.explode("o").alias("key", "value"))
+
+
+def junit_observations(texts: DataFrame, prefix: str = "observe.") -> DataFrame:
+    """(test, key, value) of the properties of named cases whose name has a prefix; repeated keys stay."""
+    x = F.from_xml("text", "testcase array<struct<_name string, properties struct<property array<struct<_name string, _value string>>>>>")
+    c = texts.select("id", F.explode(x["testcase"]).alias("c")).select("id", F.col("c._name").alias("test"), F.explode("c.properties.property").alias("p"))
+    return c.where(F.startswith("p._name", F.lit(prefix))).select("id", "test", F.substring("p._name", len(prefix) + 1, 1 << 20).alias("key"), F.col("p._value").alias("value"))
+
+
+#: Fixed value: states that end a stream of results.
+ENDS = ("complete", "interrupted", "timeout")
+
+
+def fuzz_results(texts: DataFrame) -> DataFrame:
+    """Records (id, i, call, sha256, length) of normalised result streams: a header line with the plan, a record a line, an end.
+
+    A stream fails the read where its JSON can't be read, the header isn't the
+    first line or doesn't count its calls, an index isn't the next one or is
+    beyond the plan, a call isn't the planned one, a hash isn't 64 hexadecimal
+    digits, a length is negative, or the end isn't the last line; a complete
+    stream must hold all that was planned.
+    """
+    fields = "planned int, calls array<string>, i int, call string, sha256 string, length bigint, state string"
+    t = lines(texts).where("trim(line) <> ''").withColumn("j", F.from_json("line", fields, {"mode": "FAILFAST"}))
+    w = Window.partitionBy("id")
+    o = w.orderBy("n")
+    t = t.withColumn("place", F.row_number().over(o) - 1).withColumn("last", F.count(F.lit(1)).over(w) - 1).withColumn("h", F.first("j").over(o))
+    head, end = F.col("j.planned").isNotNull(), F.col("j.state").isNotNull()
+    i = F.col("j.i")
+    reason = (
+        F.when(head != (F.col("place") == 0), "header out of place").when(head & (F.col("j.planned") != F.size("j.calls")), "plan doesn't count its calls").when(head, F.lit(None))
+        .when(end != (F.col("place") == F.col("last")), "end out of place").when(end & ~F.col("j.state").isin(*ENDS), "unknown end")
+        .when(end & (F.col("j.state") == "complete") & (F.col("last") - 1 != F.col("h.planned")), "complete without all records").when(end, F.lit(None))
+        .when(i.isNull() | (i != F.col("place") - 1), "index out of order").when(i >= F.col("h.planned"), "index beyond the plan")
+        .when(~F.col("j.call").eqNullSafe(F.get("h.calls", i)), "call isn't the planned one").when(~F.coalesce(F.col("j.sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "no hash").when(~F.coalesce(F.col("j.length") >= 0, F.lit(False)), "no length")
+    )
+    checked = t.withColumn("j", F.when(reason.isNotNull(), F.raise_error(F.concat(F.col("id"), F.lit(": "), reason))).otherwise(F.col("j")))
+    return checked.where("j.i IS NOT NULL OR j.state IS NOT NULL OR j.planned IS NOT NULL").where("j.i IS NOT NULL").select("id", "j.i", "j.call", "j.sha256", "j.length")
+
+
+#: Where the title and the text stand in what each tracker returns.
+TRACKERS = {
+    "jira": ("key string, fields struct<summary string, description string>", "key", "fields.summary", "fields.description"),
+    "linear": ("data struct<issue struct<identifier string, title string, description string>>", "data.issue.identifier", "data.issue.title", "data.issue.description"),
+    "notion": ("id string, title string, markdown string", "id", "title", "markdown"),
+    "docs": ("documentId string, title string, text string", "documentId", "title", "text"),
+}
+
+
+def issue_text(texts: DataFrame, tracker: str) -> DataFrame:
+    """The intent that an issue or document states, as Markdown: its title as a heading, then its text; white space at its ends goes.
+
+    Without a title the key is the heading; a body that can't be read gives null.
+    """
+    schema, key, title, text = TRACKERS[tracker]
+    j = F.from_json("text", schema)
+    t = texts.select("id", j.alias("j"))
+    head = F.coalesce(F.nullif(bare(F.col(f"j.{title}")), F.lit("")), F.col(f"j.{key}"))
+    body = bare(F.coalesce(f"j.{text}", F.lit("")))
+    return t.select("id", F.concat(F.lit("# "), head, F.when(body != "", F.concat(F.lit("\n\n"), body)).otherwise("")).alias("intent"))
