@@ -3,11 +3,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from veridelta.functions import text
 from veridelta.functions.repair import repair_json
 from veridelta.operators import tools
 from veridelta.session import ship
-from veridelta.sources import lexer, lines, packages, paged
+from veridelta.sources import apis, git, lexer, lines, packages, paged, patches
 
 
 def make(spark, rows, schema):
@@ -65,12 +67,117 @@ def test_listing_stops_at_a_short_page(spark):
     assert [r.name for r in paged.listing(make(spark, rows, "source string, page int, body string"), size=2).orderBy("place").collect()] == ["a", "c"]
 
 
+def test_listings_are_read_page_by_page_up_to_a_maximum(spark):
+    pages = {None: ([("a",), ("b",)], "2"), "2": ([("c",), ("d",)], "3"), "3": ([], None)}
+    for most, want in ((10, ["a", "b", "c", "d"]), (3, ["a", "b", "c"])):
+        apis.register_listing(spark, f"things{most}", "name string", lambda s, c: pages[c], lambda s: f"{s}!", most)
+        got = spark.read.format(f"things{most}").option("sources", "x,y").load().orderBy("source", "name").collect()
+        assert [tuple(r) for r in got] == [(s, f"{s}!", n) for s in "xy" for n in want]
+    assert spark.read.format("things10").load().count() == 0
+
+
 def test_patches_of_several_files(spark):
-    text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n a\n+b\n c\n@@ -9 +10 @@ f\n-d\n+e\n\\ No newline\ndiff --git a/y b/y\n--- a/y\n+++ b/y\n@@ -0,0 +1 @@\n+z"
-    got = [(r.path, r.kind, r.old_line, r.new_line, r.content) for r in lines.unified_patch(make(spark, [("1", text)], "id string, text string")).orderBy("hunk", "pos").collect()]
-    assert got == [("x", "context", 1, 1, "a"), ("x", "add", None, 2, "b"), ("x", "context", 2, 3, "c"), ("x", "delete", 9, None, "d"), ("x", "add", None, 10, "e"), ("y", "add", None, 1, "z")]
+    patch = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n a\n+b\n c\n@@ -9 +10 @@ f\n-d\n+e\n\\ No newline\ndiff --git a/y b/y\n--- a/y\n+++ b/y\n@@ -0,0 +1 @@\n+z"
+    got = [(r.path, r.hunk, r.kind, r.old_line, r.new_line, r.content) for r in patches.unified_patch(make(spark, [("1", patch)], "id string, text string")).orderBy("file", "hunk", "pos").collect()]
+    assert got == [("x", 1, "context", 1, 1, "a"), ("x", 1, "add", None, 2, "b"), ("x", 1, "context", 2, 3, "c"), ("x", 2, "delete", 9, None, "d"), ("x", 2, "add", None, 10, "e"), ("y", 1, "add", None, 1, "z")]
+
+
+def test_lines_that_look_like_headers_stay_lines(spark):
+    text = "diff --git a/q.sql b/q.sql\ndeleted file mode 100644\n--- a/q.sql\n+++ /dev/null\n@@ -1,3 +0,0 @@\n--- old comment\n-select 1\n-++ x\n"
+    plain = "--- a/m\t2024-01-01\n+++ b/m\n@@ -1,2 +1,2 @@\n-- x\n+++ y\n\n--- a/n\n+++ b/n\n@@ -1 +1 @@\n-a\n+b\n-- \n2.39.0"
+    rows = patches.unified_patch(make(spark, [("1", text), ("2", plain), ("3", None), ("4", "")], "id string, text string")).orderBy("id", "hunk", "pos").collect()
+    assert [(r.id, r.path, r.old_line, r.new_line, r.content) for r in rows] == [
+        ("1", "q.sql", 1, None, "-- old comment"), ("1", "q.sql", 2, None, "select 1"), ("1", "q.sql", 3, None, "++ x"),
+        ("2", "m", 1, None, "- x"), ("2", "m", None, 1, "++ y"), ("2", "m", 2, 2, ""), ("2", "n", 1, None, "a"), ("2", "n", None, 1, "b"),
+    ]
+
+
+def test_a_line_that_is_none_of_a_patch_fails_the_read(spark):
+    with pytest.raises(Exception, match="not a line of a patch"):
+        patches.unified_patch(make(spark, [("1", "diff --git a/x b/x\n@@ -1,2 +1,2 @@\n a\nx")], "id string, text string")).collect()
+
+
+def test_files_of_a_patch(spark):
+    text = (
+        "diff --git a/a b/a\n--- a/a\n+++ b/a\n@@ -1 +1 @@\n-old\n\\ No newline at end of file\n+new\n\\ No newline at end of file\ndiff --git a/b b/b\nold mode 100644\nnew mode 100755\n"
+        "diff --git a/o b/n\nsimilarity index 100%\nrename from o\nrename to n\ndiff --git a/i.png b/i.png\nnew file mode 100644\nBinary files /dev/null and b/i.png differ\n"
+        "diff --git a/l b/l\ndeleted file mode 100644\n--- a/l\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\ndiff --git a/l b/l\nnew file mode 120000\n--- /dev/null\n+++ b/l\n@@ -0,0 +1 @@\n+y\n"
+    )
+    got = patches.patch_files(make(spark, [("1", text)], "id string, text string"), most=3).orderBy("file").collect()
+    assert [(r.file, r.path, r.old_path, r.status, r.binary, r.hunks, r.additions, r.deletions, r.over_limit) for r in got] == [
+        (1, "a", "", "M", False, 1, 1, 1, True), (2, "b", "", "M", False, 0, 0, 0, True), (3, "n", "o", "R", False, 0, 0, 0, True), (4, "i.png", "", "A", True, 0, 0, 0, True), (5, "l", "", "T", False, 2, 1, 1, True),
+    ]
+
+
+def test_renames_pair_files_that_share_half(spark):
+    files = lambda *rows: make(spark, list(rows), "path string, content string")
+    text = "\n".join(f"line {n}" for n in range(20))
+    gone = files(("a", text), ("b", "other\nthing"), ("c", None))
+    new = files(("x", text.replace("line 3", "line three")), ("y", text), ("z", "nothing\nalike"))
+    assert [(r.old_path, r.path, r.similarity > 0.99) for r in git.renames(gone, new).collect()] == [("a", "y", True)]
+
+
+def fuzz(*lines_):
+    return "\n".join(map(json.dumps, lines_))
+
+
+H = "ab" * 32
+
+
+@pytest.mark.parametrize(
+    ("text", "reason"),
+    [
+        (fuzz({"planned": 2, "calls": ["f(1)"]}, {"state": "complete"}), "count its calls"), (fuzz({"i": 0, "call": "f(1)", "sha256": H, "length": 1}), "header out of place"),
+        (fuzz({"planned": 1, "calls": ["f(1)"]}, {"i": 1, "call": "f(1)", "sha256": H, "length": 1}, {"state": "interrupted"}), "index out of order"),
+        (fuzz({"planned": 1, "calls": ["f(1)"]}, {"i": 0, "call": "f(2)", "sha256": H, "length": 1}, {"state": "interrupted"}), "isn't the planned one"),
+        (fuzz({"planned": 1, "calls": ["f(1)"]}, {"i": 0, "call": "f(1)", "sha256": "x", "length": 1}, {"state": "interrupted"}), "no hash"),
+        (fuzz({"planned": 1, "calls": ["f(1)"]}, {"state": "complete"}), "complete without all"), (fuzz({"planned": 0, "calls": []}, {"state": "odd"}), "unknown end"),
+        (fuzz({"planned": 0, "calls": []}, {"state": "complete"}, {"i": 0}), "out of place"), ("{", "FAILFAST|JSON|MALFORMED"),
+    ],
+)
+def test_inconsistent_streams_fail(spark, text, reason):
+    with pytest.raises(Exception, match=reason):
+        lines.fuzz_results(make(spark, [("s", text)], "id string, text string")).collect()
 
 
 def test_another_report_version_fails(spark):
     with pytest.raises(Exception, match="unknown report version"):
         lines.report(make(spark, [("1", '{"schema_version":2}')], "id string, text string")).collect()
+
+
+#: Texts and what masking leaves of them.
+MASKED = {
+    "-----BEGIN RSA PRIVATE KEY-----\nMIIEabc\nxyz\n-----END RSA PRIVATE KEY-----": "[REDACTED]\n\n\n", "-----BEGIN PRIVATE KEY-----\nMIIEabc": "[REDACTED]\n", '{"password":"hunter2"}': '{"[REDACTED]"}', "client-secret: s3cr3t": "[REDACTED]",
+    "authorization=Bearer abc.def.ghi": "[REDACTED]", "://0:://0:0@@": "[REDACTED]", "password=\nBearer abc": "[REDACTED]\n", "://0:" * 12 + "0@" + "@" * 12: "[REDACTED]", "see https://example.com/docs and user@example.com": "see https://example.com/docs and user@example.com",
+    "[REDACTED]": "[REDACTED]", "": "",
+}
+
+
+def test_masking_settles_and_keeps_lines(spark):
+    df = make(spark, [*((k,) for k in MASKED), (None,)], "t string").withColumn("r", text.redact(F.col("t"))).withColumn("again", text.redact(F.col("r")))
+    got = df.collect()
+    assert {r.t: r.r for r in got} == MASKED | {None: None}
+    assert all(r.r == r.again for r in got)
+
+
+def test_search_masks_before_it_shows(spark):
+    docs = make(spark, [(1, "find me\npassword=find me"), (2, "findme find_me find me!"), (3, None)], "doc_id int, text string")
+    assert [(r.doc_id, r.line, r.text) for r in tools.search_snapshot(docs, "find").collect()] == [(1, 1, "find me"), (2, 1, "findme find_me find me!")]
+    assert [r.doc_id for r in tools.search_snapshot(docs, "find", symbol=True).collect()] == [1, 2]
+    assert [r.doc_id for r in tools.search_snapshot(docs, "find_me", symbol=True).collect()] == [2]
+    assert tools.search_snapshot(docs, "find", most_bytes=10).count() == 1
+    with pytest.raises(ValueError, match="256 bytes"):
+        tools.search_snapshot(docs, "")
+
+
+def test_mutation_sites_are_all_on_a_line(spark):
+    rows = [
+        ("p", 1, "add", 'if a == b && ok { // a < b'), ("p", 2, "add", "return a/b <= 3, nil"), ("p", 3, "add", 'return true, errors.New("same")'), ("p", 4, "delete", "a == b"), ("p", 5, "add", "x == 1 && y == 2 && z == 3"), ("p", 6, "add", 's := "a" + b - -c'), ("p", 7, "add", None),
+    ]
+    got = [(r.line, r["at"], r.operator, r.found, r.put) for r in tools.mutation_sites(make(spark, rows, "path string, line int, kind string, content string")).orderBy("line", "place").collect()]
+    assert [g for g in got if g[0] < 4] == [
+        (1, 6, "negate_comparison", "==", "!="), (1, 11, "swap_logical", "&&", "||"), (2, 12, "boundary", "<=", "<"), (2, 15, "increment_constant", "3", "(3+1)"), (2, 9, "swap_arithmetic", "/", "*"),
+        (3, 14, "drop_error", 'errors.New("same")', "nil"), (3, 8, "flip_boolean", "true", "false"),
+    ]
+    assert [g[2] for g in got if g[0] == 5] == ["negate_comparison"] * 3 + ["swap_logical"] * 2 + ["increment_constant"] * 3
+    assert [g for g in got if g[0] > 5] == []

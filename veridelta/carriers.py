@@ -68,13 +68,13 @@ CARRIERS: dict[str, str] = {
                concat(CASE WHEN o_orderkey % 2 = 0 THEN 'Wrong  total ' ELSE 'wrong Total ' END, CAST(o_custkey % 9 AS string)) AS title, concat('agent', CAST(o_orderkey % 4 AS string)) AS agent, CAST(o_orderkey AS bigint) AS ord
         FROM {orders} WHERE o_orderkey % 8 = 0""",
     "citations": """
-        SELECT concat('h', CAST(o_orderkey AS string)) AS claim_id, pos, concat('e', CAST((o_custkey + pos * 7) % 140 AS string)) AS evidence_id FROM {orders} CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2) p WHERE o_orderkey % 8 = 0 AND (o_orderkey + pos) % 4 <> 0""",
+        SELECT concat('h', CAST(o_orderkey AS string)) AS claim_id, pos, concat('e', CAST(o_custkey + pos * 7 AS string)) AS evidence_id FROM {orders} CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2) p WHERE o_orderkey % 8 = 0 AND (o_orderkey + pos) % 4 <> 0""",
     "evidence": """
-        SELECT concat('e', CAST(c_custkey % 130 AS string)) AS id, CASE c_custkey % 3 WHEN 0 THEN 'base_test' WHEN 1 THEN 'observation' ELSE 'fuzz' END AS kind, CASE c_custkey % 4 WHEN 0 THEN 'REPRODUCED' WHEN 1 THEN 'DIVERGED' WHEN 2 THEN 'NOT_REPRODUCED' ELSE 'UNVERIFIED' END AS verified, c_custkey AS ord
-        FROM {customer} WHERE c_custkey < 135""",
+        SELECT concat('e', CAST(c_custkey - CASE WHEN c_custkey % 31 = 0 THEN 1 ELSE 0 END AS string)) AS id, CASE c_custkey % 3 WHEN 0 THEN 'base_test' WHEN 1 THEN 'observation' ELSE 'fuzz' END AS kind, CASE c_custkey % 4 WHEN 0 THEN 'REPRODUCED' WHEN 1 THEN 'DIVERGED' WHEN 2 THEN 'NOT_REPRODUCED' ELSE 'UNVERIFIED' END AS verified, c_custkey AS ord
+        FROM {customer}""",
     "checks": """
         SELECT concat('k', CAST(s_suppkey AS string)) AS id, CASE s_suppkey % 3 WHEN 0 THEN 'lint' WHEN 1 THEN 'test' ELSE 'build' END AS kind, CASE s_suppkey % 5 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'TIMEOUT' ELSE 'PASS' END AS status,
-               CAST(CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 17 = 0 THEN 1 ELSE 0 END AS int) AS exit_code, concat('e', CAST(s_suppkey % 130 AS string)) AS evidence_id
+               CAST(CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 17 = 0 THEN 1 ELSE 0 END AS int) AS exit_code, concat('e', CAST(s_suppkey AS string)) AS evidence_id
         FROM {supplier}""",
     "assessments": """
         SELECT concat('s', CAST(o_orderkey - o_orderkey % 3 AS string)) AS signal_id, CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE concat('title ', CAST(o_orderkey AS string)) END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'no_risk' ELSE 'risk' END AS judgment, CAST(o_orderkey AS bigint) AS ord
@@ -100,11 +100,11 @@ CARRIERS: dict[str, str] = {
         FROM {events}""",
     # Evidence of one test run on two revisions.
     "test_evidence": """
-        SELECT event_id AS id, CAST(1 + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS int) AS names, concat('k', CAST(event_id % 900 AS string)) AS base_check, concat('k', CAST((event_id + 450) % 900 AS string)) AS candidate_check,
+        SELECT event_id AS id, CAST(1 + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS int) AS names, concat('k', CAST(event_id AS string)) AS base_check, concat('k', CAST(event_id + 451 AS string)) AS candidate_check,
                CASE event_id % 3 WHEN 0 THEN 'FAILS' WHEN 1 THEN 'PASSES' ELSE 'UNVERIFIED' END AS verdict
-        FROM {events} WHERE event_id < 4000""",
+        FROM {events}""",
     "test_checks": """
-        SELECT concat('k', CAST(event_id % 950 AS string)) AS id, CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'candidate' END AS kind, event_id % 5 = 0 AS replayed, CAST(event_id % 3 AS int) AS agreeing FROM {events} WHERE event_id < 1000""",
+        SELECT concat('k', CAST(event_id - CASE WHEN event_id % 37 = 0 THEN 2 ELSE 0 END AS string)) AS id, CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'candidate' END AS kind, event_id % 5 = 0 AS replayed, CAST(event_id % 3 AS int) AS agreeing FROM {events}""",
     # Votes and comments on alerts.
     "feedback": """
         SELECT event_id AS seq, concat('c', CAST(user_id % 20 AS string)) AS commit, concat('a', CAST(event_id % 30 AS string)) AS alert_id, concat('t', CAST(event_id % 7 AS string)) AS topic,
@@ -122,7 +122,7 @@ CARRIERS: dict[str, str] = {
         SELECT concat('component:', r_name) AS src, concat('package:', n_name) AS dst, 'contains' AS kind, '' AS path, 0 AS line, CAST(n_nationkey AS bigint) AS seq FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
         UNION ALL SELECT concat('package:', n_name), concat('file:', c_name), 'contains', '', 0, c_custkey FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
         UNION ALL SELECT concat('function:', a.s_name), concat('function:', b.s_name), 'calls', concat('fn/', a.s_name, '.go'), l_linenumber, l_orderkey * 10 + l_linenumber
-                  FROM {lineitem} JOIN {supplier} a ON l_suppkey = a.s_suppkey JOIN {supplier} b ON l_partkey % 70 = b.s_suppkey WHERE l_orderkey % 40 = 0
+                  FROM {lineitem} JOIN {supplier} a ON l_suppkey = a.s_suppkey JOIN {supplier} b ON l_partkey % 70 = b.s_suppkey
         UNION ALL SELECT concat('file:', c_name), concat('dependency:', CAST(c_custkey AS string)), 'imports', c_name, 1, c_custkey FROM {customer} WHERE c_custkey % 10 = 0""",
     "edges": """
         SELECT src, dst, kind, count(*) AS sites FROM edge_sites WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY src, dst, kind""",

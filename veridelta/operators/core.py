@@ -70,3 +70,41 @@ def severity_rank(column: str | Column) -> Column:
 def alert_rank(column: str | Column) -> Column:
     """critical 3, high 2, medium 1, anything else 0: what isn't known counts as low."""
     return ranks(column, ["low", "medium", "high", "critical"], 0)
+
+
+def union_all(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of both, repeats kept."""
+    return a.select(*columns).unionByName(b.select(*columns))
+
+
+def union_distinct(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct rows of both."""
+    return union_all(a, b, columns).distinct()
+
+
+def common(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct rows that both have; nulls are equal."""
+    return a.select(*columns).intersect(b.select(*columns))
+
+
+def difference(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct rows that only one side has, ``added`` or ``removed``: one aggregate over both sides, not two joins."""
+    sides = before.select(*columns, F.lit(1).alias("_b"), F.lit(0).alias("_a")).unionByName(after.select(*columns, F.lit(0).alias("_b"), F.lit(1).alias("_a")))
+    g = sides.groupBy(*columns).agg(F.max("_b").alias("_b"), F.max("_a").alias("_a")).where("_a <> _b")
+    return g.select(*columns, F.when(F.col("_a") == 1, "added").otherwise("removed").alias("change"))
+
+
+def surplus(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """The multiset of rows of ``a`` without that of ``b``."""
+    return a.select(*columns).exceptAll(b.select(*columns))
+
+
+def same_multiset(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same items as often, in any order; null and empty ones are alike."""
+    plain = lambda x: F.array_sort(F.coalesce(x, F.array().cast("array<string>")).cast("array<string>"))
+    return plain(a) == plain(b)
+
+
+def newly(now: Column, before: Column) -> Column:
+    """What an array has that an earlier one hadn't, sorted, each once."""
+    return F.array_sort(F.array_except(now, F.coalesce(before, F.slice(now, 1, 0))))

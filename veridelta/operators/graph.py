@@ -54,24 +54,35 @@ def links(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction]
 
 
-def neighbors(edges: DataFrame, start: str, direction: str = "both", depth: int = 2, kinds: tuple[str, ...] = (), limit: int = NEIGHBOR_LIMIT) -> DataFrame:
-    """Nodes within ``depth`` steps, each once, through the edge that finds it first; the first ``limit`` and the total.
+def neighbors(edges: DataFrame, start: str, direction: str = "both", depth: int = 2, kinds: tuple[str, ...] = (), limit: int = NEIGHBOR_LIMIT, budget: int | None = None) -> DataFrame:
+    """Nodes within ``depth`` steps, each once, through the edge that finds it first; the first ``limit``, the total, and whether the budget ran out.
 
     A step's place is the list of edges that led to it, so lists compare as a
-    breadth-first search visits them, without numbering a frontier.
+    breadth-first search visits them, without numbering a frontier. With
+    ``budget``, that many edges are looked at, in that order, and what they
+    reach is the (partial) result. Each level is written, so none is planned again.
     """
+    tables = Tables(edges.sparkSession)
     steps = links(edges.where(F.col("kind").isin(*kinds)) if kinds else edges, direction)
     none = steps.limit(0).select(F.col("end").alias("node"), F.lit(0).alias("depth"), "dir", "kind", F.col("at").alias("via"), F.array("order").alias("place"))
     frontier = steps.sparkSession.createDataFrame([(start,)], "node string").select("node", F.array().cast(none.schema["place"].dataType).alias("place"))
-    seen, found = frontier.select("node"), none
+    seen, found, used, short = frontier.select("node"), none, 0, False
     for d in range(1, depth + 1):
         reached = frontier.join(steps, frontier.node == steps.at).select("end", "dir", "kind", F.col("node").alias("via"), F.concat("place", F.array("order")).alias("place"))
+        if budget is not None:
+            reached = tables.save(reached)
+            looked = reached.count()
+            short = used + looked > budget
+            reached = reached.orderBy("place").limit(budget - used) if short else reached
+            used += looked
         best = reached.join(seen, reached.end == seen.node, "left_anti").groupBy("end").agg(F.min_by(F.struct("dir", "kind", "via", "place"), "place").alias("s"))
-        level = best.select(F.col("end").alias("node"), F.lit(d).alias("depth"), "s.dir", "s.kind", "s.via", "s.place")
+        level = tables.save(best.select(F.col("end").alias("node"), F.lit(d).alias("depth"), "s.dir", "s.kind", "s.via", "s.place"))
         found, frontier = found.unionByName(level), level.select("node", "place")
+        if short or level.isEmpty():
+            break
         seen = seen.unionByName(level.select("node"))
     top = found.orderBy("depth", "place").limit(limit)
-    return top.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total")))).select("node", "depth", "dir", "kind", "via", "total")
+    return top.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total")))).select("node", "depth", "dir", "kind", "via", "total", F.lit(short).alias("truncated"))  # one row is broadcast
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, undirected: bool = False, longest: int = 12) -> DataFrame:
@@ -103,33 +114,36 @@ def shortest_path(edges: DataFrame, start: str, end: str, undirected: bool = Fal
 
 
 def callers(calls: DataFrame, nodes: DataFrame, target: str, depth: int = 3) -> DataFrame:
-    """Every call that leads to ``target`` within ``depth`` calls: caller, callee, depth and the chain ``via``; tests aren't followed further, functions only once."""
+    """Every call that leads to ``target`` within ``depth`` calls: caller, callee, depth and the chain ``via``; tests aren't followed further, functions only once. Each level is written."""
+    tables = Tables(calls.sparkSession)
     test = nodes.where("test").select(F.col("id").alias("caller"))
     frontier = calls.sparkSession.createDataFrame([(target,)], "node string").withColumn("via", F.array("node"))
     seen, found = frontier.select("node"), None
     for d in range(1, depth + 1):
-        sites = frontier.join(calls, frontier.node == calls.dst).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.lit(d).alias("depth"), F.concat(F.array("src"), "via").alias("via"))
+        sites = tables.save(frontier.join(calls, frontier.node == calls.dst).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.lit(d).alias("depth"), F.concat(F.array("src"), "via").alias("via")))
         found = sites if found is None else found.unionByName(sites)
+        if d == depth or sites.isEmpty():
+            return found
         fresh = sites.join(seen, sites.caller == seen.node, "left_anti").join(test, "caller", "left_anti")
-        frontier = fresh.groupBy(F.col("caller").alias("node")).agg(F.min("via").alias("via"))
+        frontier = tables.save(fresh.groupBy(F.col("caller").alias("node")).agg(F.min("via").alias("via")))
         seen = seen.unionByName(frontier.select("node"))
-    return found
 
 
 def reaching_tests(calls: DataFrame, nodes: DataFrame, targets: DataFrame, depth: int = 3, limit: int = REACH_LIMIT) -> DataFrame:
-    """The tests that reach each target (id), at their least depth; the first ``limit`` by (depth, path, name), with the total."""
-    frontier, found = targets.select("id", F.col("id").alias("node")), None
-    seen = frontier
-    tests = nodes.where("test").select(F.col("id").alias("test"))
+    """The tests that reach each target (id), at their least depth; the first ``limit`` by (depth, path, name), with the total. Each level is written."""
+    tables = Tables(calls.sparkSession)
+    tests = nodes.where("test").select(F.col("id").alias("node"), F.lit(True).alias("_test"), "path", "name")
+    frontier = targets.select("id", F.col("id").alias("node"))
+    seen, found = frontier, None
     for d in range(1, depth + 1):
         step = frontier.join(calls, frontier.node == calls.dst).select("id", F.col("src").alias("node")).distinct().join(seen, ["id", "node"], "left_anti")
-        hit = step.join(tests, step.node == tests.test).select("id", "test", F.lit(d).alias("depth"))
+        level = tables.save(step.join(tests, "node", "left").withColumn("depth", F.lit(d)))
+        hit = level.where("_test").select("id", F.col("node").alias("test"), "depth", "path", "name")
         found = hit if found is None else found.unionByName(hit)
-        frontier = step.join(tests, step.node == tests.test, "left_anti")
-        seen = seen.unionByName(step)
-    named = found.join(nodes.select(F.col("id").alias("test"), "path", "name"), "test")
+        frontier = level.where("_test IS NULL").select("id", "node")
+        seen = seen.unionByName(level.select("id", "node"))
     w = Window.partitionBy("id")
-    return named.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy("depth", "path", "name"))).where(F.col("place") <= limit)
+    return found.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy("depth", "path", "name"))).where(F.col("place") <= limit)
 
 
 def unchanged_callers(sites: DataFrame, touched: DataFrame, tests: DataFrame) -> DataFrame:
@@ -211,8 +225,8 @@ def implementers(methods: DataFrame, interfaces: DataFrame) -> DataFrame:
     return have.join(need, "interface").where("have = need").select("type", "interface")
 
 
-def commit_depths(commits: DataFrame, head: str, most: int = 300) -> DataFrame:
-    """Commits (sha, parent) reached from ``head`` along parents, with their least depth, level by level."""
+def commit_depths(commits: DataFrame, head: str, most: int = 10_000) -> DataFrame:
+    """Commits (sha, parent) reached from ``head`` along parents, with their least depth, level by level; more than ``most`` levels are an error."""
     tables = Tables(commits.sparkSession)
     frontier = tables.save(commits.sparkSession.createDataFrame([(head, 0)], "sha string, depth int"))
     found = frontier
@@ -220,6 +234,151 @@ def commit_depths(commits: DataFrame, head: str, most: int = 300) -> DataFrame:
         step = frontier.join(commits, "sha").select(F.col("parent").alias("sha")).where("sha IS NOT NULL").distinct().join(found.select("sha"), "sha", "left_anti")
         frontier = tables.save(step.withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
-            break
+            return found
         found = found.unionByName(frontier)
-    return found
+    raise RuntimeError(f"history goes back more than {most} commits")
+
+
+def call_edges(sites: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Calls between known nodes with their number of sites; those with an unknown end are dropped."""
+    ids = nodes.select("id")
+    calls = sites.where("kind = 'calls'").join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
+    return calls.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("sites"))
+
+
+def call_pairs(sites: DataFrame) -> DataFrame:
+    """References (src, dst, seq, call) as one row a pair: the first site, whether any is a call, how many there are."""
+    return sites.groupBy("src", "dst").agg(F.min("seq").alias("first_seq"), F.bool_or("call").alias("call"), F.count(F.lit(1)).alias("sites"))
+
+
+def surroundings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of each file that is no test: its package and how many files share it, counted once a package."""
+    c = edges.where("kind = 'contains'")
+    size = c.groupBy(F.col("src").alias("package")).agg(F.countDistinct("dst").alias("n"))
+    files = nodes.where("kind = 'file' AND NOT test").select("id")
+    return files.join(c.select(F.col("dst").alias("id"), F.col("src").alias("package")), "id").join(size, "package").select("id", "package", (F.col("n") - 1).alias("siblings"))
+
+
+def build(nodes: DataFrame, sites: DataFrame, most_nodes: int, most_edges: int) -> DataFrame:
+    """A graph's rows (what, kind, src, dst), nodes before edges, each kind cut at its cap in order, with the total before the cut."""
+    n = nodes.select(F.lit("node").alias("what"), "kind", F.col("id").alias("src"), F.lit("").alias("dst")).distinct()
+    e = merge_sites(sites, nodes).select(F.lit("edge").alias("what"), "kind", "src", "dst")
+    cut = lambda rows, most: rows.orderBy("src", "kind", "dst").limit(most).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row is broadcast
+    return cut(n, most_nodes).unionByName(cut(e, most_edges))
+
+
+def structure(edges: DataFrame) -> DataFrame:
+    """Chains of containment: component, package, file."""
+    c = edges.where("kind = 'contains'")
+    top = c.where(F.col("src").startswith("component:")).select(F.col("src").alias("component"), F.col("dst").alias("package"))
+    return top.join(c.select(F.col("src").alias("package"), F.col("dst").alias("file")), "package").select("component", "package", "file").distinct()
+
+
+def adjacency(calls: DataFrame) -> DataFrame:
+    """Incoming calls by callee: the sorted sources, and where they begin in one list of all, as a compressed index has them.
+
+    The offsets are prefix sums, summed within ranges of the order and then over ranges.
+    """
+    by = calls.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("sources"))
+    ranged = by.orderBy("dst").withColumn("_part", F.spark_partition_id())
+    tables = Tables(calls.sparkSession)
+    ranged = tables.save(ranged)
+    sizes = ranged.groupBy("_part").agg(F.sum(F.size("sources")).alias("n"))  # a row a range
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    own = F.sum(F.size("sources")).over(Window.partitionBy("_part").orderBy("dst")) - F.size("sources")
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").select("dst", "sources", (F.col("_before") + F.col("_own")).alias("start"))
+
+
+def references(calls: DataFrame, implementations: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Who refers to each function, static calls before those through an interface, each with the total; the first ``limit``.
+
+    ``implementations`` (dst, via): calls of an interface's ``via`` reach ``dst`` too.
+    """
+    rows = calls.select("dst", "src", "sites", F.lit(0).alias("through"))
+    if implementations is not None:
+        reached = calls.join(implementations.select(F.col("dst").alias("_to"), F.col("via").alias("dst")), "dst").select(F.col("_to").alias("dst"), "src", "sites", F.lit(1).alias("through"))
+        rows = rows.unionByName(reached)
+    w = Window.partitionBy("dst")
+    out = rows.withColumn("total", F.count(F.lit(1)).over(w))
+    if limit is not None:
+        out = out.withColumn("_n", F.row_number().over(w.orderBy("through", "src"))).where(F.col("_n") <= limit).drop("_n")
+    return out
+
+
+def search_lines(texts: DataFrame, needle: str, most: int | None = None) -> DataFrame:
+    """Lines (doc_id, line, text) that hold a literal text; the first ``most`` by document and line. Texts without it aren't split."""
+    holds = lambda c: F.contains(F.col(c), F.lit(needle))
+    rows = texts.where(holds("text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).where(holds("text")).select("doc_id", (F.col("n") + 1).alias("line"), "text")
+    return rows.orderBy("doc_id", "line").limit(most) if most is not None else rows
+
+
+def depends_on(uses: DataFrame, owners: DataFrame) -> DataFrame:
+    """Edges between different owners (id, owner) of the two ends of uses (src, dst): pairs are made distinct before names are looked up."""
+    own = owners.select("id", "owner")
+    pairs = uses.select("src", "dst").distinct().join(own.toDF("src", "x"), "src").join(own.toDF("dst", "y"), "dst")
+    return pairs.where("x <> y").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
+
+
+def resolve_symbols(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The functions that each ``ref`` names, with the class of the match: id (0), slashed ending of the id (1), full name (2), bare name (3); the best class only."""
+    key = lambda c, k: F.struct(F.lit(c).alias("class"), k.alias("ref"))
+    tail = F.when(F.contains("id", F.lit("/")), F.regexp_replace("id", "^.*/", ""))
+    keys = F.array(key(0, F.col("id")), key(1, tail), key(2, F.col("name")), key(3, F.regexp_replace("name", r"^.*\.", "")))
+    keyed = nodes.where("kind = 'function'").select("id", F.explode(keys).alias("k")).select("id", "k.*")
+    hits = refs.select("ref").distinct().join(keyed, "ref").groupBy("ref", "id").agg(F.min("class").alias("class"))
+    best = hits.groupBy("ref").agg(F.min("class").alias("class"))
+    return hits.join(best, ["ref", "class"]).select("ref", "id", "class")
+
+
+def resolve_calls(calls: DataFrame, declarations: DataFrame, most: int = 3) -> DataFrame:
+    """Declarations (id, name, home) that calls (caller, name, file) may mean: those of the call's own file (0) before others (1).
+
+    A call with more than ``most`` candidates is marked unresolved.
+    """
+    c, keys = calls.select("caller", "name", "file").distinct(), ["caller", "name", "file"]
+    h = c.join(declarations.select("id", "name", "home"), "name").withColumn("class", F.when(F.col("home") == F.col("file"), 0).otherwise(1))
+    best = h.groupBy(*keys).agg(F.min("class").alias("class"), F.count_if(F.col("class") == 0).alias("_own"), F.count(F.lit(1)).alias("_all"))
+    best = best.withColumn("_n", F.when(F.col("class") == 0, F.col("_own")).otherwise(F.col("_all"))).select(*keys, "class", "_n")
+    return h.join(best, [*keys, "class"]).select(*keys, "id", "class", (F.col("_n") > most).alias("unresolved"))
+
+
+def resolve_imports(imports: DataFrame, targets: DataFrame) -> DataFrame:
+    """The target (target, spec, priority) of each import (path, spec): least priority, then name; candidates of a name are reduced before the join."""
+    best = targets.groupBy("spec").agg(F.min_by("target", F.struct("priority", "target")).alias("target"))
+    return imports.join(best, "spec").select("path", "spec", "target")
+
+
+def head_labels(runs: DataFrame) -> DataFrame:
+    """The repositories, sorted, whose last run is at each commit."""
+    heads = runs.groupBy("repo_key").agg(F.max_by("commit", "seq").alias("commit"))
+    return heads.groupBy("commit").agg(F.array_join(F.array_sort(F.collect_set("repo_key")), ",").alias("labels"))
+
+
+def nearest_labels(commits: DataFrame, labels: DataFrame, most: int = 300) -> DataFrame:
+    """The labels (sha, label) of each commit (sha, parent): its own, else those of the nearest commits that descend from it, sorted.
+
+    Labels walk along parents level by level, and a commit takes those of the level that reaches it first.
+    """
+    tables = Tables(commits.sparkSession)
+    joined = F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels")
+    known = commits.select("sha").union(commits.select("parent")).where("sha IS NOT NULL").distinct()
+    frontier = tables.save(labels.join(known, "sha", "left_semi").select("sha", "label").distinct())
+    seen, found = frontier.select("sha").distinct(), frontier.groupBy("sha").agg(joined).withColumn("distance", F.lit(0))
+    for d in range(1, most + 1):
+        step = frontier.join(commits, "sha").select(F.col("parent").alias("sha"), "label").where("sha IS NOT NULL").distinct().join(seen, "sha", "left_anti")
+        frontier = tables.save(step)
+        if frontier.isEmpty():
+            return found
+        seen, found = seen.unionByName(frontier.select("sha").distinct()), found.unionByName(frontier.groupBy("sha").agg(joined).withColumn("distance", F.lit(d)))
+    raise RuntimeError(f"labels are further than {most} commits away")
+
+
+def merge_base(commits: DataFrame, base: str, head: str) -> str:
+    """The one best common ancestor of two commits: reached from both, and from no other such. None or several are an error."""
+    tables = Tables(commits.sparkSession)
+    both = tables.save(commit_depths(commits, base).select("sha").join(commit_depths(commits, head).select("sha"), "sha"))
+    behind = both.join(commits, "sha").select(F.col("parent").alias("sha")).distinct()
+    best = [r.sha for r in both.join(behind, "sha", "left_anti").limit(2).collect()]
+    if len(best) != 1:
+        raise ValueError("no merge base" if not best else "several merge bases")
+    return best[0]

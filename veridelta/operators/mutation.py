@@ -129,3 +129,18 @@ def corpus(targets: DataFrame, n: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["target", "i", "value"])
 
     return targets.mapInPandas(run, "target string, i int, value bigint")
+
+
+def execution_order(sites: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` sites in the order in which they are run."""
+    return sites.select(*order).orderBy(*order).limit(most)
+
+
+def fuzz_status(evidence: DataFrame, citations: DataFrame, checks: DataFrame) -> DataFrame:
+    """The status that evidence of generated inputs keeps: cited by exactly one claim, its id unique, its checks complete, all of them passed or failed, none or two for a confirmation."""
+    cited = citations.groupBy(F.col("evidence_id").alias("id")).agg(F.countDistinct("claim_id").alias("_cited"))
+    once = evidence.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("kind", "verified"), "ord").alias("r"))
+    run = checks.groupBy(F.col("evidence_id").alias("id")).agg(F.count(F.lit(1)).alias("_checks"), F.bool_and(F.col("status").isin("PASS", "FAIL")).alias("_resolved"))
+    j = once.join(cited, "id", "left").join(run, "id", "left")
+    ok = (F.col("_cited") == 1) & (F.col("_n") == 1) & (F.col("r.kind") == "fuzz") & F.coalesce("_resolved", F.lit(True)) & F.coalesce("_checks", F.lit(0)).isin(0, 1, 2)
+    return j.select("id", F.when(ok, F.col("r.verified")).otherwise("UNVERIFIED").alias("status"))

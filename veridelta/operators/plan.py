@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridelta.functions import paths
+from veridelta.shared import Tables
 
 
 def changed_inputs(files: DataFrame, globs: list[str]) -> DataFrame:
@@ -19,16 +20,26 @@ def relevant(entries: DataFrame, files: DataFrame) -> DataFrame:
     return entries.join(hit, "glob", "left_semi").select("title", "ord", "size")
 
 
-def within_budget(entries: DataFrame, budget: int, most: int = 10_000) -> DataFrame:
+def within_budget(entries: DataFrame, budget: int) -> DataFrame:
     """Entries in order, each taken if it still fits; one that doesn't is passed over.
 
-    What fits depends on all taken before, so it is one fold over an ordered
-    array; ``entries`` are a policy's, at most ``most`` of them.
+    What fits depends on all taken before, so entries are walked in order, but
+    not one by one: a step takes the longest run that fits, by a running sum, and
+    what can't fit any more goes. Each step but the last leaves less room, and
+    only the used sum reaches the driver.
     """
-    rows = F.array_sort(F.collect_list(F.struct("ord", "title", "size")))
-    step = lambda a, x: F.when(a["used"] + x["size"] <= budget, F.struct((a["used"] + x["size"]).cast("bigint").alias("used"), F.concat(a["titles"], F.array(x["title"])).alias("titles"))).otherwise(a)
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("titles"))
-    return entries.orderBy("ord").limit(most).agg(rows.alias("r")).select(F.explode(F.aggregate("r", start, step)["titles"]).alias("title"))
+    tables = Tables(entries.sparkSession)
+    left, used, taken = tables.save(entries.select("ord", "title", "size")), 0, None
+    while True:
+        left = left.where(F.col("size") <= budget - used)
+        first = left.orderBy("ord").limit(1000).withColumn("_sum", F.sum("size").over(Window.orderBy("ord")))  # of 1000 rows
+        run = tables.save(first.where(F.col("_sum") <= budget - used))
+        got = run.agg(F.max("ord").alias("ord"), F.sum("size").alias("size")).first()
+        if got["ord"] is None:
+            return run.select("title") if taken is None else taken
+        used += got["size"]
+        taken = run.select("title") if taken is None else taken.unionByName(run.select("title"))
+        left = tables.save(left.where(F.col("ord") > got["ord"]))
 
 
 def within_rows(lines: DataFrame, budget: int) -> DataFrame:
@@ -61,3 +72,23 @@ def evaluate(signals: DataFrame, claims: DataFrame) -> DataFrame:
     """Of each path: its signals, the claims at their lines, and whether any signal is risky."""
     c = claims.groupBy("path", "line").agg(F.min("id").alias("claim"))
     return signals.join(c, ["path", "line"], "left").groupBy("path").agg(F.count(F.lit(1)).alias("signals"), F.countDistinct("claim").alias("claims"), F.bool_or(F.col("severity").isin("high", "critical")).alias("risky"))
+
+
+def drift_status(found: DataFrame) -> DataFrame:
+    """One row: how many drift items there are and whether any is of at least medium severity."""
+    return found.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.bool_or(F.col("severity").isin("medium", "high", "critical")), F.lit(False)).alias("drifted"))
+
+
+def suite_plan(base: DataFrame, head: DataFrame, most_files: int, most_tests: int) -> DataFrame:
+    """Tests (file, name, digest) of a base suite that a change may affect, and why: file_deleted, removed, modified or shared_code_changed.
+
+    A name that a file has twice on either side is ambiguous and left out. The
+    first files, then the first tests of those, are planned.
+    """
+    once = lambda t, d: t.groupBy("file", "name").agg(F.min("digest").alias(d), F.count(F.lit(1)).alias(f"n_{d}"))
+    j = once(base, "b").join(once(head, "h"), ["file", "name"], "left").where("n_b = 1 AND coalesce(n_h, 1) = 1")
+    files = head.select("file").distinct().withColumn("_there", F.lit(True))
+    reason = F.when(F.col("_there").isNull(), "file_deleted").when(F.col("n_h").isNull(), "removed").when(F.col("b") != F.col("h"), "modified").otherwise("shared_code_changed")
+    rows = j.join(files, "file", "left").select("file", "name", reason.alias("reason"))
+    chosen = rows.select("file").distinct().orderBy("file").limit(most_files)
+    return rows.join(F.broadcast(chosen), "file", "left_semi").orderBy("file", "name").limit(most_tests)  # at most most_files rows are broadcast

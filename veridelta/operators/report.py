@@ -170,3 +170,89 @@ def merge_claims(claims: DataFrame) -> DataFrame:
     first = claims.groupBy(F.lower("path").alias("path"), "line", key.alias("title"), "agent").agg(F.min("ord").alias("seen"), F.max_by("status", F.struct(strength, (-F.col("ord")).alias("o"))).alias("status"), F.max(strength).alias("strength"), F.min("ord").alias("ord"), F.min_by("id", "ord").alias("id"))
     g = first.groupBy("path", "line", "title").agg(F.min_by("id", "ord").alias("id"), F.max_by("status", F.struct("strength", (-F.col("ord")).alias("o"))).alias("status"), F.array_sort(F.collect_list(F.struct("seen", "agent"))).alias("_a"))
     return g.select("path", "line", "title", "id", "status", F.array_join(F.transform("_a", lambda x: x["agent"]), ",").alias("agents"))
+
+
+def verdict_name(code: Column) -> Column:
+    """What an exit code says: clear, blocked, review, or failed for any other."""
+    return F.when(code == 0, "clear").when(code == 1, "blocked").when(code == 2, "review").otherwise("failed")
+
+
+def hash_hex(c: Column, digits: int = 64) -> Column:
+    """The first hexadecimal digits of the SHA-256 of a text's UTF-8 bytes; null stays null."""
+    return F.substring(F.sha2(c, 256), 1, digits)
+
+
+def canonical_key(*columns: str) -> Column:
+    """The hash of the columns as one JSON object, members in the order given, null ones as null; a row without any value fails."""
+    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return F.sha2(F.when(F.coalesce(*(F.col(c).cast("string") for c in columns)).isNull(), F.raise_error(F.lit("a key of nothing"))).otherwise(row), 256)
+
+
+def union_signals(*sets: DataFrame) -> DataFrame:
+    """Signals of several passes in canonical order, with ids from their content: equal signals have equal ids and stay apart by occurrence."""
+    columns = ["path", "line", "kind", "side", "summary", "severity"]
+    both = sets[0].select(*columns)
+    for s in sets[1:]:
+        both = both.unionByName(s.select(*columns))
+    return occurrence(both.withColumn("id", content_id(*columns)), ["id"], ["path", "line"])
+
+
+def locations(signals: DataFrame) -> DataFrame:
+    """The lines of each (summary, path), in order, as one text."""
+    g = signals.groupBy("summary", "path").agg(F.array_sort(F.collect_list(F.struct("line", "ord"))).alias("l"))
+    return g.select("summary", "path", F.array_join(F.transform("l", lambda x: x["line"].cast("string")), ",").alias("locations"))
+
+
+def ledger(evidence: DataFrame) -> DataFrame:
+    """Each evidence id and whether it is usable: one that occurs twice isn't."""
+    return evidence.groupBy("id").agg((F.count(F.lit(1)) == 1).alias("usable"))
+
+
+def open_notes(claims: DataFrame) -> DataFrame:
+    """The distinct titles of each agent that aren't blank, sorted."""
+    return claims.where("trim(title) <> ''").groupBy("agent").agg(F.array_join(F.array_sort(F.collect_set(F.trim("title"))), "|").alias("notes"))
+
+
+def cited_evidence(citations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What each claim cites, as id:kind in the order cited; ids that name nothing are passed over, of repeated ones the first counts."""
+    e = evidence.groupBy(F.col("id").alias("evidence_id")).agg(F.min_by("kind", "ord").alias("kind"))
+    j = citations.join(e, "evidence_id").groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(":", "evidence_id", "kind").alias("t")))).alias("l"))
+    return j.select("claim_id", F.array_join(F.transform("l", lambda x: x["t"]), ",").alias("cited"))
+
+
+def assign_areas(alerts: DataFrame, areas: DataFrame) -> DataFrame:
+    """The area of each alert: the first (by name) that cites its id, else the one that cites the id without its part number, else none."""
+    named = areas.groupBy("id").agg(F.min("area").alias("area"))
+    keyed = alerts.select("alert", F.explode(F.array_distinct(F.array(F.col("alert"), F.regexp_replace("alert", r"#[0-9]+$", "")))).alias("id"))
+    own = F.struct((F.col("id") != F.col("alert")).alias("_base"), "area")
+    best = keyed.join(named, "id").groupBy("alert").agg(F.min(own).alias("r"))
+    return alerts.select("alert").join(best, "alert", "left").select("alert", F.coalesce("r.area", F.lit("")).alias("area"))
+
+
+def reasons_not_shown(targets: DataFrame, shown: DataFrame) -> DataFrame:
+    """The reasons (path, reason) of each path that ``shown`` (path, reason) doesn't hold for it, sorted; empty where all are."""
+    own = targets.select("path", "reason", F.lit(1).alias("_own")).distinct()
+    rest = own.join(shown.select("path", "reason").distinct(), ["path", "reason"], "left_anti").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("reason")), ",").alias("reasons"))
+    return targets.select("path").distinct().join(rest, "path", "left").select("path", F.coalesce("reasons", F.lit("")).alias("reasons"))
+
+
+def diverged_evidence(evidence: DataFrame, checks: DataFrame) -> DataFrame:
+    """Diverged evidence, unique by id, with checks of which none timed out, and their number."""
+    e = unique_ids(evidence).where("verified = 'DIVERGED'").select("id")
+    k = checks.select(F.col("evidence_id").alias("id"), "status")
+    return e.join(k, "id").groupBy("id").agg(F.count(F.lit(1)).alias("checks"), F.bool_and(F.col("status") != "TIMEOUT").alias("_ok")).where("_ok").drop("_ok")
+
+
+def citing_claims(citations: DataFrame, claims: DataFrame, status: str = "DIVERGED") -> DataFrame:
+    """The claims of a status that cite each evidence, sorted, and the path of the first of them."""
+    c = citations.join(claims.where(F.col("status") == status).select(F.col("id").alias("claim_id"), "path", "ord"), "claim_id")
+    return c.groupBy("evidence_id").agg(F.array_join(F.array_sort(F.collect_set("claim_id")), ",").alias("claim_ids"), F.min_by("path", "ord").alias("path"))
+
+
+def gate_reasons(checks: DataFrame, signals: DataFrame, claims: DataFrame) -> DataFrame:
+    """One row: why a plan can't pass, empty if nothing is in its way."""
+    k = checks.agg(F.count_if((F.col("status") != "PASS") | (F.col("exit_code") != 0)).alias("f"), F.count(F.lit(1)).alias("n"))
+    s = signals.agg(F.count_if(severity_rank("severity") >= 3).alias("s"))
+    c = claims.agg(F.count_if(F.col("status") == "UNVERIFIED").alias("u"))
+    reasons = (F.when(F.col("f") > 0, "checks_failed"), F.when(F.col("s") > 0, "risk_signals"), F.when(F.col("n") == 0, "no_checks"), F.when(F.col("u") > 0, "unverified"))
+    return k.crossJoin(s).crossJoin(c).select(F.concat_ws(";", *reasons).alias("reasons"))  # one row each

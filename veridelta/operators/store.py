@@ -84,3 +84,87 @@ def outcomes(findings: DataFrame, changed: DataFrame) -> DataFrame:
     f = findings.where("topic <> '' AND path <> ''").select("base", "topic", "path").distinct()
     c = changed.select("base", "path").distinct().withColumn("_hit", F.lit(1))
     return f.join(c, ["base", "path"], "left").groupBy("topic").agg(F.count(F.lit(1)).alias("found"), F.count("_hit").alias("addressed"))
+
+
+def history(runs: DataFrame, repo: str, limit: int | None = None) -> DataFrame:
+    """The runs of a repository, newest first; a limit makes it a top-k, not a sort of all."""
+    own = runs.where(F.col("repo_key") == repo).orderBy(F.desc("queued_at"), "commit", "seq")
+    return own.limit(limit) if limit is not None else own
+
+
+def active(runs: DataFrame, limit: int = 100) -> DataFrame:
+    """The latest runs that are queued or running."""
+    return runs.where(F.col("status").isin(*PENDING)).orderBy(F.desc("queued_at"), "repo_key", "seq").limit(limit)
+
+
+def recent_projection(runs: DataFrame) -> DataFrame:
+    """The columns that lists of recent runs need; others aren't read."""
+    return runs.select("repo_key", "commit", "status", "queued_at")
+
+
+def in_window(runs: DataFrame, since: Column) -> DataFrame:
+    """Runs that are pending, undated, or active since a time."""
+    return runs.where(F.col("status").isin(*PENDING) | F.col("finished_at").isNull() | (activity_at() >= since))
+
+
+def named(repos: DataFrame, part: str, flag: str | None = None) -> DataFrame:
+    """Distinct repositories whose key holds a text, case aside; with ``flag``, only those where that column is true."""
+    hit = F.contains(F.lower("repo_key"), F.lit(part.strip().lower()))
+    return repos.where(hit & F.col(flag) if flag else hit).select("repo_key").distinct()
+
+
+def recent_by_repo(runs: DataFrame, since: Column, limit: int = RECENT) -> DataFrame:
+    """Every repository with how many recent runs it has, at most ``limit``, and the latest activity."""
+    rec = recent(runs, since, limit).groupBy("user_key", "repo_key").agg(F.count("seq").alias("recent"), F.max("at").alias("latest"))
+    return runs.select("user_key", "repo_key").distinct().join(rec, ["user_key", "repo_key"], "left").select("user_key", "repo_key", F.coalesce("recent", F.lit(0)).alias("recent"), "latest")
+
+
+def reviewed(marks: DataFrame, yes: str = "up") -> DataFrame:
+    """Commits whose latest mark says so."""
+    return marks.groupBy("commit").agg(F.max_by("vote", "seq").alias("v")).where(F.col("v") == yes).select("commit")
+
+
+def activity(runs: DataFrame) -> DataFrame:
+    """The state of each attempt (user, repository, time queued), last write first, pending ones before others."""
+    last = last_by(runs.select("user_key", "repo_key", "queued_at", "seq", "status"), ["user_key", "repo_key", "queued_at"], "seq")
+    return last.withColumn("pending", F.col("status").isin(*PENDING))
+
+
+def usage_per_day(runs: DataFrame) -> DataFrame:
+    """Tokens of each user and day."""
+    return runs.groupBy("user_key", F.to_date("queued_at").cast("string").alias("day")).agg(F.sum("size").alias("tokens"))
+
+
+def usage_on(runs: DataFrame, day: str) -> DataFrame:
+    """Every user with the tokens of one day, 0 where there are none."""
+    used = usage_per_day(runs).where(F.col("day") == day).select("user_key", "tokens")
+    return runs.select("user_key").distinct().join(used, "user_key", "left").select("user_key", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
+def accumulate(totals: DataFrame, learnt: DataFrame, findings: DataFrame, changed: DataFrame) -> DataFrame:
+    """Counters (topic, found, addressed) after the bases that ``learnt`` (base) doesn't hold are added: each base counts once."""
+    fresh = outcomes(findings.join(learnt.select("base").distinct(), "base", "left_anti"), changed)
+    return totals.select("topic", "found", "addressed").unionByName(fresh).groupBy("topic").agg(F.sum("found").alias("found"), F.sum("addressed").alias("addressed"))
+
+
+def with_base(runs: DataFrame, bases: DataFrame) -> DataFrame:
+    """Of each run (seq, repo_key, base_commit) the latest earlier run stored for its base; runs without one go."""
+    b = bases.select(F.col("seq").alias("base_seq"), "repo_key", F.col("commit").alias("base_commit"))
+    return runs.select("seq", "repo_key", "base_commit").join(b, ["repo_key", "base_commit"]).where("base_seq < seq").groupBy("seq").agg(F.max("base_seq").alias("base_seq"))
+
+
+def badge(runs: DataFrame) -> DataFrame:
+    """The state that each repository's last run shows."""
+    last = runs.groupBy("repo_key").agg(F.max_by(F.struct("status", "critical", "high"), "seq").alias("r"))
+    state = F.when(F.col("r.status").isin(*PENDING), "pending").when(F.col("r.status") == "failed", "error").when(F.col("r.critical") > 0, "blocked").when(F.col("r.high") > 0, "review").otherwise("clear")
+    return last.select("repo_key", state.alias("badge"))
+
+
+def read_record(records: DataFrame, key: dict[str, str], most: int | None = None, size: str = "size", value: str = "status") -> DataFrame:
+    """Records of a key; with ``most``, one over that size comes without its value, marked oversized."""
+    own = records
+    for c, v in key.items():
+        own = own.where(F.col(c) == v)
+    if most is None:
+        return own
+    return own.withColumn(value, F.when(F.col(size) <= most, F.col(value))).withColumn("oversized", F.col(size) > most)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veridelta.operators import coverage, fuzz, observe
+from veridelta.operators import core, coverage, observe
+from veridelta.operators import fuzz as fuzz_ops
 from veridelta.registry import query
 
 STATES = """
@@ -190,7 +191,6 @@ def _(fn_base, fn_head):
 
 @query("set6_multiset_difference", "SELECT key, sig, body FROM fn_head EXCEPT ALL SELECT key, sig, body FROM fn_base")
 def _(fn_base, fn_head):
-    return fn_head.select("key", "sig", "body").exceptAll(fn_base.select("key", "sig", "body"))
+    return core.surplus(fn_head, fn_base, ["key", "sig", "body"])
 
 
-fuzz_ops = fuzz

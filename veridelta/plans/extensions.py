@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veridelta import sinks
 from veridelta.functions.repair import repair_json
 from veridelta.operators import documents as dc
 from veridelta.operators import tools
 from veridelta.registry import query
 from veridelta.shared import Tables
-from veridelta.sources import lexer, packages, paged
+from veridelta.sources import apis, git, lexer, packages
 from veridelta.sources import lines as src
+from veridelta.streaming import replay
 
 W = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
@@ -37,27 +40,23 @@ def workbook(b: pd.DataFrame) -> dict[str, str]:
     }
 
 
-def few(cells):
-    return cells.where(F.col("sheet").cast("bigint") < 800)
-
-
-XL = "SELECT sheet AS path, 'S' AS sheet, concat('B', row) AS ref, value, ltrim(formula, '=') AS formula FROM cells_before WHERE CAST(sheet AS BIGINT) < 800"
+XL = "SELECT sheet AS path, 'S' AS sheet, concat('B', row) AS ref, value, ltrim(formula, '=') AS formula FROM cells_before"
 
 
 @query("src33_spreadsheet_scan", XL, python=True)
 def _(cells_before):
-    return packages.read(built(few(cells_before), "sheet", workbook), packages.cells, packages.CELLS).select("path", "sheet", "ref", "value", "formula")
+    return packages.read(built(cells_before, "sheet", workbook), packages.cells, packages.CELLS).select("path", "sheet", "ref", "value", "formula")
 
 
-@query("src34_sheet_scan", "SELECT sheet AS path, count(*) AS cells, count(*) FILTER (formula <> '') AS formulas FROM cells_before WHERE CAST(sheet AS BIGINT) < 800 GROUP BY sheet", python=True)
+@query("src34_sheet_scan", "SELECT sheet AS path, count(*) AS cells, count(*) FILTER (formula <> '') AS formulas FROM cells_before GROUP BY sheet", python=True)
 def _(cells_before):
-    c = packages.read(built(few(cells_before), "sheet", workbook), packages.cells, packages.CELLS)
+    c = packages.read(built(cells_before, "sheet", workbook), packages.cells, packages.CELLS)
     return c.groupBy("path").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("formula") != "").alias("formulas"))
 
 
-@query("src32_package_open", "SELECT CAST(sheet AS VARCHAR) AS path, unnest(['xl/workbook.xml', 'xl/_rels/workbook.xml.rels', 'xl/worksheets/sheet1.xml']) AS name, 'plain' AS class FROM (SELECT DISTINCT sheet FROM cells_before WHERE CAST(sheet AS BIGINT) < 800)", python=True)
+@query("src32_package_open", "SELECT CAST(sheet AS VARCHAR) AS path, unnest(['xl/workbook.xml', 'xl/_rels/workbook.xml.rels', 'xl/worksheets/sheet1.xml']) AS name, 'plain' AS class FROM (SELECT DISTINCT sheet FROM cells_before)", python=True)
 def _(cells_before):
-    return packages.read(built(few(cells_before), "sheet", workbook), packages.parts, packages.PARTS).select("path", "name", "class")
+    return packages.read(built(cells_before, "sheet", workbook), packages.parts, packages.PARTS).select("path", "name", "class")
 
 
 def letter(b: pd.DataFrame) -> dict[str, str]:
@@ -90,20 +89,17 @@ def _(nation):
     return packages.read(nation.select(F.col("n_nationkey").cast("string").alias("path"), xml.cast("binary").alias("content")), packages.nodes, packages.NODES, package=False).drop("error")
 
 
-CODE = "p_partkey % 10 <> 0"
-
-
 def code(part):
     k = F.col("p_partkey").cast("string")
-    return part.where(CODE).select(k.alias("id"), F.concat(F.lit("def f"), k, F.lit('(x):\n    # g()\n    return h(x) + "i()"\n')).alias("text"))
+    return part.select(k.alias("id"), F.concat(F.lit("def f"), k, F.lit('(x):\n    # g()\n    return h(x) + "i()"\n')).alias("text"))
 
 
-@query("src30_lexical_parse", f"SELECT CAST(p_partkey AS VARCHAR) AS id, unnest(['declares', 'calls']) AS a, unnest([concat('f', p_partkey), 'h']) AS b, CAST(unnest([1, 3]) AS BIGINT) AS line FROM part WHERE {CODE}", python=True)
+@query("src30_lexical_parse", f"SELECT CAST(p_partkey AS VARCHAR) AS id, unnest(['declares', 'calls']) AS a, unnest([concat('f', p_partkey), 'h']) AS b, CAST(unnest([1, 3]) AS BIGINT) AS line FROM part", python=True)
 def _(part):
     return lexer.parse(code(part), lexer.declarations, "py")
 
 
-@query("src31_tokenizer", f"SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(13 AS BIGINT) AS tokens, CAST(1 AS BIGINT) AS strings FROM part WHERE {CODE}", python=True)
+@query("src31_tokenizer", f"SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(13 AS BIGINT) AS tokens, CAST(1 AS BIGINT) AS strings FROM part", python=True)
 def _(part):
     return lexer.parse(code(part), lexer.tokens, "py").groupBy("id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("a") == "string").alias("strings"))
 
@@ -115,39 +111,39 @@ def _(part):
     return src.go_facts(t).select("id", "fact", "name")
 
 
-@query("src6_blob_stream", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, strlen(text) AS size FROM documents WHERE doc_id < 100 AND strlen(text) <= 1000000 ORDER BY doc_id LIMIT 100")
+@query("src6_blob_stream", "SELECT doc_id, sha256(text) AS oid, strlen(text) AS size FROM documents")
 def _(documents):
-    from pyspark.sql import Window
+    files = documents.select("doc_id", F.col("text").alias("content"))
+    requests = files.select(F.col("doc_id").alias("place"), F.sha2("content", 256).alias("oid"))
+    return git.read_in_order(git.blobs(files.select("content")), requests).select(F.col("place").alias("doc_id"), "oid", F.octet_length("content").alias("size"))
 
-    size = F.octet_length("text")
-    ok = F.when(size <= 1000000, size).otherwise(F.raise_error(F.lit("blob too large")).cast("int"))
-    first = documents.where("doc_id < 100").select("doc_id", ok.alias("size")).orderBy("doc_id").limit(100)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("doc_id")))  # of 100 rows
 
-
-@query("src19_jest_observations", "SELECT CAST(user_id AS VARCHAR) AS id, concat('T', event_id) AS test, 'k' AS key, event_type AS value FROM events WHERE event_id < 2000")
+@query("src19_jest_observations", "SELECT CAST(user_id AS VARCHAR) AS id, concat('T', event_id) AS test, 'k' AS key, event_type AS value FROM events")
 def _(events):
     name = F.concat(F.lit("T"), F.col("event_id").cast("string"))
-    g = events.where("event_id < 2000").groupBy(F.col("user_id").cast("string").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(name, F.create_map(F.lit("k"), F.col("event_type"))))).alias("observed"))
-    t = g.select("id", F.to_json(F.struct("observed")).alias("text")).select("id", F.from_json("text", "observed map<string,map<string,string>>").alias("j"))
-    return t.select("id", F.explode("j.observed").alias("test", "o")).select("id", "test", F.explode("o").alias("key", "value"))
+    g = events.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(name, F.create_map(F.lit("k"), F.col("event_type"))))).alias("observed"))
+    return src.jest_observations(g.select("id", F.to_json(F.struct("observed")).alias("text")))
 
 
-@query("src20_pytest_observations", "SELECT CAST(user_id AS VARCHAR) AS id, concat('T', event_id % 9) AS test, concat('k', event_id) AS key, event_type AS value FROM events WHERE event_id < 2000")
+@query("src20_pytest_observations", "SELECT CAST(user_id AS VARCHAR) AS id, concat('T', event_id % 9) AS test, concat('k', event_id) AS key, event_type AS value FROM events")
 def _(events):
     prop = F.concat(F.lit('<property name="observe.k'), F.col("event_id").cast("string"), F.lit('" value="'), "event_type", F.lit('"/>'))
-    case = events.where("event_id < 2000").groupBy("user_id", (F.col("event_id") % 9).alias("k")).agg(F.array_join(F.collect_list(prop), "").alias("p"))
+    case = events.groupBy("user_id", (F.col("event_id") % 9).alias("k")).agg(F.array_join(F.collect_list(prop), "").alias("p"))
     row = F.concat(F.lit('<testcase name="T'), F.col("k").cast("string"), F.lit('"><properties>'), "p", F.lit("</properties></testcase>"))
     t = case.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.concat(F.lit("<testsuite>"), F.array_join(F.collect_list(row), ""), F.lit("</testsuite>")).alias("text"))
-    x = F.from_xml("text", "testcase array<struct<_name string, properties struct<property array<struct<_name string, _value string>>>>>")
-    c = t.select("id", x.alias("x")).select("id", F.explode("x.testcase").alias("c")).select("id", F.col("c._name").alias("test"), F.explode("c.properties.property").alias("p"))
-    return c.where("startswith(p._name, 'observe.')").select("id", "test", F.substring("p._name", 9, 100).alias("key"), F.col("p._value").alias("value"))
+    return src.junit_observations(t)
 
 
-@query("src22_fuzz_parse", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey AS i, o_orderpriority AS call FROM orders WHERE o_orderkey < 3000")
+@query("src22_fuzz_parse", "SELECT CAST(o_orderkey // 50 AS VARCHAR) AS id, row_number() OVER (PARTITION BY o_orderkey // 50 ORDER BY o_orderkey) - 1 AS i, concat('f(', o_custkey, ')') AS call, sha256(CAST(o_orderkey AS VARCHAR)) AS sha256, o_custkey AS length FROM orders")
 def _(orders):
-    t = orders.where("o_orderkey < 3000").select(F.col("o_orderkey").cast("string").alias("id"), F.to_json(F.struct(F.col("o_custkey").alias("i"), F.col("o_orderpriority").alias("call"))).alias("text"))
-    return t.select("id", F.from_json("text", "i bigint, call string", {"mode": "FAILFAST"}).alias("j")).select("id", "j.*")
+    k = F.col("o_orderkey")
+    rows = orders.withColumn("g", F.floor(k / 50)).withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("o_orderkey")) - 1)
+    call = F.concat(F.lit("f("), F.col("o_custkey").cast("string"), F.lit(")"))
+    record = F.to_json(F.struct("i", call.alias("call"), F.sha2(k.cast("string"), 256).alias("sha256"), F.col("o_custkey").alias("length")))
+    g = rows.groupBy(F.col("g").cast("string").alias("id")).agg(F.array_sort(F.collect_list(F.struct("i", call.alias("c"), record.alias("r")))).alias("l"))
+    head = F.to_json(F.struct(F.size("l").alias("planned"), F.transform("l", lambda x: x["c"]).alias("calls")))
+    end = F.when(F.col("id").cast("bigint") % 2 == 0, '{"state":"complete"}').otherwise('{"state":"interrupted"}')
+    return src.fuzz_results(g.select("id", F.array_join(F.concat(F.array(head), F.transform("l", lambda x: x["r"]), F.array(end)), "\n").alias("text")))
 
 
 LIST = "WITH p AS (SELECT CAST(n_regionkey AS BIGINT) AS source, n_nationkey // 5 AS page, n_nationkey, n_name FROM nation)"
@@ -158,32 +154,54 @@ def pages(nation, item):
     return rows.select("source", "page", F.transform("l", lambda x: x["i"]).alias("items"))
 
 
-@query("src44_repo_listing", LIST + ", c AS (SELECT source, page, count(*) AS n FROM p GROUP BY ALL), e AS (SELECT source, min(page) FILTER (n < 1) AS last FROM c GROUP BY source) SELECT source, row_number() OVER (PARTITION BY source ORDER BY n_nationkey) AS place, n_name AS name FROM p JOIN e USING (source) WHERE n_nationkey % 4 <> 0 AND page <= coalesce(last, 99)")
+def server(nation, per_page=2):
+    """Pages of a source, as an interface hands them out: the nations of a region (25 rows in all)."""
+    held = {}
+    for r in nation.orderBy("n_nationkey").limit(100).collect():
+        held.setdefault(str(r.n_regionkey), []).append((r.n_nationkey, r.n_name))
+
+    def fetch(source, cursor):
+        at = int(cursor or 0)
+        rows, end = held[source][at : at + per_page], at + per_page
+        return rows, (str(end) if end < len(held[source]) else None)
+
+    return held, fetch
+
+
+@query("src44_repo_listing", "SELECT CAST(n_regionkey AS VARCHAR) AS source, n_name AS name FROM nation WHERE n_nationkey % 4 <> 0", python=True)
 def _(nation):
-    p = pages(nation, F.struct(F.col("n_name").alias("name"), (F.col("n_nationkey") % 4 == 0).alias("archived")))
-    return paged.listing(p.select("source", "page", F.to_json("items").alias("body")), size=1)
+    spark, (held, fetch) = nation.sparkSession, server(nation)
+    apis.register_listing(spark, "repositories", "name string, archived boolean", lambda s, c: ([(n, k % 4 == 0) for k, n in fetch(s, c)[0]], fetch(s, c)[1]))
+    return spark.read.format("repositories").option("sources", ",".join(held)).load().where("NOT archived").select("source", "name")
 
 
-@query("src42_full_sync", "SELECT CAST(n_regionkey AS BIGINT) AS source, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, concat('t', n_regionkey) AS token FROM nation")
-def _(nation, region):
-    p = pages(nation, F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")))
-    return paged.full_sync(p.select("source", F.to_json("items").alias("body")), region.select(F.col("r_regionkey").alias("source"), F.concat(F.lit("t"), F.col("r_regionkey").cast("string")).alias("token")))
+@query("src42_full_sync", "SELECT CAST(n_regionkey AS VARCHAR) AS source, concat('t', n_regionkey) AS token, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation", python=True)
+def _(nation):
+    spark, (held, fetch) = nation.sparkSession, server(nation)
+    apis.register_listing(spark, "drive_files", "id string, name string", lambda s, c: ([(str(k), n) for k, n in fetch(s, c)[0]], fetch(s, c)[1]), lambda s: f"t{s}")
+    return spark.read.format("drive_files").option("sources", ",".join(held)).load()
 
 
-@query("src43_change_feed", "SELECT CAST(source AS BIGINT) AS source, id, name, token FROM (SELECT n_regionkey AS source, CAST(n_nationkey % 7 AS VARCHAR) AS id, arg_max(n_name, n_nationkey) AS name, arg_max(concat('n', n_nationkey // 5), n_nationkey // 5) AS token_ FROM nation GROUP BY 1, 2 HAVING arg_max(n_nationkey % 3 <> 0, n_nationkey))".replace("arg_max(concat('n', n_nationkey // 5), n_nationkey // 5) AS token_", "concat('n', (SELECT max(m.n_nationkey // 5) FROM nation m WHERE m.n_regionkey = nation.n_regionkey)) AS token"))
+@query("src43_change_feed", "SELECT CAST(n_nationkey % 3 AS VARCHAR) AS key, arg_max(n_name, n_nationkey) AS value FROM nation WHERE n_regionkey = 1 GROUP BY 1 HAVING arg_max(n_nationkey % 5 <> 0, n_nationkey)", python=True)
 def _(nation):
-    p = pages(nation, F.struct((F.col("n_nationkey") % 7).cast("string").alias("id"), (F.col("n_nationkey") % 3 == 0).alias("removed"), F.col("n_name").alias("name")))
-    body = F.to_json(F.struct(F.col("items").alias("changes"), F.concat(F.lit("n"), F.col("page").cast("string")).alias("next")))
-    return paged.changes(p.select("source", "page", body.alias("body")))
+    spark, (_, fetch) = nation.sparkSession, server(nation)
+
+    def changes(source, token):
+        rows, cursor = fetch(source, token)
+        return [(str(k % 3), "error" if k % 5 == 0 else "change", n, k) for k, n in rows], cursor or "9999", cursor is None
+
+    apis.register_feed(spark, "drive_changes", "key string, kind string, value string, seq bigint", lambda s: "0", changes)
+    read = spark.readStream.format("drive_changes").option("sources", "1").load()
+    return replay.apply_feed(replay.appended(read).select("key", "kind", "value", "seq"))
 
 
-@query("snk1_report_write", "SELECT id, kind, severity FROM signals WHERE severity = 'critical'")
+@query("snk1_report_write", "SELECT f AS format, id, kind, severity, summary FROM signals, (VALUES ('parquet'), ('json')) t(f) WHERE severity = 'critical'")
 def _(signals):
-    critical = signals.where("severity = 'critical'").select("id", "kind", "severity")
-    at = Tables(signals.sparkSession).at
-    critical.write.parquet(f"{at}/report/parquet")
-    critical.write.json(f"{at}/report/json")
-    return signals.sparkSession.read.schema("id string, kind string, severity string").json(f"{at}/report/json")
+    spark = signals.sparkSession
+    critical = signals.where("severity = 'critical'").select("id", "kind", "severity", "summary")
+    written = sinks.write_report(critical, f"{Tables(spark).at}/report", sinks.FORMATS)
+    both = [getattr(spark.read.schema(critical.schema), f)(at).withColumn("format", F.lit(f)) for f, at in zip(sinks.FORMATS, written, strict=True)]
+    return both[0].unionByName(both[1])
 
 
 @query("snk2_atomic_write", "SELECT kind, count(*) AS n FROM signals GROUP BY kind")
@@ -202,25 +220,45 @@ def _(part):
     return part.select(F.col("p_partkey").cast("string").alias("id"), fix(broken).alias("fixed"))
 
 
-@query("gra15_search_budget", "SELECT count(*) AS found, max(total) AS total, bool_or(total > 10) AS truncated FROM (SELECT node, count(*) OVER () AS total FROM (SELECT dst AS node FROM edges WHERE src = 'component:ASIA' UNION SELECT b.dst FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = 'component:ASIA') LIMIT 10)")
+#: Edges looked at level by level in order of the chain that leads to them; the fifteenth is the last.
+BUDGET = """WITH s AS (SELECT src AS at_, dst AS to_, '0' || chr(2) || src || chr(2) || kind || chr(2) || dst AS o FROM edges WHERE kind = 'contains' UNION ALL SELECT dst, src, '1' || chr(2) || src || chr(2) || kind || chr(2) || dst FROM edges WHERE kind = 'contains'),
+l AS (SELECT at_, to_, [o] AS p, 1 AS d FROM s WHERE at_ = 'component:ASIA'), f AS (SELECT to_ AS node, min(p) AS p FROM l WHERE to_ <> 'component:ASIA' GROUP BY to_),
+m AS (SELECT s.at_, s.to_, list_append(f.p, o) AS p, 2 AS d FROM f JOIN s ON s.at_ = f.node), k AS (SELECT *, row_number() OVER (ORDER BY d, p) AS n FROM (FROM l UNION ALL FROM m)),
+r AS (SELECT to_ AS node, min(d) AS depth FROM k WHERE n <= 15 AND to_ <> 'component:ASIA' GROUP BY to_)
+SELECT node, CAST(depth AS BIGINT) AS depth, count(*) OVER () AS total, (SELECT count(*) FROM k) > 15 AS truncated FROM r"""
+
+
+@query("gra15_search_budget", BUDGET)
 def _(edges):
-    found = tools.bounded_neighbors(edges.where("kind = 'contains'"), "component:ASIA", 10)
-    return found.agg(F.count(F.lit(1)).alias("found"), F.max("total").alias("total"), F.bool_or("truncated").alias("truncated"))
+    return tools.bounded_neighbors(edges.where("kind = 'contains'"), "component:ASIA", 15, 2).select("node", "depth", "total", "truncated")
+
+
+#: What follows each line, so that it has more places than one: where they begin after the line, what they are, what they become.
+TAIL = " && y >= 2 || ok == true + \"a < b\" // c > d"
+PLACES = "(VALUES (2, 'swap_logical', '&&', '||'), (7, 'boundary', '>=', '>'), (10, 'increment_constant', '2', '(2+1)'), (12, 'swap_logical', '||', '&&'), (18, 'negate_comparison', '==', '!='), (21, 'flip_boolean', 'true', 'false')) v(o, operator, found, put)"
+RANKS = "['drop_error', 'negate_condition', 'boundary', 'negate_comparison', 'swap_logical', 'increment_constant', 'flip_boolean', 'swap_arithmetic']"
 
 
-@query("evd11_mutation_sites", "SELECT path, CAST(line AS BIGINT) AS line, CAST(strpos(content, f) AS BIGINT) AS at, f AS found, p AS put, count(*) OVER (PARTITION BY path) AS total, row_number() OVER (PARTITION BY path ORDER BY line, strpos(content, f), f) AS place FROM diff_lines, (VALUES ('==', '!='), (' < ', ' <= ')) s(f, p) WHERE kind = 'add' AND contains(content, f)".replace(" AS at,", ' AS "at",'))
+@query(
+    "evd11_mutation_sites",
+    f"""WITH a AS (SELECT * FROM diff_lines WHERE kind = 'add'), s AS (SELECT path, line, length(content) + o AS "at", operator, found, put FROM a, {PLACES}
+UNION ALL SELECT path, line, strpos(content, f), op, f, p FROM a, (VALUES ('==', '!=', 'negate_comparison'), ('<', '<=', 'boundary')) x(f, p, op) WHERE contains(content, f)
+UNION ALL SELECT path, line, length(content), 'increment_constant', content[-1], concat('(', content[-1], '+1)') FROM a WHERE contains(content, '==') OR contains(content, '<')),
+n AS (SELECT *, count(*) OVER (PARTITION BY path) AS total, row_number() OVER (PARTITION BY path ORDER BY line, list_position({RANKS}, operator), "at") AS place FROM s)
+SELECT path, CAST(line AS BIGINT) AS line, CAST("at" AS BIGINT) AS "at", operator, found, put, total, place FROM n WHERE place <= 10""",
+)
 def _(diff_lines):
-    return tools.mutation_sites(diff_lines)
+    return tools.mutation_sites(diff_lines.withColumn("content", F.concat("content", F.lit(TAIL))), 10)
 
 
-@query("str3_sampled_eviction")
+@query("str3_sampled_eviction", "WITH k AS (SELECT user_key AS store, repo_key AS key, max(seq) AS activity FROM runs GROUP BY ALL), s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY store ORDER BY sha256(key)) <= 8) SELECT store, arg_min(key, {'a': activity, 'k': key}) AS key FROM s GROUP BY store")
 def _(runs):
     return tools.evict(runs.groupBy(F.col("user_key").alias("store"), F.col("repo_key").alias("key")).agg(F.max("seq").alias("activity")))
 
 
 @query("ext1_tool_catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{t.name}', '{t.about}')" for t in tools.CATALOG.values()) + ") c(name, about)")
 def _(region):
-    return region.sparkSession.createDataFrame([(t.name, t.about) for t in tools.CATALOG.values()], "name string, about string")
+    return tools.catalog(region.sparkSession).select("name", "about")
 
 
 @query("ext2_tool_dispatch", "SELECT id, severity FROM signals WHERE severity IN ('high', 'critical')")
@@ -236,25 +274,32 @@ def _(calls):
 
 @query("ext4_tool_schemas", "SELECT * FROM (VALUES " + ", ".join(f"('{t.name}', '{json.dumps(t.schema(), sort_keys=True)}')" for t in tools.CATALOG.values()) + ") c(name, schema)")
 def _(region):
-    return region.sparkSession.createDataFrame([(t.name, json.dumps(t.schema(), sort_keys=True)) for t in tools.CATALOG.values()], "name string, schema string")
+    return tools.catalog(region.sparkSession).select("name", "schema")
 
 
-@query("ext5_command_expansion", "SELECT n_name AS unit, concat('test ./', n_name, '/...') AS command FROM nation")
+@query("ext5_command_expansion", "SELECT n_name AS unit, concat('go test ./', n_name, '/... -run ', n_name) AS command FROM nation")
 def _(nation):
-    template = tools.expand_command(["test", "./{package}/..."], "\u0000")
-    return nation.select(F.col("n_name").alias("unit"), F.regexp_replace(F.lit(" ".join(template)), F.lit("\u0000"), F.col("n_name")).alias("command"))
+    return tools.expand_commands(nation.select(F.col("n_name").alias("unit")), ["go", "test", "./{package}/...", "-run", "{package}"]).withColumn("command", F.array_join("command", " "))
 
 
-@query("ext6_wait_state", "SELECT repo_key, bool_and(status NOT IN ('queued', 'running')) AS done FROM (SELECT repo_key, commit, arg_max(status, seq) AS status FROM runs GROUP BY ALL) GROUP BY repo_key")
+@query("ext6_wait_state", "SELECT repo_key, commit, arg_max(status, seq) AS status, arg_max(status, seq) NOT IN ('queued', 'running') AS done FROM runs GROUP BY ALL")
 def _(runs):
-    last = runs.groupBy("repo_key", "commit").agg(F.max_by("status", "seq").alias("status"))
-    return last.groupBy("repo_key").agg(F.bool_and(~F.col("status").isin("queued", "running")).alias("done"))
+    # The writes of runs arrive as a stream; once it has ended, what each is waited for is read.
+    files = replay.as_stream(runs.select("repo_key", "commit", "seq", "status"), "seq")
+    at = Tables(runs.sparkSession).at
+    if not tools.wait_for(replay.upsert_to(files, f"{at}/table", f"{at}/log", ["repo_key", "commit"], "seq"), 600):
+        raise TimeoutError("the stream hasn't ended")
+    return tools.settled(replay.current(runs.sparkSession, f"{at}/table", files.schema))
 
 
-@query("src47_issue_text", "SELECT item_id, concat('# Issue ', item_id, chr(10), chr(10), text) AS intent FROM benchmark")
+@query("src47_issue_text", "SELECT CAST(item_id AS VARCHAR) AS id, concat('# ', CASE WHEN item_id % 3 = 0 THEN concat('K-', item_id) ELSE concat('Issue ', item_id) END, chr(10), chr(10), trim(text, chr(9) || chr(10) || chr(13) || ' ')) AS intent FROM benchmark")
 def _(benchmark):
-    j = F.to_json(F.struct("item_id", F.struct(F.col("text").alias("description")).alias("fields")))
-    p = F.from_json(j, "item_id bigint, fields struct<description string>")
-    return benchmark.select(p.alias("p")).select("p.item_id", F.concat(F.lit("# Issue "), F.col("p.item_id").cast("string"), F.lit("\n\n"), "p.fields.description").alias("intent"))
+    k, id_ = F.col("item_id"), F.col("item_id").cast("string").alias("id")
+    title = F.when(k % 3 != 0, F.concat(F.lit("Issue "), k.cast("string"))).otherwise(" ")
+    key = F.concat(F.lit("K-"), k.cast("string"))
+    jira = F.to_json(F.struct(key.alias("key"), F.struct(title.alias("summary"), F.col("text").alias("description")).alias("fields")))
+    linear = F.to_json(F.struct(F.struct(F.struct(key.alias("identifier"), title.alias("title"), F.col("text").alias("description")).alias("issue")).alias("data")))
+    both = lambda j, ok, tracker: src.issue_text(benchmark.where(ok).select(id_, j.alias("text")), tracker)
+    return both(jira, "item_id % 2 = 0", "jira").unionByName(both(linear, "item_id % 2 <> 0", "linear"))
 
 

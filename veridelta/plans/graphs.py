@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veridelta.operators import graph
+from veridelta.operators import core, graph
 from veridelta.registry import query
 from veridelta.shared import Tables
 
@@ -24,14 +24,12 @@ def _(edge_sites, nodes):
 
 @query("joi9_call_edge_join", "SELECT src, dst, count(*) AS sites FROM edge_sites WHERE kind = 'calls' AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY src, dst")
 def _(edge_sites, nodes):
-    ids = nodes.select("id")
-    calls = edge_sites.where("kind = 'calls'").join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
-    return calls.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("sites"))
+    return graph.call_edges(edge_sites, nodes)
 
 
 @query("agg34_call_pairs", "SELECT src, dst, CAST(min(seq) AS BIGINT) AS first_seq, bool_or(line > 3) AS call, count(*) AS sites FROM edge_sites WHERE kind = 'calls' GROUP BY src, dst")
 def _(edge_sites):
-    return edge_sites.where("kind = 'calls'").groupBy("src", "dst").agg(F.min("seq").alias("first_seq"), F.bool_or(F.col("line") > 3).alias("call"), F.count(F.lit(1)).alias("sites"))
+    return graph.call_pairs(edge_sites.where("kind = 'calls'").withColumn("call", F.col("line") > 3))
 
 
 @query("agg4_graph_kind_counts", "SELECT 'node' AS what, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY kind")
@@ -70,9 +68,9 @@ def _(edges):
     return graph.degrees(edges)
 
 
-@query("gra13_adjacency", "SELECT dst, list(src ORDER BY src) AS sources FROM calls GROUP BY dst")
+@query("gra13_adjacency", "SELECT dst, list(src ORDER BY src) AS sources, CAST(sum(count(*)) OVER (ORDER BY dst) - count(*) AS BIGINT) AS start FROM calls GROUP BY dst")
 def _(calls):
-    return calls.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("sources"))
+    return graph.adjacency(calls)
 
 
 LEVELS = """
@@ -88,7 +86,7 @@ SELECT node, CAST(depth AS BIGINT) AS depth, dir, kind, via, count(*) OVER () AS
 
 @query("gra3_neighbors", LEVELS.format(start="component:ASIA"))
 def _(edges):
-    return graph.neighbors(written(edges), "component:ASIA")
+    return graph.neighbors(written(edges), "component:ASIA").drop("truncated")
 
 
 PATHS = """
@@ -117,21 +115,18 @@ def _(nodes, edges):
     "SELECT f.id, p.src AS package, count(DISTINCT o.dst) AS siblings FROM nodes f JOIN edges p ON p.dst = f.id AND p.kind = 'contains' LEFT JOIN edges o ON o.src = p.src AND o.kind = 'contains' AND o.dst <> f.id WHERE f.kind = 'file' AND NOT f.test GROUP BY f.id, p.src",
 )
 def _(nodes, edges):
-    c = edges.where("kind = 'contains'")
-    size = c.groupBy("src").agg(F.countDistinct("dst").alias("n"))  # counted once a package, not once a file
-    files = nodes.where("kind = 'file' AND NOT test").select("id")
-    return files.join(c.select(F.col("dst").alias("id"), F.col("src").alias("package")), "id").join(size.withColumnRenamed("src", "package"), "package").select("id", "package", (F.col("n") - 1).alias("siblings"))
+    return graph.surroundings(nodes, edges)
 
 
-@query("gra6_graph_build", "SELECT id AS src, kind, '' AS dst, 'node' AS what FROM nodes UNION SELECT src, kind, dst, 'edge' FROM edges")
-def _(nodes, edges):
-    return nodes.select(F.col("id").alias("src"), "kind", F.lit("").alias("dst"), F.lit("node").alias("what")).unionByName(edges.select("src", "kind", "dst", F.lit("edge").alias("what"))).distinct()
+@query("gra6_graph_build", """WITH n AS (SELECT DISTINCT 'node' AS what, kind, id AS src, '' AS dst FROM nodes), e AS (SELECT DISTINCT 'edge' AS what, kind, src, dst FROM edge_sites WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))
+(SELECT *, (SELECT count(*) FROM n) AS total FROM n ORDER BY src, kind, dst LIMIT 200) UNION ALL (SELECT *, (SELECT count(*) FROM e) FROM e ORDER BY src, kind, dst LIMIT 500)""")
+def _(nodes, edge_sites):
+    return graph.build(nodes, edge_sites, 200, 500)
 
 
 @query("gra7_structure_edges", "SELECT DISTINCT a.src AS component, a.dst AS package, b.dst AS file FROM edges a JOIN edges b ON b.src = a.dst AND b.kind = 'contains' WHERE a.kind = 'contains' AND a.src LIKE 'component:%'")
 def _(edges):
-    c = edges.where("kind = 'contains'")
-    return c.where(F.col("src").startswith("component:")).select(F.col("src").alias("component"), F.col("dst").alias("package")).join(c.select(F.col("src").alias("package"), F.col("dst").alias("file")), "package").select("component", "package", "file").distinct()
+    return graph.structure(edges)
 
 
 CALLERS = """
@@ -195,10 +190,10 @@ def _(edge_sites, nodes):
     return graph.capped_callers(unchanged(edge_sites, nodes))
 
 
-@query("gra11_references", "SELECT dst, src, sites, count(*) OVER (PARTITION BY dst) AS total FROM calls")
+@query("gra11_references", "WITH m AS (SELECT dst AS \"to\", min(src) AS via FROM calls GROUP BY dst), r AS (SELECT dst, src, sites, 0 AS through FROM calls UNION ALL SELECT \"to\", src, sites, 1 FROM calls JOIN m ON via = dst) SELECT dst, src, sites, CAST(through AS BIGINT) AS through, count(*) OVER (PARTITION BY dst) AS total FROM r QUALIFY row_number() OVER (PARTITION BY dst ORDER BY through, src) <= 20")
 def _(calls):
-    total = calls.groupBy("dst").agg(F.count(F.lit(1)).alias("total"))
-    return calls.join(total, "dst").select("dst", "src", "sites", "total")
+    # The first caller of each function stands in for an interface method that the function implements.
+    return graph.references(calls, calls.groupBy("dst").agg(F.min("src").alias("via")), 20)
 
 
 @query(
@@ -227,19 +222,14 @@ def _(edges_base, edges_head):
 
 @query("set4_set_difference", "SELECT change, src, kind, dst FROM (SELECT 'added' AS change, * FROM (SELECT src, kind, dst FROM edges_head EXCEPT SELECT src, kind, dst FROM edges_base) UNION ALL SELECT 'removed', * FROM (SELECT src, kind, dst FROM edges_base EXCEPT SELECT src, kind, dst FROM edges_head))")
 def _(edges_base, edges_head):
-    b, h = edges_base.select("src", "kind", "dst"), edges_head.select("src", "kind", "dst")
-    return h.subtract(b).withColumn("change", F.lit("added")).unionByName(b.subtract(h).withColumn("change", F.lit("removed")))
+    return core.difference(edges_base, edges_head, ["src", "kind", "dst"])
 
 
 @query("joi12_import_edges", "SELECT DISTINCT a.n_name AS src, b.n_name AS dst FROM (SELECT DISTINCT c_nationkey AS x, s_nationkey AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey) e JOIN nation a ON a.n_nationkey = x JOIN nation b ON b.n_nationkey = y WHERE x <> y")
 def _(orders, customer, lineitem, supplier, nation):
-    pairs = (
-        lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
-        .join(orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey").join(customer.select("c_custkey", "c_nationkey"), "c_custkey").join(supplier.select("s_suppkey", "s_nationkey"), "s_suppkey")
-        .select(F.col("c_nationkey").alias("x"), F.col("s_nationkey").alias("y")).where("x <> y").distinct()
-    )
-    n = nation.select("n_nationkey", "n_name")
-    return pairs.join(n.toDF("x", "src"), "x").join(n.toDF("y", "dst"), "y").select("src", "dst").distinct()
+    uses = lineitem.select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct().join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src")), "l_orderkey")
+    owner = lambda t, k, prefix, n: t.select(F.concat(F.lit(prefix), F.col(k).cast("string")).alias("id"), F.col(n).alias("n_nationkey")).join(nation, "n_nationkey").select("id", F.col("n_name").alias("owner"))
+    return graph.depends_on(uses, owner(customer, "c_custkey", "c", "c_nationkey").unionByName(owner(supplier, "s_suppkey", "s", "s_nationkey")))
 
 
 @query("joi34_graph_node_resolve", f"WITH refs AS (SELECT id AS ref FROM nodes WHERE id LIKE '%5' UNION SELECT name FROM nodes UNION SELECT {SHORT} FROM nodes WHERE kind = 'function'), hits AS (SELECT ref, 0 AS p, id FROM refs JOIN nodes ON id = ref UNION SELECT ref, 1, id FROM refs JOIN nodes ON id = 'file:' || ref UNION SELECT ref, 2, id FROM refs JOIN nodes ON id = 'package:' || ref UNION SELECT ref, 3, id FROM refs JOIN nodes ON id = 'component:' || ref UNION SELECT ref, 9, id FROM refs JOIN nodes ON lower(ref) = lower(name) OR lower(ref) = nullif({SHORT}, '')) SELECT ref, id FROM hits QUALIFY p = min(p) OVER (PARTITION BY ref)")
@@ -260,10 +250,9 @@ def _(part):
     return graph.implementers(methods, part.where("p_size % 2 = 0").select(F.concat(F.lit("I"), (F.col("p_size") % 7).cast("string")).alias("interface"), F.col("p_size").alias("method")))
 
 
-@query("gra16_literal_search", "SELECT doc_id, CAST(n AS BIGINT) AS line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE contains(text, 'License')")
+@query("gra16_literal_search", "SELECT doc_id, CAST(n AS BIGINT) AS line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE contains(text, 'License') ORDER BY doc_id, n LIMIT 100")
 def _(documents):
-    lines = documents.where(F.contains("text", F.lit("License"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    return lines.where(F.contains("text", F.lit("License"))).select("doc_id", (F.col("n") + 1).alias("line"), "text")
+    return graph.search_lines(documents, "License", 100)
 
 
 @query("gra17_commit_graph", "WITH RECURSIVE c AS (SELECT concat('k', CAST(n_nationkey AS string)) AS sha, concat('k', CAST(n_nationkey + 1 + n_regionkey AS string)) AS parent FROM nation UNION SELECT concat('k', CAST(n_nationkey AS string)), concat('k', CAST(n_nationkey + 2 AS string)) FROM nation WHERE n_nationkey % 3 = 0), w AS (SELECT 'k0' AS sha, 0 AS depth UNION SELECT parent, depth + 1 FROM w JOIN c USING (sha) WHERE depth < 300) SELECT sha, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY sha")
@@ -276,34 +265,28 @@ def _(nation):
 @query("joi32_symbol_resolve", "WITH refs AS (SELECT DISTINCT concat('pkg.', s_name) AS ref FROM supplier UNION SELECT s_name FROM supplier WHERE s_suppkey % 3 = 0 UNION SELECT concat('function:', s_name) FROM supplier WHERE s_suppkey % 5 = 0), h AS (SELECT ref, id, CASE WHEN id = ref THEN 0 WHEN name = ref THEN 2 ELSE 3 END AS class FROM refs JOIN nodes ON kind = 'function' AND (id = ref OR name = ref OR ends_with(name, '.' || ref))) SELECT ref, id, CAST(class AS BIGINT) AS class FROM h QUALIFY class = min(class) OVER (PARTITION BY ref)")
 def _(supplier, nodes):
     name = F.col("s_name")
-    refs = supplier.select(F.concat(F.lit("pkg."), name).alias("ref")).union(supplier.where("s_suppkey % 3 = 0").select(name)).union(supplier.where("s_suppkey % 5 = 0").select(F.concat(F.lit("function:"), name))).distinct()
-    keyed = nodes.where("kind = 'function'").select("id", F.explode(F.array(F.struct(F.lit(0).alias("class"), F.col("id").alias("ref")), F.struct(F.lit(2).alias("class"), F.col("name").alias("ref")), F.struct(F.lit(3).alias("class"), F.regexp_replace("name", r"^.*\.", "").alias("ref")))).alias("k")).select("id", "k.*")
-    hits = refs.join(keyed, "ref").groupBy("ref", "id").agg(F.min("class").alias("class"))
-    return hits.join(hits.groupBy("ref").agg(F.min("class").alias("class")), ["ref", "class"]).select("ref", "id", "class")
+    refs = supplier.select(F.concat(F.lit("pkg."), name).alias("ref")).union(supplier.where("s_suppkey % 3 = 0").select(name)).union(supplier.where("s_suppkey % 5 = 0").select(F.concat(F.lit("function:"), name)))
+    return graph.resolve_symbols(refs, nodes)
 
 
-@query("joi33_call_resolve", "WITH c AS (SELECT l_suppkey AS caller, l_partkey % 30 AS name, l_orderkey % 8 AS file FROM lineitem WHERE l_orderkey % 50 = 0), d AS (SELECT s_suppkey AS id, s_suppkey % 30 AS name, s_suppkey % 8 AS file FROM supplier), h AS (SELECT DISTINCT c.caller, c.name, c.file, d.id, CASE WHEN d.file = c.file THEN 0 ELSE 1 END AS class FROM c JOIN d ON d.name = c.name), b AS (SELECT * FROM h QUALIFY class = min(class) OVER (PARTITION BY caller, name, file)) SELECT caller, name, file, id, CAST(class AS BIGINT) AS class, count(*) OVER (PARTITION BY caller, name, file) > 3 AS unresolved FROM b")
+@query("joi33_call_resolve", "WITH c AS (SELECT l_suppkey AS caller, l_partkey % 30 AS name, l_orderkey % 8 AS file FROM lineitem), d AS (SELECT s_suppkey AS id, s_suppkey % 30 AS name, s_suppkey % 8 AS file FROM supplier), h AS (SELECT DISTINCT c.caller, c.name, c.file, d.id, CASE WHEN d.file = c.file THEN 0 ELSE 1 END AS class FROM c JOIN d ON d.name = c.name), b AS (SELECT * FROM h QUALIFY class = min(class) OVER (PARTITION BY caller, name, file)) SELECT caller, name, file, id, CAST(class AS BIGINT) AS class, count(*) OVER (PARTITION BY caller, name, file) > 3 AS unresolved FROM b")
 def _(lineitem, supplier):
-    c = lineitem.where("l_orderkey % 50 = 0").selectExpr("l_suppkey AS caller", "l_partkey % 30 AS name", "l_orderkey % 8 AS file").distinct()
-    d = supplier.selectExpr("s_suppkey AS id", "s_suppkey % 30 AS name", "s_suppkey % 8 AS home")
-    h = c.join(d, "name").withColumn("class", F.when(F.col("home") == F.col("file"), 0).otherwise(1))
-    best = h.groupBy("caller", "name", "file").agg(F.min("class").alias("class"))
-    best = h.join(best, ["caller", "name", "file", "class"])
-    n = best.groupBy("caller", "name", "file").agg(F.count(F.lit(1)).alias("n"))
-    return best.join(n, ["caller", "name", "file"]).select("caller", "name", "file", "id", "class", (F.col("n") > 3).alias("unresolved"))
+    calls = lineitem.selectExpr("l_suppkey AS caller", "l_partkey % 30 AS name", "l_orderkey % 8 AS file")
+    return graph.resolve_calls(calls, supplier.selectExpr("s_suppkey AS id", "s_suppkey % 30 AS name", "s_suppkey % 8 AS home"))
 
 
 @query("joi10_import_resolution", "WITH s AS (SELECT DISTINCT path, concat('f', CAST(length(path) * 7 % 300 AS string)) AS spec FROM paths), t AS (SELECT path AS target, regexp_extract(path, 'f[0-9]+') AS name, starts_with(path, 'src/') AS own FROM paths), h AS (SELECT s.path, spec, target, CASE WHEN own THEN 0 ELSE 1 END AS priority FROM s JOIN t ON name = spec) SELECT path, spec, arg_min(target, {'p': priority, 't': target}) AS target FROM h GROUP BY path, spec")
 def _(paths):
-    s = paths.select("path", F.concat(F.lit("f"), (F.length("path") * 7 % 300).cast("string")).alias("spec"))
-    t = paths.select(F.col("path").alias("target"), F.regexp_extract("path", "f[0-9]+", 0).alias("spec"), F.when(F.col("path").startswith("src/"), 0).otherwise(1).alias("priority"))
-    best = t.groupBy("spec").agg(F.min_by("target", F.struct("priority", "target")).alias("target"))  # candidates of a name are reduced before the join
-    return s.join(best, "spec").select("path", "spec", "target")
+    imports = paths.select("path", F.concat(F.lit("f"), (F.length("path") * 7 % 300).cast("string")).alias("spec"))
+    targets = paths.select(F.col("path").alias("target"), F.regexp_extract("path", "f[0-9]+", 0).alias("spec"), F.when(F.col("path").startswith("src/"), 0).otherwise(1).alias("priority"))
+    return graph.resolve_imports(imports, targets)
 
 
-@query("joi38_head_labels", "SELECT commit, string_agg(DISTINCT repo_key, ',' ORDER BY repo_key) AS labels FROM (SELECT repo_key, arg_max(commit, seq) AS commit FROM runs GROUP BY repo_key) GROUP BY commit")
+@query("joi38_head_labels", "WITH RECURSIVE h AS (SELECT repo_key, arg_max(commit, seq) AS sha FROM runs GROUP BY repo_key), c AS (SELECT concat('c', n) AS sha, CASE WHEN n >= 600 THEN concat('c', n - 600) END AS parent FROM range(3000) t(n)), w AS (SELECT sha, repo_key AS label, 0 AS distance FROM h UNION ALL SELECT parent, label, distance + 1 FROM w JOIN c USING (sha) WHERE parent IS NOT NULL), b AS (SELECT * FROM w QUALIFY distance = min(distance) OVER (PARTITION BY sha)) SELECT sha, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, CAST(distance AS BIGINT) AS distance FROM b GROUP BY sha, distance")
 def _(runs):
-    heads = runs.groupBy("repo_key").agg(F.max_by("commit", "seq").alias("commit"))
-    return heads.groupBy("commit").agg(F.array_join(F.array_sort(F.collect_set("repo_key")), ",").alias("labels"))
+    n = F.col("id")
+    commits = runs.sparkSession.range(3000).select(F.concat(F.lit("c"), n.cast("string")).alias("sha"), F.when(n >= 600, F.concat(F.lit("c"), (n - 600).cast("string"))).alias("parent"))
+    heads = runs.groupBy("repo_key").agg(F.max_by("commit", "seq").alias("sha"))
+    return graph.nearest_labels(commits, heads.select("sha", F.col("repo_key").alias("label")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veridelta import sinks
 from veridelta.operators import core, report
 from veridelta.registry import query
 
@@ -27,8 +28,7 @@ def _(signals):
 
 @query("sca3_verdict", "SELECT code, CASE code WHEN 0 THEN 'clear' WHEN 1 THEN 'blocked' WHEN 2 THEN 'review' ELSE 'failed' END AS verdict FROM (SELECT DISTINCT CAST(l_linenumber - 1 AS BIGINT) AS code FROM lineitem)")
 def _(lineitem):
-    code = F.col("l_linenumber") - 1
-    return lineitem.select(code.alias("code"), F.when(code == 0, "clear").when(code == 1, "blocked").when(code == 2, "review").otherwise("failed").alias("verdict")).distinct()
+    return lineitem.select((F.col("l_linenumber") - 1).alias("code")).distinct().select("code", report.verdict_name(F.col("code")).alias("verdict"))
 
 
 @query("sca4_status_kind_rank", "SELECT DISTINCT kind, CAST(CASE kind WHEN 'secret' THEN 0 WHEN 'coverage' THEN 1 WHEN 'dependency' THEN 2 ELSE 3 END AS BIGINT) AS rank FROM signals")
@@ -38,12 +38,12 @@ def _(signals):
 
 @query("sca5_sha256", "SELECT doc_id, sha256(text) AS hash, left(sha256(text), 16) AS prefix FROM documents")
 def _(documents):
-    return documents.select("doc_id", F.sha2("text", 256).alias("hash"), F.substring(F.sha2("text", 256), 1, 16).alias("prefix"))
+    return documents.select("doc_id", report.hash_hex(F.col("text")).alias("hash"), report.hash_hex(F.col("text"), 16).alias("prefix"))
 
 
-@query("sca6_canonical_key", "SELECT id, sha256(concat_ws('|', kind, path, CAST(line AS VARCHAR), side)) AS key FROM signals")
+@query("sca6_canonical_key", "SELECT id, sha256(CAST(to_json({'kind': kind, 'path': path, 'line': line, 'side': side}) AS VARCHAR)) AS key FROM signals")
 def _(signals):
-    return signals.select("id", F.sha2(F.concat_ws("|", "kind", "path", F.col("line").cast("string"), "side"), 256).alias("key"))
+    return signals.select("id", report.canonical_key("kind", "path", "line", "side").alias("key"))
 
 
 @query("srt3_signal_order", "SELECT id, path, CAST(line AS BIGINT) AS line, kind, left(sha256(concat_ws('|', path, CAST(line AS VARCHAR), kind, side, summary, severity)), 16) AS content_id FROM signals")
@@ -51,19 +51,19 @@ def _(signals):
     return signals.select("id", "path", "line", "kind", report.content_id("path", "line", "kind", "side", "summary", "severity").alias("content_id")).orderBy("path", "line", "kind", "id")
 
 
-@query("set1_signal_union", "SELECT id, kind, path FROM signals WHERE ord % 2 = 0 UNION ALL SELECT id, kind, path FROM signals WHERE ord % 3 = 0")
+@query("set1_signal_union", "WITH u AS (FROM signals WHERE ord % 2 = 0 UNION ALL FROM signals WHERE ord % 3 = 0), k AS (SELECT path, CAST(line AS BIGINT) AS line, kind, side, summary, severity, left(sha256(concat_ws('|', path, CAST(line AS VARCHAR), kind, side, summary, severity)), 16) AS id FROM u) SELECT *, row_number() OVER (PARTITION BY id) - 1 AS occurrence FROM k")
 def _(signals):
-    return signals.where("ord % 2 = 0").select("id", "kind", "path").unionByName(signals.where("ord % 3 = 0").select("id", "kind", "path"))
+    return report.union_signals(signals.where("ord % 2 = 0"), signals.where("ord % 3 = 0"))
 
 
 @query("set2_distinct_union", "SELECT path FROM signals UNION SELECT path FROM claims")
 def _(signals, claims):
-    return signals.select("path").union(claims.select("path")).distinct()
+    return core.union_distinct(signals, claims, ["path"])
 
 
 @query("set3_intersection", "SELECT path, line FROM (SELECT path, CAST(line AS BIGINT) AS line FROM signals INTERSECT SELECT path, CAST(line AS BIGINT) FROM claims)")
 def _(signals, claims):
-    return signals.select("path", "line").intersect(claims.select("path", "line"))
+    return core.common(signals, claims, ["path", "line"])
 
 
 LISTS = "list_sort(list_distinct(flatten(list({c}))))"
@@ -79,11 +79,11 @@ g AS (SELECT *, sum(CASE WHEN start <= 0 OR prev IS NULL OR prev + 1 < start THE
 SELECT path, side, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS "end", CAST(max(rank) AS BIGINT) AS rank, array_to_string({LISTS.format(c="reasons")}, ',') AS reasons, array_to_string({LISTS.format(c="ids")}, ',') AS ids,
        CASE max(rank) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity FROM g GROUP BY path, side, grp
 """
-DIFF = "WITH d AS (SELECT concat('src/f', CAST(l_orderkey % 200 AS VARCHAR), '.go') AS path, l_partkey % 70 AS line, CASE min(l_returnflag) WHEN 'A' THEN 'add' WHEN 'R' THEN 'delete' ELSE 'context' END AS kind FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL), "
+DIFF = "WITH d AS (SELECT concat('src/f', CAST(l_orderkey % 200 AS VARCHAR), '.go') AS path, l_partkey % 70 AS line, CASE min(l_returnflag) WHEN 'A' THEN 'add' WHEN 'R' THEN 'delete' ELSE 'context' END AS kind FROM lineitem GROUP BY ALL), "
 
 
 def diff(lineitem):
-    rows = lineitem.where("l_orderkey % 3 = 0").select(F.concat(F.lit("src/f"), (F.col("l_orderkey") % 200).cast("string"), F.lit(".go")).alias("path"), (F.col("l_partkey") % 70).alias("line"), "l_returnflag")
+    rows = lineitem.select(F.concat(F.lit("src/f"), (F.col("l_orderkey") % 200).cast("string"), F.lit(".go")).alias("path"), (F.col("l_partkey") % 70).alias("line"), "l_returnflag")
     return rows.groupBy("path", "line").agg(F.min("l_returnflag").alias("f")).select("path", "line", F.when(F.col("f") == "A", "add").when(F.col("f") == "R", "delete").otherwise("context").alias("kind"))
 
 
@@ -199,7 +199,7 @@ def _(signals):
 
 @query("agg15_location_list", "SELECT summary, path, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line, ord) AS locations FROM signals GROUP BY summary, path")
 def _(signals):
-    return signals.groupBy("summary", "path").agg(F.array_sort(F.collect_list(F.struct("line", "ord"))).alias("l")).select("summary", "path", F.array_join(F.transform("l", lambda x: x["line"].cast("string")), ",").alias("locations"))
+    return report.locations(signals)
 
 
 ONCE = "once AS (SELECT id, any_value(verified) AS verified, any_value(kind) AS kind FROM evidence GROUP BY id HAVING count(*) = 1)"
@@ -218,19 +218,17 @@ def _(claims, citations, evidence, checks, signals):
 
 @query("agg29_evidence_ledger", "SELECT id, count(*) = 1 AS usable FROM evidence GROUP BY id")
 def _(evidence):
-    return evidence.groupBy("id").agg((F.count(F.lit(1)) == 1).alias("usable"))
+    return report.ledger(evidence)
 
 
 @query("agg27_distinct_notes", "SELECT agent, array_to_string(list_sort(list(DISTINCT trim(title)) FILTER (trim(title) <> '')), '|') AS notes FROM claims GROUP BY agent")
 def _(claims):
-    return claims.where("trim(title) <> ''").groupBy("agent").agg(F.array_join(F.array_sort(F.collect_set(F.trim("title"))), "|").alias("notes"))
+    return report.open_notes(claims)
 
 
 @query("joi18_claim_evidence", "SELECT c.claim_id, string_agg(e.id || ':' || e.kind, ',' ORDER BY c.pos) AS cited FROM citations c JOIN (SELECT id, arg_min(kind, ord) AS kind FROM evidence GROUP BY id) e ON e.id = c.evidence_id GROUP BY c.claim_id")
 def _(citations, evidence):
-    e = evidence.groupBy(F.col("id").alias("evidence_id")).agg(F.min_by("kind", "ord").alias("kind"))
-    j = citations.join(e, "evidence_id").groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(":", "evidence_id", "kind").alias("t")))).alias("l"))
-    return j.select("claim_id", F.array_join(F.transform("l", lambda x: x["t"]), ",").alias("cited"))
+    return report.cited_evidence(citations, evidence)
 
 
 @query("joi19_first_assessment", "SELECT s.id, a.title, a.judgment FROM signals s LEFT JOIN (SELECT signal_id, arg_min(title, ord) AS title, arg_min(judgment, ord) AS judgment FROM assessments WHERE trim(title) <> '' GROUP BY 1) a ON a.signal_id = s.id")
@@ -245,30 +243,24 @@ def _(signals, assessments):
 
 @query("joi20_area_assignment", "WITH a AS (SELECT concat('s', CAST(c_custkey AS VARCHAR)) AS id, c_mktsegment AS area FROM customer), x AS (SELECT id || CASE WHEN ord % 4 = 0 THEN '#2' ELSE '' END AS alert FROM signals), m AS (SELECT id, min(area) AS area FROM a GROUP BY id) SELECT alert, coalesce(d.area, b.area, '') AS area FROM x LEFT JOIN m d ON d.id = alert LEFT JOIN m b ON b.id = regexp_replace(alert, '#[0-9]+$', '')")
 def _(signals, customer):
-    areas = customer.groupBy(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("id")).agg(F.min("c_mktsegment").alias("area"))
-    x = signals.select(F.concat("id", F.when(F.col("ord") % 4 == 0, "#2").otherwise("")).alias("alert"))
-    both = x.join(areas.toDF("alert", "d"), "alert", "left").withColumn("id", F.regexp_replace("alert", r"#[0-9]+$", "")).join(areas.toDF("id", "b"), "id", "left")
-    return both.select("alert", F.coalesce("d", "b", F.lit("")).alias("area"))
+    areas = customer.select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("area"))
+    return report.assign_areas(signals.select(F.concat("id", F.when(F.col("ord") % 4 == 0, "#2").otherwise("")).alias("alert")), areas)
 
 
 @query("joi21_target_reasons", "SELECT path, array_to_string(list_sort(list_filter(list(DISTINCT summary), lambda r: NOT list_contains(coalesce(any_value(t), []), r))), ',') AS reasons FROM signals LEFT JOIN (SELECT path, list(DISTINCT concat('found ', CAST(ord % 6 AS VARCHAR))) AS t FROM claims GROUP BY path) USING (path) GROUP BY path")
 def _(signals, claims):
-    shown = claims.groupBy("path").agg(F.collect_set(F.concat(F.lit("found "), (F.col("ord") % 6).cast("string"))).alias("t"))
-    own = signals.groupBy("path").agg(F.collect_set("summary").alias("r"))
-    return own.join(shown, "path", "left").select("path", F.array_join(F.array_sort(F.array_except("r", F.coalesce("t", F.array().cast("array<string>")))), ",").alias("reasons"))
+    shown = claims.select("path", F.concat(F.lit("found "), (F.col("ord") % 6).cast("string")).alias("reason"))
+    return report.reasons_not_shown(signals.select("path", F.col("summary").alias("reason")), shown)
 
 
 @query("joi22_divergence_selection", f"WITH {ONCE} SELECT o.id, count(k.id) AS checks FROM once o JOIN checks k ON k.evidence_id = o.id WHERE o.verified = 'DIVERGED' GROUP BY o.id HAVING count(k.id) >= 1 AND bool_and(k.status <> 'TIMEOUT')")
 def _(evidence, checks):
-    e = report.unique_ids(evidence).where("verified = 'DIVERGED'").select("id")
-    k = checks.select(F.col("evidence_id").alias("id"), "status")
-    return e.join(k, "id").groupBy("id").agg(F.count(F.lit(1)).alias("checks"), F.bool_and(F.col("status") != "TIMEOUT").alias("_ok")).where("_ok").drop("_ok")
+    return report.diverged_evidence(evidence, checks)
 
 
 @query("joi23_divergence_claims", "SELECT c.evidence_id, string_agg(DISTINCT h.id, ',' ORDER BY h.id) AS claim_ids, arg_min(h.path, h.ord) AS path FROM citations c JOIN claims h ON h.id = c.claim_id WHERE h.status = 'DIVERGED' GROUP BY c.evidence_id")
 def _(citations, claims):
-    c = citations.join(claims.where("status = 'DIVERGED'").select(F.col("id").alias("claim_id"), "path", "ord"), "claim_id")
-    return c.groupBy("evidence_id").agg(F.array_join(F.array_sort(F.collect_set("claim_id")), ",").alias("claim_ids"), F.min_by("path", "ord").alias("path"))
+    return report.citing_claims(citations, claims)
 
 
 MERGE = """WITH k AS (SELECT lower(path) AS path, line, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS title, agent, id, ord, status, CASE status WHEN 'UNVERIFIED' THEN 1 WHEN 'DISMISSED' THEN 2 WHEN 'NOT_REPRODUCED' THEN 3 WHEN 'DIVERGED' THEN 4 ELSE 5 END AS st FROM claims),
@@ -283,28 +275,30 @@ def _(claims):
 
 @query("evd10_plan_gate", f"SELECT concat_ws(';', CASE WHEN (SELECT count(*) FROM checks WHERE status <> 'PASS' OR exit_code <> 0) > 0 THEN 'checks_failed' END, CASE WHEN (SELECT count(*) FROM signals WHERE {SEV} >= 3) > 0 THEN 'risk_signals' END, CASE WHEN (SELECT count(*) FROM checks) = 0 THEN 'no_checks' END, CASE WHEN (SELECT count(*) FROM claims WHERE status = 'UNVERIFIED') > 0 THEN 'unverified' END) AS reasons")
 def _(checks, signals, claims):
-    k = checks.agg(F.count_if((F.col("status") != "PASS") | (F.col("exit_code") != 0)).alias("f"), F.count(F.lit(1)).alias("n"))
-    s = signals.agg(F.count_if(core.severity_rank("severity") >= 3).alias("s"))
-    c = claims.agg(F.count_if(F.col("status") == "UNVERIFIED").alias("u"))
-    reason = lambda ok, text: F.when(ok, text)
-    return k.crossJoin(s).crossJoin(c).select(F.concat_ws(";", reason(F.col("f") > 0, "checks_failed"), reason(F.col("s") > 0, "risk_signals"), reason(F.col("n") == 0, "no_checks"), reason(F.col("u") > 0, "unverified")).alias("reasons"))
+    return report.gate_reasons(checks, signals, claims)
 
 
-@query("snk3_sarif_export", "SELECT kind AS rule_id, count(*) AS results, string_agg(path || ':' || CAST(line AS VARCHAR), ' ' ORDER BY path, line, ord) AS locations FROM signals WHERE severity = 'critical' GROUP BY kind")
+SARIF = f"""WITH r AS (SELECT severity, kind, path, line, id, {{'ruleId': kind, 'level': CASE WHEN {NORMAL} IN ('critical', 'high') THEN 'error' WHEN {NORMAL} = 'medium' THEN 'warning' ELSE 'note' END, 'message': {{'text': summary}},
+ 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': path}}, 'region': CASE WHEN line > 0 THEN {{'startLine': line, 'endLine': greatest(line, end_line)}} END}}}}], 'partialFingerprints': {{'veridelta/v1': id}}}} AS v FROM signals)
+SELECT severity, replace(CAST(to_json({{'$schema': '{sinks.SARIF_SCHEMA}', 'version': '2.1.0', 'runs': [{{'tool': {{'driver': {{'name': 'veridelta', 'rules': list_sort(list(DISTINCT {{'id': kind, 'shortDescription': {{'text': replace(kind, '_', ' ')}}}}))}}}}, 'results': list(v ORDER BY kind, path, line, id)}}]}}) AS VARCHAR), ',"region":null', '') AS log FROM r GROUP BY severity"""
+
+
+@query("snk3_sarif_export", SARIF)
 def _(signals):
-    g = signals.where("severity = 'critical'").groupBy(F.col("kind").alias("rule_id")).agg(F.count(F.lit(1)).alias("results"), F.array_sort(F.collect_list(F.struct("path", "line", "ord"))).alias("l"))
-    return g.select("rule_id", "results", F.array_join(F.transform("l", lambda x: F.concat(x["path"], F.lit(":"), x["line"].cast("string"))), " ").alias("locations"))
+    return sinks.sarif(signals, ["severity"])
+
+
+MARKDOWN = f"""WITH s AS (SELECT kind, {NORMAL} AS name, {SEV} AS rank, concat('- `', path, CASE WHEN line > 0 THEN concat(':', line) ELSE '' END, '` ', summary) AS item, path, line, id FROM signals),
+n AS (SELECT *, count(*) OVER (PARTITION BY kind, name) AS n, row_number() OVER (PARTITION BY kind, name ORDER BY path, line, id) AS k FROM s),
+t AS (SELECT kind, max(n) AS n, CASE name WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS rank, concat('## ', upper(name[1]), name[2:], ' (', max(n), ')', chr(10), chr(10), string_agg(item, chr(10) ORDER BY path, line, id), CASE WHEN max(n) > 50 THEN concat(chr(10), '- and ', max(n) - 50, ' more') ELSE '' END) AS text FROM n WHERE k <= 50 GROUP BY kind, name)
+SELECT kind, concat('# Findings', chr(10), chr(10), sum(n), ' in all', chr(10), chr(10), string_agg(text, chr(10) || chr(10) ORDER BY rank DESC), chr(10)) AS text FROM t GROUP BY kind"""
 
 
-@query("snk4_markdown_render", "SELECT kind, '## ' || kind || chr(10) || string_agg('- ' || id || ' ' || path, chr(10) ORDER BY ord) AS text FROM signals WHERE ord % 50 = 0 GROUP BY kind")
+@query("snk4_markdown_render", MARKDOWN)
 def _(signals):
-    g = signals.where("ord % 50 = 0").groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("- "), "id", F.lit(" "), "path").alias("t")))).alias("l"))
-    return g.select("kind", F.concat(F.lit("## "), "kind", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n")).alias("text"))
+    return sinks.markdown(signals, ["kind"])
 
 
-@query("snk5_comment_prefix", f"WITH p AS (SELECT path, id, ord, sum(strlen(id) + strlen(summary)) OVER (PARTITION BY path ORDER BY {SEV} DESC, ord) AS used, row_number() OVER (PARTITION BY path ORDER BY {SEV} DESC, ord) AS n, count(*) OVER (PARTITION BY path) AS c FROM signals), k AS (SELECT path, count(*) FILTER (used <= 400 AND n <= 20) AS shown, max(c) AS c FROM p GROUP BY path) SELECT path, shown, c - shown AS hidden FROM k")
+@query("snk5_comment_prefix", f"WITH p AS (SELECT path, id, ord, summary, sum(strlen(id) + strlen(summary)) OVER w AS used, row_number() OVER w AS n, count(*) OVER (PARTITION BY path) AS c FROM signals WINDOW w AS (PARTITION BY path ORDER BY {SEV} DESC, ord)) SELECT path, coalesce(string_agg(concat('- ', id, ' ', summary), chr(10) ORDER BY n) FILTER (used <= 400 AND n <= 20), '') AS text, count(*) FILTER (used <= 400 AND n <= 20) AS shown, max(c) - count(*) FILTER (used <= 400 AND n <= 20) AS hidden FROM p GROUP BY path")
 def _(signals):
-    w = Window.partitionBy("path").orderBy(F.desc("_r"), "ord")
-    p = signals.withColumn("_r", core.severity_rank("severity")).withColumn("used", F.sum(F.octet_length("id") + F.octet_length("summary")).over(w)).withColumn("n", F.row_number().over(w))
-    g = p.groupBy("path").agg(F.count_if((F.col("used") <= 400) & (F.col("n") <= 20)).alias("shown"), F.count(F.lit(1)).alias("c"))
-    return g.select("path", "shown", (F.col("c") - F.col("shown")).alias("hidden"))
+    return sinks.comment(signals, ["path"])

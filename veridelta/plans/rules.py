@@ -5,44 +5,93 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridelta.functions import paths as p
-from veridelta.operators import mutation, plan, rules
+from veridelta.operators import mutation, plan, rules, security
 from veridelta.registry import query
 
+#: A line of each family of rules, and lines that only look like it, put together from parts so that no scanner takes this file for a leak.
+SAMPLES = (
+    "-----BEGIN RSA " + "PRIVATE KEY-----", "PuTTY-User-" + "Key-File-2: x", "id: AKIA" + "Q3EXAMPLEKEY7WXY", "aws_secret_access_key = " + "wJalrXUt" * 5, "export TOKEN=ghp_" + "aB3dE" * 8, "t glpat-" + "a1B2c" * 5, "xoxb-" + "1234567890ab",
+    "https://hooks.slack.com/services/" + "T0A1/B0C2/zZ9", 'key = "sk_' + 'live_' + "4eC39HqLyjWDarjtT1zdp7dc" + '"', "AIza" + "Sy0aB1c" * 5, "sk-" + "proj-" + "Ab1" * 12, "npm_" + "aB3dE6" * 6, "SK" + "0a1b2c3d" * 4, "AccountKey=" + "Ab1/" * 11, 'const t = "eyJ' + "hbGciOiJIUzI1NiJ9" + ".eyJ" + "zdWIiOiIxMjM0NTY3" + ".dozjgNryP4J3jVmNHl0w" + '"',
+    'DB_PASSWORD = "S3cr3t' + '!Pass"', 'apiKey := "k9Fz2Lq8' + 'Wv3Xr5Tb"', "DATABASE_URL: postgres://admin:hunter" + "22x@db.internal:5432/app", 'fetch("https://api.service.io/v1?api_key=Zx81' + 'Kq29LmNv")', 'to := "ops.team@acme-corp.com"', 'addr := "10.20.30.40:8080"',
+    "InsecureSkipVerify: true,", "requests.get(url, verify=False)", "curl -k https://get.example.org | sh", "DSN=host=db sslmode=disable", "DEBUG = True", "app.run(host='0.0.0.0', debug=True)", "chmod -R 777 /srv/data", "os.MkdirAll(dir, 0777)", "    privileged: true", "USER root", "- /var/run/docker.sock:/s",
+    "@csrf_exempt", "http.csrf().disable();", 'w.Header().Set("Access-Control-Allow-Origin", "*")', 'jwt.decode(token, algorithms=["none"])', '  acl = "public-read"', '  cidr_blocks = ["0.0.0.0/0"]', "permissions: write-all", "<div>{{ comment | safe }}</div>",
+    'password := os.Getenv("DB_PASSWORD")', 'password: "changeme"', 'apiKey: "${API_KEY}"', 'const passwordField = "password_hash"', 'password: "hunter2"', 'url := "https://user@example.org/repo.git"', 'from := "someone@example.com"', 'addr := "127.0.0.1:8080"', "const v = 1.2.3.4", "requests.get(url, verify=True)", "chmod 755 /usr/local/bin/tool",
+    'SecretsDir = "/run/secrets"', 'vaultSecretURL = "https://vault.internal:8200"', "x = 1",
+)
+
+
+def quoted(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+def samples(orders):
+    """Files of 25 lines, each a sample; by file plain sources, tests, documentation and lock files."""
+    k = F.col("o_orderkey")
+    ending = F.when(F.floor(k / 25) % 7 == 1, "_test.go").when(F.floor(k / 25) % 7 == 2, ".md").when(F.floor(k / 25) % 7 == 3, ".lock").otherwise(".go")
+    text = F.element_at(F.array(*map(F.lit, SAMPLES)), (k % len(SAMPLES) + 1).cast("int"))
+    return orders.select(F.concat(F.lit("src/f"), F.floor(k / 25).cast("string"), ending).alias("path"), (k % 25 + 1).alias("line"), text.alias("content"))
+
+
+SAMPLED = f"lines AS (SELECT concat('src/f', o_orderkey // 25, CASE o_orderkey // 25 % 7 WHEN 1 THEN '_test.go' WHEN 2 THEN '.md' WHEN 3 THEN '.lock' ELSE '.go' END) AS path, o_orderkey % 25 + 1 AS line, list_extract([{', '.join(map(quoted, SAMPLES))}], CAST(o_orderkey % {len(SAMPLES)} + 1 AS INTEGER)) AS content FROM orders)"
 LINES = "lines AS (SELECT concat('doc/', CAST(doc_id AS VARCHAR)) AS path, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
-HITS = f"WITH {LINES}, h AS (" + " UNION ALL ".join(f"SELECT path, line, '{k}' AS kind, '{s}' AS severity, {i} AS rule FROM lines WHERE regexp_matches(content, '{r}')" for i, (k, s, _n, r) in enumerate(rules.SECURITY)) + ")"
-CAPPED = HITS + ", r AS (SELECT path, rule, min(line) AS first, count(*) AS hits FROM h GROUP BY path, rule), k AS (SELECT h.*, hits, row_number() OVER (PARTITION BY path, kind ORDER BY first, rule, line) AS n FROM h JOIN r USING (path, rule))"
 
 
-@query("evd13_security_signals", CAPPED + " SELECT path, line, kind, severity, CAST(rule AS BIGINT) AS rule, hits FROM k WHERE n <= 3")
-def _(documents):
-    return rules.security_signals(rules.file_lines(documents))
+def excluded(r):
+    """What keeps a match of a rule from counting, in SQL over content, value and path."""
+    noise = "regexp_matches(path, '(_test\\.go|\\.md)$')"
+    if r.kind in ("hardcoded_secret", "credential_in_url"):
+        out = f"regexp_matches(trim(v, '\"''`'), {quoted(security.PLACEHOLDER)}) OR regexp_matches(v, '[${{}}<>]')"
+        if r.label == "secret-named value assigned a literal":
+            out += f" OR regexp_matches(content, {quoted(security.INDIRECTION)}) OR NOT (regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[^A-Za-z_.-]')) OR regexp_matches(v, '^(/|\\./|~/)|://')"
+        return out
+    if r.kind == "hardcoded_email":
+        return f"{noise} OR regexp_matches(v, {quoted(security.BENIGN_EMAIL)}) OR contains(content, '://' || v) OR regexp_matches(lower(v), '\\.(png|svg)$')"
+    return f"{noise} OR regexp_matches(v, {quoted(security.BENIGN_IP)})" if r.kind == "hardcoded_ip" else "false"
 
 
-@query("agg21_capped_per_kind", CAPPED + " SELECT path, kind, count(*) FILTER (n <= 3) AS kept, count(*) AS total FROM k GROUP BY path, kind")
-def _(documents):
-    hits = rules.security_hits(rules.file_lines(documents)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("total"))
+def hits_sql(lines):
+    each = " UNION ALL ".join(
+        f"SELECT path, line, content, '{r.kind}' AS kind, '{r.severity}' AS severity, {i} AS rule, '{r.label}' AS label, regexp_extract(content, {quoted(r.pattern)}, {r.group}) AS v FROM lines WHERE strlen(content) <= 4096 AND NOT ends_with(path, '.lock') AND regexp_matches(content, {quoted(r.pattern)}) AND NOT ({excluded(r)})"
+        for i, r in enumerate(security.RULES)
+    )
+    docs, test, own = "ends_with(path, '.md')", "ends_with(path, '_test.go')", "kind IN ('hardcoded_secret', 'private_key', 'credential_in_url')"
+    return f"WITH {lines}, u AS ({each}), h AS (SELECT path, CAST(line AS BIGINT) AS line, content, kind, label, CAST(rule AS BIGINT) AS rule, CASE WHEN severity = 'low' OR ({docs} AND NOT {own}) THEN 'low' WHEN ({docs} OR {test}) AND severity IN ('high', 'critical') THEN 'medium' ELSE severity END AS severity FROM u)"
+
+
+CAPPED = ", r AS (SELECT path, rule, min(line) AS first, count(*) AS hits FROM h GROUP BY path, rule), k AS (SELECT h.*, first, hits, row_number() OVER (PARTITION BY path, kind ORDER BY first, rule, line) AS n FROM h JOIN r USING (path, rule))"
+EVIDENCE_TEXT = f"concat('{security.INTRO}', label, CASE WHEN kind IN ('hardcoded_secret', 'private_key', 'credential_in_url') THEN '; the value is not copied into the report' ELSE concat(': ', left(trim(content, ' '), 240)) END, CASE WHEN line = first AND hits > 1 THEN concat(' (', hits, ' added lines of this file match)') ELSE '' END)"
+
+
+@query("evd13_security_signals", hits_sql(SAMPLED) + CAPPED + f" SELECT path, line, kind, severity, rule, {EVIDENCE_TEXT} AS evidence, hits FROM k WHERE n <= 3")
+def _(orders):
+    return security.signals(samples(orders))
+
+
+@query("agg21_capped_per_kind", hits_sql(SAMPLED) + CAPPED + " SELECT path, kind, count(*) FILTER (n <= 3) AS kept, count(*) AS total FROM k GROUP BY path, kind")
+def _(orders):
+    hits = security.hits(samples(orders)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("total"))
     return hits.select("path", "kind", F.least("total", F.lit(3)).alias("kept"), "total")
 
 
-@query("sca10_security_rules", HITS + " SELECT path, line, kind, CAST(rule AS BIGINT) AS rule FROM h")
+@query("sca10_security_rules", hits_sql(LINES) + " SELECT path, line, kind, rule FROM h")
 def _(documents):
-    return rules.security_hits(rules.file_lines(documents)).select("path", "line", "kind", "rule")
+    return security.hits(rules.file_lines(documents)).select("path", "line", "kind", "rule")
 
 
-@query("sca11_mixed_enough", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n\\t]{6,}')) AS v FROM documents WHERE doc_id % 10 = 0), k AS (SELECT v, CAST(regexp_matches(v, '[a-z]') AS INT) + CAST(regexp_matches(v, '[A-Z]') AS INT) + CAST(regexp_matches(v, '[0-9]') AS INT) + CAST(regexp_matches(v, '[^A-Za-z0-9]') AS INT) AS kinds FROM w) SELECT v, kinds >= 3 OR (kinds >= 2 AND regexp_matches(v, '[0-9]') AND length(v) >= 16) AS mixed FROM k")
+@query("sca11_mixed_enough", "SELECT DISTINCT v, regexp_matches(v, '[A-Za-z]') AND (regexp_matches(v, '[0-9]') OR regexp_matches(v, '[^A-Za-z0-9_.-]')) AS mixed FROM (SELECT unnest(regexp_extract_all(text, '[^ \\n\\t]{6,}')) AS v FROM documents)")
 def _(documents):
-    v = documents.where("doc_id % 10 = 0").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\t]{6,}"), F.lit(0))).alias("v")).distinct()
-    return v.select("v", rules.mixed_enough(F.col("v")).alias("mixed"))
+    v = documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\t]{6,}"), F.lit(0))).alias("v")).distinct()
+    return v.select("v", security.mixed_enough(F.col("v")).alias("mixed"))
 
 
-KINDS = "SELECT path, kind, severity, regexp_matches(path, '_test\\.go$') AS test, starts_with(path, 'docs/') AS docs FROM paths, (VALUES ('secret', 'high'), ('debug', 'medium'), ('email', 'low'), ('tls', 'critical')) k(kind, severity)"
+KINDS = "SELECT path, kind, severity, regexp_matches(path, '_test\\.go$') AS test, starts_with(path, 'docs/') AS docs FROM paths, (VALUES ('hardcoded_secret', 'high'), ('debug_enabled', 'medium'), ('hardcoded_email', 'low'), ('private_key', 'critical')) k(kind, severity)"
 
 
-@query("sca12_adjusted_severity", f"SELECT path, kind, CASE WHEN severity = 'low' THEN 'low' WHEN docs AND kind <> 'secret' THEN 'low' WHEN test OR docs THEN 'medium' ELSE severity END AS severity FROM ({KINDS})")
+@query("sca12_adjusted_severity", f"SELECT path, kind, CASE WHEN severity = 'low' THEN 'low' WHEN docs AND kind NOT IN ('hardcoded_secret', 'private_key') THEN 'low' WHEN (test OR docs) AND severity IN ('high', 'critical') THEN 'medium' ELSE severity END AS severity FROM ({KINDS})")
 def _(paths):
-    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity")) for k, s in (("secret", "high"), ("debug", "medium"), ("email", "low"), ("tls", "critical")))))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity")) for k, s in (("hardcoded_secret", "high"), ("debug_enabled", "medium"), ("hardcoded_email", "low"), ("private_key", "critical")))))
     rows = paths.select("path", kinds.alias("k")).select("path", "k.*")
-    return rows.select("path", "kind", rules.adjusted_severity(F.col("kind"), F.col("severity"), F.col("path").endswith("_test.go"), F.col("path").startswith("docs/")).alias("severity"))
+    return rows.select("path", "kind", security.adjusted_severity(F.col("kind"), F.col("severity"), F.col("path").endswith("_test.go"), F.col("path").startswith("docs/")).alias("severity"))
 
 
 @query("sca9_function_risk", "SELECT DISTINCT name, CASE WHEN regexp_matches(replace(name, '_', ''), '(?i)(authori[sz]|authenticat|password|login|logout|csrf|permission)') THEN 'auth' WHEN regexp_matches(replace(name, '_', ''), '(?i)(payment|refund|charge|withdraw|deposit|balance)') THEN 'money' ELSE 'none' END AS risk FROM (SELECT concat(event_type, CASE event_id % 5 WHEN 0 THEN '_Log_in' WHEN 1 THEN 'Refund' WHEN 2 THEN 'checkPermission' ELSE 'Total' END) AS name FROM events)")
@@ -133,7 +182,7 @@ def _(paths):
     return paths.select("path", p.is_source(c).alias("source"), p.is_manifest(c).alias("manifest"), p.is_test(c).alias("test"))
 
 
-@query("flt4_low_noise", f"SELECT path, {EXT} IN ('md', 'rst', 'txt', 'adoc', 'html') OR regexp_matches(regexp_extract(lower(path), '[^/]*$'), '^(license|notice|authors|codeowners)') OR {TEST} OR regexp_matches('/' || lower(path), '/(testdata|docs|examples)/') AS low_noise FROM paths")
+@query("flt4_low_noise", f"SELECT path, {EXT} IN ('md', 'rst', 'txt', 'adoc', 'html') OR regexp_matches(regexp_extract(lower(path), '[^/]*$'), '^(license|notice|authors|codeowners)') OR {TEST} OR regexp_matches('/' || lower(path), '/(testdata|fixtures)/') AS low_noise FROM paths")
 def _(paths):
     return paths.select("path", p.is_low_noise(F.col("path")).alias("low_noise"))
 
@@ -189,10 +238,9 @@ def planned(paths):
     return paths.where(n % 3 == 0).union(paths.where(n % 7 == 0).select(F.concat("path", F.lit(".new")))).distinct(), paths.where(n % 2 == 0)
 
 
-@query("agg23_drift_status", DRIFT + " SELECT count(*) AS items, bool_or(path NOT LIKE '%.md') AS drifted FROM changed WHERE path NOT IN (SELECT path FROM planned)")
+@query("agg23_drift_status", DRIFT + f", d AS (SELECT CASE WHEN {TEST} THEN 'low' ELSE 'medium' END AS s FROM changed WHERE path NOT IN (SELECT path FROM planned) UNION ALL SELECT 'low' FROM planned WHERE path NOT IN (SELECT path FROM changed) UNION ALL SELECT 'high' FROM changed WHERE {FIRST} IS NOT NULL AND path NOT IN (SELECT path FROM planned) UNION ALL SELECT 'medium' FROM changed WHERE lower(regexp_extract(path, '[^/]*$')) IN ({MAN}) AND path NOT IN (SELECT path FROM planned)) SELECT count(*) AS items, coalesce(bool_or(s <> 'low'), false) AS drifted FROM d")
 def _(paths):
-    a, b = planned(paths)
-    return b.join(a, "path", "left_anti").agg(F.count(F.lit(1)).alias("items"), F.bool_or(~F.col("path").endswith(".md")).alias("drifted"))
+    return plan.drift_status(plan.drift(*planned(paths), list(GLOBS)))
 
 
 @query("joi16_plan_evaluation", "SELECT s.path, count(*) AS signals, count(DISTINCT c.id) AS claims, bool_or(s.severity IN ('high', 'critical')) AS risky FROM signals s LEFT JOIN (SELECT path, line, min(id) AS id FROM claims GROUP BY path, line) c ON c.path = s.path AND c.line = s.line GROUP BY s.path")
@@ -207,7 +255,7 @@ def _(signals):
 
 @query("flt17_live_paths", f"WITH {FILES} SELECT DISTINCT path FROM files WHERE status <> 'D'")
 def _(paths):
-    return files(paths).where("status <> 'D'").select("path").distinct()
+    return rules.live_paths(files(paths))
 
 
 @query("flt15_row_budget", "WITH RECURSIVE h AS (SELECT path, (line - 1) // 2 AS hunk, count(*) AS n FROM diff_lines GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY hunk) AS k FROM h), w AS (SELECT path, 0 AS k, 0 AS used, false AS kept, -1 AS hunk, false AS stopped FROM (SELECT DISTINCT path FROM h) UNION ALL SELECT o.path, o.k, CASE WHEN stopped OR used + n > 3 THEN used ELSE used + n END, NOT (stopped OR used + n > 3), o.hunk, stopped OR used + n > 3 FROM w JOIN o ON o.path = w.path AND o.k = w.k + 1) SELECT path, CAST(hunk AS BIGINT) AS hunk FROM w WHERE kept")
@@ -281,21 +329,21 @@ def _(test_evidence, test_checks):
     return mutation.evidence_status(test_evidence, test_checks, replays=True)
 
 
-@query("evd5_fuzz_verify", "WITH c AS (SELECT evidence_id, count(DISTINCT claim_id) AS n FROM citations GROUP BY 1) SELECT e.id, CASE WHEN n = 1 AND e.kind = 'fuzz' THEN e.verified ELSE 'UNVERIFIED' END AS status FROM (SELECT id, arg_min(kind, ord) AS kind, arg_min(verified, ord) AS verified FROM evidence GROUP BY id) e LEFT JOIN c ON c.evidence_id = e.id")
-def _(evidence, citations):
-    n = citations.groupBy(F.col("evidence_id").alias("id")).agg(F.countDistinct("claim_id").alias("n"))
-    e = evidence.groupBy("id").agg(F.min_by(F.struct("kind", "verified"), "ord").alias("r"))
-    return e.join(n, "id", "left").select("id", F.when((F.col("n") == 1) & (F.col("r.kind") == "fuzz"), F.col("r.verified")).otherwise("UNVERIFIED").alias("status"))
+@query("evd5_fuzz_verify", "WITH c AS (SELECT evidence_id, count(DISTINCT claim_id) AS n FROM citations GROUP BY 1), k AS (SELECT evidence_id, count(*) AS n, bool_and(status IN ('PASS', 'FAIL')) AS ok FROM checks GROUP BY 1) SELECT e.id, CASE WHEN c.n = 1 AND e.n = 1 AND e.kind = 'fuzz' AND coalesce(ok, true) AND coalesce(k.n, 0) <= 2 THEN e.verified ELSE 'UNVERIFIED' END AS status FROM (SELECT id, count(*) AS n, arg_min(kind, ord) AS kind, arg_min(verified, ord) AS verified FROM evidence GROUP BY id) e LEFT JOIN c ON c.evidence_id = e.id LEFT JOIN k ON k.evidence_id = e.id")
+def _(evidence, citations, checks):
+    return mutation.fuzz_status(evidence, citations, checks)
+
+
+SUITE = "WITH b AS (SELECT p_partkey % 40 AS file, p_partkey // 2 AS name, min(p_size) AS digest, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL), h AS (SELECT p_partkey % 40 AS file, p_partkey // 2 AS name, min(CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size END) AS digest, count(*) AS n FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 40 > 3 GROUP BY ALL), p AS (SELECT b.file, b.name, CASE WHEN b.file NOT IN (SELECT file FROM h) THEN 'file_deleted' WHEN h.name IS NULL THEN 'removed' WHEN b.digest <> h.digest THEN 'modified' ELSE 'shared_code_changed' END AS reason FROM b LEFT JOIN h ON h.file = b.file AND h.name = b.name WHERE b.n = 1 AND coalesce(h.n, 1) = 1)"
 
 
-@query("evd18_suite_plan", "WITH b AS (SELECT p_partkey // 2 AS name, min(p_size) AS digest, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1), h AS (SELECT p_partkey // 2 AS name, min(p_size) AS digest, count(*) AS n FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1) SELECT b.name, CASE WHEN h.name IS NULL THEN 'removed' WHEN b.digest <> h.digest THEN 'modified' ELSE 'shared_code_changed' END AS reason FROM b LEFT JOIN h USING (name) WHERE b.n = 1 AND coalesce(h.n, 1) = 1")
+@query("evd18_suite_plan", SUITE + " SELECT * FROM p WHERE file IN (SELECT DISTINCT file FROM p ORDER BY file LIMIT 20) ORDER BY file, name LIMIT 100")
 def _(part):
-    side = lambda k: part.where(f"p_partkey % {k} <> 0").groupBy(F.floor(F.col("p_partkey") / 2).alias("name")).agg(F.min("p_size").alias(f"d{k}"), F.count(F.lit(1)).alias(f"n{k}"))
-    j = side(3).join(side(4), "name", "left").where("n3 = 1 AND coalesce(n4, 1) = 1")
-    return j.select("name", F.when(F.col("n4").isNull(), "removed").when(F.col("d3") != F.col("d4"), "modified").otherwise("shared_code_changed").alias("reason"))
+    side = lambda ok, digest: part.where(ok).select((F.col("p_partkey") % 40).alias("file"), F.floor(F.col("p_partkey") / 2).alias("name"), digest.alias("digest"))
+    return plan.suite_plan(side("p_partkey % 3 <> 0", F.col("p_size")), side("p_partkey % 4 <> 0 AND p_partkey % 40 > 3", F.when(F.col("p_partkey") % 5 == 0, 0).otherwise(F.col("p_size"))), 20, 100)
 
 
-SITES = "WITH s AS (SELECT DISTINCT l_orderkey % 40 AS file, l_linenumber AS line, l_suppkey % 6 AS op FROM lineitem WHERE l_orderkey < 4000), d AS (SELECT *, dense_rank() OVER (PARTITION BY file ORDER BY line) AS li, row_number() OVER (PARTITION BY file, line ORDER BY op) AS depth FROM s)"
+SITES = "WITH s AS (SELECT DISTINCT l_orderkey // 40 AS file, l_linenumber AS line, l_suppkey % 6 AS op FROM lineitem), d AS (SELECT *, dense_rank() OVER (PARTITION BY file ORDER BY line) AS li, row_number() OVER (PARTITION BY file, line ORDER BY op) AS depth FROM s)"
 
 
 @query("win5_round_robin", SITES + " SELECT file, CAST(line AS BIGINT) AS line, op FROM d ORDER BY depth, li, file LIMIT 100")
@@ -304,14 +352,14 @@ def _(lineitem):
 
 
 def sites(lineitem):
-    return lineitem.where("l_orderkey < 4000").select((F.col("l_orderkey") % 40).alias("file"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 6).alias("op")).distinct()
+    return lineitem.select(F.floor(F.col("l_orderkey") / 40).alias("file"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 6).alias("op")).distinct()
 
 
 @query("win6_execution_order", SITES + " SELECT file, CAST(line AS BIGINT) AS line, op FROM s ORDER BY file, line, op LIMIT 200")
 def _(lineitem):
-    return sites(lineitem).orderBy("file", "line", "op").limit(200)
+    return mutation.execution_order(sites(lineitem), ["file", "line", "op"], 200)
 
 
 @query("evd12_seeded_corpus", python=True)
 def _(part):
-    return mutation.corpus(part.where("p_partkey <= 50").select(F.concat(F.lit("fn"), F.col("p_partkey").cast("string")).alias("target")), 16)
+    return mutation.corpus(part.select(F.concat(F.lit("fn"), F.col("p_partkey").cast("string")).alias("target")), 16)

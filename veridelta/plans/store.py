@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veridelta import sinks
 from veridelta.operators import core, store
+from veridelta.operators import documents as dc
 from veridelta.registry import query
-from veridelta.streaming import limiter, replay
+from veridelta.shared import Tables
+from veridelta.streaming import limiter, replay, state
 
 SINCE = "2024-01-20"
 ACT = "greatest(queued_at, finished_at)"
@@ -33,14 +36,24 @@ def _(runs):
     return store.import_new(r.where("seq % 3 = 0"), r.where("seq % 3 <> 0"), ["repo_key", "commit"])
 
 
-@query("snk9_content_addressed_put", "SELECT sha256(text) AS key, min(doc_id) AS doc_id, max(strlen(text)) AS size FROM documents GROUP BY 1")
+@query("snk9_content_addressed_put", "SELECT sha256(text) AS key, min(text) AS content, left(sha256(text), 2) AS shard FROM documents GROUP BY text")
 def _(documents):
-    return documents.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("size"))
+    # Two puts of overlapping halves: what the first stored, the second leaves.
+    at = f"{Tables(documents.sparkSession).at}/cache"
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    sinks.put_entries(texts.where("doc_id % 3 <> 0").select("content"), at)
+    sinks.put_entries(texts.where("doc_id % 3 <> 1").select("content"), at)
+    return sinks.read_entries(documents.sparkSession, at)
 
 
-@query("snk10_graph_cache_key", "SELECT kind, sha256(concat_ws('|', 'v1', kind, CAST(count(*) AS VARCHAR))) AS key FROM nodes GROUP BY kind")
-def _(nodes):
-    return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select("kind", F.sha2(F.concat_ws("|", F.lit("v1"), "kind", F.col("n").cast("string")), 256).alias("key"))
+@query("snk10_graph_cache_put", "SELECT 'node' AS what, id, kind, sha256('v1|c1|most=1000') AS key FROM nodes UNION ALL SELECT 'edge', concat(src, '>', dst), kind, sha256('v1|c1|most=1000') FROM edges")
+def _(nodes, edges):
+    spark = nodes.sparkSession
+    at = sinks.put_graph(nodes, edges, "c1", "most=1000", f"{Tables(spark).at}/graphs")
+    again = sinks.put_graph(nodes.limit(0), edges.limit(0), "c1", "most=1000", at.rsplit("/", 1)[0])
+    stored = lambda t, what, name: spark.read.parquet(f"{again}/{t}").select(F.lit(what).alias("what"), name.alias("id"), "kind")
+    both = stored("nodes", "node", F.col("id")).unionByName(stored("edges", "edge", F.concat_ws(">", "src", "dst")))
+    return both.withColumn("key", sinks.graph_key(F.lit("c1"), F.lit("most=1000")))
 
 
 @query("win8_keep_newest", RET + " SELECT user_key, repo_key, seq, place, place <= 20 AS kept FROM r")
@@ -82,18 +95,17 @@ def _(runs):
 
 @query("joi37_repo_recent", REC + " SELECT r.user_key, r.repo_key, count(k.seq) AS recent, max(k.at_) AS latest FROM (SELECT DISTINCT user_key, repo_key FROM runs) r LEFT JOIN (FROM k WHERE place <= 30) k USING (user_key, repo_key) GROUP BY ALL")
 def _(runs):
-    rec = store.recent(runs, F.lit(SINCE).cast("timestamp"), 30).groupBy("user_key", "repo_key").agg(F.count("seq").alias("recent"), F.max("at").alias("latest"))
-    return runs.select("user_key", "repo_key").distinct().join(rec, ["user_key", "repo_key"], "left").select("user_key", "repo_key", F.coalesce("recent", F.lit(0)).alias("recent"), "latest")
+    return store.recent_by_repo(runs, F.lit(SINCE).cast("timestamp"), 30)
 
 
 @query("srt5_history", "SELECT seq, queued_at, commit FROM runs WHERE repo_key = 'r7' ORDER BY queued_at DESC, commit, seq LIMIT 50")
 def _(runs):
-    return runs.where("repo_key = 'r7'").orderBy(F.desc("queued_at"), "commit", "seq").limit(50).select("seq", "queued_at", "commit")
+    return store.history(runs, "r7", 50).select("seq", "queued_at", "commit")
 
 
 @query("srt16_active_analyses", "SELECT user_key, repo_key, commit, seq, queued_at FROM runs WHERE status IN ('queued', 'running') ORDER BY queued_at DESC, repo_key, seq LIMIT 100")
 def _(runs):
-    return runs.where("status IN ('queued', 'running')").orderBy(F.desc("queued_at"), "repo_key", "seq").limit(100).select("user_key", "repo_key", "commit", "seq", "queued_at")
+    return store.active(runs).select("user_key", "repo_key", "commit", "seq", "queued_at")
 
 
 @query("sca35_activity_timestamp", f"SELECT seq, {ACT} AS at_time FROM runs")
@@ -103,17 +115,17 @@ def _(runs):
 
 @query("flt8_recent_projection", "SELECT repo_key, commit, status, queued_at FROM runs")
 def _(runs):
-    return runs.select("repo_key", "commit", "status", "queued_at")
+    return store.recent_projection(runs)
 
 
 @query("flt9_activity_window", f"SELECT seq FROM runs WHERE status IN ('queued', 'running') OR finished_at IS NULL OR {ACT} >= TIMESTAMP '{SINCE}'")
 def _(runs):
-    return runs.where(F.col("status").isin(*store.PENDING) | F.col("finished_at").isNull() | (store.activity_at() >= F.lit(SINCE).cast("timestamp"))).select("seq")
+    return store.in_window(runs, F.lit(SINCE).cast("timestamp")).select("seq")
 
 
-@query("flt6_name_filter", "SELECT DISTINCT repo_key FROM runs WHERE contains(lower(repo_key), 'r1')")
+@query("flt6_name_filter", "SELECT DISTINCT repo_key FROM runs WHERE contains(lower(repo_key), 'r1') AND critical > 0")
 def _(runs):
-    return runs.where(F.contains(F.lower("repo_key"), F.lit("r1"))).select("repo_key").distinct()
+    return store.named(runs.withColumn("risky", F.col("critical") > 0), " R1 ", "risky")
 
 
 ENTRIES = "WITH e AS (SELECT user_key AS store, CAST(seq AS VARCHAR) AS key, size, queued_at AS mtime FROM runs), f AS (SELECT * FROM e WHERE mtime >= TIMESTAMP '2024-01-30' - INTERVAL 20 DAYS)"
@@ -154,17 +166,17 @@ def _(feedback):
 
 @query("agg33_review_marks", "SELECT commit FROM feedback GROUP BY commit HAVING arg_max(vote, seq) = 'up'")
 def _(feedback):
-    return feedback.groupBy("commit").agg(F.max_by("vote", "seq").alias("v")).where("v = 'up'").select("commit")
+    return store.reviewed(feedback)
 
 
-@query("agg31_activity_snapshot", "SELECT user_key, repo_key, arg_max(status, seq) AS status, max(seq) AS seq FROM runs GROUP BY ALL")
+@query("agg31_activity_snapshot", "SELECT user_key, repo_key, queued_at, arg_max(status, seq) AS status, max(seq) AS seq, arg_max(status, seq) IN ('queued', 'running') AS pending FROM runs GROUP BY ALL")
 def _(runs):
-    return runs.groupBy("user_key", "repo_key").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
+    return store.activity(runs)
 
 
-@query("agg32_usage_per_day", "SELECT user_key, CAST(CAST(queued_at AS DATE) AS VARCHAR) AS day, CAST(sum(size) AS BIGINT) AS tokens FROM runs GROUP BY ALL")
+@query("agg32_usage_per_day", "SELECT user_key, CAST(coalesce(sum(size) FILTER (CAST(queued_at AS DATE) = DATE '2024-01-11'), 0) AS BIGINT) AS tokens FROM runs GROUP BY user_key")
 def _(runs):
-    return runs.groupBy("user_key", F.to_date("queued_at").cast("string").alias("day")).agg(F.sum("size").alias("tokens"))
+    return store.usage_on(runs, "2024-01-11")
 
 
 OUT = "WITH f AS (SELECT DISTINCT commit AS base, topic, alert_id AS path FROM feedback WHERE topic <> '' AND alert_id <> ''), c AS (SELECT DISTINCT commit AS base, alert_id AS path FROM feedback WHERE seq % 5 = 0)"
@@ -179,41 +191,44 @@ def _(feedback):
     return store.outcomes(*found(feedback))
 
 
-@query("agg17_outcome_accumulate", OUT + " SELECT topic, count(*) FILTER (base < 'c15') AS found FROM f GROUP BY topic")
+@query("agg17_outcome_accumulate", OUT + " SELECT topic, count(*) + 100 AS found, count(c.base) + 10 AS addressed FROM f LEFT JOIN c USING (base, path) WHERE f.base >= 'c15' GROUP BY topic")
 def _(feedback):
-    f, _ = found(feedback)
-    return f.distinct().groupBy("topic").agg(F.count_if(F.col("base") < "c15").alias("found"))
+    f, c = found(feedback)
+    known = f.select("topic").where("topic <> ''").distinct().select("topic", F.lit(100).cast("bigint").alias("found"), F.lit(10).cast("bigint").alias("addressed"))
+    return store.accumulate(known, f.where("base < 'c15'").select("base"), f, c)
 
 
 @query("joi30_base_lookup", "SELECT a.seq, max(b.seq) AS base_seq FROM runs a JOIN runs b ON b.repo_key = a.repo_key AND b.commit = concat('c', CAST((a.seq + 150) % 3000 AS string)) WHERE b.seq < a.seq GROUP BY a.seq")
 def _(runs):
-    a = runs.select("seq", "repo_key", F.concat(F.lit("c"), ((F.col("seq") + 150) % 3000).cast("string")).alias("commit"))
-    return a.join(runs.select(F.col("seq").alias("base_seq"), "repo_key", "commit"), ["repo_key", "commit"]).where("base_seq < seq").groupBy("seq").agg(F.max("base_seq").alias("base_seq"))
+    return store.with_base(runs.withColumn("base_commit", F.concat(F.lit("c"), ((F.col("seq") + 150) % 3000).cast("string"))), runs)
 
 
 @query("sca42_badge_state", "SELECT repo_key, CASE arg_max(status, seq) WHEN 'queued' THEN 'pending' WHEN 'running' THEN 'pending' WHEN 'failed' THEN 'error' ELSE CASE WHEN arg_max(critical, seq) > 0 THEN 'blocked' WHEN arg_max(high, seq) > 0 THEN 'review' ELSE 'clear' END END AS badge FROM runs GROUP BY repo_key")
 def _(runs):
-    last = runs.groupBy("repo_key").agg(F.max_by(F.struct("status", "critical", "high"), "seq").alias("r"))
-    state = F.when(F.col("r.status").isin(*store.PENDING), "pending").when(F.col("r.status") == "failed", "error").when(F.col("r.critical") > 0, "blocked").when(F.col("r.high") > 0, "review").otherwise("clear")
-    return last.select("repo_key", state.alias("badge"))
+    return store.badge(runs)
 
 
-@query("src39_record_read", "SELECT repo_key, commit, seq, status FROM runs WHERE repo_key = 'r3' AND commit < 'c2' AND variant = ''")
+@query("src39_record_read", "SELECT seq, status, size FROM runs WHERE user_key = 'u3' AND repo_key = 'r3' AND variant = ''")
 def _(runs):
-    return runs.where("repo_key = 'r3' AND commit < 'c2' AND variant = ''").select("repo_key", "commit", "seq", "status")
+    return store.read_record(runs, {"user_key": "u3", "repo_key": "r3", "variant": ""}).select("seq", "status", "size")
 
 
 @query("src40_bounded_record_read", "SELECT seq, CASE WHEN size <= 50 THEN status END AS status, size > 50 AS oversized FROM runs WHERE repo_key = 'r5'")
 def _(runs):
-    return runs.where("repo_key = 'r5'").select("seq", F.when(F.col("size") <= 50, F.col("status")).alias("status"), (F.col("size") > 50).alias("oversized"))
+    return store.read_record(runs, {"repo_key": "r5"}, 50).select("seq", "status", "oversized")
 
 
 # Streams: each processor runs over the events as a stream of files and is held against SQL over the same rows.
 
 
-@query("str5_ttl_state", "SELECT seq FROM runs WHERE status IN ('queued', 'running') OR coalesce(finished_at, queued_at) >= TIMESTAMP '2024-01-30' - INTERVAL 48 HOURS")
+EXPIRED = "WITH a AS (SELECT user_key AS owner, seq, CAST(floor(epoch(queued_at)) AS BIGINT) AS at_, CASE WHEN status NOT IN ('queued', 'running') THEN CAST(floor(epoch(finished_at)) AS BIGINT) END AS fin FROM runs)"
+
+
+@query("str5_ttl_state", EXPIRED + " SELECT f.owner, f.seq, min(e.at_) AS expired_at FROM a f JOIN a e ON e.owner = f.owner AND e.at_ > f.fin + 172800 GROUP BY f.owner, f.seq", python=True)
 def _(runs):
-    return runs.where(F.col("status").isin(*store.PENDING) | (F.coalesce("finished_at", "queued_at") >= F.lit("2024-01-30").cast("timestamp") - F.expr("INTERVAL 48 HOURS"))).select("seq")
+    finished = F.when(~F.col("status").isin(*store.PENDING), F.unix_seconds(F.col("finished_at").cast("timestamp")))
+    attempts = runs.select(F.col("user_key").alias("owner"), "seq", F.unix_seconds(F.col("queued_at").cast("timestamp")).alias("at"), finished.alias("finished"))
+    return replay.appended(state.expirations(replay.as_stream(attempts, "at"), 48 * 3600))
 
 
 @query("str7_incremental_learning", "SELECT topic, count(*) AS n, count(*) FILTER (vote = 'up') AS up FROM feedback GROUP BY topic")
@@ -221,9 +236,19 @@ def _(feedback):
     return replay.totals(feedback, "topic", {"n": F.count(F.lit(1)), "up": F.count_if(F.col("vote") == "up")})
 
 
-@query("str1_inflight_dedupe", "SELECT repo_key, commit, min(seq) AS seq FROM runs WHERE status IN ('queued', 'running') GROUP BY ALL")
+JOBS = """WITH RECURSIVE e AS (SELECT user_key AS queue, seq, repo_key AS usr, concat(repo_key, '/', seq % 3) AS job, status NOT IN ('failed', 'done') AS submit, row_number() OVER (PARTITION BY user_key ORDER BY seq) AS n FROM runs),
+w AS (SELECT queue, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, CAST([] AS VARCHAR[]) AS jobs, CAST([] AS VARCHAR[]) AS users, '' AS result FROM (SELECT DISTINCT queue FROM e)
+UNION ALL SELECT queue, n, seq, CASE WHEN result = 'accepted' THEN list_append(jobs, job) WHEN NOT submit THEN list_filter(jobs, lambda x: x <> job) ELSE jobs END,
+  CASE WHEN result = 'accepted' THEN list_append(users, usr) WHEN NOT submit THEN [split_part(x, '/', 1) FOR x IN jobs IF x <> job] ELSE users END, result
+  FROM (SELECT e.*, jobs, users, CASE WHEN NOT submit THEN '' WHEN list_contains(jobs, job) THEN 'duplicate' WHEN len(list_filter(users, lambda x: x = usr)) >= 2 THEN 'quota' WHEN len(jobs) >= 6 THEN 'busy' ELSE 'accepted' END AS result FROM w JOIN e ON e.queue = w.queue AND e.n = w.n + 1))
+SELECT queue, seq, result FROM w WHERE result <> ''"""
+
+
+@query("str1_inflight_dedupe", JOBS, python=True)
 def _(runs):
-    return runs.where(F.col("status").isin(*store.PENDING)).groupBy("repo_key", "commit").agg(F.min("seq").alias("seq"))
+    kind = F.when(F.col("status").isin("failed", "done"), "end").otherwise("submit")
+    events = runs.select(F.col("user_key").alias("queue"), "seq", kind.alias("kind"), F.col("repo_key").alias("user"), F.concat("repo_key", F.lit("/"), (F.col("seq") % 3).cast("string")).alias("job"))
+    return replay.appended(state.submissions(replay.as_stream(events, "seq"), 2, 6))
 
 
 @query("str9_push_filter", "SELECT repo_key, commit, seq FROM runs WHERE variant = '' AND status <> 'failed' AND repo_key <> ''")
@@ -250,38 +275,38 @@ def _(events):
 
 @query("win16_version_compare", "SELECT doc, version, CASE WHEN before IS NULL THEN 'new' WHEN before = after THEN 'clean' ELSE 'changed' END AS state FROM versions")
 def _(versions):
-    return versions.select("doc", "version", F.when(F.col("before").isNull(), "new").when(F.col("before") == F.col("after"), "clean").otherwise("changed").alias("state"))
+    return dc.version_states(versions)
 
 
 LIMIT = """
-WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE user_id < 20),
-w AS (SELECT n, t, t AS start FROM e WHERE n = 1 UNION ALL SELECT e.n, e.t, CASE WHEN e.t >= w.start + 3600 THEN e.t ELSE w.start END FROM w JOIN e ON e.n = w.n + 1),
-c AS (SELECT e.event_id, e.user_id, row_number() OVER (PARTITION BY w.start, e.user_id ORDER BY e.n) AS k FROM w JOIN e USING (n))
+WITH RECURSIVE e AS (SELECT event_id, user_id, ts, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), w AS (SELECT min(t) AS start FROM e UNION ALL SELECT min(t) FROM w JOIN e ON t >= start + 3600 HAVING min(t) IS NOT NULL),
+c AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY start, user_id ORDER BY ts, event_id) AS k FROM e ASOF JOIN w ON t >= start)
 SELECT event_id, user_id, k <= 2 AS allowed FROM c"""
 
 
 @query("str2_fixed_window_limiter", LIMIT, python=True)
 def _(events):
-    return limiter.limit(events.where("user_id < 20"), 3600, 2)
+    return limiter.limit(events, 3600, 2)
 
 
-@query("str10_scan_loop", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("str10_scan_loop", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def _(events):
-    return replay.totals(events, "event_type", {"n": F.count(F.lit(1))})
+    files = replay.as_stream(events.select("user_id", "event_id", "event_type"), "event_id")
+    return replay.scanned(files, ["user_id"], "event_id")
 
 
-@query("str8_explanation_carry", "WITH ties AS (SELECT commit AS explanation, alert_id AS tie FROM feedback WHERE seq % 2 = 0), cur AS (SELECT DISTINCT alert_id AS tie FROM feedback WHERE seq % 7 <> 0 AND seq < 400) SELECT explanation, bool_and(tie IN (SELECT tie FROM cur)) AS kept FROM ties GROUP BY explanation")
+@query("str8_explanation_carry", "WITH ties AS (SELECT concat('x', seq // 5) AS explanation, alert_id AS tie FROM feedback), cur AS (SELECT DISTINCT alert_id AS tie FROM feedback WHERE alert_id NOT IN ('a4', 'a18')) SELECT explanation, bool_and(tie IN (SELECT tie FROM cur)) AS kept FROM ties GROUP BY explanation")
 def _(feedback):
-    ties = feedback.where("seq % 2 = 0").select(F.col("commit").alias("explanation"), F.col("alert_id").alias("tie")).distinct()
-    now = feedback.where("seq % 7 <> 0 AND seq < 400").select(F.col("alert_id").alias("tie")).distinct().withColumn("_in", F.lit(True))
-    return ties.join(now, "tie", "left").groupBy("explanation").agg(F.bool_and(F.col("_in").isNotNull()).alias("kept"))
+    ties = feedback.select(F.concat(F.lit("x"), F.floor(F.col("seq") / 5).cast("string")).alias("explanation"), F.col("alert_id").alias("tie"))
+    return replay.carried(ties, feedback.where("alert_id NOT IN ('a4', 'a18')").select(F.col("alert_id").alias("tie")))
 
 
-@query("str6_fan_out", "SELECT user_key, seq FROM runs QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq) <= 32")
+@query("str6_fan_out", "WITH s AS (SELECT user_key, seq, status, count(*) FILTER (status = 'failed') OVER (PARTITION BY user_key ORDER BY seq) AS part FROM runs) SELECT user_key, seq, row_number() OVER (PARTITION BY user_key, part ORDER BY seq) <= 3 AS delivered FROM s WHERE status <> 'failed'", python=True)
 def _(runs):
-    return core.top_with_total(runs, ["user_key"], [F.col("seq")], 32).select("user_key", "seq")
+    events = runs.select("user_key", "seq", F.when(F.col("status") == "failed", "read").otherwise("publish").alias("kind"))
+    return replay.appended(state.fan_out(replay.as_stream(events, "seq"), 3))
 
 
-@query("snk11_event_push", "SELECT user_key, count(*) AS published, least(count(*), 32) AS delivered FROM runs GROUP BY user_key")
+@query("snk11_event_push", "SELECT user_key, count(*) AS published, least(count(*), 32) AS delivered, greatest(count(*) - 32, 0) AS dropped FROM runs GROUP BY user_key")
 def _(runs):
-    return runs.groupBy("user_key").agg(F.count(F.lit(1)).alias("published"), F.least(F.count(F.lit(1)), F.lit(32)).alias("delivered"))
+    return sinks.delivered(runs)

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from veridelta.shared import Tables
+
 
 def stream_files(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of the Parquet files of a folder."""
@@ -46,19 +49,104 @@ def document_states(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", state.alias("state"))
 
 
-def upsert_to(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str) -> StreamingQuery:
-    """Last-writer-wins upserts of a stream into a Parquet table: each batch writes the next version of it, then names it.
+def carried(ties: DataFrame, present: DataFrame) -> DataFrame:
+    """Whether each explanation is kept: all that it is tied to (explanation, tie) is still ``present`` (tie)."""
+    there = present.select("tie").distinct().withColumn("_in", F.lit(True))
+    return ties.select("explanation", "tie").distinct().join(there, "tie", "left").groupBy("explanation").agg(F.bool_and(F.col("_in").isNotNull()).alias("kept"))
+
+
+def as_stream(rows: DataFrame, order: str, batches: int = 3) -> DataFrame:
+    """A table as a stream of ``batches`` micro-batches, in order of a numeric column; each is written to the shared folder as the files of one scan."""
+    spark, at = rows.sparkSession, f"{Tables(rows.sparkSession).at}/stream"
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    edges = [lo + (hi - lo + 1) * k / batches for k in range(1, batches)] if lo is not None else []
+    part = sum((F.col(order) >= e).cast("int") for e in edges) if edges else F.lit(0)
+    rows.withColumn("_batch", part).write.partitionBy("_batch").parquet(at)
+    for k in range(len(edges) + 1):
+        # A folder for each batch, so that a scan finds one after the other.
+        part = spark.read.schema(rows.schema).parquet(f"{at}/_batch={k}") if _exists(spark, f"{at}/_batch={k}") else rows.limit(0)
+        part.coalesce(1).write.mode("append").parquet(f"{at}-files")
+    return stream_files(spark, f"{at}-files", rows.schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def appended(stream: DataFrame) -> DataFrame:
+    """All that a stream appends until it has read what is there now, as a table of the shared folder."""
+    spark, at = stream.sparkSession, Tables(stream.sparkSession).at
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def scanned(stream: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Scans of a folder, one after the other, until nothing is new: the last row of each key."""
+    at = Tables(stream.sparkSession).at
+    upsert_to(stream, f"{at}/table", f"{at}/log", keys, seq).awaitTermination()
+    return current(stream.sparkSession, f"{at}/table", stream.schema)
+
 
-    A version is written whole before it counts, so a batch that fails is repeated without harm.
+#: Keys are dealt to so many folders; a batch rewrites only those that it touches.
+BUCKETS = 64
+
+
+def upsert_to(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Last-writer-wins upserts of a stream into a Parquet table.
+
+    Rows are dealt to buckets by the hash of their keys. A batch writes the next
+    version of the buckets that it touches, from their current ones, and then a
+    list of what is current; versions before the last two are deleted. A list is
+    written whole before it counts, so a batch that fails is repeated without harm.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}").unionByName(batch)
+        before = _versions(spark, path, number)
+        dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in dealt.select("_bucket").distinct().collect()]
+        rows = dealt
+        held = sorted({before[b] for b in touched if b in before})
+        for v in held:
+            old = spark.read.schema(dealt.schema).parquet(f"{path}/v{v}").where(F.col("_bucket").isin([b for b in touched if before.get(b) == v]))
+            rows = rows.unionByName(old)
         rest = [c for c in batch.columns if c not in keys]
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
-        best.write.mode("overwrite").parquet(f"{path}/v{number}")
+        best = rows.groupBy("_bucket", *keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select("_bucket", *keys, *(F.col(f"r.{c}").alias(c) for c in rest))
+        best.repartition(len(touched) or 1, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/v{number}")
+        now = before | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()), "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/list{number}")
+        dealt.unpersist()
+        for v in set(before.values()) - set(now.values()):
+            # The batch before may be repeated, and reads what was current then.
+            if v < number - 1:
+                _delete(spark, f"{path}/v{v}")
+        _delete(spark, f"{path}/list{number - 2}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, path: str, number: int | None = None) -> dict[int, int]:
+    """The version of each bucket that is current before batch ``number``, or now."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return {}
+    done = [int(s.getPath().getName()[4:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("list") and _exists(spark, f"{path}/{s.getPath().getName()}/_SUCCESS")]
+    done = [d for d in done if number is None or d < number]
+    return {r.bucket: r.version for r in spark.read.parquet(f"{path}/list{max(done)}").collect()} if done else {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def current(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of a table that ``upsert_to`` writes."""
+    versions = _versions(spark, path)
+    out = spark.createDataFrame([], schema)
+    for v in sorted(set(versions.values())):
+        own = spark.read.schema(T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(f"{path}/v{v}")
+        out = out.unionByName(own.where(F.col("_bucket").isin([b for b in versions if versions[b] == v])).drop("_bucket"))
+    return out

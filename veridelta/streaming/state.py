@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,6 +42,86 @@ def document_states(events: DataFrame) -> DataFrame:
     return grouped.applyInPandasWithState(step, "user_id bigint, event_id bigint, state string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _by_key(rows: DataFrame, key: str, step, schema: str, kept: str) -> DataFrame:
+    """``step`` (state or None, rows of a key in order) -> (rows out, state), on a stream or, with the same results, on a batch."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    if rows.isStreaming:
+
+        def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            out, last = step(json.loads(state.get[0]) if state.exists else None, pd.concat(list(batches)))
+            state.update((json.dumps(last),))
+            yield pd.DataFrame(out, columns=columns)
+
+        return rows.groupBy(key).applyInPandasWithState(run, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandas(lambda b: pd.DataFrame(step(None, b)[0], columns=columns), schema)
+
+
+def submissions(events: DataFrame, per_user: int, most: int) -> DataFrame:
+    """What becomes of each submission (queue, seq, kind, user, job), in order of seq.
+
+    A job that is active already is a ``duplicate``; a user with ``per_user``
+    active jobs is over ``quota``; a queue with ``most`` is ``busy``; else it is
+    ``accepted`` and active until an event of another kind ends it. State holds
+    active jobs only, so ``most`` bounds it.
+    """
+
+    def step(state: dict | None, rows: pd.DataFrame):
+        active, out = dict(state or {}), []
+        for queue, seq, kind, user, job in rows.sort_values("seq")[["queue", "seq", "kind", "user", "job"]].itertuples(index=False):
+            if kind != "submit":
+                active.pop(job, None)
+                continue
+            if job in active:
+                result = "duplicate"
+            elif sum(u == user for u in active.values()) >= per_user:
+                result = "quota"
+            elif len(active) >= most:
+                result = "busy"
+            else:
+                result = "accepted"
+                active[job] = user
+            out.append((queue, seq, result))
+        return out, active
+
+    return _by_key(events.select("queue", "seq", "kind", "user", "job"), "queue", step, "queue string, seq bigint, result string", "active string")
+
+
+def expirations(attempts: DataFrame, seconds: int) -> DataFrame:
+    """When finished attempts (owner, seq, at, finished: seconds) are forgotten: at the first event of their owner that comes more than ``seconds`` after they ended.
+
+    Attempts that haven't finished (null) are kept. Events come in order of (at,
+    seq); state holds the attempts of an owner that aren't forgotten.
+    """
+
+    def step(state: list | None, rows: pd.DataFrame):
+        kept, out = list(state or []), []
+        for owner, seq, at, finished in rows.sort_values(["at", "seq"])[["owner", "seq", "at", "finished"]].itertuples(index=False):
+            gone = [k for k in kept if k[1] + seconds < at]
+            out += [(owner, k[0], int(at)) for k in gone]
+            kept = [k for k in kept if k[1] + seconds >= at]
+            if not pd.isna(finished):
+                kept.append([int(seq), int(finished)])
+        return out, kept
+
+    return _by_key(attempts.select("owner", "seq", "at", "finished"), "owner", step, "owner string, seq bigint, expired_at bigint", "kept string")
+
+
+def fan_out(events: DataFrame, room: int = 32) -> DataFrame:
+    """Whether each published event (user_key, seq, kind) reaches its user's channel, which holds ``room`` until the user reads it (kind ``read``); what doesn't fit is dropped."""
+
+    def step(state: int | None, rows: pd.DataFrame):
+        held, out = state or 0, []
+        for user, seq, kind in rows.sort_values("seq")[["user_key", "seq", "kind"]].itertuples(index=False):
+            if kind == "read":
+                held = 0
+                continue
+            out.append((user, seq, held < room))
+            held = min(room, held + 1)
+        return out, held
+
+    return _by_key(events.select("user_key", "seq", "kind"), "user_key", step, "user_key string, seq bigint, delivered boolean", "held string")
+
+
 def first_of_each(jobs: DataFrame, key: list[str], at: str, within: str = "48 hours") -> DataFrame:
     """Jobs in flight, one for each key: repeats within a time are dropped, and a key's state goes after it."""
     return jobs.withWatermark(at, within).dropDuplicatesWithinWatermark(key)
