@@ -383,7 +383,7 @@ def test_base_scores_against_a_walk(docs, odd, none):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     learnt = [(r.doc_id, r.text) for r in train.select("doc_id", "text").collect()]
     for df, want in ((docs, rows), (odd, ODD)):
-        got = suffix_tree.score_texts(df, train, shards=5).collect()
+        got = suffix_tree.score_texts(df, train, partitions=5).collect()
         assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == brute_base_scores(learnt, want)
         assert all(math.isfinite(r.score) for r in got)
     held = suffix_tree.score_texts(docs.where(queries.fold(F.col("doc_id"), 5) == 1), train).agg(F.sum("score").alias("a"), F.sum("base_score").alias("b")).first()
@@ -392,33 +392,89 @@ def test_base_scores_against_a_walk(docs, odd, none):
     assert suffix_tree.score_texts(odd, none).count() == len(ODD)
 
 
-def test_the_tree_is_a_distribution(shipped):
-    """After each context the probabilities of all tokens, with the share of unknown ones, add up to one."""
-    from veridelta.shared import Tables
-
-    rnd = random.Random(9)
+class PlainTree:
+    """The same tree from dictionaries of tuples, one text after the other."""
+
+    def __init__(self, texts, depth, least, discount, strictness):
+        self.depth, self.discount = depth, discount
+        counts = collections.Counter(tuple(t[i : i + n]) for t in map(self.tokens, texts) for n in range(1, depth + 2) for i in range(len(t) - n + 1))
+        self.single = {s[0]: n for s, n in counts.items() if len(s) == 1}
+        self.total = sum(self.single.values())
+        p = {(w,): self.root(w) for w, n in self.single.items() if n >= least}
+        self.own, self.left = {}, {}
+        for size in range(2, depth + 2):
+            found = {s: n for s, n in counts.items() if len(s) == size and n >= least}
+            own = {s: max(n - discount, 0) / counts[s[:-1]] for s, n in found.items()}
+            by = collections.defaultdict(list)
+            for s in found:
+                by[s[:-1]].append(s)
+            for c, seqs in by.items():
+                if sum(found[s] * math.log(max(own[s], 1e-12) / p[s[1:]]) for s in seqs) > strictness * len(seqs) * math.log(max(2, self.total)):
+                    self.left[c] = max(1 - sum(own[s] for s in seqs), 1e-9)
+                    self.own |= {s: own[s] for s in seqs}
+            p |= {s: own[s] + self.left[s[:-1]] * p[s[1:]] if s[:-1] in self.left else p[s[1:]] for s in found}
+
+    @staticmethod
+    def tokens(text):
+        return [*words(text), None]
+
+    def root(self, w):
+        return (self.single.get(w, 0) + 0.5) / (self.total + 0.5 * (len(self.single) + 1))
+
+    def p(self, history, w):
+        out = self.root(w)
+        for n in range(1, min(self.depth, len(history)) + 1):
+            c = tuple(history[-n:])
+            if c in self.left:
+                out = self.own.get((*c, w), 0.0) + self.left[c] * out
+        return out
+
+    def score(self, text):
+        t = self.tokens(text)
+        return sum(math.log10(self.p(t[:i], w)) for i, w in enumerate(t))
+
+
+def markov_texts(n, seed=9):
+    rnd = random.Random(seed)
     follow = {w: rnd.choice("abcdef") for w in "abcdef"}
-    texts = []
-    for n in range(60):
+    for _ in range(n):
         w = [rnd.choice("abcdef")]
-        for _ in range(40):
-            w.append(follow[w[-1]] if rnd.random() < 0.8 else rnd.choice("abcdef"))
-        texts.append((n, " ".join(w)))
-    df = shipped.createDataFrame(texts, "doc_id bigint, text string")
-    tree, _ = suffix_tree.fit(df, Tables(shipped), depth=2, least_share=1e-4, least_count=2, discount=0.75, strictness=0.1, shards=3)
-    assert (tree.first_left < 1).any()
-    assert (tree.levels[0].left < 1).any()
-    tokens = tree.tokens
-    unknown = 0.5 / (tree.total + 0.5 * (tree.distinct + 1))
-    assert len(tokens) == tree.distinct
-    for a in tokens:
-        for b in tokens:
-            total = 0.0
-            for x in tokens:
-                _, _, value = tree.logs(np.array([a, b, x], np.uint64))
-                total += 10 ** value[2]
-            _, _, value = tree.logs(np.array([a, b, 12345], np.uint64))
-            assert total + 10 ** value[2] * unknown == pytest.approx(1, abs=1e-9)
+        for _ in range(rnd.randrange(40)):
+            w.append(follow[w[-1]] if rnd.random() < 0.8 else "deep" if w[-3:] == ["a", "b", "c"] else rnd.choice("abcdef"))
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("partitions", [None, 1, 5])
+def test_scores_against_a_plain_tree(shipped, partitions):
+    """Every score, of learnt and held-out texts, odd ones and unknown words; and after any context probabilities add up to one."""
+    texts = [*markov_texts(150), "", "a b", "a b c d", "zz yy zz"]
+    how = {"depth": 4, "least_count": 3, "discount": 0.75, "strictness": 0.1}
+    plain = PlainTree([t for n, t in enumerate(texts) if n % 5], 4, 3, 0.75, 0.1)
+    assert max(map(len, plain.left)) == 4
+    df = shipped.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {n: pytest.approx(plain.score(t), abs=1e-7) for n, t in enumerate(texts)}
+    for train in (F.col("doc_id") % 5 != 0, df.where("doc_id % 5 <> 0")):
+        assert {r.doc_id: r.score for r in suffix_tree.score_texts(df, train, partitions=partitions, **how).collect()} == want
+    for c in [(), *list(plain.left)[:40]]:
+        unknown = plain.p(list(c), "never seen")
+        assert sum(plain.p(list(c), w) for w in plain.single) + unknown == pytest.approx(1, abs=1e-9)
+
+
+def test_caches_change_no_score(shipped, monkeypatch):
+    df = shipped.createDataFrame(list(enumerate(markov_texts(60))), "doc_id bigint, text string")
+    score = lambda: {r.doc_id: (r.n_known, r.base_score, r.score) for r in suffix_tree.score_texts(df, F.lit(True), least_count=2, strictness=0.1, partitions=3).collect()}
+    want = score()
+    none = suffix_tree.Vocabulary(np.empty(0, np.uint64), np.empty(0, np.int64))
+    monkeypatch.setattr(suffix_tree, "vocabulary", lambda singles: none)
+    frequent = suffix_tree.frequent_weights
+    monkeypatch.setattr(suffix_tree, "frequent_weights", lambda weights: frequent(weights, 0))
+    assert score() == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
+def test_labels_are_dealt_one_to_a_partition(shipped):
+    for n in (1, 7, 64):
+        labels = shipped.createDataFrame([(int(x),) for x in suffix_tree._labels(n)], "place int")
+        assert sorted(r[0] for r in labels.repartition(n, "place").select(F.spark_partition_id()).collect()) == list(range(n))
 
 
 def test_contexts_do_not_depend_on_the_size_of_the_corpus(shipped):
@@ -427,7 +483,7 @@ def test_contexts_do_not_depend_on_the_size_of_the_corpus(shipped):
     texts = [(n, "rare phrase here") for n in range(20)] + [(100 + n, " ".join(rnd.choices([f"w{k}" for k in range(50)], k=400))) for n in range(100)]
     df = shipped.createDataFrame(texts, "doc_id bigint, text string")
     asked = df.where("doc_id IN (0, 100)")
-    got = {share: {r.doc_id: (r.base_score, r.score) for r in suffix_tree.score_texts(asked, df, least_share=share, shards=3).collect()} for share in (1e-9, 1e-3, 0.5)}
+    got = {share: {r.doc_id: (r.base_score, r.score) for r in suffix_tree.score_texts(asked, df, least_share=share, partitions=3).collect()} for share in (1e-9, 1e-3, 0.5)}
     base, score = got[1e-3][0]
     assert score > base + 5
     for share in (1e-9, 0.5):
