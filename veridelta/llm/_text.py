@@ -2,7 +2,8 @@
 
 Memory is bounded by design: a text is cut at white space into pieces of about
 ``PIECE`` bytes before it is split into Python objects, and only eight bytes a
-word are kept of it; caches are emptied when they reach ``CACHE`` entries.
+word are kept of it; caches are emptied when they reach ``CACHE`` entries or
+``CACHE_BYTES`` bytes of keys, and don't hold long keys.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ import xxhash
 
 PIECE = 1 << 20
 CACHE = 300_000
+CACHE_BYTES = 16 << 20
+#: Longer keys are rare, and made anew each time.
+LONGEST_KEY = 1 << 10
 
 #: Maps every ASCII byte that is no letter or digit to a space.
 ALNUM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -24,15 +28,19 @@ _SPACE = b" \t\n\x0b\x0c\r"
 
 
 class Cached(dict):
-    """Values of ``make`` by key; emptied when full, so its size is bounded."""
+    """Values of ``make`` by key, a text or bytes; emptied when full, so its size is bounded."""
 
     def __init__(self, make: Callable, limit: int = CACHE):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.bytes = make, limit, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(key) > LONGEST_KEY:
+            return self.make(key)
+        self.bytes += len(key)
+        if len(self) >= self.limit or self.bytes > CACHE_BYTES:
             self.clear()
+            self.bytes = len(key)
         value = self[key] = self.make(key)
         return value
 

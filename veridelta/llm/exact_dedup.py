@@ -107,19 +107,21 @@ def drop_exact_duplicates(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, without all but one of each group of equal texts.
 
     The row with the largest doc_id stays. Rows that repeat its id and text are
-    as good as it: of those, one with the least hash of all columns stays.
+    as good as it: of those, the one with the least hash of all columns (as
+    JSON) stays. Columns may have any names but two that differ only in case.
     """
-    found = exact_duplicates(docs, block=block)
     tables = Tables(docs.sparkSession)
-    found = tables.save(found)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    again = found.where("kept").join(dropped, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("text_sha256") == F.col("_sha")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    # Dropped ids that are also kept are repeated rows; there are none where ids are unique.
-    repeated = not again.isEmpty()
-    keyed = docs.withColumn("_key_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    a = again.select(F.col("_id").alias("_again"), F.col("_sha").alias("_again_sha"))
-    gone = dropped.join(a, F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_sha") == F.col("_again_sha")), "left_anti") if repeated else dropped
-    kept = keyed.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_key_sha") == F.col("_sha")), "left_anti")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id", "_key_sha"])
-    return kept.select(*docs.columns)
+    found = tables.save(exact_duplicates(docs, block=block).select("doc_id", "kept", F.unhex("text_sha256").alias("sha")))
+    # An id and text that are kept may also be dropped: those of repeated rows. There are none where ids are unique.
+    keys = found.groupBy("doc_id", "sha").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("NOT kept OR rows > 1")
+    keys = tables.save(keys.select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"), F.col("kept").alias("repeated")))
+    # The columns of ``docs`` are one struct, so no name of theirs meets one of this function.
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"))
+    same = (F.col("id").eqNullSafe(F.col("gone_id"))) & (F.col("sha") == F.col("gone_sha"))
+    kept = rows.join(keys, same, "left_anti").select("row")
+    repeated = keys.where("repeated")
+    if not repeated.isEmpty():
+        first = rows.join(repeated, same, "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), F.to_json("row"))).alias("row"))
+        kept = kept.unionByName(first.select("row"))
+    return kept.select("row.*")

@@ -1,8 +1,8 @@
 """Follow-the-regularised-leader logistic regression over hashed features.
 
-The model is a vector of ``2**bits`` weights: 4 MB at 20 bits whatever the data,
-so broadcasting it is bounded. Training streams over a bounded sample of
-labelled rows in one task; scoring streams over all rows without a shuffle.
+The model has at most ``2**bits`` weights, of which L1 leaves few; those are
+broadcast, 8 bytes each. Training streams over a bounded sample of labelled rows
+in one task; scoring streams over all rows without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ Features = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of training. ``sample`` bounds the labelled rows that are learnt from."""
+    """Parameters of training. ``sample`` bounds the labelled rows that are learnt from, ``sample_bytes`` their texts."""
 
     bits: int = 20
     alpha: float = 0.1
@@ -32,6 +32,7 @@ class Settings:
     l2: float = 1.0
     epochs: int = 3
     sample: int = 20_000
+    sample_bytes: int = 256 << 20
 
 
 class Ftrl:
@@ -62,20 +63,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, sett
     """The weights, the last one the bias, learnt from labelled ``docs``.
 
     Of ``labels`` (doc_id and a 0/1 column) those ``settings.sample`` are learnt
-    from whose hash of the id is least; null ids and labels are passed over. The
-    rows go to one task, in order of that hash, since the order of updates is
-    part of the method; the bound on the sample bounds that task. Without
-    labelled rows all weights are 0, so all scores are 0.5.
+    from whose hash of the id is least, and of their texts, in that order, those
+    up to the first that passes ``settings.sample_bytes`` in all. Null ids and
+    labels, and ids with labels of both kinds, are passed over; of documents that
+    repeat an id one is learnt from, that with the least hash of its text. The
+    rows go to one task, in order of the hash, since the order of updates is part
+    of the method; the bounds of the sample bound that task. Without labelled
+    rows all weights are 0, so all scores are 0.5.
     """
     order = F.xxhash64("doc_id")
-    chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(settings.sample)
+    agreed = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).where("label = _most").drop("_most")
+    chosen = agreed.orderBy(order, "doc_id").limit(settings.sample)
     # At most settings.sample rows of two numbers are broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions(order, "doc_id", "text").select("text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    one = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
+    rows = one.repartition(1).sortWithinPartitions(order, "doc_id").select("text", "label")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
+        seen, left = [], settings.sample_bytes
         for b in batches:
             for text, y in zip(column(b, "text"), b.column(1).to_pylist(), strict=True):
+                left -= len(text)
+                if left < 0:
+                    break
                 at, value = with_bias(*features(text), settings.bits)
                 seen.append((at.astype(np.uint32), value.astype(np.float32), y))
         model = Ftrl(settings)
@@ -95,10 +106,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, sett
 def score(docs: DataFrame, weights: np.ndarray, features: Features, threshold: float) -> DataFrame:
     """doc_id, score and predicted of every row; needs no shuffle. Null texts count as empty."""
     bits = (len(weights) - 1).bit_length() - 1
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    some = np.flatnonzero(weights).astype(np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast((len(weights), some, weights[some]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        size, some, values = shared.value
+        w = np.zeros(size, np.float32)
+        w[some] = values
         for b in batches:
             out = []
             for text in column(b, "text"):

@@ -19,11 +19,11 @@ LETTER = regex.compile(r"\p{L}")
 LEVEL = 9
 #: Where the best two tie, as they may for a few words, texts are encoded again at this level, with matches of three bytes too.
 CLOSER = 13
-#: Texts of fewer bytes are judged by bytes: so few words can't give a share that tells, but must give one byte.
-JUDGED = 256
 UNKNOWN = "und"
 #: Texts are encoded in blocks of this many bytes, so that a long one leans on the dictionary and not on itself.
 BLOCK = 512
+#: Texts are chosen by hashes of so many values.
+PLACES = 1 << 30
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -33,27 +33,37 @@ def normal(text: bytes) -> bytes:
 
 
 def fit_languages(docs: DataFrame, *, dictionary_bytes: int = 1 << 16, sample: int = 100, most_languages: int = 500) -> dict[str, bytes]:
-    """A dictionary for each language: whole texts, joined, up to ``dictionary_bytes``.
+    """A dictionary for each language: texts, joined, up to ``dictionary_bytes``.
 
     Learns from the text and non-null lang of ``docs``: of each language, the
-    ``sample`` rows whose hash of the text is least, so a bounded sample; texts
-    without a letter and those longer than a quarter of the dictionary are
-    passed over. What reaches the driver is at most
-    ``most_languages * dictionary_bytes``; more languages raise an error.
+    ``sample`` distinct texts whose hash is least, so a bounded sample; texts
+    without a letter are passed over. Of a text longer than a quarter of the
+    dictionary, a piece of a sixteenth is taken from a place that the hash
+    chooses. What reaches the driver is at most ``most_languages *
+    dictionary_bytes``; more languages raise an error.
     """
-    rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= dictionary_bytes // 4))
-    # The rank limit is applied before the shuffle too, so a language of any size sends `sample` rows a task.
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))).where(F.col("place") <= sample)
+    place = F.pmod(F.xxhash64("text"), F.lit(PLACES))
+    rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("place", place)
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("texts")).orderBy("lang").limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not sizes:
+        return {}
+    # Several times as many texts as are wanted, by their hash; copies of one go before the shuffle.
+    spark = docs.sparkSession
+    below = spark.createDataFrame([(r["lang"], min(PLACES, 1 + 8 * sample * PLACES // max(1, r["texts"]))) for r in sizes], "lang string, below bigint")
+    piece = dictionary_bytes // 16
+    cut = F.substring("text", F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - piece, F.lit(1))).cast("int") + 1, F.lit(piece // 4))
+    taken = F.when(F.octet_length("text") > dictionary_bytes // 4, cut).otherwise(F.col("text"))
+    few = rows.join(F.broadcast(below), "lang").where("place < below").select("lang", "place", taken.alias("text")).distinct()
+    ranked = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).where(F.col("place") <= sample)
     joined = (
         ranked.withColumn("before", F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("place")))
         .where(F.col("before") <= dictionary_bytes)
         .groupBy("lang")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"))
     )
-    found = joined.orderBy("lang").limit(most_languages + 1).collect()
-    if len(found) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    return {r["lang"]: normal(r["text"].encode()) for r in found}
+    return {r["lang"]: normal(r["text"].encode()) for r in joined.collect()}  # a row a language
 
 
 class Classifier:
@@ -112,9 +122,9 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFra
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, min_margin: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is identified; no shuffle.
 
-    Rejected are texts that are null or hold no letter, those of at least
-    ``JUDGED`` bytes whose margin is below ``min_margin``, and, if that isn't 0,
-    shorter ones whose best two languages tie to the byte, in the closer encoding too.
+    Rejected are texts that are null or hold no letter, those whose margin is
+    below ``min_margin``, and, if that isn't 0, those whose best two languages tie
+    to the byte, in the closer encoding too; texts of all lengths alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
 
@@ -124,7 +134,7 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, min_marg
             keep = []
             for text in column(b):
                 name, _, margin = classify(text)
-                keep.append(name != UNKNOWN and (margin >= min_margin if len(text) >= JUDGED else margin > 0 or min_margin <= 0))
+                keep.append(name != UNKNOWN and (min_margin <= 0 or margin >= min_margin))
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -2,8 +2,9 @@
 
 Rolling hashes of ``K`` words of each document are joined to their places in
 license templates. Each match votes for a diagonal, the place in the document
-less that in the template; votes on neighbouring diagonals are merged, so words
-put in or left out don't split a license, and spans with enough votes count.
+less that in the template; neighbouring diagonals are merged, so words put in or
+left out don't split a license. What they hold is verified: only matches that
+stand in the template's order count, on diagonals that drift by a few words.
 """
 
 from __future__ import annotations
@@ -52,17 +53,29 @@ def template_grams(spark: SparkSession, templates: tuple = TEMPLATES, phrases: t
     return spark.createDataFrame(rows, "template int, label string, base boolean, size int, place int, t0 string, t1 string, t2 string").withColumn("gram", F.xxhash64("t0", "t1", "t2"))
 
 
-def scan_licenses(docs: DataFrame, *, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, slip: int = 2, least: float = 0.8) -> DataFrame:
+def in_order(matches: Column, places: Column) -> Column:
+    """The length of the longest chain of matches (at, place) in which both rise, of places below ``places``.
+
+    Matches are sorted by (at, -place), so none follows one at the same word; the
+    state holds, for each place, the longest chain that ends there or before.
+    """
+    longer = lambda best, m: F.transform(best, lambda b, q: F.when(q < -m["back"], b).otherwise(F.greatest(b, 1 + F.coalesce(F.get(best, -m["back"] - 1), F.lit(0)))))
+    return F.aggregate(F.array_sort(matches), F.array_repeat(F.lit(0), places), longer, lambda best: F.element_at(best, -1))
+
+
+def scan_licenses(docs: DataFrame, *, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, slip: int = 4, least: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A phrase is found where all its words stand consecutively. A template is
-    found where merged diagonals, at most ``slip`` apart one from the next, hold
-    at least ``least`` of its grams, each once; all of them if it is shorter than
-    twelve words, where one word may be the version. ``score`` is the largest share of
-    grams of any phrase or template, 0 if none. A null text counts as empty. Null
-    ids are kept; repeated rows give the same result, once each; an empty table
-    gives no rows; other columns are ignored. Documents are scanned once; only
-    matches, and one mark a document, are shuffled.
+    found where at least ``least`` of its grams stand in its order, each once, on
+    diagonals of which the last is at most ``slip`` from the first: at most so
+    many more words put in than left out, or less. Of one shorter than twelve
+    words, where one word may be the version, all grams must stand on one
+    diagonal. ``score`` is the largest such share of any phrase or template, 0 if
+    no gram matches. A null text counts as empty. Null ids are kept; repeated rows
+    give the same result, once each; an empty table gives no rows; other columns
+    are ignored. Documents are scanned once; only matches, and one mark a
+    document, are shuffled.
     """
     grams = F.broadcast(template_grams(docs.sparkSession, templates, phrases))  # a few hundred rows, fixed by the code
     at = F.col("at")
@@ -80,16 +93,18 @@ def scan_licenses(docs: DataFrame, *, templates: tuple = TEMPLATES, phrases: tup
         .groupBy("doc_id", "text_hash", "bytes", "n_words", "template", "label", "base", "size", (F.col("at") - F.col("place")).alias("diagonal"))
         .agg(F.collect_set("place").alias("places"), F.count(F.lit(1)).alias("hits"))
     )
+    # Each diagonal of a document and a template is tried as the first of a span; the others of it are at most ``slip`` on.
     # All matches of one document on one template meet in a window, so its length bounds them.
-    same = Window.partitionBy("doc_id", "text_hash", "bytes", "template").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(same)
-    joined = F.col("base") | F.coalesce(apart > slip, F.lit(True))
+    span = Window.partitionBy("doc_id", "text_hash", "bytes", "template").orderBy("diagonal").rangeBetween(0, slip)
     keys = ["doc_id", "text_hash", "bytes", "n_words"]
+    free = F.when(F.col("base") | (F.col("size") < 12), 0).otherwise(slip)
+    near = F.filter(F.collect_list(F.struct("diagonal", "places")).over(span), lambda d: d["diagonal"] - F.col("diagonal") <= F.col("free"))
+    matches = F.flatten(F.transform("near", lambda d: F.transform(d["places"], lambda p: F.struct((d["diagonal"] + p).alias("at"), (-p).alias("back")))))
     spans = (
-        votes.withColumn("span", F.sum(joined.cast("int")).over(same))
-        .groupBy(*keys, "template", "label", "base", "size", "span")
-        .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("diagonal").cast("bigint").alias("diagonal"), F.max("hits").alias("hits"))
-        .withColumn("share", F.when(F.col("template") < 0, 0.0).otherwise(F.size("places") / (F.col("size") - (K - 1))))
+        votes.withColumn("free", free)
+        .withColumn("near", near)
+        .withColumn("diagonal", F.col("diagonal").cast("bigint"))
+        .withColumn("share", F.when(F.col("template") < 0, 0.0).otherwise(in_order(matches, F.greatest(F.col("size") - (K - 1), F.lit(1))) / (F.col("size") - (K - 1))))
     )
     phrase, found = F.col("base") & (F.col("share") == 1), F.col("share") >= F.when(F.col("base") | (F.col("size") < 12), 1.0).otherwise(least)
     is_text = F.col("template") >= 0

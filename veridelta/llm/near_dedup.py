@@ -434,5 +434,7 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     It is the one with the least doc_id; parameters are those of ``near_duplicates``.
     """
     tables = Tables(docs.sparkSession)
-    gone = tables.save(near_duplicates(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    gone = tables.save(near_duplicates(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct())
+    # The columns of ``docs`` are one struct, so no name of theirs meets one of this function.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")

@@ -113,12 +113,14 @@ def op4_sql() -> str:
         w = text.split()
         grams += [f"({n}, '{label}', {base}, {len(w)}, {i}, {', '.join(repr(x) for x in w[i : i + k])})" for i in range(len(w) - k + 1)]
     return f"""
-WITH grams(template, label, base, size, place, t0, t1, t2) AS (VALUES {", ".join(grams)}),
+WITH RECURSIVE grams(template, label, base, size, place, t0, t1, t2) AS (VALUES {", ".join(grams)}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2),
-v AS (SELECT doc_id, template, label, base, size, i - 1 - place AS diagonal, list(DISTINCT place) AS places FROM p JOIN grams ON w[i] = t0 AND w[i + 1] = t1 AND w[i + 2] = t2 GROUP BY ALL),
-s AS (SELECT *, sum(CASE WHEN base OR coalesce(diagonal - before > 2, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM v)),
-f AS (SELECT doc_id, template, label, base, size, min(diagonal) AS diagonal, len(list_distinct(flatten(list(places)))) / (size - 2) AS share FROM s GROUP BY doc_id, template, label, base, size, span),
+v AS (SELECT DISTINCT doc_id, template, label, base, size, i - 1 AS at_, place, i - 1 - place AS diagonal FROM p JOIN grams ON w[i] = t0 AND w[i + 1] = t1 AND w[i + 2] = t2),
+a AS (SELECT DISTINCT doc_id, template, label, base, size, diagonal FROM v),
+m AS (SELECT a.doc_id, a.template, a.diagonal, v.at_, v.place FROM a JOIN v ON v.doc_id = a.doc_id AND v.template = a.template AND v.diagonal BETWEEN a.diagonal AND a.diagonal + CASE WHEN a.base OR a.size < 12 THEN 0 ELSE 4 END),
+c AS (SELECT *, 1 AS n FROM m UNION SELECT m.doc_id, m.template, m.diagonal, m.at_, m.place, c.n + 1 FROM c JOIN m ON m.doc_id = c.doc_id AND m.template = c.template AND m.diagonal = c.diagonal WHERE m.at_ > c.at_ AND m.place > c.place),
+f AS (SELECT a.*, n / (size - 2) AS share FROM a JOIN (SELECT doc_id, template, diagonal, max(n) AS n FROM c GROUP BY ALL) USING (doc_id, template, diagonal)),
 g AS (SELECT doc_id, count(*) FILTER (base AND share = 1) AS n_base, min(diagonal) FILTER (base AND share = 1) AS first_word, max(diagonal) FILTER (base AND share = 1) AS last_word,
     array_to_string(list_sort(list(DISTINCT label) FILTER (base AND share = 1)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (share >= CASE WHEN base OR size < 12 THEN 1.0 ELSE 0.8 END)), ',') AS labels, max(share) AS score FROM f GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN g USING (doc_id)
