@@ -213,3 +213,27 @@ def test_empty_tables_give_no_rows(spark):
     assert coverage.file_coverage(none, blocks).count() == 0
     assert core.islands(none, ["path"]).count() == 0
     assert report.severity_counts(make(spark, [], "kind string, severity string"), ["kind"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_owners_against_a_line_by_line_walk(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.choice("ab"), s := rnd.randrange(60), s + rnd.randrange(25), n) for n in range([1, 7, 60][seed])]
+    own = {}
+    for key, s, e, rank in rows:
+        for line in range(s, e + 1):
+            own[key, line] = min(own.get((key, line), rank), rank)
+    want = []
+    for (key, line), rank in sorted(own.items()):
+        if want and want[-1][0] == key and want[-1][2] == line - 1 and want[-1][3] == rank:
+            want[-1][2] = line
+        else:
+            want.append([key, line, line, rank])
+    got = core.owners(make(spark, rows, "k string, start int, end int, rank int"), ["k"])
+    assert sorted(map(list, got.select("k", "start", "end", "rank").collect())) == want
+
+
+def test_a_whole_file_of_many_lines_is_one_range(spark):
+    rows = [("a", 1, 10**12, 2), ("a", 5 * 10**11, 5 * 10**11, 1)]
+    got = core.owners(make(spark, rows, "k string, start bigint, end bigint, rank int"), ["k"]).orderBy("start").collect()
+    assert [(r.start, r.end, r["rank"]) for r in got] == [(1, 5 * 10**11 - 1, 2), (5 * 10**11, 5 * 10**11, 1), (5 * 10**11 + 1, 10**12, 2)]

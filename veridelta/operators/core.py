@@ -108,3 +108,32 @@ def same_multiset(a: Column, b: Column) -> Column:
 def newly(now: Column, before: Column) -> Column:
     """What an array has that an earlier one hadn't, sorted, each once."""
     return F.array_sort(F.array_except(now, F.coalesce(before, F.slice(now, 1, 0))))
+
+
+def owners(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end", rank: str = "rank") -> DataFrame:
+    """Who owns which lines where ranges overlap: of each key the stretches (start, end, rank) of which the least rank that covers them is the same.
+
+    Lines are never listed: the ends of all ranges cut a key's lines into
+    segments, at most two a range. A range covers a run of segments, which is cut
+    into blocks of powers of two, and a segment asks the blocks that hold it, so
+    both sides of the join have a row for each doubling of the number of segments.
+    """
+    r = ranges.where(F.col(end) >= F.col(start)).select(*keys, F.col(start).cast("bigint").alias("_s"), (F.col(end) + 1).cast("bigint").alias("_e"), F.col(rank).alias("_rank"))
+    order = Window.partitionBy(*keys).orderBy("_at")
+    ends = r.select(*keys, F.explode(F.array("_s", "_e")).alias("_at")).distinct()
+    cuts = ends.withColumn("_i", F.row_number().over(order) - 1).withColumn("_next", F.lead("_at").over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    at = lambda c, i: cuts.select(*keys, F.col("_at").alias(c), F.col("_i").alias(i))
+    placed = r.join(at("_s", "_a"), [*keys, "_s"]).join(at("_e", "_b"), [*keys, "_e"])
+    # At each level the run's first block, if it is odd, and its last, if the one after it is: the others make up larger ones.
+    level = placed.select(*keys, "_rank", "_a", "_b", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_b") - F.col("_a"))).cast("int") + 1)).alias("_k"))
+    size = F.expr("shiftleft(1L, _k)")
+    level = level.select(*keys, "_rank", "_k", F.ceil(F.col("_a") / size).alias("_l"), F.floor(F.col("_b") / size).alias("_r")).where("_l < _r")
+    odd = F.filter(F.array(F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_r") % 2 == 1, F.col("_r") - 1)), lambda x: x.isNotNull())
+    blocks = level.select(*keys, "_k", F.explode(odd).alias("_block"), "_rank").groupBy(*keys, "_k", "_block").agg(F.min("_rank").alias("_rank"))
+    # A run of one block at the top of its levels is even there, and found a level up.
+    asked = cuts.where("_next IS NOT NULL").select(*keys, "_at", "_next", "_i", F.explode(F.sequence(F.lit(0), F.ceil(F.log2("_n")).cast("int") + 1)).alias("_k"))
+    asked = asked.withColumn("_block", F.floor(F.col("_i") / size))
+    own = asked.join(blocks, [*keys, "_k", "_block"]).groupBy(*keys, "_i").agg(F.min("_rank").alias("_rank"), F.first("_at").alias("_at"), F.first("_next").alias("_next"))
+    run = own.withColumn("_run", F.col("_i") - F.row_number().over(Window.partitionBy(*keys, "_rank").orderBy("_i")))
+    merged = run.groupBy(*keys, "_rank", "_run").agg(F.min("_at").alias(start), (F.max("_next") - 1).alias(end))
+    return merged.select(*keys, start, end, F.col("_rank").alias(rank))

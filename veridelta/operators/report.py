@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import alert_rank, islands, occurrence, range_join, severity_rank
+from .core import alert_rank, occurrence, owners, range_join, severity_rank
 
 IDS_PER_LIST = 20
 
@@ -62,25 +62,23 @@ def review_targets(diff: DataFrame, signals: DataFrame) -> DataFrame:
 def dedupe_lines(alerts: DataFrame) -> DataFrame:
     """What is left of each alert when earlier ones claim their lines: issues stay whole, others are cut to parts or go.
 
-    A line belongs to the alert of the least rank that covers it, so one
-    aggregate by line replaces the walk over alerts in order.
+    A line belongs to the alert of the least rank that covers it, which the ends
+    of ranges tell; no line is listed.
     """
     span = alerts.withColumn("end_line", F.greatest("line", "end_line"))
-    lines = span.select("path", "side", "rank", F.explode(F.sequence("line", "end_line")).alias("at"))
-    owned = lines.groupBy("path", "side", "at").agg(F.min("rank").alias("rank"))
-    parts = islands(owned.withColumnRenamed("at", "line"), ["path", "side", "rank"])
+    parts = owners(span, ["path", "side"], "line", "end_line")
     n = parts.groupBy("path", "side", "rank").agg(F.count(F.lit(1)).alias("_n"))
-    parts = occurrence(parts.join(n, ["path", "side", "rank"]), ["path", "side", "rank"], ["start"], "_i")
+    parts = occurrence(parts.join(n, ["path", "side", "rank"]), ["path", "side", "rank"], ["line"], "_i")
     rest = span.where("NOT issue").select("id", "path", "side", "rank").join(parts, ["path", "side", "rank"])
     name = F.when(F.col("_n") > 1, F.concat("id", F.lit("#"), (F.col("_i") + 1).cast("string"))).otherwise(F.col("id"))
-    return span.where("issue").select("id", "path", "side", "line", "end_line").unionByName(rest.select(name.alias("id"), "path", "side", F.col("start").alias("line"), F.col("end").alias("end_line")))
+    whole = span.where("issue").select("id", "path", "side", F.col("line").cast("bigint").alias("line"), F.col("end_line").cast("bigint").alias("end_line"))
+    return whole.unionByName(rest.select(name.alias("id"), "path", "side", "line", "end_line"))
 
 
 def remainder(spans: DataFrame, covers: DataFrame) -> DataFrame:
-    """The parts of spans (path, start, end) that no cover of the path holds."""
-    lines = spans.select("path", F.explode(F.sequence("start", "end")).alias("line"))
-    held = covers.select("path", F.explode(F.sequence("start", "end")).alias("line")).distinct()
-    return islands(lines.join(held, ["path", "line"], "left_anti"), ["path"]).drop("lines")
+    """The parts of spans (path, start, end) that no cover of the path holds: those that a span owns where covers come first."""
+    both = covers.select("path", "start", "end", F.lit(0).alias("rank")).unionByName(spans.select("path", "start", "end", F.lit(1).alias("rank")))
+    return owners(both, ["path"]).where("rank = 1").drop("rank")
 
 
 def severity_counts(alerts: DataFrame, by: list[str]) -> DataFrame:
