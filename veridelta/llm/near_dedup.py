@@ -4,8 +4,8 @@ Documents are sets of hashed word shingles. In each of some independent trees a
 document walks from the root by minwise tokens: which of its ``COORDINATES``
 minwise values it turns on next depends on its path so far, so documents that
 walk together agree on all values chosen. Small nodes are compared exhaustively;
-large ones are branched again, on one chosen value or, now and then, two, so that
-a pair at the threshold is expected to stay together once. Pairs that look
+large ones are branched again, on four more values, and have so many children
+that a pair at the threshold is expected to stay together once. Pairs that look
 similar are confirmed on their full sets.
 """
 
@@ -64,9 +64,13 @@ def _sketches(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(len(col), COORDINATES)
 
 
-def second_child(t: float) -> float:
-    """How often a large node has two children, so that a pair at the threshold is expected to stay together once."""
-    return min(1.0, 1 / t - 1)
+#: Turns that a branching takes at once.
+TURNS = 4
+
+
+def children(t: float) -> float:
+    """How many children a large node has on average, so that a pair at the threshold is expected to stay together once."""
+    return t**-TURNS
 
 
 def trees_needed(t: float, steps: int, levels: int, miss: float) -> int:
@@ -75,10 +79,10 @@ def trees_needed(t: float, steps: int, levels: int, miss: float) -> int:
     Though a pair is expected to stay together once, that it does so at all
     grows rarer by the level.
     """
-    lost, second = 0.0, second_child(t)
+    lost, sure, more = 0.0, int(children(t)), children(t) % 1
     for _ in range(levels):
-        child = 1 - t + t * lost
-        lost = child * (1 - second + second * child)
+        child = 1 - t**TURNS * (1 - lost)
+        lost = child**sure * (1 - more + more * child)
     return int(np.ceil(np.log(miss) / np.log1p(-(t**steps) * (1 - lost))))
 
 
@@ -98,15 +102,18 @@ def walk(reps: DataFrame, first: int, trees: int, steps: int) -> DataFrame:
     return reps.select("sid", "sketch").mapInArrow(run, "tree int, node bigint, sid bigint")
 
 
-def branch(rows: DataFrame, second: float) -> DataFrame:
-    """The children of nodes, of rows (tree, node, sid, sketch): one each, or two with probability ``second``."""
+def branch(rows: DataFrame, mean: float) -> DataFrame:
+    """The children of nodes, of rows (tree, node, sid, sketch): ``mean`` on average, each after ``TURNS`` turns of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig, path = _sketches(b.column(3)), b.column(1).to_numpy().view(np.uint64)
-            twice = (mix(path ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(11)).astype(np.float64) / (1 << 53) < second
-            for turn, mask in ((0, np.ones(len(path), bool)), (1, twice)):
-                child = _step(path[mask], sig[mask], turn)
+            chance = (mix(path ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+            for n in range(int(np.ceil(mean))):
+                mask = chance < mean - n
+                child, own = path[mask], sig[mask]
+                for turn in range(TURNS):
+                    child = _step(child, own, n if turn == 0 else 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(mask)), pa.array(child.view(np.int64)), b.column(2).filter(pa.array(mask))], ["tree", "node", "sid"])
 
     return rows.select("tree", "node", "sid", "sketch").mapInArrow(run, "tree int, node bigint, sid bigint")
@@ -244,8 +251,9 @@ def links(rows: DataFrame, least: float, ratio: float, percent: int) -> DataFram
     return _by_node(rows, confirmed, "a bigint, b bigint", sets=True)
 
 
-def _to_pivots(rows: DataFrame, least: float, ratio: float) -> DataFrame:
+def _to_pivots(rows: DataFrame, least: float, ratio: float, few: bool) -> DataFrame:
     """Pairs of the sets in large nodes with their node's pivot, the least sid, where they look similar."""
+    # A pivot a large node: broadcast, unless there are very many, so that a node's rows stay where they are.
     pivots = rows.groupBy("tree", "node").agg(F.min(F.struct("sid", "size", "sketch")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +263,7 @@ def _to_pivots(rows: DataFrame, least: float, ratio: float) -> DataFrame:
             keep = pa.array((same >= least) & (np.minimum(n, m) >= ratio * np.maximum(n, m)), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), b.column(1)], ["tree", "a", "b"]).filter(keep)
 
-    both = rows.join(pivots, ["tree", "node"]).where("sid > p.sid").select("tree", "sid", "size", "sketch", F.col("p.sid").alias("p_sid"), F.col("p.size").alias("p_size"), F.col("p.sketch").alias("p_sketch"))
+    both = rows.join(F.broadcast(pivots) if few else pivots, ["tree", "node"]).where("sid > p.sid").select("tree", "sid", "size", "sketch", F.col("p.sid").alias("p_sid"), F.col("p.size").alias("p_size"), F.col("p.sketch").alias("p_sketch"))
     return both.mapInArrow(run, "tree int, a bigint, b bigint")
 
 
@@ -267,6 +275,8 @@ def _pairs_of_parts(rows: DataFrame, limit: int) -> DataFrame:
     return met.select("tree", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "sid")
 
 
+#: Large nodes, and so their pivots of about 300 bytes, that are broadcast.
+MOST_BROADCAST = 50_000
 FILTER_WORDS = 1 << 17
 
 
@@ -342,7 +352,7 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 85, trees: int = 10, steps: int = 3, node_limit: int = 1024, most_levels: int = 16, miss: float = 1e-4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 85, trees: int = 10, steps: int = 3, node_limit: int = 1024, most_levels: int = 4, miss: float = 1e-4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
     Words lie between ASCII white space, A-Z in lower case; a set holds the
@@ -358,7 +368,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     ``miss`` at most; where nodes were branched on, as many more, for the sets of
     large nodes, as that takes. Sets of large nodes are also compared with one
     pivot each. What is then still too large agrees on all values turned on, is
-    cut into parts by hash, and its parts are tied together by the pivot.
+    cut into parts by hash, and every two parts are compared.
 
     Null, empty and blank texts have an empty set, no links, and themselves as
     component. A null id is linked as others, and is a component_id only where
@@ -377,18 +387,23 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
         level, crowded = walk(crowd, first, trees, steps), None
         for depth in range(most_levels + 1):
             level = tables.save(level)
-            sizes = level.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            level = tables.save(level.join(sizes, ["tree", "node"]))
-            nodes.append(level.where(F.col("n") <= node_limit).drop("n"))
-            large = level.where(F.col("n") > node_limit).drop("n")
-            if large.isEmpty():
+            sizes = tables.save(level.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+            large = sizes.where(F.col("n") > node_limit).select("tree", "node")
+            crowds = large.count()
+            if crowds:
+                # Large nodes are few, at most a row in node_limit, and known before their rows move.
+                few = crowds <= MOST_BROADCAST
+                large = F.broadcast(large) if few else large
+                crowd_rows, level = level.join(large, ["tree", "node"], "left_semi"), level.join(large, ["tree", "node"], "left_anti")
+            nodes.append(tables.save(level.join(sizes.where(F.col("n") <= node_limit).select("tree", "node"), ["tree", "node"], "left_semi")))
+            if not crowds:
                 depth -= 1
                 break
-            large = tables.save(large.join(reps.drop("doc_id"), "sid"))
+            large = tables.save(crowd_rows.join(reps.drop("doc_id"), "sid"))
             crowded = large.select("sid") if crowded is None else crowded.unionByName(large.select("sid"))
-            pivoted.append(tables.save(_to_pivots(large, least, t)))
+            pivoted.append(tables.save(_to_pivots(large, least, t, few)))
             if depth < most_levels:
-                level = branch(large, second_child(t))
+                level = branch(large, children(t))
             else:
                 depth -= 1
                 nodes.append(tables.save(_pairs_of_parts(large, node_limit)))
