@@ -201,10 +201,15 @@ def test_upsert_stream_equals_batch(spark, tmp_path):
 
 
 def test_corpus_depends_on_names_only(spark):
-    a = mutation.corpus(make(spark, [("f",), ("g",)], "target string"), 12)
-    b = mutation.corpus(make(spark, [("g",), ("f",)], "target string").repartition(3), 12)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert all(n == 12 for n in a.groupBy("target").agg(F.countDistinct("value").alias("n")).toPandas()["n"])
+    schema = "target string, types array<string>"
+    a = mutation.corpus(make(spark, [("f", ["int", "string"]), ("g", ["bool"]), ("h", [])], schema), 60)
+    b = mutation.corpus(make(spark, [("h", []), ("g", ["bool"]), ("f", ["int", "string"])], schema).repartition(3), 60)
+    rows = sorted(map(tuple, a.collect()))
+    assert rows == sorted(map(tuple, b.collect()))
+    calls = [c for t, _, c in rows if t == "f"]
+    assert len(calls) == len(set(calls)) == 60
+    assert calls[:6] == ['f(0, "")', 'f(0, "a")', 'f(0, " ")', 'f(0, "0")', 'f(0, "\\n")', 'f(1, "")']
+    assert [c for t, _, c in rows if t != "f"] == ["g(false)", "g(true)", "h()"]
 
 
 def test_empty_tables_give_no_rows(spark):

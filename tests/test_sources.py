@@ -1,6 +1,7 @@
 """Sources beyond what the queries render: broken packages, loose JSON, lexers, tools."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def test_json_repair(text, want):
 def test_tokens_skip_comments_and_keep_strings():
     got = [(k, t) for k, t, _ in lexer.tokens('x = "a // b" // c\n/* d */ y(1.5)', "ts")]
     assert got == [("word", "x"), ("mark", "="), ("string", '"a // b"'), ("word", "y"), ("mark", "("), ("number", "1.5"), ("mark", ")")]
-    assert list(lexer.declarations("def f():\n  # g()\n  h()", "py")) == [("declares", "f", 1), ("calls", "h", 3)]
+    assert list(lexer.declarations("def f():\n  # g()\n  h()", "py")) == [("function", "f", 1), ("calls", "h", 3)]
 
 
 def test_tools_refuse_what_they_do_not_know(spark):
@@ -181,3 +182,49 @@ def test_mutation_sites_are_all_on_a_line(spark):
     ]
     assert [g[2] for g in got if g[0] == 5] == ["negate_comparison"] * 3 + ["swap_logical"] * 2 + ["increment_constant"] * 3
     assert [g for g in got if g[0] > 5] == []
+
+
+PARSED = {
+    "py": (
+        'class A(Base):\n    """doc def no(): pass"""\n    def m(self, x=g(1)):\n        # h()\n        return self.k(f"{x} z()")\n    async def n(self): pass\ndef f(a,\n      b):\n    class In:\n        def q(self): return 1\n    return a.b.c(d)\nx = f(1)\n',
+        "class A, method A.m, calls g, calls self.k, method A.n, function f, class In, method In.q, calls a.b.c, calls f",
+    ),
+    "ts": (
+        'export class S extends T {\n  private readonly x = 1;\n  async run(a: string, b = /re"g(x)/): Promise<void> {\n    const s = `t ${this.go(`n ${deep()}`)} not()`;\n    if (a / b > c / d) { stop(); }\n  }\n  get v() { return 1; }\n  abstract q(): void;\n}\n'
+        "interface I { m(): void }\ntype U = { a: number };\nconst h = async (x) => k(x);\nconst g = function () { return 1 };\nfunction* gen() { yield z(); }\n",
+        "class S, method S.run, calls this.go, calls deep, calls stop, method S.v, method S.q, type I, method I.m, type U, function h, calls k, function g, function gen, calls z",
+    ),
+    "rs": (
+        "struct P<'a> { x: &'a str }\nimpl<'a> P<'a> { fn new(x: &'a str) -> Self { let c = '{'; helper(r#\"f(\"x\")\"#) } }\nimpl fmt::Display for P<'_> { fn fmt(&self) -> R { write!(f, \"{}\", self.x.len()) } }\ntrait Tr { fn t(&self); }\nenum E { A, B }\nfn main() { P::new(\"a\"); /* no() */ }\n",
+        "type P, method P.new, calls helper, method P.fmt, calls write, calls self.x.len, type Tr, method Tr.t, type E, function main, calls P.new",
+    ),
+    "go": ("package x\ntype T struct { a int }\nfunc (t *T) M(a int) error { return t.f(a) }\nfunc F() { G(`raw(\"x\")`) }\n", "type T, method T.M, calls t.f, function F, calls G"),
+}
+
+
+@pytest.mark.parametrize("language", PARSED)
+def test_declarations_and_calls(language):
+    code, want = PARSED[language]
+    assert ", ".join(f"{what} {name}" for what, name, _ in lexer.declarations(code, language)) == want
+
+
+@pytest.mark.parametrize("language", ["ts", "py", "rs", "go", "other"])
+def test_lexers_end_on_any_text(language):
+    rnd = random.Random(4)
+    for n in range(300):
+        code = "".join(rnd.choice(["`", "${", "}", "{", "/", '"', "'", "\\", "\n", "a", "(", ")", "class ", "fn ", "/*", "*/", "#", "1.5e-3", "é", " "]) for _ in range(n % 40))
+        assert all(t in code for _, t, _ in lexer.tokens(code, language))
+        assert all(0 < line <= code.count("\n") + 1 for *_, line in lexer.declarations(code, language))
+
+
+def test_tokens_of_templates_and_patterns():
+    got = [(k, t) for k, t, _ in lexer.tokens("`a ${ {b: `c`} } d` / 2; x = /[/]`/g", "ts")]
+    assert got == [("string", "`a ${"), ("mark", "{"), ("word", "b"), ("mark", ":"), ("string", "`c`"), ("mark", "}"), ("string", "} d`"), ("mark", "/"), ("number", "2"), ("mark", ";"), ("word", "x"), ("mark", "="), ("regex", "/[/]`/g")]
+
+
+def test_hidden_rows_columns_and_validations(spark):
+    ship(spark)
+    sheet = '<worksheet><cols><col min="2" max="3" hidden="1"/><col min="5" max="5"/></cols><sheetData><row r="4" hidden="1"/><row r="5"/></sheetData><dataValidations><dataValidation sqref="A1:A9 C1" type="list"/></dataValidations></worksheet>'
+    files = make(spark, [("f", bytearray(packages.zipped({"xl/workbook.xml": '<workbook xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="x" state="hidden"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="x" Target="s.xml"/></Relationships>', "xl/s.xml": sheet})))], "path string, content binary")
+    got = sorted((r.sheet, r.kind, r["at"]) for r in packages.read(files, packages.layout, packages.LAYOUT).collect())
+    assert got == [("S", "hidden_column", "2:3"), ("S", "hidden_row", "4"), ("S", "hidden_sheet", ""), ("S", "validation", "A1:A9 C1")]

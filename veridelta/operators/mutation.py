@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,24 +112,43 @@ def splitmix64(seed: np.ndarray, n: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-EDGES = (0, 1, -1, 2**31 - 1, -(2**31))
+#: The first inputs of each type, as a call writes them.
+EDGES = {"int": ("0", "1", "-1", "2147483647", "-2147483648"), "bool": ("false", "true"), "string": ('""', '"a"', '" "', '"0"', '"\\n"')}
+
+
+def _written(kind: str, z: int) -> str:
+    """A number as an input of a type: whole numbers from -1000 to 1000, truth values, texts of eight hexadecimal digits."""
+    return str(z % 2001 - 1000) if kind == "int" else EDGES["bool"][z & 1] if kind == "bool" else f'"{z:016x}"'[:9] + '"'
 
 
 def corpus(targets: DataFrame, n: int) -> DataFrame:
-    """``n`` distinct inputs for each target: edge values first, then numbers that depend on its name only."""
+    """``n`` distinct calls (target, i, call) of each target (target, types): combinations of edge values first, the last parameter's first, then random rows.
+
+    Random numbers follow from the target's name only: its SHA-256's first eight
+    bytes seed them, a number a parameter. A target without parameters has one
+    call, and one whose types have few values as many as are met in 8 n rows; a
+    type that isn't known fails.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         for b in batches:
             rows = []
-            for t in b["target"]:
-                seed = np.frombuffer(hashlib.sha256(t.encode()).digest()[:8], "<u8")
-                values = list(dict.fromkeys([*EDGES, *(int(x) % 2001 - 1000 for x in splitmix64(seed, 4 * n)[0])]))[:n]
-                rows += [(t, i, v) for i, v in enumerate(values)]
-            yield pd.DataFrame(rows, columns=["target", "i", "value"])
-
-    return targets.mapInPandas(run, "target string, i int, value bigint")
+            for target, types in zip(b["target"], b["types"], strict=True):
+                types = list(types)
+                calls = dict.fromkeys(", ".join(c) for c in itertools.islice(itertools.product(*(EDGES[t] for t in types)), n))
+                if types and len(calls) < n:
+                    seed = np.frombuffer(hashlib.sha256(target.encode()).digest()[:8], ">u8").astype(np.uint64)
+                    z = splitmix64(seed, 8 * n * len(types))[0].tolist()
+                    for k in range(0, len(z), len(types)):
+                        calls[", ".join(map(_written, types, z[k : k + len(types)]))] = None
+                        if len(calls) == n:
+                            break
+                rows += [(target, i, f"{target}({c})") for i, c in enumerate(calls)]
+            yield pd.DataFrame(rows, columns=["target", "i", "call"])
+
+    return targets.select("target", "types").mapInPandas(run, "target string, i int, call string")
 
 
 def execution_order(sites: DataFrame, order: list[str], most: int) -> DataFrame:

@@ -89,19 +89,39 @@ def _(nation):
     return packages.read(nation.select(F.col("n_nationkey").cast("string").alias("path"), xml.cast("binary").alias("content")), packages.nodes, packages.NODES, package=False).drop("error")
 
 
-def code(part):
-    k = F.col("p_partkey").cast("string")
-    return part.select(k.alias("id"), F.concat(F.lit("def f"), k, F.lit('(x):\n    # g()\n    return h(x) + "i()"\n')).alias("text"))
+#: A text in each language, what it declares and calls on which lines, and how many tokens and texts it has.
+CODE = {
+    "py": ('class C{k}(B):\n    """def no(): g()"""\n    def m(self):\n        # h()\n        return h{k}(x) + "i()"\ndef f{k}(a):\n    return a.b{k}.c(1)\n', "class C{k} 1, method C{k}.m 3, calls h{k} 5, function f{k} 6, calls a.b{k}.c 7", 35, 2),
+    "ts": ("export class C{k} {\n  m(a = /g(x)/): void { this.h{k}(`t ${ u{k}(`n()`) } no()`); }\n}\ntype T{k} = string;\nconst f{k} = (x) => x / 2 / k{k}(x);\n", "class C{k} 1, method C{k}.m 2, calls this.h{k} 2, calls u{k} 2, type T{k} 4, function f{k} 5, calls k{k} 5", 48, 3),
+    "rs": ("struct S{k} { x: &'static str }\nimpl S{k} {\n  fn new() -> Self { h{k}(r#\"g(\"x\")\"#) }\n}\nfn f{k}() { S{k}::new(); }\n", "type S{k} 1, method S{k}.new 3, calls h{k} 3, function f{k} 5, calls S{k}.new 5", 37, 1),
+}
+LANGUAGES = list(CODE)
 
 
-@query("src30_lexical_parse", f"SELECT CAST(p_partkey AS VARCHAR) AS id, unnest(['declares', 'calls']) AS a, unnest([concat('f', p_partkey), 'h']) AS b, CAST(unnest([1, 3]) AS BIGINT) AS line FROM part", python=True)
+def code(part, language):
+    k = F.col("p_partkey")
+    return part.where(k % len(LANGUAGES) == LANGUAGES.index(language)).select(k.cast("string").alias("id"), F.replace(F.lit(CODE[language][0]), F.lit("{k}"), k.cast("string")).alias("text"))
+
+
+def coded(what):
+    """SQL over the parts of each language, from a list of (what, name, line)."""
+    each = [f"SELECT p_partkey AS k, unnest([{what(CODE[g])}]) AS r FROM part WHERE p_partkey % {len(CODE)} = {n}" for n, g in enumerate(LANGUAGES)]
+    return " UNION ALL ".join(each)
+
+
+FACTS = coded(lambda c: ", ".join("{'a': '%s', 'b': '%s', 'line': %s}" % tuple(f.rsplit(" ", 2)) for f in c[1].split(", ")))
+
+
+@query("src30_lexical_parse", f"SELECT CAST(k AS VARCHAR) AS id, r.a AS a, replace(r.b, '{{k}}', CAST(k AS VARCHAR)) AS b, CAST(r.line AS BIGINT) AS line FROM ({FACTS})", python=True)
 def _(part):
-    return lexer.parse(code(part), lexer.declarations, "py")
+    py, ts, rs = (lexer.parse(code(part, g), lexer.declarations, g) for g in LANGUAGES)
+    return py.unionByName(ts).unionByName(rs)
 
 
-@query("src31_tokenizer", f"SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(13 AS BIGINT) AS tokens, CAST(1 AS BIGINT) AS strings FROM part", python=True)
+@query("src31_tokenizer", "SELECT CAST(k AS VARCHAR) AS id, CAST(r.t AS BIGINT) AS tokens, CAST(r.s AS BIGINT) AS strings FROM (" + coded(lambda c: "{'t': %d, 's': %d}" % c[2:]) + ")", python=True)
 def _(part):
-    return lexer.parse(code(part), lexer.tokens, "py").groupBy("id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("a") == "string").alias("strings"))
+    py, ts, rs = (lexer.parse(code(part, g), lexer.tokens, g) for g in LANGUAGES)
+    return py.unionByName(ts).unionByName(rs).groupBy("id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("a") == "string").alias("strings"))
 
 
 @query("src28_go_imports", "SELECT CAST(p_size AS VARCHAR) AS id, concat('m/', p_partkey) AS name, 'import' AS fact FROM part UNION ALL SELECT DISTINCT CAST(p_size AS VARCHAR), 'T', 'type' FROM part")

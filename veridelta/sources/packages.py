@@ -77,6 +77,25 @@ def cells(p: Package) -> Iterator[tuple]:
                 yield s.get("name"), c.get("r"), value, formula, kind in ("s", "str", "inlineStr"), kind == "e"
 
 
+def layout(p: Package) -> Iterator[tuple]:
+    """sheet, kind and place of what a workbook hides or restricts: hidden sheets, rows and columns, protection, validations."""
+    book = p.tree("xl/workbook.xml")
+    for s in book.iter("sheet") if book is not None else ():
+        name, target = s.get("name"), p.relations("xl/workbook.xml").get(link(s))
+        if s.get("state", "visible") != "visible":
+            yield name, "hidden_sheet", ""
+        sheet = p.tree(target) if target else None
+        for e in sheet.iter() if sheet is not None else ():
+            if e.tag == "row" and e.get("hidden") in ("1", "true"):
+                yield name, "hidden_row", e.get("r")
+            elif e.tag == "col" and e.get("hidden") in ("1", "true"):
+                yield name, "hidden_column", f"{e.get('min')}:{e.get('max')}"
+            elif e.tag == "sheetProtection" and e.get("sheet") in ("1", "true"):
+                yield name, "protected", ""
+            elif e.tag == "dataValidation":
+                yield name, "validation", e.get("sqref", "")
+
+
 def paragraphs(p: Package) -> Iterator[tuple]:
     """section, pos and text of every paragraph that isn't blank, of the body, headers, footers and notes."""
     for part in sorted(n for n in p.names if re.fullmatch(r"word/(document|header\d*|footer\d*|footnotes|comments)\.xml", n)):
@@ -131,6 +150,7 @@ def read(files: DataFrame, what: Callable, schema: str, package: bool = True) ->
 
 
 CELLS = "sheet string, ref string, value string, formula string, is_text boolean, is_error boolean"
+LAYOUT = "sheet string, kind string, at string"
 PARAGRAPHS = "section string, pos long, text string"
 SLIDES = "number long, hidden boolean, text string"
 PARTS = "name string, class string"
