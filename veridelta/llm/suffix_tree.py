@@ -43,6 +43,8 @@ PER_PARTITION, MOST_PARTITIONS, PER_SHARD = 1 << 21, 20_000, 1 << 21
 VOCABULARY, CACHE = 1 << 17, 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _EMPTY = np.empty(0, np.uint64)
+#: Made once a worker, since each holds tables of its own.
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -53,12 +55,12 @@ def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 def _packed(x: np.ndarray) -> bytes:
     """Numbers as bytes: first bytes first, then second ones, ..., compressed."""
     x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b"")
+    return _ZIP.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b"")
 
 
 def _unpacked(data: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    raw = np.frombuffer(_UNZIP.decompress(data), np.uint8).reshape(size, -1)
     return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
 
 
@@ -108,12 +110,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
-TOKENS = "name bigint, size bigint, ids binary, lengths binary, learn binary, tokens binary"
+TOKENS = "name bigint, size bigint, ids binary, lengths binary, learn binary, tokens binary, words binary"
 
 
 def tokenise(docs: DataFrame) -> DataFrame:
-    """Texts (doc_id, text, learn) in groups: ids, numbers of tokens, whether they are learnt from, and the hashes of all tokens."""
-    kinds = {"name": pa.int64(), "size": pa.int64(), "ids": pa.binary(), "lengths": pa.binary(), "learn": pa.binary(), "tokens": pa.binary()}
+    """Texts (doc_id, text, learn) in groups: ids, numbers of tokens, whether they are learnt from, and their hashes, as places in a list of those of the group."""
+    kinds = {"name": pa.int64(), "size": pa.int64(), "ids": pa.binary(), "lengths": pa.binary(), "learn": pa.binary(), "tokens": pa.binary(), "words": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, name = WordHasher(), TaskContext.get().partitionId() << 32
@@ -124,7 +126,8 @@ def tokenise(docs: DataFrame) -> DataFrame:
                 tokens = [np.append(hasher(t), np.uint64(END)) for t in texts]
                 lengths = np.array([len(t) for t in tokens], "<u4")
                 learn = b.column(2).slice(start, len(texts)).to_numpy(zero_copy_only=False).astype(np.uint8)
-                yield _batch(kinds, [(name, int(lengths.sum()), _nullable(b.column(0).slice(start, len(texts))), lengths.tobytes(), learn.tobytes(), np.concatenate(tokens).astype("<u8").tobytes())])
+                words, at = np.unique(np.concatenate(tokens), return_inverse=True)
+                yield _batch(kinds, [(name, int(lengths.sum()), _nullable(b.column(0).slice(start, len(texts))), lengths.tobytes(), learn.tobytes(), _packed(at.astype("<u4")), _packed(words.astype("<u8")))])
                 name += 1
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "learn").mapInArrow(run, TOKENS)
@@ -138,14 +141,18 @@ def _nullable(ids: pa.Array) -> bytes:
         return out.getvalue().to_pybytes()
 
 
+def _hashes(tokens: bytes, words: bytes) -> np.ndarray:
+    return _unpacked(words, "<u8")[_unpacked(tokens, "<u4")]
+
+
 def _learnt(tokens: DataFrame) -> DataFrame:
-    return tokens.select("lengths", "learn", "tokens")
+    return tokens.select("lengths", "learn", "tokens", "words")
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """The tokens of the texts of each group that are learnt from."""
-    for lengths, learn, tokens in _rows(batches):
-        yield np.frombuffer(tokens, "<u8")[np.repeat(np.frombuffer(learn, np.bool_), np.frombuffer(lengths, "<u4"))]
+    for lengths, learn, tokens, words in _rows(batches):
+        yield _hashes(tokens, words)[np.repeat(np.frombuffer(learn, np.bool_), np.frombuffer(lengths, "<u4"))]
 
 
 @dataclass(frozen=True)
@@ -299,7 +306,12 @@ class Vocabulary:
 
     def unpack(self, codes: bytes, rare: bytes, n: int) -> np.ndarray:
         """Hashes of sequences, a row a place in them."""
-        return np.concatenate([self.tokens, _unpacked(rare, "<u8")])[_unpacked(codes, "<u4").reshape(n, -1)]
+        code, known = _unpacked(codes, "<u4").reshape(n, -1), len(self.tokens)
+        out = self.tokens[np.minimum(code, known - 1)] if known else np.zeros(code.shape, np.uint64)
+        other = code >= known
+        if other.any():
+            out[other] = _unpacked(rare, "<u8")[code[other] - known]
+        return out
 
 
 def _keys(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,7 +371,8 @@ def _filter(keys: DataFrame, parts: int, widest: int = 29) -> Filter:
 
     bits = np.zeros(1 << (width - 3), np.uint8)
     blocks = keys.select("key", F.expr(f"shiftrightunsigned(key, {64 - width + 16})").alias("block")).repartition(min(parts, 1 << (width - 16)), "block").select("key")
-    for r in blocks.mapInArrow(run, "block bigint, bits binary").toLocalIterator():
+    # The blocks make up the filter: 64 MB at most reach the driver.
+    for r in blocks.mapInArrow(run, "block bigint, bits binary").collect():
         bits[r["block"] << 13 : (r["block"] + 1) << 13] |= np.frombuffer(r["bits"], np.uint8)
     return Filter(bits, width)
 
@@ -600,8 +613,8 @@ def _asked(tokens: DataFrame, shared, deal: Deal) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
-        for name, ids, lengths, packed in _rows(batches):
-            t, lengths = np.frombuffer(packed, "<u8"), np.frombuffer(lengths, "<u4").astype(np.int64)
+        for name, ids, lengths, packed, words in _rows(batches):
+            t, lengths = _hashes(packed, words), np.frombuffer(lengths, "<u4").astype(np.int64)
             own, docs = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
             ranks = tree.words.encode(t)
             known = ranks >= 0
@@ -630,7 +643,7 @@ def _asked(tokens: DataFrame, shared, deal: Deal) -> DataFrame:
                     rows.append((int(deal.labels[p]), name, kind, *tree.words.pack(t, ranks, places, n), _packed(own[places].astype("<u4")), bytes([n]), None, None))
             yield _batch(_PARTS, rows)
 
-    return tokens.select("name", "ids", "lengths", "tokens").mapInArrow(run, PARTS)
+    return tokens.select("name", "ids", "lengths", "tokens", "words").mapInArrow(run, PARTS)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
