@@ -2,8 +2,9 @@
 
 Tokens are words between ASCII white space, ASCII letters in lower case, and an
 end after the last; 64-bit hashes stand for them and for sequences of them.
-Texts are tokenised once, into a table of hashes that all passes read. Counts of
-single tokens cover the whole training corpus. Sequences of up to ``depth + 1``
+Texts are tokenised into a table of hashes that all passes of training read and
+that is deleted before texts are scored. Counts of single tokens cover the whole
+training corpus. Sequences of up to ``depth + 1``
 tokens are kept from ``least_count`` on, whatever the size of the corpus, and a
 context is one if what follows it diverges from what follows its suffix. Counts
 and weights stay distributed, dealt by hash, and are joined; what is broadcast
@@ -38,7 +39,7 @@ END = xxhash.xxh64_intdigest(b"\n")
 #: Counts are added up in memory and passed on at this many entries.
 FLUSH = 1 << 20
 #: Tokens a partition of the counts is made for, and how many partitions there are at most; counting holds a shard of one at a time.
-PER_PARTITION, MOST_PARTITIONS, PER_SHARD = 1 << 21, 20_000, 1 << 21
+PER_PARTITION, MOST_PARTITIONS, PER_SHARD = 1 << 22, 20_000, 1 << 21
 #: Frequent tokens and weights that are broadcast: at most 2 MB and 16 MB of hashes.
 VOCABULARY, CACHE = 1 << 17, 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -113,24 +114,30 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 TOKENS = "name bigint, size bigint, ids binary, lengths binary, learn binary, tokens binary, words binary"
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """ids, numbers of tokens and the hashes of all tokens of texts (doc_id, text), in groups."""
+    hasher = WordHasher()
+    for b in batches:
+        end = 0
+        for texts in groups(b):
+            start, end = end, end + len(texts)
+            tokens = [np.append(hasher(t), np.uint64(END)) for t in texts]
+            yield b.column(0).slice(start, len(texts)), np.array([len(t) for t in tokens]), np.concatenate(tokens)
+
+
+TOKENS = "size bigint, tokens binary, words binary"
+
+
 def tokenise(docs: DataFrame) -> DataFrame:
-    """Texts (doc_id, text, learn) in groups: ids, numbers of tokens, whether they are learnt from, and their hashes, as places in a list of those of the group."""
-    kinds = {"name": pa.int64(), "size": pa.int64(), "ids": pa.binary(), "lengths": pa.binary(), "learn": pa.binary(), "tokens": pa.binary(), "words": pa.binary()}
+    """Texts (doc_id, text) in groups: how many tokens, and their hashes, as places in a list of those of the group."""
+    kinds = {"size": pa.int64(), "tokens": pa.binary(), "words": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, name = WordHasher(), TaskContext.get().partitionId() << 32
-        for b in batches:
-            end = 0
-            for texts in groups(b):
-                start, end = end, end + len(texts)
-                tokens = [np.append(hasher(t), np.uint64(END)) for t in texts]
-                lengths = np.array([len(t) for t in tokens], "<u4")
-                learn = b.column(2).slice(start, len(texts)).to_numpy(zero_copy_only=False).astype(np.uint8)
-                words, at = np.unique(np.concatenate(tokens), return_inverse=True)
-                yield _batch(kinds, [(name, int(lengths.sum()), _nullable(b.column(0).slice(start, len(texts))), lengths.tobytes(), learn.tobytes(), _packed(at.astype("<u4")), _packed(words.astype("<u8")))])
-                name += 1
+        for _, _, tokens in _texts(batches):
+            words, at = np.unique(tokens, return_inverse=True)
+            yield _batch(kinds, [(len(tokens), _packed(at.astype("<u4")), _packed(words.astype("<u8")))])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "learn").mapInArrow(run, TOKENS)
+    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
 def _nullable(ids: pa.Array) -> bytes:
@@ -141,18 +148,10 @@ def _nullable(ids: pa.Array) -> bytes:
         return out.getvalue().to_pybytes()
 
 
-def _hashes(tokens: bytes, words: bytes) -> np.ndarray:
-    return _unpacked(words, "<u8")[_unpacked(tokens, "<u4")]
-
-
-def _learnt(tokens: DataFrame) -> DataFrame:
-    return tokens.select("lengths", "learn", "tokens", "words")
-
-
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The tokens of the texts of each group that are learnt from."""
-    for lengths, learn, tokens, words in _rows(batches):
-        yield _hashes(tokens, words)[np.repeat(np.frombuffer(learn, np.bool_), np.frombuffer(lengths, "<u4"))]
+    """The tokens of each group."""
+    for tokens, words in _rows(batches):
+        yield _unpacked(words, "<u8")[_unpacked(tokens, "<u4")]
 
 
 @dataclass(frozen=True)
@@ -246,7 +245,7 @@ def count_tokens(tokens: DataFrame, deal: Deal) -> DataFrame:
             adder.full(FLUSH // 4)
         yield from rows(*adder.take())
 
-    return deal.sent(_learnt(tokens).mapInArrow(count, COUNTED)).mapInArrow(merge, COUNTED)
+    return deal.sent(tokens.select("tokens", "words").mapInArrow(count, COUNTED)).mapInArrow(merge, COUNTED)
 
 
 def _cut(sizes: dict[int, int], most: int) -> int:
@@ -439,7 +438,7 @@ def count_sequences(tokens: DataFrame, level: int, held: Filter, words: Vocabula
             adder.full(FLUSH // 4)
         yield from kept()
 
-    counted = _learnt(tokens).mapInArrow(count, "place int, shard bigint, codes binary, rare binary, counts binary")
+    counted = tokens.select("tokens", "words").mapInArrow(count, "place int, shard bigint, codes binary, rare binary, counts binary")
     return deal.sent(counted).mapInArrow(merge, "key bigint, context bigint, parent bigint, n bigint")
 
 
@@ -483,6 +482,8 @@ def grow(tokens: DataFrame, singles: DataFrame, words: Vocabulary, tables: Table
             for i in range(0, len(k), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][some[i : i + (1 << 16)]]) for x in (k, n)], ["key", "n"])
 
+    spark = tokens.sparkSession
+    _free(spark)
     before = tables.save(singles.select("keys", "counts").mapInArrow(plain, "key bigint, n bigint").withColumn("p", (F.col("n") + 0.5) / (total + 0.5 * (kinds + 1))))
     pieces = before.limit(0).select("key", "n", F.lit(0.0).alias("w"))
     for level in range(1, depth + 1):
@@ -501,9 +502,16 @@ def grow(tokens: DataFrame, singles: DataFrame, words: Vocabulary, tables: Table
         before = tables.save(found.select("key", "n", "p", F.log10(F.col("p") / (F.col("left") * F.col("parent_p"))).alias("gain")))
         pieces = pieces.unionByName(before.where("gain IS NOT NULL").select("key", "n", F.col("gain").alias("w")))
         pieces = pieces.unionByName(contexts.select(F.col("context").alias("key"), F.col("often").alias("n"), F.log10("left").alias("w")))
+        del found, contexts
+        _free(spark)
     return tables.save(pieces.groupBy("key").agg(F.max("n").alias("n"), F.sum("w").alias("w")))
 
 
+def _free(spark) -> None:
+    """Shuffles of jobs that are done go from the disks when the driver collects what refers to them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def frequent_weights(weights: DataFrame, most: int = CACHE) -> tuple[Slots, DataFrame]:
     """A cache of at most ``most`` of the most frequent weights, and the table (key, w) of those that it doesn't hold."""
     level = F.floor(F.log2("n") * 8)
@@ -535,8 +543,8 @@ def score_texts(
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``, learnt from ``train``.
 
-    ``train`` is a table, or a condition on the rows of ``docs``, which are then
-    tokenised once; a condition that is null is false.
+    ``train`` is a table, or a condition on the rows of ``docs``; one that is null
+    is false.
 
     base_score is the sum of log10((c + 0.5) / (N + 0.5 * (V + 1))) over the
     tokens, with c a token's count in the texts of ``train``, N their tokens and V
@@ -553,21 +561,20 @@ def score_texts(
     """
     spark = docs.sparkSession
     tables = Tables(spark)
-    same = isinstance(train, Column)
-    tokens = tables.save(tokenise(docs.select("doc_id", "text", (F.coalesce(train, F.lit(False)) if same else F.lit(False)).alias("learn"))))
-    learnt = tokens if same else tables.save(tokenise(train.select("doc_id", "text", F.lit(True).alias("learn"))))
-    size = learnt.agg(F.sum("size")).first()[0] or 0
-    deal = Deal.of(size, partitions)
+    learnt = tables.save(tokenise(docs.where(train) if isinstance(train, Column) else train))
+    deal = Deal.of(learnt.agg(F.sum("size")).first()[0] or 0, partitions)
 
     singles = tables.save(count_tokens(learnt, deal))
     total, kinds = singles.select("counts").mapInArrow(_sums, "total bigint, kinds bigint").agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = total or 0, kinds or 0
     words = vocabulary(singles)
     weights = grow(learnt, singles, words, tables, deal, total=total, kinds=kinds, depth=depth, least_share=least_share, least_count=least_count, discount=discount, strictness=strictness)
+    tables.drop(learnt)
     cache, rest = frequent_weights(weights)
     rest = tables.save(rest)
     shared = spark.sparkContext.broadcast(Tree(words, cache, _filter(rest, deal.partitions), total, kinds, depth))
-    answers = _asked(tokens, shared, deal).unionByName(_kept(singles, TABLE)).unionByName(_kept(_dealt(rest, deal), WEIGHTS))
+    _free(spark)
+    answers = _asked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), shared, deal).unionByName(_kept(singles, TABLE)).unionByName(_kept(_dealt(rest, deal), WEIGHTS))
     answers = answers.repartition(deal.partitions, "place").sortWithinPartitions("kind").mapInArrow(lambda b: _looked_up(b, shared.value), PARTS)
     merged = answers.repartition(deal.partitions, "name").sortWithinPartitions("name", "kind")
     return merged.mapInArrow(lambda b: _merged(b, total), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
@@ -608,13 +615,12 @@ def _dealt(weights: DataFrame, deal: Deal) -> DataFrame:
     return weights.select("key", "w").mapInArrow(run, COUNTED)
 
 
-def _asked(tokens: DataFrame, shared, deal: Deal) -> DataFrame:
+def _asked(docs: DataFrame, shared, deal: Deal) -> DataFrame:
     """What each task knows of its texts, and what it asks other partitions for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
-        for name, ids, lengths, packed, words in _rows(batches):
-            t, lengths = _hashes(packed, words), np.frombuffer(lengths, "<u4").astype(np.int64)
+        for name, (ids, lengths, t) in enumerate(_texts(batches), TaskContext.get().partitionId() << 32):
             own, docs = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
             ranks = tree.words.encode(t)
             known = ranks >= 0
@@ -634,7 +640,7 @@ def _asked(tokens: DataFrame, shared, deal: Deal) -> DataFrame:
                 at = at[tree.rest(keys[at])]
                 asks.append((ASKED, n, at, keys[at]))
             columns = (lengths.astype("<i8"), sums(own, known).astype("<i8"), base, score)
-            rows = [(int(deal.labels[name % deal.partitions]), name, TEXTS, ids, *(c.tobytes() for c in columns), None)]
+            rows = [(int(deal.labels[name % deal.partitions]), name, TEXTS, _nullable(ids), *(c.tobytes() for c in columns), None)]
             for kind, n, at, keys in asks:
                 part = _part(keys, deal.partitions)
                 order = np.argsort(part, kind="stable")
@@ -643,7 +649,7 @@ def _asked(tokens: DataFrame, shared, deal: Deal) -> DataFrame:
                     rows.append((int(deal.labels[p]), name, kind, *tree.words.pack(t, ranks, places, n), _packed(own[places].astype("<u4")), bytes([n]), None, None))
             yield _batch(_PARTS, rows)
 
-    return tokens.select("name", "ids", "lengths", "tokens", "words").mapInArrow(run, PARTS)
+    return docs.mapInArrow(run, PARTS)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -654,11 +660,37 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+#: Sequences looked up at a time.
+AT_ONCE = 1 << 18
+
+
 def _looked_up(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.RecordBatch]:
     """A partition's counts and weights, then the sequences that ask for them; gives sums by text."""
     held: dict[int, list] = {TABLE: [], WEIGHTS: []}
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     value: Callable[[bytes, int], np.ndarray] = lambda data, kind: _unpacked(data, "<i8" if kind == TABLE else "<f8")
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    names: dict[int, int] = {}
+    asks = 0
+
+    def answered(kind: int, place: int) -> pa.RecordBatch | None:
+        keys, own = map(np.concatenate, zip(*waiting, strict=True))
+        table, values = tables[TABLE if kind == QUERY else WEIGHTS]
+        at = _find(table, keys)
+        if kind == ASKED:
+            own, at = own[at >= 0], at[at >= 0]
+        got = np.where(at >= 0, values[at], 0) if len(values) else np.zeros(len(at))
+        texts, where = np.unique(own, return_inverse=True)
+        score = np.bincount(where, weights=np.log10(tree.p0(got)) if kind == QUERY else got)
+        known = np.bincount(where, weights=at >= 0).astype("<u4")
+        order = list(names)
+        rows = [
+            (place, order[n], ANSWER, _packed((texts[some] & 0xFFFFFFFF).astype("<u4")), score[some].astype("<f8").tobytes(), _packed(known[some]) if kind == QUERY else None, None, None, None)
+            for n, some in _edges(texts >> 32)
+        ]
+        return _batch(_PARTS, rows) if rows else None
+
+    last = None
     for place, name, kind, a, b, c, d, e, f in _rows(batches):
         if kind in held:
             held[kind].append((_unpacked(a, "<u8"), value(b, kind)))
@@ -669,23 +701,20 @@ def _looked_up(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Rec
                 order = np.argsort(keys)
                 tables[k] = keys[order], values[order]
             held = {TABLE: [], WEIGHTS: []}
+        if waiting and (kind != last or asks >= AT_ONCE):
+            if (out := answered(last, place)) is not None:
+                yield out
+            waiting, names, asks = [], {}, 0
+        last = kind
         if kind == TEXTS:
             yield _batch(_PARTS, [(place, name, TEXTS, a, b, c, d, e, f)])
             continue
         n = d[0]
-        sequences, own = tree.words.unpack(a, b, n), _unpacked(c, "<u4")
-        keys = sequences[0] if n == 1 else _keys(sequences)[0]
-        table, values = tables[TABLE if kind == QUERY else WEIGHTS]
-        at = _find(table, keys)
-        if kind == ASKED:
-            own, at = own[at >= 0], at[at >= 0]
-            if not len(at):
-                continue
-        got = np.where(at >= 0, values[at], 0) if len(values) else np.zeros(len(at))
-        texts, where = np.unique(own, return_inverse=True)
-        score = np.bincount(where, weights=np.log10(tree.p0(got)) if kind == QUERY else got)
-        known = _packed(np.bincount(where, weights=at >= 0).astype("<u4")) if kind == QUERY else None
-        yield _batch(_PARTS, [(place, name, ANSWER, _packed(texts.astype("<u4")), score.astype("<f8").tobytes(), known, None, None, None)])
+        sequences = tree.words.unpack(a, b, n)
+        waiting.append((sequences[0] if n == 1 else _keys(sequences)[0], _unpacked(c, "<u4").astype(np.int64) + (names.setdefault(name, len(names)) << 32)))
+        asks += len(waiting[-1][0])
+    if waiting and (out := answered(last, place)) is not None:
+        yield out
 
 
 def _merged(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
