@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import Window
@@ -22,18 +23,20 @@ W = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationship
 
 
 def built(df, key, make):
-    """(path, content): a package of each key, made of its rows."""
+    """(path, content): a package of each key, made of its rows, sorted by their other columns."""
+    rest = [c for c in df.columns if c != key]
+    lists = df.groupBy(F.col(key).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("rows"))
 
-    def run(k, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"path": [str(k[0])], "content": [packages.zipped(make(b))]})
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "content": [packages.zipped(make([SimpleNamespace(**r) for r in rows])) for rows in b["rows"]]})
 
-    return df.groupBy(key).applyInPandas(run, "path string, content binary")
+    return lists.mapInPandas(run, "path string, content binary")
 
 
-def workbook(b: pd.DataFrame) -> dict[str, str]:
-    b = b.sort_values(["row"])
+def workbook(b: list) -> dict[str, str]:
     cell = lambda r: f'<c r="B{r.row}" t="str">' + (f"<f>{r.formula[1:]}</f>" if r.formula else "") + f"<v>{r.value}</v></c>"
-    rows = "".join(f'<row r="{r.row}">{cell(r)}</row>' for r in b.itertuples())
+    rows = "".join(f'<row r="{r.row}">{cell(r)}</row>' for r in b)
     return {
         "xl/workbook.xml": f'<workbook {W}><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
         "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{rows}</sheetData></worksheet>",
@@ -45,23 +48,22 @@ XL = "SELECT sheet AS path, 'S' AS sheet, concat('B', row) AS ref, value, ltrim(
 
 @query("src33_spreadsheet_scan", XL, python=True)
 def _(cells_before):
-    return packages.read(built(cells_before, "sheet", workbook), packages.cells, packages.CELLS).select("path", "sheet", "ref", "value", "formula")
+    return packages.read(built(cells_before.select("sheet", "row", "value", "formula"), "sheet", workbook), packages.cells, packages.CELLS).select("path", "sheet", "ref", "value", "formula")
 
 
 @query("src34_sheet_scan", "SELECT sheet AS path, count(*) AS cells, count(*) FILTER (formula <> '') AS formulas FROM cells_before GROUP BY sheet", python=True)
 def _(cells_before):
-    c = packages.read(built(cells_before, "sheet", workbook), packages.cells, packages.CELLS)
+    c = packages.read(built(cells_before.select("sheet", "row", "value", "formula"), "sheet", workbook), packages.cells, packages.CELLS)
     return c.groupBy("path").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("formula") != "").alias("formulas"))
 
 
 @query("src32_package_open", "SELECT CAST(sheet AS VARCHAR) AS path, unnest(['xl/workbook.xml', 'xl/_rels/workbook.xml.rels', 'xl/worksheets/sheet1.xml']) AS name, 'plain' AS class FROM (SELECT DISTINCT sheet FROM cells_before)", python=True)
 def _(cells_before):
-    return packages.read(built(cells_before, "sheet", workbook), packages.parts, packages.PARTS).select("path", "name", "class")
+    return packages.read(built(cells_before.select("sheet", "row", "value", "formula"), "sheet", workbook), packages.parts, packages.PARTS).select("path", "name", "class")
 
 
-def letter(b: pd.DataFrame) -> dict[str, str]:
-    b = b.sort_values(["turn"])
-    return {"word/document.xml": "<document><body>" + "".join(f"<p><r><t>turn {r.turn}</t></r><r><t> by {r.role}</t></r></p><p/>" for r in b.itertuples()) + "</body></document>"}
+def letter(b: list) -> dict[str, str]:
+    return {"word/document.xml": "<document><body>" + "".join(f"<p><r><t>turn {r.turn}</t></r><r><t> by {r.role}</t></r></p><p/>" for r in b) + "</body></document>"}
 
 
 @query("src35_document_scan", "SELECT CAST(conv_id AS VARCHAR) AS path, 'document' AS section, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, concat('turn ', turn, ' by ', role) AS text FROM conversations", python=True)
@@ -69,13 +71,12 @@ def _(conversations):
     return packages.read(built(conversations.select("conv_id", "turn", "role"), "conv_id", letter), packages.paragraphs, packages.PARAGRAPHS).drop("error")
 
 
-def show(b: pd.DataFrame) -> dict[str, str]:
-    b = b.sort_values(["turn"]).reset_index(drop=True)
+def show(b: list) -> dict[str, str]:
     out = {
-        "ppt/presentation.xml": f"<presentation {W}><sldIdLst>" + "".join(f'<sldId id="{256 + i}" r:id="s{i}"/>' for i in b.index) + "</sldIdLst></presentation>",
-        "ppt/_rels/presentation.xml.rels": "<Relationships>" + "".join(f'<Relationship Id="s{i}" Target="slides/slide{i}.xml"/>' for i in b.index) + "</Relationships>",
+        "ppt/presentation.xml": f"<presentation {W}><sldIdLst>" + "".join(f'<sldId id="{256 + i}" r:id="s{i}"/>' for i in range(len(b))) + "</sldIdLst></presentation>",
+        "ppt/_rels/presentation.xml.rels": "<Relationships>" + "".join(f'<Relationship Id="s{i}" Target="slides/slide{i}.xml"/>' for i in range(len(b))) + "</Relationships>",
     }
-    return out | {f"ppt/slides/slide{i}.xml": f'<sld show="{int(r.turn % 2 == 0)}"><p><t>{r.role} {r.turn}</t></p></sld>' for i, r in zip(b.index, b.itertuples(), strict=True)}
+    return out | {f"ppt/slides/slide{i}.xml": f'<sld show="{int(r.turn % 2 == 0)}"><p><t>{r.role} {r.turn}</t></p></sld>' for i, r in enumerate(b)}
 
 
 @query("src36_slide_scan", "SELECT CAST(conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, turn % 2 <> 0 AS hidden, concat(role, ' ', turn) AS text FROM conversations", python=True)
