@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veridelta.session import ship
 
-from . import decontamination, exact_dedup, language_id, license_scan, near_dedup, packing, quality, suffix_tree, token_counts, toxicity
+from . import centroid_clustering, chat_format, decontamination, exact_dedup, language_id, license_scan, near_dedup, packing, quality, suffix_tree, token_counts, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,25 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
 
 
+#: A conversation of texts that look like control strings, beside the table's.
+PLANTED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(PLANTED, "conv_id bigint, turn bigint, role string, text string"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chat_format.read_back(chat_format.format_conversations(turns, path), path)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, dims=64, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_decontamination,
@@ -84,6 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_language_id,
         op9_token_counts,
         op10_suffix_tree,
+        op11_chat_format,
+        op12_centroid_clustering,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in ops}
 
@@ -127,5 +149,63 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_bas
 """
 
 
+def op11_sql() -> str:
+    """Turns in order, and lengths by the rule of escaping: a character more for each backslash and each control string."""
+    marks = chat_format.Template().marks()
+    controls = [*marks, "<|endoftext|>"]
+    longer = lambda c: f"len({c}) + len({c}) - len(replace({c}, '\\', ''))" + "".join(f" + (len({c}) - len(replace({c}, '{x}', ''))) // {len(x)}" for x in controls)
+    planted = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in PLANTED)
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {planted}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum({sum(map(len, marks))} + {longer("role")} + {longer("text")}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+_WHOLE = "SELECT *, list_transform(embedding, lambda x: CAST(least(greatest(floor(256 * CAST(x AS DOUBLE)), -134217728), 134217728) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64"
+
+
+def op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds, one after another."""
+    out = [
+        f"w AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, v FROM ({_WHOLE}))",
+        "x AS MATERIALIZED (SELECT rid, unnest(range(1, 65)) AS pos, unnest(v) AS val FROM w)",
+        f"s AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS j, v FROM w QUALIFY j < {k})",
+        "c0 AS MATERIALIZED (SELECT j, unnest(range(1, 65)) AS pos, unnest(v) AS val FROM s)",
+    ]
+    for r in range(rounds + 1):
+        out.append(f"d{r} AS (SELECT rid, j, sum((x.val - c.val) * (x.val - c.val)) AS d FROM x JOIN c{r} c USING (pos) GROUP BY rid, j)")
+        out.append(f"a{r} AS MATERIALIZED (SELECT rid, j, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, j) = 1)")
+        if r < rounds:
+            out.append(f"m{r} AS (SELECT j, pos, CAST(floor(sum(val) / count(*)) AS BIGINT) AS val FROM x JOIN a{r} USING (rid) GROUP BY j, pos)")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT c.j, c.pos, coalesce(m.val, c.val) AS val FROM c{r} c LEFT JOIN m{r} m USING (j, pos))")
+    return f"""WITH {", ".join(out)}, h AS (SELECT j, sha256(string_agg(val, ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN w USING (rid) JOIN h USING (j)"""
+
+
+def op13_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The same of each part."""
+    width = 64 // parts
+    out = [
+        f"w AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, v FROM ({_WHOLE}))",
+        f"x AS MATERIALIZED (SELECT rid, i // {width} AS p, i % {width} AS pos, val FROM (SELECT rid, unnest(range(0, 64)) AS i, unnest(v) AS val FROM w))",
+        f"s AS (SELECT row_number() OVER (ORDER BY vec_id, v) - 1 AS j, rid FROM w WHERE vec_id IS NOT NULL QUALIFY j < {entries})",
+        "c0 AS MATERIALIZED (SELECT p, j, pos, val FROM x JOIN s USING (rid))",
+    ]
+    for r in range(rounds + 1):
+        out.append(f"d{r} AS (SELECT rid, p, j, sum((x.val - c.val) * (x.val - c.val)) AS d FROM x JOIN c{r} c USING (p, pos) GROUP BY rid, p, j)")
+        out.append(f"a{r} AS MATERIALIZED (SELECT rid, p, j, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid, p ORDER BY d, j) = 1)")
+        if r < rounds:
+            out.append(f"m{r} AS (SELECT p, j, pos, CAST(floor(sum(val) / count(*)) AS BIGINT) AS val FROM x JOIN a{r} USING (rid, p) GROUP BY p, j, pos)")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT c.p, c.j, c.pos, coalesce(m.val, c.val) AS val FROM c{r} c LEFT JOIN m{r} m USING (p, j, pos))")
+    return f"""WITH {", ".join(out)}, e AS (SELECT rid, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(val, ',' ORDER BY p, j, pos)) FROM c{rounds}) AS codebooks_sha256
+FROM e JOIN w USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_license_scan": op4_sql(), "op7_near_dedup": OP7_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_license_scan": op4_sql(), "op7_near_dedup": OP7_SQL, "op11_chat_format": op11_sql(), "op12_centroid_clustering": op12_sql(), "op13_vector_codes": op13_sql()}
