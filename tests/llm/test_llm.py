@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -102,6 +103,16 @@ def test_packing_keeps_every_id_once(odd, none, docs):
     assert packing.pack_documents(none, WORD).count() == 0
 
 
+def test_packing_takes_linear_time():
+    def took(n):
+        packer, ids, start = packing.TierPacker((256, 512, 1024, 2048), 1 << 18, 1 << 15, 0), bytes(4 * n), time.process_time()
+        assert sum(r[2] for r in [*packer.add(1, ids), *packer.end()]) == n
+        return time.process_time() - start
+
+    took(1 << 18)
+    assert took(8 << 20) < 20 * max(took(1 << 20), 0.01)  # eight times the tokens
+
+
 def test_word_ids_equal_the_library():
     from tokenizers import Tokenizer
 

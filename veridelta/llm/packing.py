@@ -74,9 +74,11 @@ def word_ids(path: str) -> WordIds:
 
 
 class _Piece:
+    """A run of a document's ids, as a view of its bytes, so that cutting copies nothing."""
+
     __slots__ = ("doc_id", "doc_tokens", "ids", "start")
 
-    def __init__(self, doc_id, start: int, ids: bytes, doc_tokens: int):
+    def __init__(self, doc_id, start: int, ids: bytes | memoryview, doc_tokens: int):
         self.doc_id, self.start, self.ids, self.doc_tokens = doc_id, start, ids, doc_tokens
 
     def __len__(self) -> int:
@@ -106,7 +108,7 @@ class TierPacker:
 
     def add(self, doc_id, ids: bytes) -> Iterator[tuple]:
         top, n = self.tiers[-1], len(ids) // 4
-        rest = _Piece(doc_id, 0, ids, n)
+        rest = _Piece(doc_id, 0, memoryview(ids), n)
         while len(rest) >= top:
             full, rest = rest.cut(top)
             yield from self._emit([full], top)
@@ -123,6 +125,7 @@ class TierPacker:
 
     def _queue(self, piece: _Piece) -> None:
         if len(piece):
+            piece.ids = bytes(piece.ids)  # what waits doesn't hold a whole document
             self.wait[next(t for t in self.tiers if len(piece) <= t)].append(piece)
             self.held += len(piece)
 
@@ -217,10 +220,11 @@ def pack_documents(
         rows: list[tuple] = []
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), column(b, "text"), strict=True):
-                rows.extend(packer.add(doc_id, encode(text) + end))
-                if len(rows) >= 2000:
-                    yield batch(rows)
-                    rows = []
+                for row in packer.add(doc_id, encode(text) + end):
+                    rows.append(row)
+                    if len(rows) >= 2000:
+                        yield batch(rows)
+                        rows = []
         rows.extend(packer.end())
         if rows:
             yield batch(rows)
