@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,6 +16,26 @@ from ._text import ALNUM, WordHasher, column, mix, seeds
 
 #: Of the words under a mask those at a 1 are hashed and those at a 0 ignored.
 MASKS = ("110101", "11001011", "1010011001")
+#: Items of fewer than ``LIGHT_WORDS`` words have masks of less weight too. Of items of 5 to 11 words
+#: with four words in five kept one of them always hits; of longer ones with three in five nearly always.
+LIGHT, LIGHT_WORDS = ("111", "1101"), 24
+#: Items of fewer words have a mask of all their words, so they are found as they are.
+LEAST_WORDS = 5
+#: Items of fewer words are held from ``window_similarity`` on.
+SHORT_WORDS = 12
+_LONGEST = max(map(len, MASKS))
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks under which an item of ``n`` words is indexed."""
+    if n < LEAST_WORDS:
+        return ("1" * n,)
+    return LIGHT + MASKS if n < LIGHT_WORDS else MASKS
+
+
+def _masks(sizes: Iterable[int]) -> list[str]:
+    """The masks that items of these numbers of words need."""
+    return sorted({m for n in sizes if n for m in masks_of(n)})
 SCHEMA = "doc_id bigint, item_id bigint, doc_start bigint, item_words bigint, matched bigint, similarity double"
 
 
@@ -38,12 +58,12 @@ class Index:
         hasher = WordHasher(ALNUM)
         self.min_similarity, self.window, self.window_similarity, self.slip = min_similarity, window, window_similarity, slip
         self.items = [(i, w) for i, text in items if len(w := hasher((text or "").encode()))]
-        longest = max(map(len, MASKS))
-        self.masks = [*MASKS, *("1" * n for n in sorted({len(w) for _, w in self.items if len(w) < longest}))]
-        self.factors = [seeds(longest, f"mask {m}") for m in self.masks]
+        self.need = [(max(min_similarity, window_similarity) if len(w) < SHORT_WORDS else min_similarity) * len(w) - 1e-9 for _, w in self.items]
+        self.masks = _masks(len(w) for _, w in self.items)
+        self.factors = [seeds(_LONGEST, f"mask {m}") for m in self.masks]
         self.tables = []
         for mask, factors in zip(self.masks, self.factors, strict=True):
-            at = [(h, k, p) for k, (_, w) in enumerate(self.items) if len(mask) in (len(w), *map(len, MASKS)) for p, h in enumerate(_seeded(w, mask, factors))]
+            at = [(h, k, p) for k, (_, w) in enumerate(self.items) if mask in masks_of(len(w)) for p, h in enumerate(_seeded(w, mask, factors))]
             hashes = np.array([a[0] for a in at], np.uint64)
             order = np.argsort(hashes, kind="stable")
             present = np.zeros(1 << 16, bool)
@@ -83,7 +103,7 @@ class Index:
                 lo, hi = np.searchsorted(diagonals, diagonals[a] - self.slip), np.searchsorted(diagonals, diagonals[b - 1] + self.slip, "right")
                 m = self._laid(words, item, diagonals[lo:hi])[a - lo : b - lo]
                 got = m.sum(axis=1)
-                held = got >= self.min_similarity * len(item) - 1e-9
+                held = got >= self.need[k]
                 if len(item) > self.window:
                     sums = np.cumsum(np.pad(m, ((0, 0), (1, 0))), axis=1)
                     held |= (sums[:, self.window :] - sums[:, : -self.window]).max(axis=1) >= self.window_similarity * self.window - 1e-9
@@ -119,15 +139,17 @@ class Index:
 MOST_HITS, MOST_CELLS = 1 << 20, 1 << 20
 
 
-def _hashes(texts: DataFrame, masks: tuple[str, ...], keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(key, hash) of the distinct seed hashes under all masks of texts (key, text); with ``keep``, those of which it holds."""
+def _hashes(texts: DataFrame, masks: list[str] | None = None, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(key, hash) of the distinct seed hashes of texts (key, text), under ``masks`` or else those of items of their length; with ``keep``, those of which it holds."""
+
+    factors = {m: seeds(_LONGEST, f"mask {m}") for m in _masks(range(LIGHT_WORDS + 1))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ALNUM)
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), column(b), strict=True):
                 words = hasher(text)
-                h = np.unique(np.concatenate([_seeded(words, m, seeds(max(map(len, masks)), f"mask {m}")) for m in masks]))
+                h = np.unique(np.concatenate([words[:0], *(_seeded(words, m, factors[m]) for m in (masks_of(len(words)) if masks is None else masks) if m)]))
                 h = h if keep is None else h[keep(h)]
                 if len(h):
                     yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), pa.int64()), pa.array(h.view(np.int64))], ["key", "hash"])
@@ -135,11 +157,11 @@ def _hashes(texts: DataFrame, masks: tuple[str, ...], keep: Callable[[np.ndarray
     return texts.select("key", "text").mapInArrow(run, "key bigint, hash bigint")
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of words below the longest mask's that texts have."""
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of words of texts, those from ``LIGHT_WORDS`` on as one."""
     for b in batches:
-        n = {len(text.translate(ALNUM).split()) for text in column(b)}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(k for k in n if 0 < k < max(map(len, MASKS))), pa.int32())], ["n"])
+        n = {min(LIGHT_WORDS, len(text.translate(ALNUM).split())) for text in column(b)}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(n), pa.int32())], ["n"])
 
 
 def _meeting(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,10 +172,8 @@ def _meeting(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     tables = Tables(docs.sparkSession)
     key = F.xxhash64("text")
-    # Items too short for a mask have one of their own, of all their words.
-    short = sorted(r[0] for r in items.select("text").mapInArrow(_short, "n int").distinct().collect())
-    masks = (*MASKS, *("1" * n for n in short))
-    own = tables.save(_hashes(items.select(key.alias("key"), "text").distinct(), masks))
+    masks = _masks(r[0] for r in items.select("text").mapInArrow(_sizes, "n int").distinct().collect())
+    own = tables.save(_hashes(items.select(key.alias("key"), "text").distinct()))
     bits = np.zeros(1 << 23, np.uint8)
     block = F.expr("cast(shiftrightunsigned(hash, 51) as int)")
     for r in own.select(block.alias("b"), F.expr("cast(shiftrightunsigned(hash, 38) & 8191 as int)").alias("at")).distinct().groupBy("b").agg(F.collect_set("at").alias("at")).toLocalIterator():
@@ -193,7 +213,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, min_similarity:
     Words are runs of letters and digits, ASCII letters in lower case. An item is
     held if at least ``min_similarity`` of its words stand in the document in
     their order and distance, or ``window_similarity`` of some ``window`` of its
-    words in a row, a part of a long item.
+    words in a row, a part of a long item. An item of fewer than ``SHORT_WORDS``
+    words is held from ``window_similarity`` on, since a few common words in
+    place mean little; one of fewer than ``LEAST_WORDS`` if all of it is there.
     Words that differ are ignored by the masks; words put in or left out are
     bridged where both parts were hit, at most ``slip`` words apart.
 
