@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridelta.functions import paths, text
-from veridelta.operators import core, coverage, documents, fuzz, graph, mutation, observe, report, sequences
+from veridelta.operators import core, coverage, documents, fuzz, graph, mutation, observe, report, sequences, weakening
 from veridelta.sources import lines
 from veridelta.streaming import limiter, replay
 
@@ -242,3 +242,48 @@ def test_a_whole_file_of_many_lines_is_one_range(spark):
     rows = [("a", 1, 10**12, 2), ("a", 5 * 10**11, 5 * 10**11, 1)]
     got = core.owners(make(spark, rows, "k string, start bigint, end bigint, rank int"), ["k"]).orderBy("start").collect()
     assert [(r.start, r.end, r["rank"]) for r in got] == [(1, 5 * 10**11 - 1, 2), (5 * 10**11, 5 * 10**11, 1), (5 * 10**11 + 1, 10**12, 2)]
+
+
+def hunks(path, *groups):
+    """Lines of a diff: each group a hunk of lines that begin with +, - or a space."""
+    rows, at = [], 0
+    for n, group in enumerate(groups):
+        for text in group:
+            at += 1
+            rows.append((path, n, at, {"+": "add", "-": "delete", " ": "context"}[text[0]], at, text[1:]))
+    return rows
+
+
+WEAKER = [
+    ("a_test.go", [["-if n := Len(); n != 4 {", "+if n := Len(); n > 3 {"]], [("test_expectation_relaxed", 2)]),
+    ("a_test.go", [["-if err == nil {", "+if Len() >= 1 {"]], []),  # nothing is no exact value
+    ("a_test.go", [["-if v == w {", "+if <-c && v>>2 {"]], []),  # no orderings
+    ("a_test.go", [["-require.Equal(t, 1, n)", " x", "+\trequire.Equal(t, 1, n)"]], []),
+    ("a_test.go", [["-func TestOne(t *testing.T) {", "-\tt.Fatal()", "-}"]], [("test_assertion_removed", 2), ("test_case_removed", 1)]),
+    ("a_test.go", [["+\tt.SkipNow()"], ["-t.SkipNow()", "+t.SkipNow()"]], [("test_skip_added", 3)]),  # two added, the first made up for
+    ("w/a.spec.tsx", [["+context.only('a')", "+m.fit(1)", "+  fdescribe('b')"]], [("test_focus_added", 1), ("test_focus_added", 3)]),
+    ("w/a.spec.tsx", [["-expect(f).toThrow(E)", "+expect(f).toThrow()"], ["-expect(a).toBe(1)"], ["+expect(a).toMatch(/1/)"]], [("test_expectation_relaxed", 2)]),  # only inside a hunk
+    ("tests/test_a.py", [["-assert a == 1", "+assert a is not None"], ["+@pytest.mark.xfail"]], [("test_expectation_relaxed", 2), ("test_skip_added", 3)]),
+    ("tests/a.rs", [["+#[ignore]", "-assert_eq!(a, 1);", "+assert!(a.is_ok());"]], [("test_expectation_relaxed", 3), ("test_skip_added", 1)]),
+    ("src/a.go", [["-require.Equal(t, 1, n)"]], []),
+    ("ATest.java", [["-assertEquals(1, n);"]], []),
+]
+
+
+def test_weaker_tests(spark):
+    rows = [r for n, (path, groups, _) in enumerate(WEAKER) for r in hunks(f"c{n}/{path}", *groups)]
+    got = weakening.signals(make(spark, rows, "path string, hunk int, pos int, kind string, line int, content string")).collect()
+    assert sorted((r.path, r.kind, r.line) for r in got) == sorted((f"c{n}/{path}", *x) for n, (path, _, want) in enumerate(WEAKER) for x in want)
+    assert {r.severity for r in got if r.kind == "test_focus_added"} == {"high"}
+
+
+def test_weaker_tests_are_capped_and_quoted(spark):
+    rows = hunks("a_test.go", [f"+t.Skip({n})" for n in range(13)]) + hunks("a.test.js", [f"+it.only({n})" for n in range(7)], *[["-expect(a).toBe(1)", "+expect(a).toBeFalsy()"] for _ in range(12)])
+    rows += hunks("b_test.go", ["+t.Skip(" + "ü" * 300])
+    got = weakening.signals(make(spark, rows, "path string, hunk int, pos int, kind string, line int, content string")).collect()
+    by = {(p, k): sorted((r for r in got if (r.path, r.kind) == (p, k)), key=lambda r: r.line) for p, k in {(r.path, r.kind) for r in got}}
+    assert {k: len(v) for k, v in by.items()} == {("a_test.go", "test_skip_added"): 10, ("a.test.js", "test_focus_added"): 5, ("a.test.js", "test_expectation_relaxed"): 10, ("b_test.go", "test_skip_added"): 1}
+    assert by["a_test.go", "test_skip_added"][-1].evidence.endswith("3 more in this file")
+    long = by["b_test.go", "test_skip_added"][0].evidence
+    assert long.endswith("ü…")
+    assert len(long.encode()) < 260

@@ -1,4 +1,4 @@
-"""Line rules: weakened tests, branch growth, and what they add up to."""
+"""Line rules: moved lines, branch growth, and what they add up to."""
 
 from __future__ import annotations
 
@@ -34,14 +34,6 @@ def unmoved(diff: DataFrame) -> DataFrame:
     return gone.join(back, ["path", "content", "n"], "left_anti")
 
 
-def weakened_tests(diff: DataFrame) -> DataFrame:
-    """Files with more assertions removed than added, once moved lines are out: path, removed, added."""
-    gone = unmoved(diff).where(F.col("content").rlike(ASSERTION)).groupBy("path").agg(F.count(F.lit(1)).alias("removed"))
-    flip = diff.withColumn("kind", F.when(F.col("kind") == "add", "delete").when(F.col("kind") == "delete", "add").otherwise("context"))
-    new = unmoved(flip).where(F.col("content").rlike(ASSERTION)).groupBy("path").agg(F.count(F.lit(1)).alias("added"))
-    return gone.join(new, "path", "left").select("path", "removed", F.coalesce("added", F.lit(0)).alias("added")).where("removed > added")
-
-
 def first_match(diff: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Of each file and rule: the first changed line that matches, and whether lines were added, removed or both."""
     hits = F.filter(F.array(*(F.when(F.col("content").rlike(p), F.lit(k)) for k, p in rules.items())), lambda h: h.isNotNull())
@@ -78,12 +70,6 @@ def function_risk(name: Column) -> Column:
     return F.when(n.rlike("(?i)(authori[sz]|authenticat|password|login|logout|csrf|permission)"), "auth").when(n.rlike("(?i)(payment|refund|charge|withdraw|deposit|balance)"), "money").otherwise("none")
 
 
-def strictness(line: Column) -> Column:
-    """strict, loose, both or none: how exactly an expectation is put."""
-    s, w = line.rlike(r"(==|toBe\(|assertEqual|toEqual)"), line.rlike(r"(>=|<=|<|>|toBeTruthy|assertTrue|contains)")
-    return F.when(s & w, "both").when(s, "strict").when(w, "loose").otherwise("none")
-
-
 def comparisons(line: Column) -> Column:
     """Whether a line has an equality with something but null, and whether it has an ordering; shifts and arrows aren't any."""
     bare = F.regexp_replace(F.regexp_replace(line, r"<<|>>|->|=>|<-", " "), r"[!=]=\s*(nil|null|None)\b", " ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridelta.functions import paths as p
-from veridelta.operators import mutation, plan, rules, security
+from veridelta.operators import mutation, plan, rules, security, weakening
 from veridelta.registry import query
 
 #: A line of each family of rules, and lines that only look like it, put together from parts so that no scanner takes this file for a leak.
@@ -101,9 +101,65 @@ def _(events):
     return events.select(name.alias("name"), rules.function_risk(name).alias("risk")).distinct()
 
 
-@query("sca13_strictness", "SELECT DISTINCT content, CASE WHEN s AND w THEN 'both' WHEN s THEN 'strict' WHEN w THEN 'loose' ELSE 'none' END AS strictness FROM (SELECT content, regexp_matches(content, '(==|toBe\\(|assertEqual|toEqual)') AS s, regexp_matches(content, '(>=|<=|<|>|toBeTruthy|assertTrue|contains)') AS w FROM diff_lines)")
-def _(diff_lines):
-    return diff_lines.select("content", rules.strictness(F.col("content")).alias("strictness")).distinct()
+#: Lines of tests in four languages, and lines that only look like them.
+EDITS = {
+    "pkg/c{}_test.go": (
+        "\tif sum := Add(2, 5); sum != 7 {", "\tif sum := Add(2, 5); sum < 9 {", "\tif failure != nil {", "\tif <-ready && width<<2 {", '\t\tt.Errorf("sum is %d", sum)', '\t\tt.Log("sum", sum)', "func TestAdds(t *testing.T) {", "func helper(n int) int {",
+        '\tt.Skip("needs a disk")', '\t\tt.Skip("needs a disk")', "\trequire.Equal(t, 7, Add(2, 5))", "\trequire.NotNil(t, Add(2, 5))", "\treturn width", "\t} else if a.Len() == nil || b == 4 {", "\tassert.Len(t, rows, 3)",
+    ),
+    "web/c{}.test.ts": (
+        "  expect(area(3)).toBe(9);", "  expect(area(3)).toBeGreaterThanOrEqual(1);", "  expect(area(3)).toBeTruthy();", '  it("squares", () => {', '  it.skip("squares", () => {', '  xdescribe("shapes", () => {', '  describe.only("shapes", () => {', '  fit("one", () => {',
+        "  pipe.fit(rows);", "  expect(() => area()).toThrow();", "  expect(() => area()).toThrow(RangeError);", "  assert.deepEqual(rows, [1]);", "  assert(rows);", "  const rows = area(3);", "  expect(run).not.toBeNull();", '  test.todo("later");',
+    ),
+    "tests/test_c{}.py": (
+        "def test_area():", "async def test_later(self):", "def area(n):", "    assert area(3) == 9", "    assert area(3) > 1", "    assert area(3) is not None", "    assert rows == None", "    self.assertEqual(area(3), 9)", "    self.assertTrue(area(3))",
+        "    with pytest.raises(ValueError):", '@pytest.mark.skipif(old, reason="old")', "@unittest.expectedFailure", "    rows = area(3) == 9", '    self.skipTest("later")', "    assert 1 << 2 and f() -> None",
+    ),
+    "tests/c{}.rs": ("#[test]", "#[tokio::test]", "#[ignore]", "fn area(n: u8) -> u8 {", "    assert_eq!(area(3), 9);", "    assert!(area(3) > 1);", "    assert!(area(3).is_some());", "    assert_ne!(area(3), 0);", "    let failed = area(3).unwrap_err();", "    debug_assert!(a >= b);", "    rows.push(9);"),
+    "src/c{}.go": ('\tt.Skip("no test file")', "\trequire.Equal(t, 1, 2)"),
+    "tests/C{}Test.java": ("    assertEquals(9, area(3));",),
+}
+
+
+def edits(lineitem):
+    """Changed lines of files of 40 hunks, of six kinds of files. The samples are a small fixed table."""
+    k = F.col("l_orderkey")
+    samples = [(i, n, len(x), path, line) for i, (path, x) in enumerate(EDITS.items()) for n, line in enumerate(x)]
+    table = lineitem.sparkSession.createDataFrame(samples, "i bigint, n bigint, size bigint, form string, content string")
+    sizes = F.array(*(F.lit(len(x)) for x in EDITS.values()))
+    rows = lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_returnflag").alias("f"))
+    i = F.floor(k / 40) % len(EDITS)
+    rows = rows.withColumn("i", i).withColumn("n", F.col("p") % F.element_at(sizes, (i + 1).cast("int"))).join(F.broadcast(table), ["i", "n"])
+    pos = (k % 40 * 10 + F.col("l_linenumber")).alias("pos")
+    path = F.replace("form", F.lit("{}"), F.floor(k / 40).cast("string"))
+    return rows.select(path.alias("path"), (k % 40).alias("hunk"), pos, F.when(F.col("f") == "A", "add").when(F.col("f") == "R", "delete").otherwise("context").alias("kind"), pos.alias("line"), "content")
+
+
+def listed(values):
+    return f"[{', '.join(values)}]"
+
+
+EDITED = f"""e AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, min(l_returnflag) AS f FROM lineitem GROUP BY ALL),
+lines AS (SELECT replace({listed(map(quoted, EDITS))}[k // 40 % {len(EDITS)} + 1], '{{}}', CAST(k // 40 AS VARCHAR)) AS path, k % 40 AS hunk, k % 40 * 10 + n AS pos, CASE f WHEN 'A' THEN 'add' WHEN 'R' THEN 'delete' ELSE 'context' END AS kind, {listed(listed(map(quoted, x)) for x in EDITS.values())}[k // 40 % {len(EDITS)} + 1] AS own, own[p % len(own) + 1] AS content FROM e)"""
+
+
+def marks_sql():
+    """The marks of each line: a branch for each language, over the files of tests only."""
+
+    def flags(x):
+        has = lambda p: f"regexp_matches(content, {quoted(p)})" if p else "false"
+        compares = has(x.statement)
+        strict = f"{has(x.strict)} OR ({compares} AND regexp_matches(regexp_replace(content, {quoted(weakening.with_nothing(x.nothing))}, '\\1 \\2', 'g'), {quoted(weakening.EQUALITY)}))"
+        return ", ".join((has(x.assertion), has(x.case), has(x.skip), has(x.focus), strict, f"{has(x.loose)} OR ({compares} AND {has(weakening.ORDERING)})"))
+
+    own = " UNION ALL ".join(f"SELECT *, {flags(x)} FROM lines WHERE regexp_extract(path, '[^.]*$') IN ({', '.join(map(quoted, x.endings))}) AND NOT starts_with(path, 'src/')" for x in weakening.LANGUAGES)
+    return f"{EDITED}, m(path, hunk, pos, kind, own, content, a, c, s, o, x, y) AS ({own}), f AS (SELECT *, trim(content, chr(9) || ' ') AS t, kind = 'add' AS added FROM m WHERE kind <> 'context')"
+
+
+@query("sca13_strictness", f"WITH {marks_sql()} SELECT DISTINCT regexp_extract(path, '[^.]*$') AS ending, content, CASE WHEN x AND y THEN 'both' WHEN x THEN 'strict' WHEN y THEN 'loose' ELSE 'none' END AS strictness FROM m")
+def _(lineitem):
+    rows = edits(lineitem).where(p.is_test(F.col("path"))).select(p.extension(F.col("path")).alias("ending"), "content", weakening.strictness(F.col("path"), F.col("content")).alias("strictness"))
+    return rows.where("strictness IS NOT NULL").distinct()
 
 
 @query("sca14_comparison_flags", "SELECT DISTINCT content, regexp_matches(b, '[!=]=') AS equality, regexp_matches(b, '[<>]') AS ordering FROM (SELECT content, regexp_replace(regexp_replace(content, '<<|>>|->|=>|<-', ' ', 'g'), '[!=]=\\s*(nil|null|None)\\b', ' ', 'g') AS b FROM diff_lines)")
@@ -127,18 +183,25 @@ def _(diff_lines):
     return rules.unmoved(diff_lines).select("path", "content", "line")
 
 
-WEAK = UNMOVED + ", a AS (SELECT path, count(*) AS removed FROM u WHERE regexp_matches(content, '(assert|expect)[ (]') GROUP BY path), b AS (SELECT path, count(*) AS added FROM v WHERE regexp_matches(content, '(assert|expect)[ (]') GROUP BY path) SELECT a.path, removed, coalesce(added, 0) AS added FROM a LEFT JOIN b USING (path) WHERE removed > coalesce(added, 0)"
+BALANCED = "SELECT path, '{kind}' AS kind, 'medium' AS severity, 'old' AS side, count(*) FILTER (NOT added) AS gone, count(*) FILTER (added) AS new, arg_min(pos, pos) FILTER (NOT added) AS line, arg_min(t, pos) FILTER (NOT added) AS q FROM f WHERE {mark} GROUP BY path HAVING gone > new"
+MARKED = "SELECT path, '{kind}' AS kind, '{severity}' AS severity, pos AS line, t, row_number() OVER (PARTITION BY path ORDER BY pos) AS place, count(*) OVER (PARTITION BY path) AS total FROM (SELECT g.*, row_number() OVER (PARTITION BY path, t ORDER BY pos) AS n, (SELECT count(*) FROM f d WHERE d.{mark} AND NOT d.added AND d.path = g.path AND d.t = g.t) AS back FROM f g WHERE g.{mark} AND g.added) WHERE n > back"
+WEAK = f"""WITH {marks_sql()}, g AS ({BALANCED.format(kind=weakening.ASSERTION_REMOVED, mark="a")} UNION ALL {BALANCED.format(kind=weakening.CASE_REMOVED, mark="c")}),
+k AS ({MARKED.format(kind=weakening.SKIP_ADDED, severity="medium", mark="s")} QUALIFY place <= 10 UNION ALL {MARKED.format(kind=weakening.FOCUS_ADDED, severity="high", mark="o")} QUALIFY place <= 5),
+h AS (SELECT path, hunk, count(*) FILTER (x AND NOT added) - count(*) FILTER (x AND added) AS exact, count(*) FILTER (y AND added) - count(*) FILTER (y AND NOT added) AS loose, min(pos) FILTER (y AND added) AS line, arg_min(t, pos) FILTER (y AND added) AS now, arg_min(t, pos) FILTER (x AND NOT added) AS before FROM f GROUP BY path, hunk HAVING exact > 0 AND loose > 0),
+r AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY path ORDER BY hunk) <= 10)
+SELECT path, kind, severity, side, line, concat(gone, CASE kind WHEN '{weakening.CASE_REMOVED}' THEN ' test cases gone, ' ELSE ' assertions gone, ' END, new, ' new; the first gone is ', q) AS evidence FROM g
+UNION ALL SELECT path, kind, severity, 'new', line, concat('new marker ', t, CASE WHEN total > place AND place = CASE severity WHEN 'high' THEN 5 ELSE 10 END THEN concat(', and ', total - place, ' more in this file') ELSE '' END) FROM k
+UNION ALL SELECT path, '{weakening.RELAXED}', 'medium', 'new', line, concat('instead of ', before, ' now ', now) FROM r"""
 
 
 @query("evd14_test_weakening", WEAK)
-def _(diff_lines):
-    return rules.weakened_tests(diff_lines)
+def _(lineitem):
+    return weakening.signals(edits(lineitem))
 
 
-@query("agg18_assertion_balance", "SELECT path, count(*) FILTER (kind = 'delete') AS removed, count(*) FILTER (kind = 'add') AS added FROM diff_lines WHERE regexp_matches(content, '(assert|expect)[ (]') GROUP BY path HAVING count(*) FILTER (kind = 'delete') > count(*) FILTER (kind = 'add')")
-def _(diff_lines):
-    g = diff_lines.where(F.col("content").rlike(rules.ASSERTION)).groupBy("path").agg(F.count_if(F.col("kind") == "delete").alias("removed"), F.count_if(F.col("kind") == "add").alias("added"))
-    return g.where("removed > added")
+@query("agg18_assertion_balance", f"WITH {marks_sql()}, g AS ({BALANCED.format(kind=weakening.ASSERTION_REMOVED, mark='a')} UNION ALL {BALANCED.format(kind=weakening.CASE_REMOVED, mark='c')}) SELECT path, kind, gone AS removed, new AS added FROM g")
+def _(lineitem):
+    return weakening.balance(weakening.marked(edits(lineitem))).select("path", "kind", "removed", "added")
 
 
 @query("agg20_first_match", f"SELECT path, rule, CAST(min(line) AS BIGINT) AS line, array_to_string(list_sort(list(DISTINCT kind)), '+') AS sides FROM (SELECT path, line, kind, 'branch' AS rule FROM diff_lines WHERE kind <> 'context' AND {BR} UNION ALL SELECT path, line, kind, 'assert' FROM diff_lines WHERE kind <> 'context' AND regexp_matches(content, '(assert|expect)[ (]')) GROUP BY path, rule")
