@@ -21,14 +21,25 @@ from .core import top_with_total
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern (of the subset that RE2 and Java read alike), the group that holds its value, and lower-case texts of which a matching line holds one."""
+    """Alternatives, each of lower-case texts, one of which a line holds that matches, and a pattern (of the subset that RE2 and Java read alike); and the group that holds the value.
+
+    A pattern is tried only on lines that hold one of its texts.
+    """
 
     kind: str
     severity: str
     label: str
-    pattern: str
-    needles: tuple[str, ...]
+    alternatives: tuple[tuple[str | tuple[str, ...], str], ...]
     group: int = 0
+    flags: str = ""
+
+    @property
+    def pattern(self) -> str:
+        """All alternatives as one."""
+        return self.flags + "|".join(p for _, p in self.alternatives)
+
+    def each(self) -> list[tuple[tuple[str, ...], str]]:
+        return [((n,) if isinstance(n, str) else n, self.flags + p) for n, p in self.alternatives]
 
 
 _KEY = r"(?:password|passwd|pwd|secret|api[_-]?key|apikey|access[_-]?key|auth[_-]?token|access[_-]?token|refresh[_-]?token|private[_-]?key|client[_-]?secret|credentials?)"
@@ -36,114 +47,110 @@ _KEY_NEEDLES = ("passw", "pwd", "secret", "key", "token", "credential")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _LITERAL = "secret-named value assigned a literal"
 
-# What each rule looks for. Alternatives of a family stand one a line.
+# What each rule looks for. Alternatives of a family stand one a line, each behind a text that it can't match without.
 _TLS = (
-    r"InsecureSkipVerify\s*:\s*true",
-    r"rejectUnauthorized[\"']?\s*:\s*false",
-    r"NODE_TLS_REJECT_UNAUTHORIZED[\"']?\s*[:=]\s*[\"']?0",
-    r"\bverify\s*=\s*False\b",
-    r"ssl_?verify(?:_?peer)?[\"']?\s*[:=]\s*(?:false|0|no)\b",
-    r"CURLOPT_SSL_VERIFY(?:PEER|HOST)\s*,\s*(?:false|0)",
-    r"ssl\._create_unverified_context",
-    r"check_hostname\s*=\s*False",
-    r"CERT_NONE\b",
-    r"danger_accept_invalid_certs\s*\(\s*true",
-    r"\bcurl\b[^\n]*\s(?:-k|--insecure)\b",
-    r"\bwget\b[^\n]*--no-check-certificate",
-    r"sslmode\s*=\s*disable",
-    r"tls\.Version(?:SSL30|TLS10|TLS11)\b",
-    r"git\s+config[^\n]*http\.sslVerify\s+false",
+    ("insecureskipverify", r"InsecureSkipVerify\s*:\s*true"),
+    ("rejectunauthorized", r"rejectUnauthorized[\"']?\s*:\s*false"),
+    ("node_tls_reject_unauthorized", r"NODE_TLS_REJECT_UNAUTHORIZED[\"']?\s*[:=]\s*[\"']?0"),
+    ("verify", r"\bverify\s*=\s*False\b"),
+    ("verify", r"ssl_?verify(?:_?peer)?[\"']?\s*[:=]\s*(?:false|0|no)\b"),
+    ("curlopt_ssl_verify", r"CURLOPT_SSL_VERIFY(?:PEER|HOST)\s*,\s*(?:false|0)"),
+    ("_create_unverified_context", r"ssl\._create_unverified_context"),
+    ("check_hostname", r"check_hostname\s*=\s*False"),
+    ("cert_none", r"CERT_NONE\b"),
+    ("danger_accept_invalid_certs", r"danger_accept_invalid_certs\s*\(\s*true"),
+    ("curl", r"\bcurl\b[^\n]*\s(?:-k|--insecure)\b"),
+    ("wget", r"\bwget\b[^\n]*--no-check-certificate"),
+    ("sslmode", r"sslmode\s*=\s*disable"),
+    ("tls.version", r"tls\.Version(?:SSL30|TLS10|TLS11)\b"),
+    ("http.sslverify", r"git\s+config[^\n]*http\.sslVerify\s+false"),
 )
 _DEBUG = (
-    r"\bDEBUG\s*=\s*(?:True|1|[\"']?true[\"']?)\b",
-    r"\bdebug[\"']?\s*:\s*true\b",
-    r"\.run\([^)]*debug\s*=\s*True",
-    r"FLASK_DEBUG\s*=\s*[\"']?1",
-    r"APP_DEBUG\s*=\s*[\"']?true",
-    r"gin\.SetMode\(\s*gin\.DebugMode",
-    r"app\.debug\s*=\s*True",
-    r"DJANGO_DEBUG\s*=\s*[\"']?(?:True|1)",
+    ("debug", r"\bDEBUG\s*=\s*(?:True|1|[\"']?true[\"']?)\b"),
+    ("debug", r"\bdebug[\"']?\s*:\s*true\b"),
+    (".run(", r"\.run\([^)]*debug\s*=\s*True"),
+    ("flask_debug", r"FLASK_DEBUG\s*=\s*[\"']?1"),
+    ("app_debug", r"APP_DEBUG\s*=\s*[\"']?true"),
+    ("gin.debugmode", r"gin\.SetMode\(\s*gin\.DebugMode"),
+    ("app.debug", r"app\.debug\s*=\s*True"),
+    ("django_debug", r"DJANGO_DEBUG\s*=\s*[\"']?(?:True|1)"),
 )
 _PERMISSIONS = (
-    r"\bchmod\s+(?:-R\s+)?(?:0?777|0?666|a\+w|o\+w|ugo\+w)\b",
-    r"\b(?:Chmod|WriteFile|Mkdir|MkdirAll|OpenFile|chmod|makedirs|mkdir|writeFileSync|chmodSync)\s*\([^)]*\b0o?(?:777|666)\b",
-    r"\bmode\s*[:=]\s*[\"']?0?(?:777|666)\b",
-    r"\bprivileged\s*:\s*true\b",
-    r"--privileged\b",
-    r"allowPrivilegeEscalation\s*:\s*true",
-    r"runAsUser\s*:\s*0\b",
-    r"runAsNonRoot\s*:\s*false",
-    r"^\s*USER\s+root\b",
-    r"\bsudo\s+chmod\s+777",
-    r"NOPASSWD\s*:\s*ALL",
-    r"hostPID\s*:\s*true",
-    r"hostNetwork\s*:\s*true",
-    r"cap_add\s*:\s*\[?\s*[\"']?(?:ALL|SYS_ADMIN)",
-    r"--cap-add[= ](?:ALL|SYS_ADMIN)",
-    r"/var/run/docker\.sock",
+    ("chmod", r"\bchmod\s+(?:-R\s+)?(?:0?777|0?666|a\+w|o\+w|ugo\+w)\b"),
+    (("777", "666"), r"\b(?:Chmod|WriteFile|Mkdir|MkdirAll|OpenFile|chmod|makedirs|mkdir|writeFileSync|chmodSync)\s*\([^)]*\b0o?(?:777|666)\b"),
+    (("777", "666"), r"\bmode\s*[:=]\s*[\"']?0?(?:777|666)\b"),
+    ("privileged", r"\bprivileged\s*:\s*true\b"),
+    ("--privileged", r"--privileged\b"),
+    ("allowprivilegeescalation", r"allowPrivilegeEscalation\s*:\s*true"),
+    ("runasuser", r"runAsUser\s*:\s*0\b"),
+    ("runasnonroot", r"runAsNonRoot\s*:\s*false"),
+    ("root", r"^\s*USER\s+root\b"),
+    ("chmod", r"\bsudo\s+chmod\s+777"),
+    ("nopasswd", r"NOPASSWD\s*:\s*ALL"),
+    ("hostpid", r"hostPID\s*:\s*true"),
+    ("hostnetwork", r"hostNetwork\s*:\s*true"),
+    ("cap_add", r"cap_add\s*:\s*\[?\s*[\"']?(?:ALL|SYS_ADMIN)"),
+    ("--cap-add", r"--cap-add[= ](?:ALL|SYS_ADMIN)"),
+    ("docker.sock", r"/var/run/docker\.sock"),
 )
 _PROTECTIONS = (
-    r"@csrf_exempt",
-    r"\bcsrf(?:_?protection|_?enabled)?[\"']?\s*[:=]\s*(?:false|0|[\"']?off)",
-    r"csrf\(\)\.disable\(\)",
-    r"WTF_CSRF_ENABLED\s*=\s*False",
-    r"Access-Control-Allow-Origin[\"']?\s*[:,]\s*[\"']\*[\"']",
-    r"AllowAllOrigins\s*:\s*true",
-    r"origin\s*:\s*[\"']\*[\"']",
-    r"allow_origins\s*=\s*\[\s*[\"']\*[\"']",
-    r"SECURE_SSL_REDIRECT\s*=\s*False",
-    r"SESSION_COOKIE_SECURE\s*=\s*False",
-    r"\bHttpOnly\s*[:=]\s*false",
-    r"\bsecure\s*:\s*false\b",
-    r"autoescape\s*=\s*False",
-    r"\{\{[^}]*\|\s*safe\s*\}\}",
-    r"algorithms\s*=\s*\[\s*[\"']none[\"']",
-    r"alg[\"']?\s*:\s*[\"']none[\"']",
-    r"verify_signature[\"']?\s*:\s*False",
-    r"setenforce\s+0",
-    r"SELINUX\s*=\s*disabled",
-    r"\bufw\s+disable",
-    r"seccomp[:=]unconfined",
-    r"apparmor[:=]unconfined",
-    r"permissions\s*:\s*write-all",
-    r"cidr_blocks\s*=\s*\[\s*[\"']0\.0\.0\.0/0[\"']",
-    r"publicly_accessible\s*=\s*true",
-    r"acl\s*=\s*[\"']public-read(?:-write)?[\"']",
-    r"X-Frame-Options[\"']?\s*[:,]\s*[\"']?ALLOWALL",
-    r"helmet\(\s*\{\s*contentSecurityPolicy\s*:\s*false",
+    ("@csrf_exempt", r"@csrf_exempt"),
+    ("csrf", r"\bcsrf(?:_?protection|_?enabled)?[\"']?\s*[:=]\s*(?:false|0|[\"']?off)"),
+    ("csrf()", r"csrf\(\)\.disable\(\)"),
+    ("wtf_csrf_enabled", r"WTF_CSRF_ENABLED\s*=\s*False"),
+    ("access-control-allow-origin", r"Access-Control-Allow-Origin[\"']?\s*[:,]\s*[\"']\*[\"']"),
+    ("allowallorigins", r"AllowAllOrigins\s*:\s*true"),
+    ("origin", r"origin\s*:\s*[\"']\*[\"']"),
+    ("allow_origins", r"allow_origins\s*=\s*\[\s*[\"']\*[\"']"),
+    ("secure_ssl_redirect", r"SECURE_SSL_REDIRECT\s*=\s*False"),
+    ("session_cookie_secure", r"SESSION_COOKIE_SECURE\s*=\s*False"),
+    ("httponly", r"\bHttpOnly\s*[:=]\s*false"),
+    ("secure", r"\bsecure\s*:\s*false\b"),
+    ("autoescape", r"autoescape\s*=\s*False"),
+    ("safe", r"\{\{[^}]*\|\s*safe\s*\}\}"),
+    ("algorithms", r"algorithms\s*=\s*\[\s*[\"']none[\"']"),
+    ("alg", r"alg[\"']?\s*:\s*[\"']none[\"']"),
+    ("verify_signature", r"verify_signature[\"']?\s*:\s*False"),
+    ("setenforce", r"setenforce\s+0"),
+    ("selinux", r"SELINUX\s*=\s*disabled"),
+    ("ufw", r"\bufw\s+disable"),
+    ("seccomp", r"seccomp[:=]unconfined"),
+    ("apparmor", r"apparmor[:=]unconfined"),
+    ("write-all", r"permissions\s*:\s*write-all"),
+    ("cidr_blocks", r"cidr_blocks\s*=\s*\[\s*[\"']0\.0\.0\.0/0[\"']"),
+    ("publicly_accessible", r"publicly_accessible\s*=\s*true"),
+    ("acl", r"acl\s*=\s*[\"']public-read(?:-write)?[\"']"),
+    ("x-frame-options", r"X-Frame-Options[\"']?\s*[:,]\s*[\"']?ALLOWALL"),
+    ("helmet", r"helmet\(\s*\{\s*contentSecurityPolicy\s*:\s*false"),
 )
 
 
-def _any(alternatives: tuple[str, ...]) -> str:
-    return "(?i)(?:" + "|".join(alternatives) + ")"
-
-
 #: Kinds, severities and patterns, in the order of precedence.
 RULES = (
-    Rule("private_key", "critical", "PEM private key block", r"-----BEGIN (?:RSA |DSA |EC |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY(?: BLOCK)?-----", ("private key",)),
-    Rule("private_key", "critical", "PuTTY private key", r"PuTTY-User-Key-File-\d+:", ("putty",)),
-    Rule("hardcoded_secret", "high", "AWS access key ID", r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA|ANVA|AIPA)[A-Z0-9]{16}\b", ("akia", "asia", "agpa", "aida", "aroa", "anpa", "anva", "aipa")),
-    Rule("hardcoded_secret", "high", "AWS secret access key", r"(?i)aws_?secret_?access_?key[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9/+=]{40})\b", ("aws",), 1),
-    Rule("hardcoded_secret", "high", "GitHub token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{50,})\b", ("gh", "github_pat_")),
-    Rule("hardcoded_secret", "high", "GitLab token", r"\bglpat-[A-Za-z0-9_-]{20,}\b", ("glpat-",)),
-    Rule("hardcoded_secret", "high", "Slack token", r"\bxox[abposr]-[A-Za-z0-9-]{10,}\b", ("xox",)),
-    Rule("hardcoded_secret", "high", "Slack webhook URL", r"https://hooks\.slack\.com/services/T[A-Za-z0-9]+/B[A-Za-z0-9]+/[A-Za-z0-9]+", ("hooks.slack.com",)),
-    Rule("hardcoded_secret", "high", "Stripe live key", r"\b(?:sk|rk)_live_[A-Za-z0-9]{16,}\b", ("k_live_",)),
-    Rule("hardcoded_secret", "high", "Google API key", r"\bAIza[0-9A-Za-z_-]{35}\b", ("aiza",)),
-    Rule("hardcoded_secret", "high", "LLM provider API key", r"\bsk-(?:ant-|proj-)?[A-Za-z0-9_-]{32,}\b", ("sk-",)),
-    Rule("hardcoded_secret", "high", "npm token", r"\bnpm_[A-Za-z0-9]{36}\b", ("npm_",)),
-    Rule("hardcoded_secret", "high", "Twilio or SendGrid key", r"\b(?:SK[0-9a-f]{32}|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43})\b", ("sk", "sg.")),
-    Rule("hardcoded_secret", "high", "Azure storage account key", r"(?i)AccountKey=([A-Za-z0-9+/=]{40,})", ("accountkey=",), 1),
-    Rule("hardcoded_secret", "high", "JSON Web Token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", ("eyj",)),
-    Rule("hardcoded_secret", "high", _LITERAL, r"(?i)\b[\w.-]*" + _KEY + r"[\w.-]*[\"']?\s*(?::=|=>|[:=])\s*[\"'`]([^\"'`\s]{8,})[\"'`]", _KEY_NEEDLES, 1),
-    Rule("credential_in_url", "high", "user:password in a URL", r"\b[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@\"'<>]+:([^\s/@\"'<>]+)@[^\s/\"'<>]+", ("://",), 1),
-    Rule("credential_in_url", "high", "secret-named query parameter", r"(?i)[?&](?:api[_-]?key|apikey|access[_-]?token|auth[_-]?token|token|secret|client[_-]?secret|password|passwd|sig|signature)=([^&\s\"'#<>]{8,})", ("?", "&"), 1),
-    Rule("hardcoded_email", "low", "e-mail address", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", ("@",)),
-    Rule("hardcoded_ip", "low", "IPv4 address in a string or URL", r"(?:[\"'`]|://|@)(" + _OCTET + r"(?:\." + _OCTET + r"){3})(?::\d+)?\b", (".",), 1),
-    Rule("tls_verification_disabled", "high", "TLS verification disabled", _any(_TLS), ("verify", "rejectunauthorized", "reject_unauthorized", "check_hostname", "cert_none", "invalid_certs", "curl", "wget", "sslmode", "tls.version", "unverified")),
-    Rule("debug_enabled", "medium", "debug mode enabled", _any(_DEBUG), ("debug",)),
-    Rule("excessive_permissions", "high", "world-writable mode or root privileges", _any(_PERMISSIONS), ("777", "666", "+w", "privileged", "privilegeescalation", "runas", "root", "nopasswd", "hostpid", "hostnetwork", "cap_add", "cap-add", "docker.sock")),
-    Rule("protection_disabled", "high", "security protection disabled", _any(_PROTECTIONS), ("csrf", "origin", "redirect", "cookie", "httponly", "secure", "autoescape", "safe", "none", "verify_signature", "setenforce", "selinux", "ufw", "unconfined", "write-all", "cidr_blocks", "publicly", "public-read", "x-frame", "helmet")),
+    Rule("private_key", "critical", "PEM private key block", ((("private key",), r"-----BEGIN (?:RSA |DSA |EC |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY(?: BLOCK)?-----"),)),
+    Rule("private_key", "critical", "PuTTY private key", ((("putty",), r"PuTTY-User-Key-File-\d+:"),)),
+    Rule("hardcoded_secret", "high", "AWS access key ID", ((("akia", "asia", "agpa", "aida", "aroa", "anpa", "anva", "aipa"), r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA|ANVA|AIPA)[A-Z0-9]{16}\b"),)),
+    Rule("hardcoded_secret", "high", "AWS secret access key", ((("aws",), r"(?i)aws_?secret_?access_?key[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9/+=]{40})\b"),), 1),
+    Rule("hardcoded_secret", "high", "GitHub token", ((("gh", "github_pat_"), r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{50,})\b"),)),
+    Rule("hardcoded_secret", "high", "GitLab token", ((("glpat-",), r"\bglpat-[A-Za-z0-9_-]{20,}\b"),)),
+    Rule("hardcoded_secret", "high", "Slack token", ((("xox",), r"\bxox[abposr]-[A-Za-z0-9-]{10,}\b"),)),
+    Rule("hardcoded_secret", "high", "Slack webhook URL", ((("hooks.slack.com",), r"https://hooks\.slack\.com/services/T[A-Za-z0-9]+/B[A-Za-z0-9]+/[A-Za-z0-9]+"),)),
+    Rule("hardcoded_secret", "high", "Stripe live key", ((("k_live_",), r"\b(?:sk|rk)_live_[A-Za-z0-9]{16,}\b"),)),
+    Rule("hardcoded_secret", "high", "Google API key", ((("aiza",), r"\bAIza[0-9A-Za-z_-]{35}\b"),)),
+    Rule("hardcoded_secret", "high", "LLM provider API key", ((("sk-",), r"\bsk-(?:ant-|proj-)?[A-Za-z0-9_-]{32,}\b"),)),
+    Rule("hardcoded_secret", "high", "npm token", ((("npm_",), r"\bnpm_[A-Za-z0-9]{36}\b"),)),
+    Rule("hardcoded_secret", "high", "Twilio or SendGrid key", ((("sk", "sg."), r"\b(?:SK[0-9a-f]{32}|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43})\b"),)),
+    Rule("hardcoded_secret", "high", "Azure storage account key", ((("accountkey=",), r"(?i)AccountKey=([A-Za-z0-9+/=]{40,})"),), 1),
+    Rule("hardcoded_secret", "high", "JSON Web Token", ((("eyj",), r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b"),)),
+    Rule("hardcoded_secret", "high", _LITERAL, ((_KEY_NEEDLES, r"(?i)\b[\w.-]*" + _KEY + r"[\w.-]*[\"']?\s*(?::=|=>|[:=])\s*[\"'`]([^\"'`\s]{8,})[\"'`]"),), 1),
+    Rule("credential_in_url", "high", "user:password in a URL", ((("://",), r"\b[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@\"'<>]+:([^\s/@\"'<>]+)@[^\s/\"'<>]+"),), 1),
+    Rule("credential_in_url", "high", "secret-named query parameter", ((("?", "&"), r"(?i)[?&](?:api[_-]?key|apikey|access[_-]?token|auth[_-]?token|token|secret|client[_-]?secret|password|passwd|sig|signature)=([^&\s\"'#<>]{8,})"),), 1),
+    Rule("hardcoded_email", "low", "e-mail address", ((("@",), r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),)),
+    Rule("hardcoded_ip", "low", "IPv4 address in a string or URL", (((".",), r"(?:[\"'`]|://|@)(" + _OCTET + r"(?:\." + _OCTET + r"){3})(?::\d+)?\b"),), 1),
+    Rule("tls_verification_disabled", "high", "TLS verification disabled", _TLS, flags="(?i)"),
+    Rule("debug_enabled", "medium", "debug mode enabled", _DEBUG, flags="(?i)"),
+    Rule("excessive_permissions", "high", "world-writable mode or root privileges", _PERMISSIONS, flags="(?i)"),
+    Rule("protection_disabled", "high", "security protection disabled", _PROTECTIONS, flags="(?i)"),
 )
 #: Samples and indirect values, which are no secrets.
 PLACEHOLDER = r"(?i)^(?:x+|\*+|\.+|0+|1234\w*|changeme|change[_-]?me|example\w*|sample\w*|dummy\w*|fake\w*|test\w*|placeholder\w*|redacted|your[_-]?\w*|<[^>]*>|\$\{[^}]*\}|\$\(?[A-Za-z_]\w*\)?|%\(?\w*\)?s?|\{\{[^}]*\}\}|none|null|nil|undefined|password|secret|token)$"
@@ -157,7 +164,7 @@ LOCK_FILE = r"(?i)(?:\.lock|\.sum|(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.j
 LONGEST_LINE, PER_KIND = 4096, 3
 LOW_NOISE = ("hardcoded_email", "hardcoded_ip")
 CREDENTIALS = ("hardcoded_secret", "private_key", "credential_in_url")
-INTRO = "Security pattern (text heuristic, not a verified vulnerability): "
+INTRO, HIDDEN = "Matched by a pattern, not verified: ", "; its value is left out"
 
 _W = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
@@ -173,26 +180,42 @@ def mixed_enough(v: Column) -> Column:
     return v.rlike("[A-Za-z]") & (v.rlike("[0-9]") | v.rlike("[^A-Za-z0-9_.-]"))
 
 
+#: The most that a match counts for, by where it stands and whether it is a credential; elsewhere it counts in full.
+CEILING = {("docs", True): "medium", ("docs", False): "low", ("test", True): "medium", ("test", False): "medium"}
+_ORDER = ("low", "medium", "high", "critical")
+
+
 def adjusted_severity(kind: Column, severity: Column, test: Column, docs: Column) -> Column:
-    """A severity lowered where a match is less likely to be live: medium in tests; in documentation low, but medium for credentials."""
-    return F.when(severity == "low", "low").when(docs & ~kind.isin(*CREDENTIALS), "low").when((test | docs) & severity.isin("high", "critical"), "medium").otherwise(severity)
+    """A severity cut at the ceiling of its place: samples in tests and documentation are less likely to be live."""
+    credential = kind.isin(*CREDENTIALS)
+    ceiling = F.when(docs, F.when(credential, CEILING["docs", True]).otherwise(CEILING["docs", False])).when(test, F.when(credential, CEILING["test", True]).otherwise(CEILING["test", False])).otherwise(_ORDER[-1])
+    order = F.array(*map(F.lit, _ORDER))
+    return F.element_at(order, F.least(F.array_position(order, severity), F.array_position(order, ceiling)).cast("int"))
+
+
+#: What keeps a match from counting, by kind or label: in the value without quotes, the value, or the line. Files where samples are expected are left out for ``LOW_NOISE``.
+EXCLUDED = {
+    "hardcoded_secret": (("bare", PLACEHOLDER), ("bare", "[${}<>]")),
+    "credential_in_url": (("bare", PLACEHOLDER), ("bare", "[${}<>]")),
+    # A path or address under such a name says where a secret is.
+    _LITERAL: (("line", INDIRECTION), ("bare", r"^(?:/|\./|~/)|://")),
+    "hardcoded_email": (("value", BENIGN_EMAIL), ("value", r"(?i)\.(?:png|svg)$")),
+    "hardcoded_ip": (("value", BENIGN_IP),),
+}
 
 
 def _matches(rule: Rule, line: Column, low: Column, noise: Column) -> Column:
-    pattern = java(rule.pattern)
-    found = reduce(or_, (F.contains(low, F.lit(n)) for n in rule.needles)) & line.rlike(pattern)
-    value = F.regexp_extract(line, pattern, rule.group)
-    if rule.kind in ("hardcoded_secret", "credential_in_url"):
-        v = F.regexp_replace(value, "^[\"'`]+|[\"'`]+$", "")
-        found = found & ~v.rlike(PLACEHOLDER) & ~v.rlike("[${}<>]")
-        if rule.label == _LITERAL:
-            # A path or address under such a name says where a secret is.
-            found = found & ~line.rlike(java(INDIRECTION)) & mixed_enough(v) & ~v.rlike(r"^(?:/|\./|~/)|://")
-    elif rule.kind == "hardcoded_email":
-        found = found & ~noise & ~value.rlike(BENIGN_EMAIL) & ~F.contains(line, F.concat(F.lit("://"), value)) & ~F.lower(value).rlike(r"\.(?:png|svg)$")
-    elif rule.kind == "hardcoded_ip":
-        found = found & ~noise & ~value.rlike(BENIGN_IP)
-    return found
+    held = lambda needles: reduce(or_, (F.contains(low, F.lit(n)) for n in needles))
+    found = reduce(or_, (held(needles) & line.rlike(java(p)) for needles, p in rule.each()))
+    value = F.regexp_extract(line, java(rule.pattern), rule.group)
+    places = {"line": line, "value": value, "bare": F.regexp_replace(value, "^[\"'`]+|[\"'`]+$", "")}
+    for where, pattern in (*EXCLUDED.get(rule.kind, ()), *EXCLUDED.get(rule.label, ())):
+        found = found & ~places[where].rlike(java(pattern))
+    if rule.label == _LITERAL:
+        found = found & mixed_enough(places["bare"])
+    if rule.kind == "hardcoded_email":  # the end of an address with a user
+        found = found & ~F.contains(line, F.concat(F.lit("://"), value))
+    return found & ~noise if rule.kind in LOW_NOISE else found
 
 
 def hits(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -203,7 +226,7 @@ def hits(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     line, low, noise = F.col("content"), F.col("_low"), F.col("_noise")
     read = lines.where((F.octet_length("content") <= LONGEST_LINE) & ~F.col("path").rlike(LOCK_FILE))
     # Most lines hold none of the texts that any rule needs: they go first.
-    needles = sorted({n for r in rules for n in r.needles})
+    needles = sorted({n for r in rules for ns, _ in r.each() for n in ns})
     held = read.select("path", "line", "content", F.lower("content").alias("_low"), paths.is_low_noise(F.col("path")).alias("_noise")).where(reduce(or_, (F.contains(low, F.lit(n)) for n in needles)))
     test, docs = paths.is_test(F.col("path")), paths.is_documentation(F.col("path"))
     found = F.array(*(F.when(_matches(r, line, low, noise), F.struct(F.lit(i).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"))) for i, r in enumerate(rules)))
@@ -220,6 +243,6 @@ def signals(lines: DataFrame, rules: tuple[Rule, ...] = RULES, per_kind: int = P
     ordered = hits(lines, rules).withColumn("first", F.min("line").over(same)).withColumn("hits", F.count(F.lit(1)).over(same))
     kept = top_with_total(ordered, ["path", "kind"], [F.col("first"), F.col("rule"), F.col("line")], per_kind)
     label = F.element_at(F.array(*(F.lit(r.label) for r in rules)), F.col("rule") + 1)
-    said = F.when(F.col("kind").isin(*CREDENTIALS), "; the value is not copied into the report").otherwise(F.concat(F.lit(": "), F.substring(F.trim("content"), 1, 240)))
-    more = F.when((F.col("line") == F.col("first")) & (F.col("hits") > 1), F.concat(F.lit(" ("), F.col("hits").cast("string"), F.lit(" added lines of this file match)"))).otherwise("")
+    said = F.when(F.col("kind").isin(*CREDENTIALS), HIDDEN).otherwise(F.concat(F.lit(": "), F.substring(F.trim("content"), 1, 240)))
+    more = F.when((F.col("line") == F.col("first")) & (F.col("hits") > 1), F.concat(F.lit(", on "), F.col("hits").cast("string"), F.lit(" lines of the file"))).otherwise("")
     return kept.select("path", "line", "kind", "severity", "rule", F.concat(F.lit(INTRO), label, said, more).alias("evidence"), "hits")

@@ -6,25 +6,17 @@ from pyspark.sql import functions as F
 
 from veridelta.functions import paths as p
 from veridelta.operators import mutation, plan, rules, security, weakening
+from veridelta.plans import samples
 from veridelta.registry import query
 
-#: A line of each family of rules, and lines that only look like it, put together from parts so that no scanner takes this file for a leak.
-SAMPLES = (
-    "-----BEGIN RSA " + "PRIVATE KEY-----", "PuTTY-User-" + "Key-File-2: x", "id: AKIA" + "Q3EXAMPLEKEY7WXY", "aws_secret_access_key = " + "wJalrXUt" * 5, "export TOKEN=ghp_" + "aB3dE" * 8, "t glpat-" + "a1B2c" * 5, "xoxb-" + "1234567890ab",
-    "https://hooks.slack.com/services/" + "T0A1/B0C2/zZ9", 'key = "sk_' + 'live_' + "4eC39HqLyjWDarjtT1zdp7dc" + '"', "AIza" + "Sy0aB1c" * 5, "sk-" + "proj-" + "Ab1" * 12, "npm_" + "aB3dE6" * 6, "SK" + "0a1b2c3d" * 4, "AccountKey=" + "Ab1/" * 11, 'const t = "eyJ' + "hbGciOiJIUzI1NiJ9" + ".eyJ" + "zdWIiOiIxMjM0NTY3" + ".dozjgNryP4J3jVmNHl0w" + '"',
-    'DB_PASSWORD = "S3cr3t' + '!Pass"', 'apiKey := "k9Fz2Lq8' + 'Wv3Xr5Tb"', "DATABASE_URL: postgres://admin:hunter" + "22x@db.internal:5432/app", 'fetch("https://api.service.io/v1?api_key=Zx81' + 'Kq29LmNv")', 'to := "ops.team@acme-corp.com"', 'addr := "10.20.30.40:8080"',
-    "InsecureSkipVerify: true,", "requests.get(url, verify=False)", "curl -k https://get.example.org | sh", "DSN=host=db sslmode=disable", "DEBUG = True", "app.run(host='0.0.0.0', debug=True)", "chmod -R 777 /srv/data", "os.MkdirAll(dir, 0777)", "    privileged: true", "USER root", "- /var/run/docker.sock:/s",
-    "@csrf_exempt", "http.csrf().disable();", 'w.Header().Set("Access-Control-Allow-Origin", "*")', 'jwt.decode(token, algorithms=["none"])', '  acl = "public-read"', '  cidr_blocks = ["0.0.0.0/0"]', "permissions: write-all", "<div>{{ comment | safe }}</div>",
-    'password := os.Getenv("DB_PASSWORD")', 'password: "changeme"', 'apiKey: "${API_KEY}"', 'const passwordField = "password_hash"', 'password: "hunter2"', 'url := "https://user@example.org/repo.git"', 'from := "someone@example.com"', 'addr := "127.0.0.1:8080"', "const v = 1.2.3.4", "requests.get(url, verify=True)", "chmod 755 /usr/local/bin/tool",
-    'SecretsDir = "/run/secrets"', 'vaultSecretURL = "https://vault.internal:8200"', "x = 1",
-)
+SAMPLES = (*samples.secrets(), *samples.settings())
 
 
 def quoted(s):
     return "'" + s.replace("'", "''") + "'"
 
 
-def samples(orders):
+def sampled(orders):
     """Files of 25 lines, each a sample; by file plain sources, tests, documentation and lock files."""
     k = F.col("o_orderkey")
     ending = F.when(F.floor(k / 25) % 7 == 1, "_test.go").when(F.floor(k / 25) % 7 == 2, ".md").when(F.floor(k / 25) % 7 == 3, ".lock").otherwise(".go")
@@ -59,17 +51,17 @@ def hits_sql(lines):
 
 
 CAPPED = ", r AS (SELECT path, rule, min(line) AS first, count(*) AS hits FROM h GROUP BY path, rule), k AS (SELECT h.*, first, hits, row_number() OVER (PARTITION BY path, kind ORDER BY first, rule, line) AS n FROM h JOIN r USING (path, rule))"
-EVIDENCE_TEXT = f"concat('{security.INTRO}', label, CASE WHEN kind IN ('hardcoded_secret', 'private_key', 'credential_in_url') THEN '; the value is not copied into the report' ELSE concat(': ', left(trim(content, ' '), 240)) END, CASE WHEN line = first AND hits > 1 THEN concat(' (', hits, ' added lines of this file match)') ELSE '' END)"
+EVIDENCE_TEXT = f"concat('{security.INTRO}', label, CASE WHEN kind IN ('hardcoded_secret', 'private_key', 'credential_in_url') THEN '{security.HIDDEN}' ELSE concat(': ', left(trim(content, ' '), 240)) END, CASE WHEN line = first AND hits > 1 THEN concat(', on ', hits, ' lines of the file') ELSE '' END)"
 
 
 @query("evd13_security_signals", hits_sql(SAMPLED) + CAPPED + f" SELECT path, line, kind, severity, rule, {EVIDENCE_TEXT} AS evidence, hits FROM k WHERE n <= 3")
 def _(orders):
-    return security.signals(samples(orders))
+    return security.signals(sampled(orders))
 
 
 @query("agg21_capped_per_kind", hits_sql(SAMPLED) + CAPPED + " SELECT path, kind, count(*) FILTER (n <= 3) AS kept, count(*) AS total FROM k GROUP BY path, kind")
 def _(orders):
-    hits = security.hits(samples(orders)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("total"))
+    hits = security.hits(sampled(orders)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("total"))
     return hits.select("path", "kind", F.least("total", F.lit(3)).alias("kept"), "total")
 
 
