@@ -37,9 +37,9 @@ from ._text import WordHasher, groups
 #: Hash of the end; no word holds white space.
 END = xxhash.xxh64_intdigest(b"\n")
 #: Counts are added up in memory and passed on at this many entries.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Tokens a partition of the counts is made for, and how many partitions there are at most; counting holds a shard of one at a time.
-PER_PARTITION, MOST_PARTITIONS, PER_SHARD = 1 << 22, 20_000, 1 << 21
+PER_PARTITION, MOST_PARTITIONS, PER_SHARD = 1 << 22, 20_000, 1 << 20
 #: Frequent tokens and weights that are broadcast: at most 2 MB and 16 MB of hashes.
 VOCABULARY, CACHE = 1 << 17, 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
