@@ -43,8 +43,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids = Cached(self._word, 400_000)
-        self.parts = Cached(self._part)
+        self.ids = Cached(self._word, 200_000)
+        self.parts = Cached(self._part, 100_000)
         self.spelled = str.maketrans({chr(b): c for c, b in byte_characters().items()})
         self.merge = self.tokenizer.model.tokenize
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
