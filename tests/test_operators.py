@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridelta.functions import paths, text
-from veridelta.operators import core, coverage, documents, fuzz, graph, mutation, observe, report, sequences, weakening
+from veridelta.operators import core, coverage, dispatch, documents, fuzz, graph, history, mutation, observe, report, sequences, weakening
 from veridelta.sources import lines
 from veridelta.streaming import limiter, replay
 
@@ -287,3 +287,127 @@ def test_weaker_tests_are_capped_and_quoted(spark):
     long = by["b_test.go", "test_skip_added"][0].evidence
     assert long.endswith("ü…")
     assert len(long.encode()) < 260
+
+
+def walked(commits, starts):
+    """Depths of a level walk."""
+    parents, found, level, d = {}, {}, set(starts), 0
+    for a, b in commits:
+        parents.setdefault(a, set()).add(b)
+    while level:
+        found |= dict.fromkeys(level, d)
+        level, d = {b for a in level for b in parents.get(a, ()) if b is not None} - found.keys(), d + 1
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_depths_of_random_histories(spark, seed):
+    rnd = random.Random(seed)
+    commits = [(f"k{n}", f"k{rnd.randrange(max(0, n - 6), n)}") for n in range(1, 60) for _ in range(rnd.choice([1, 1, 2]))] + [("k0", None), ("k9", "gone")]
+    df = make(spark, commits, "sha string, parent string")
+    assert {r.sha: r.depth for r in history.commit_depths(df, "k59").collect()} == walked(commits, ["k59"])
+    labels = [(f"k{rnd.randrange(60)}", f"l{n}") for n in range(7)] + [("nowhere", "l9")]
+    far, want = walked(commits, [a for a, _ in labels if a != "nowhere"]), {}
+    for sha, d in sorted(far.items(), key=lambda x: x[1]):
+        want[sha] = {b for a, b in labels if a == sha} if d == 0 else {x for a, b in commits if b == sha and far.get(a) == d - 1 for x in want[a]}
+    got = history.nearest_labels(df, make(spark, labels, "sha string, label string")).collect()
+    assert {r.sha: (r.labels, r.distance) for r in got} == {s: (",".join(sorted(x)), far[s]) for s, x in want.items()}
+
+
+def test_a_long_line_takes_few_jobs(spark):
+    n = 1 << 17
+    line = spark.range(1, n).select(F.concat(F.lit("k"), "id").alias("sha"), F.concat(F.lit("k"), F.col("id") - 1).alias("parent"))
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = before.get() if hasattr(before, "get") else before
+    got = history.commit_depths(line, f"k{n - 1}").agg(F.count(F.lit(1)), F.max("depth"), F.sum("depth")).first()
+    assert tuple(got) == (n, n - 1, n * (n - 1) // 2)
+    after = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    assert (after.get() if hasattr(after, "get") else after) - before < 120  # joins and writes have some jobs each; a walk has one a commit
+
+
+def test_ways_that_leave_first_parents_again_and_again(spark):
+    commits = [(n, n - 1, 0) for n in range(1, 400)] + [(n, n - 3, 1) for n in range(7, 400, 7)]
+    df = make(spark, [(f"k{a:03}", f"k{b:03}", p) for a, b, p in commits], "sha string, parent string, place int")
+    assert {int(r.sha[1:]): r.depth for r in history.commit_depths(df, "k399").collect()} == walked([c[:2] for c in commits], [399])
+
+
+def test_merge_bases(spark):
+    df = make(spark, [("b", "a"), ("c", "b"), ("d", "b"), ("e", "c"), ("e", "d"), ("x", None)], "sha string, parent string")
+    assert history.merge_base(df, "c", "d") == "b"
+    assert history.merge_base(df, "e", "d") == "d"
+    with pytest.raises(ValueError, match="no merge base"):
+        history.merge_base(df, "x", "a")
+    both = make(spark, [("c", "a"), ("c", "b"), ("d", "a"), ("d", "b")], "sha string, parent string")
+    with pytest.raises(ValueError, match="several"):
+        history.merge_base(both, "c", "d")
+
+
+METHODS = [("T", "size", "T.size"), ("T", "get", "T.get"), ("U", "size", "U.size"), ("V", "get", "V.get"), ("V", None, "V.?")]
+FACES = [("Sizer", "size", "Sizer.size"), ("Both", "size", "Both.size"), ("Both", "get", "Both.get"), ("Rare", "size", "Rare.size"), ("Rare", "none", "Rare.none")]
+
+
+def faces(spark):
+    return make(spark, METHODS, "type string, method string, id string"), make(spark, FACES, "interface string, method string, id string")
+
+
+def test_implementers_and_dispatch(spark):
+    methods, interfaces = faces(spark)
+    assert {tuple(r) for r in dispatch.implementers(methods, interfaces).collect()} == {("T", "Sizer"), ("U", "Sizer"), ("T", "Both")}
+    assert {tuple(r) for r in dispatch.dispatch(methods, interfaces).collect()} == {("T.size", "Sizer.size"), ("U.size", "Sizer.size"), ("T.size", "Both.size"), ("T.get", "Both.get")}
+
+
+def test_a_method_of_every_type_joins_little(spark):
+    """200 types and 100 interfaces share a method; each interface has one more, that two types have."""
+    methods = make(spark, [(f"T{t}", m, f"T{t}.{m}") for t in range(200) for m in ("all", f"own{t // 2}")], "type string, method string, id string")
+    interfaces = make(spark, [(f"I{i}", m, f"I{i}.{m}") for i in range(100) for m in ("all", f"own{i}")], "interface string, method string, id string")
+    got = dispatch.implementers(methods, interfaces)
+    assert got.count() == 200
+    assert dispatch.dispatch(methods, interfaces).count() == 400
+
+
+def test_callers_through_interfaces(spark):
+    methods, interfaces = faces(spark)
+    reaches = dispatch.dispatch(methods, interfaces)
+    calls = make(spark, [("use", "Sizer.size"), ("main", "use"), ("near", "T.size"), ("near", "Sizer.size"), ("TestA", "near"), ("TestB", "main"), ("over", "TestA"), ("use", "Both.get")], "src string, dst string")
+    nodes = make(spark, [(n, "function", n, f"{n}.go", n.startswith("Test")) for n in ("use", "main", "near", "TestA", "TestB", "over", "T.size")], "id string, kind string, name string, path string, test boolean")
+    got = {(r.caller, r.callee, r.depth, r.through, ">".join(r.via)) for r in dispatch.callers(calls, nodes, "T.size", 3, reaches).collect()}
+    assert got == {
+        ("near", "T.size", 1, "static", "near>T.size"), ("near", "Sizer.size", 1, "interface", "near>T.size"), ("use", "Sizer.size", 1, "interface", "use>T.size"), ("main", "use", 2, "interface", "main>use>T.size"),
+        ("TestA", "near", 2, "static", "TestA>near>T.size"), ("TestB", "main", 3, "interface", "TestB>main>use>T.size"),
+    }
+    assert {r.caller for r in dispatch.callers(calls, nodes, "T.size", 3).collect()} == {"near", "TestA"}
+    tests = dispatch.reaching_tests(calls, nodes, make(spark, [("T.size",)], "id string"), reaches=reaches).collect()
+    assert {(r.test, r.depth, r.through) for r in tests} == {("TestA", 2, "static"), ("TestB", 3, "interface")}
+
+
+def test_sites_prefer_direct_calls_and_leave_out_added_lines(spark):
+    methods, interfaces = faces(spark)
+    sites = make(spark, [("f", "Sizer.size", "a.go", 1, 1), ("f", "T.size", "a.go", 1, 2), ("g", "Sizer.size", "a.go", 5, 3), ("g", "T.size", "b.go", 9, 4), ("TestA", "T.size", "c.go", 1, 5), ("T.get", "T.size", "d.go", 1, 6)], "src string, dst string, path string, line int, seq int")
+    got = dispatch.unchanged_callers(sites, make(spark, [("T.get",)], "id string"), make(spark, [("TestA",)], "id string"), dispatch.dispatch(methods, interfaces), make(spark, [("b.go", 9)], "path string, line int"))
+    assert {tuple(r) for r in got.where("dst = 'T.size'").collect()} == {("T.size", "a.go", 1, "f", "static"), ("T.size", "a.go", 5, "g", "interface")}
+    assert got.where("dst = 'U.size'").count() == 2
+
+
+def test_a_budget_bounds_the_edges_read(spark):
+    """A hub of 500 neighbours stands first in a level: with 20 edges left only its own are joined."""
+    edges = [("s", f"n{i:02}", "k") for i in range(30)] + [("n00", f"h{i}", "k") for i in range(500)] + [(f"n{i:02}", f"m{i}", "k") for i in range(1, 30)]
+    df = make(spark, edges, "src string, dst string, kind string")
+    for budget, levels in ((10, [30]), (50, [30, 500]), (29, [30]), (600, [30, 529])):
+        read = []
+        got = graph.neighbors(df, "s", "out", 2, budget=budget, limit=1000, looked=read.append).collect()
+        assert read == levels
+        assert len(got) == min(budget, 559)
+        assert {r.truncated for r in got} == {budget < 559}
+        assert not got[0].timed_out
+
+
+def test_a_deadline_returns_what_was_written(spark):
+    df = make(spark, [("s", "a", "k"), ("a", "b", "k")], "src string, dst string, kind string")
+    got = graph.neighbors(df, "s", "out", 2, seconds=0.0)
+    assert got.count() == 0
+    assert [(r.node, r.timed_out) for r in graph.neighbors(df, "s", "out", 2, seconds=600.0).orderBy("node").collect()] == [("a", False), ("b", False)]
+    late = graph._Deadline(spark, 0.5)
+    slow = spark.range(1).select(F.expr("reduce(sequence(1, 3000000), 0L, (a, x) -> a + hash(x))"))
+    assert late.run(lambda: [slow.collect() for _ in range(200)]) is None
+    assert late.over
+    assert spark.range(3).count() == 3  # later jobs run

@@ -127,6 +127,11 @@ CARRIERS: dict[str, str] = {
     "edges": """
         SELECT src, dst, kind, count(*) AS sites FROM edge_sites WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY src, dst, kind""",
     "calls": """SELECT src, dst, sites FROM edges WHERE kind = 'calls'""",
+    # Methods of types and of interfaces; both are functions of the graph.
+    "type_methods": """
+        SELECT concat('T', CAST(CAST(floor(s_suppkey / 5) AS int) AS string)) AS type, concat('m', CAST(s_suppkey * 7 % 11 AS string)) AS method, concat('function:', s_name) AS id FROM {supplier} WHERE s_suppkey % 10 <> 3""",
+    "interface_methods": """
+        SELECT concat('I', CAST(CAST(floor(s_suppkey / 20) AS int) AS string)) AS interface, concat('m', CAST(s_suppkey * 7 % 11 AS string)) AS method, concat('function:', s_name) AS id FROM {supplier} WHERE s_suppkey % 10 = 3""",
     "edges_base": """
         SELECT DISTINCT concat('customer:', CAST(o_custkey AS string)) AS src, concat('priority:', o_orderpriority) AS dst, CASE WHEN o_custkey % 2 = 0 THEN 'depends_on' ELSE 'declares' END AS kind FROM {orders} WHERE o_orderdate < CAST('1999-01-01' AS timestamp)""",
     "edges_head": """

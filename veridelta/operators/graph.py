@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import threading
+import time
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridelta.shared import Tables
 
-SEARCH_LIMIT, NEIGHBOR_LIMIT, DELTA_LIMIT, REACH_LIMIT = 30, 100, 100, 20
-CALLERS_PER_FUNCTION, CALLERS_IN_ALL = 10, 100
+SEARCH_LIMIT, NEIGHBOR_LIMIT, DELTA_LIMIT = 30, 100, 100
 NODE_KINDS = ("component", "package", "file", "function", "type", "dependency")
 EDGE_KINDS = ("contains", "calls", "member_of", "implements", "imports", "depends_on", "declares")
 
@@ -54,35 +58,100 @@ def links(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction]
 
 
-def neighbors(edges: DataFrame, start: str, direction: str = "both", depth: int = 2, kinds: tuple[str, ...] = (), limit: int = NEIGHBOR_LIMIT, budget: int | None = None) -> DataFrame:
-    """Nodes within ``depth`` steps, each once, through the edge that finds it first; the first ``limit``, the total, and whether the budget ran out.
+def _cut(frontier: DataFrame, steps: DataFrame, left: int) -> DataFrame:
+    """The nodes of a level, in its order, whose edges fit into what is left of a budget, the last of them perhaps not in full.
+
+    Degrees are summed along the order, over at most ``left`` nodes that have
+    an edge, before any of their edges is read.
+    """
+    degrees = frontier.select("node").join(steps.groupBy(F.col("at").alias("node")).agg(F.count(F.lit(1)).alias("_degree")), "node")
+    first = frontier.join(degrees, "node").orderBy("place").limit(left)
+    before = F.sum("_degree").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    return first.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < left).select("node", "place")
+
+
+class _Deadline:
+    """Runs work that is cancelled at a time; ``over`` says whether it was."""
+
+    def __init__(self, spark: SparkSession, seconds: float | None):
+        self.context, self.over = spark.sparkContext, False
+        self.end = None if seconds is None else time.monotonic() + seconds
+
+    def run(self, work: Callable[[], DataFrame]) -> DataFrame | None:
+        """What ``work`` gives, or None where the time ran out before or during it."""
+        if self.end is None:
+            return work()
+        left = self.end - time.monotonic()
+        if left <= 0:
+            self.over = True
+            return None
+        group, before = uuid.uuid4().hex, self.context.getLocalProperty("spark.jobGroup.id")
+        self.context.setJobGroup(group, "search with a deadline", interruptOnCancel=True)
+
+        def stop() -> None:
+            self.over = True
+            self.context.cancelJobGroup(group)
+
+        timer = threading.Timer(left, stop)
+        timer.start()
+        try:
+            return work()
+        except Exception:
+            if not self.over:
+                raise
+            return None
+        finally:
+            timer.cancel()
+            self.context.setLocalProperty("spark.jobGroup.id", before)
+
+
+def neighbors(edges: DataFrame, start: str, direction: str = "both", depth: int = 2, kinds: tuple[str, ...] = (), limit: int = NEIGHBOR_LIMIT, budget: int | None = None, seconds: float | None = None, looked: Callable[[int], None] | None = None) -> DataFrame:
+    """Nodes within ``depth`` steps, each once, through the edge that finds it first; the first ``limit``, the total, and whether the budget or the time ran out.
 
     A step's place is the list of edges that led to it, so lists compare as a
     breadth-first search visits them, without numbering a frontier. With
     ``budget``, that many edges are looked at, in that order, and what they
-    reach is the (partial) result. Each level is written, so none is planned again.
+    reach is the (partial) result: a level is cut by its nodes' degrees before
+    their edges are joined, so at most one node's more are read. With
+    ``seconds``, the level at work when they are over is cancelled, and what was
+    written before is the result. ``looked`` gets the number of edges joined at
+    each level. Each level is written, so none is planned again.
     """
     tables = Tables(edges.sparkSession)
     steps = links(edges.where(F.col("kind").isin(*kinds)) if kinds else edges, direction)
     none = steps.limit(0).select(F.col("end").alias("node"), F.lit(0).alias("depth"), "dir", "kind", F.col("at").alias("via"), F.array("order").alias("place"))
     frontier = steps.sparkSession.createDataFrame([(start,)], "node string").select("node", F.array().cast(none.schema["place"].dataType).alias("place"))
-    seen, found, used, short = frontier.select("node"), none, 0, False
+    seen, found, used, short, deadline = frontier.select("node"), none, 0, False, _Deadline(edges.sparkSession, seconds)
     for d in range(1, depth + 1):
-        reached = frontier.join(steps, frontier.node == steps.at).select("end", "dir", "kind", F.col("node").alias("via"), F.concat("place", F.array("order")).alias("place"))
-        if budget is not None:
-            reached = tables.save(reached)
-            looked = reached.count()
-            short = used + looked > budget
-            reached = reached.orderBy("place").limit(budget - used) if short else reached
-            used += looked
-        best = reached.join(seen, reached.end == seen.node, "left_anti").groupBy("end").agg(F.min_by(F.struct("dir", "kind", "via", "place"), "place").alias("s"))
-        level = tables.save(best.select(F.col("end").alias("node"), F.lit(d).alias("depth"), "s.dir", "s.kind", "s.via", "s.place"))
+
+        def next_level(d=d, frontier=frontier, seen=seen) -> DataFrame:
+            nonlocal used, short
+            at = frontier
+            if budget is not None:
+                at = tables.save(_cut(frontier, steps, budget - used + 1))  # one edge more tells whether any is left out
+            reached = at.join(steps, at.node == steps.at).select("end", "dir", "kind", F.col("node").alias("via"), F.concat("place", F.array("order")).alias("place"))
+            if budget is not None:
+                seen_edges = Observation()
+                reached = tables.save(reached.observe(seen_edges, F.count(F.lit(1)).alias("n")))
+                n = seen_edges.get["n"]
+                if looked is not None:
+                    looked(n)
+                short = used + n > budget
+                reached = reached.orderBy("place").limit(budget - used) if short else reached
+                used += n
+            best = reached.join(seen, reached.end == seen.node, "left_anti").groupBy("end").agg(F.min_by(F.struct("dir", "kind", "via", "place"), "place").alias("s"))
+            return tables.save(best.select(F.col("end").alias("node"), F.lit(d).alias("depth"), "s.dir", "s.kind", "s.via", "s.place"))
+
+        level = deadline.run(next_level)
+        if level is None:
+            break
         found, frontier = found.unionByName(level), level.select("node", "place")
         if short or level.isEmpty():
             break
         seen = seen.unionByName(level.select("node"))
     top = found.orderBy("depth", "place").limit(limit)
-    return top.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total")))).select("node", "depth", "dir", "kind", "via", "total", F.lit(short).alias("truncated"))  # one row is broadcast
+    out = top.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))  # one row is broadcast
+    return out.select("node", "depth", "dir", "kind", "via", "total", F.lit(short).alias("truncated"), F.lit(deadline.over).alias("timed_out"))
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, undirected: bool = False, longest: int = 12) -> DataFrame:
@@ -113,52 +182,6 @@ def shortest_path(edges: DataFrame, start: str, end: str, undirected: bool = Fal
     return empty
 
 
-def callers(calls: DataFrame, nodes: DataFrame, target: str, depth: int = 3) -> DataFrame:
-    """Every call that leads to ``target`` within ``depth`` calls: caller, callee, depth and the chain ``via``; tests aren't followed further, functions only once. Each level is written."""
-    tables = Tables(calls.sparkSession)
-    test = nodes.where("test").select(F.col("id").alias("caller"))
-    frontier = calls.sparkSession.createDataFrame([(target,)], "node string").withColumn("via", F.array("node"))
-    seen, found = frontier.select("node"), None
-    for d in range(1, depth + 1):
-        sites = tables.save(frontier.join(calls, frontier.node == calls.dst).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.lit(d).alias("depth"), F.concat(F.array("src"), "via").alias("via")))
-        found = sites if found is None else found.unionByName(sites)
-        if d == depth or sites.isEmpty():
-            return found
-        fresh = sites.join(seen, sites.caller == seen.node, "left_anti").join(test, "caller", "left_anti")
-        frontier = tables.save(fresh.groupBy(F.col("caller").alias("node")).agg(F.min("via").alias("via")))
-        seen = seen.unionByName(frontier.select("node"))
-
-
-def reaching_tests(calls: DataFrame, nodes: DataFrame, targets: DataFrame, depth: int = 3, limit: int = REACH_LIMIT) -> DataFrame:
-    """The tests that reach each target (id), at their least depth; the first ``limit`` by (depth, path, name), with the total. Each level is written."""
-    tables = Tables(calls.sparkSession)
-    tests = nodes.where("test").select(F.col("id").alias("node"), F.lit(True).alias("_test"), "path", "name")
-    frontier = targets.select("id", F.col("id").alias("node"))
-    seen, found = frontier, None
-    for d in range(1, depth + 1):
-        step = frontier.join(calls, frontier.node == calls.dst).select("id", F.col("src").alias("node")).distinct().join(seen, ["id", "node"], "left_anti")
-        level = tables.save(step.join(tests, "node", "left").withColumn("depth", F.lit(d)))
-        hit = level.where("_test").select("id", F.col("node").alias("test"), "depth", "path", "name")
-        found = hit if found is None else found.unionByName(hit)
-        frontier = level.where("_test IS NULL").select("id", "node")
-        seen = seen.unionByName(level.select("id", "node"))
-    w = Window.partitionBy("id")
-    return found.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy("depth", "path", "name"))).where(F.col("place") <= limit)
-
-
-def unchanged_callers(sites: DataFrame, touched: DataFrame, tests: DataFrame) -> DataFrame:
-    """Call sites (src, dst, path, line, seq) outside touched functions and tests, one a line of a file for each callee."""
-    s = sites.join(touched.select(F.col("id").alias("src")), "src", "left_anti").join(tests.select(F.col("id").alias("src")), "src", "left_anti")
-    return s.groupBy("dst", "path", "line").agg(F.min_by("src", F.struct("seq", "src")).alias("src"))
-
-
-def capped_callers(sites: DataFrame, per: int = CALLERS_PER_FUNCTION, in_all: int = CALLERS_IN_ALL) -> DataFrame:
-    """At most ``per`` sites for each callee, of those at most ``in_all``, with each callee's total; a top-k orders them, not a global window."""
-    w = Window.partitionBy("dst")
-    kept = sites.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy("path", "line", "src"))).where(F.col("place") <= per)
-    return kept.orderBy("dst", "place").limit(in_all)
-
-
 def inspect(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of each function: references, distinct callers, distinct callees and tests that call it."""
     tests = nodes.select(F.col("id").alias("src"), "test")
@@ -218,27 +241,6 @@ def longest_prefix(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return paths.join(deepest, "path", "left").select("path", F.coalesce("root", top).alias("component"))
 
 
-def implementers(methods: DataFrame, interfaces: DataFrame) -> DataFrame:
-    """(type, interface) where the type (type, method) has every method of the interface (interface, method): division by counting."""
-    need = interfaces.distinct().groupBy("interface").agg(F.count(F.lit(1)).alias("need"))
-    have = methods.distinct().join(interfaces.distinct(), "method").groupBy("type", "interface").agg(F.count(F.lit(1)).alias("have"))
-    return have.join(need, "interface").where("have = need").select("type", "interface")
-
-
-def commit_depths(commits: DataFrame, head: str, most: int = 10_000) -> DataFrame:
-    """Commits (sha, parent) reached from ``head`` along parents, with their least depth, level by level; more than ``most`` levels are an error."""
-    tables = Tables(commits.sparkSession)
-    frontier = tables.save(commits.sparkSession.createDataFrame([(head, 0)], "sha string, depth int"))
-    found = frontier
-    for d in range(1, most + 1):
-        step = frontier.join(commits, "sha").select(F.col("parent").alias("sha")).where("sha IS NOT NULL").distinct().join(found.select("sha"), "sha", "left_anti")
-        frontier = tables.save(step.withColumn("depth", F.lit(d)))
-        if frontier.isEmpty():
-            return found
-        found = found.unionByName(frontier)
-    raise RuntimeError(f"history goes back more than {most} commits")
-
-
 def call_edges(sites: DataFrame, nodes: DataFrame) -> DataFrame:
     """Calls between known nodes with their number of sites; those with an unknown end are dropped."""
     ids = nodes.select("id")
@@ -354,31 +356,3 @@ def head_labels(runs: DataFrame) -> DataFrame:
     return heads.groupBy("commit").agg(F.array_join(F.array_sort(F.collect_set("repo_key")), ",").alias("labels"))
 
 
-def nearest_labels(commits: DataFrame, labels: DataFrame, most: int = 300) -> DataFrame:
-    """The labels (sha, label) of each commit (sha, parent): its own, else those of the nearest commits that descend from it, sorted.
-
-    Labels walk along parents level by level, and a commit takes those of the level that reaches it first.
-    """
-    tables = Tables(commits.sparkSession)
-    joined = F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels")
-    known = commits.select("sha").union(commits.select("parent")).where("sha IS NOT NULL").distinct()
-    frontier = tables.save(labels.join(known, "sha", "left_semi").select("sha", "label").distinct())
-    seen, found = frontier.select("sha").distinct(), frontier.groupBy("sha").agg(joined).withColumn("distance", F.lit(0))
-    for d in range(1, most + 1):
-        step = frontier.join(commits, "sha").select(F.col("parent").alias("sha"), "label").where("sha IS NOT NULL").distinct().join(seen, "sha", "left_anti")
-        frontier = tables.save(step)
-        if frontier.isEmpty():
-            return found
-        seen, found = seen.unionByName(frontier.select("sha").distinct()), found.unionByName(frontier.groupBy("sha").agg(joined).withColumn("distance", F.lit(d)))
-    raise RuntimeError(f"labels are further than {most} commits away")
-
-
-def merge_base(commits: DataFrame, base: str, head: str) -> str:
-    """The one best common ancestor of two commits: reached from both, and from no other such. None or several are an error."""
-    tables = Tables(commits.sparkSession)
-    both = tables.save(commit_depths(commits, base).select("sha").join(commit_depths(commits, head).select("sha"), "sha"))
-    behind = both.join(commits, "sha").select(F.col("parent").alias("sha")).distinct()
-    best = [r.sha for r in both.join(behind, "sha", "left_anti").limit(2).collect()]
-    if len(best) != 1:
-        raise ValueError("no merge base" if not best else "several merge bases")
-    return best[0]

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veridelta.functions import text as tx
 
-from . import graph, store
+from . import dispatch, graph, store
 from .core import alert_rank, top_with_total
 from .security import java
 
@@ -74,7 +74,7 @@ CATALOG = {
         Tool("search_graph", "nodes by name", ("nodes",), {"text": "string"}, lambda nodes, text: graph.search(nodes, text)),
         Tool("neighbors", "nodes near one", ("edges",), {"start": "string", "depth": "integer"}, lambda edges, start, depth: graph.neighbors(edges, start, depth=_depth(depth))),
         Tool("find_path", "a shortest chain", ("edges",), {"start": "string", "end": "string"}, lambda edges, start, end: graph.shortest_path(edges, start, end)),
-        Tool("find_callers", "calls that lead to a function", ("calls", "nodes"), {"target": "string", "depth": "integer"}, lambda calls, nodes, target, depth: graph.callers(calls, nodes, target, _depth(depth))),
+        Tool("find_callers", "calls that lead to a function", ("calls", "nodes"), {"target": "string", "depth": "integer"}, lambda calls, nodes, target, depth: dispatch.callers(calls, nodes, target, _depth(depth))),
         Tool("find_references", "calls of a function", ("calls",), {"target": "string"}, lambda calls, target: calls.where(F.col("dst") == target)),
         Tool("inspect_symbol", "counts of a function", ("calls", "nodes"), {"target": "string"}, lambda calls, nodes, target: graph.inspect(calls, nodes).where(F.col("id") == target)),
         Tool("search_code", "lines that hold a text", ("docs",), {"query": "string"}, lambda docs, query: search_snapshot(docs, query)),
