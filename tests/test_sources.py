@@ -1,7 +1,9 @@
 """Sources beyond what the queries render: broken packages, loose JSON, lexers, tools."""
 
+import hashlib
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +128,61 @@ def test_renames_pair_files_that_share_half(spark):
     assert [(r.old_path, r.path, r.similarity > 0.99) for r in git.renames(gone, new).collect()] == [("a", "y", True)]
 
 
+def brute_renames(gone, new, least=0.5):
+    """Greedy pairs of small lists of files: equal contents in order of paths, then best contents first."""
+    out, gone, new = {}, dict(gone), dict(new)
+    for content in set(gone.values()):
+        for a, b in zip(sorted(p for p in gone if gone[p] == content), sorted(p for p in new if new[p] == content), strict=False):
+            out[a] = (b, 1.0)
+    olds, news = ({c: sorted(p for p in side if side[p] == c and p not in gone_) for c in side.values()} for side, gone_ in ((gone, set(out)), (new, {b for b, _ in out.values()})))
+
+    def score(a, b):
+        bag = lambda t: Counter(t.split("\n"))
+        return sum(n * (len(x.encode()) + 1) for x, n in (bag(a) & bag(b)).items()) / (max(len(a.encode()), len(b.encode())) + 1)
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    scores = sorted((-score(a, b), sha(sha(a) + sha(b)), a, b) for a in olds for b in news if olds[a] and news[b] and score(a, b) >= least)
+    for s, _, a, b in scores:
+        while olds[a] and news[b]:
+            out[olds[a].pop(0)] = (news[b].pop(0), -s)
+    return {(a, b, round(s, 9)) for a, (b, s) in out.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_renames_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    words = ["}", "}", "return x", "", *(f"line {n}" for n in range(12))]
+    text = lambda: "\n".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9)))
+    texts = [text() for _ in range(12)]
+    gone, new = ([(f"{side}{n:02}", rnd.choice([rnd.choice(texts), text()])) for n in range(25)] for side in "ab")
+    df = lambda rows: make(spark, rows, "path string, content string")
+    assert {(r.old_path, r.path, round(r.similarity, 9)) for r in git.renames(df(gone), df(new)).collect()} == brute_renames(gone, new)
+
+
+@pytest.mark.parametrize("n", [51, 5000])
+def test_any_number_of_equal_files_is_paired(spark, n):
+    side = lambda c: spark.range(n).select(F.format_string(f"{c}/%05d", "id").alias("path"), F.lit("same\ntext").alias("content"))
+    got = git.renames(side("a"), side("b")).select("old_path", "path", "similarity")
+    assert got.where("substr(old_path, 3) = substr(path, 3) AND similarity = 1").count() == n == got.count()
+
+
+def test_half_the_bytes_are_enough_however_frequent_the_lines(spark):
+    """All files share a line that is half of each; nothing else is shared."""
+    common = "c" * 19
+    side = lambda c: [(f"{c}{n}", common + "\n" + f"{c}{n:03}" + "u" * 15) for n in range(40)]
+    got = git.renames(make(spark, side("a"), "path string, content string"), make(spark, side("b"), "path string, content string")).collect()
+    assert len(got) == 40
+    assert {r.similarity for r in got} == {0.5}
+
+
+def test_changes_since_the_merge_base(spark):
+    commits = make(spark, [("a", None), ("b", "a"), ("c", "a")], "sha string, parent string")
+    body = "\n".join(f"row {n}" for n in range(9))
+    rows = [("a", "keep", "k"), ("a", "was", body), ("a", "edit", "1"), ("a", "gone", "zzz"), ("c", "keep", "k"), ("c", "now", body + "\nmore"), ("c", "edit", "2"), ("c", "new", None), ("b", "other", "x")]
+    got = git.changes(commits, make(spark, rows, "sha string, path string, content string"), "b", "c").collect()
+    assert sorted((r.path, r.old_path, r.status) for r in got) == [("edit", "", "M"), ("gone", "", "D"), ("new", "", "A"), ("now", "was", "R")]
+
+
 def fuzz(*lines_):
     return "\n".join(map(json.dumps, lines_))
 

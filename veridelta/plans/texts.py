@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from veridelta.functions import paths as fp
 from veridelta.functions import text as tx
-from veridelta.operators import core, tools
+from veridelta.operators import core, history, tools
 from veridelta.operators import documents as dc
 from veridelta.operators import sequences as sq
 from veridelta.plans import samples
 from veridelta.registry import query
+from veridelta.shared import Tables
 from veridelta.sources import git
 from veridelta.sources import lines as src
 from veridelta.sources import patches
@@ -367,6 +368,30 @@ def _(lineitem):
     return patches.patch_files(patch(lineitem))
 
 
+#: Documents as a tree; of those whose id three divides, paths move, of every second of these with a line more; others get a line more where they are, or go.
+TREE = """WITH d AS (SELECT doc_id, concat('# ', doc_id, chr(10), coalesce(text, '')) AS t FROM documents WHERE doc_id IS NOT NULL) SELECT concat(CASE WHEN doc_id % 3 = 0 THEN 'e/' ELSE 'd/' END, doc_id) AS path, CASE WHEN doc_id % 3 = 0 THEN concat('d/', doc_id) ELSE '' END AS old_path,
+CASE WHEN doc_id % 3 = 0 THEN 'R' WHEN doc_id % 7 = 1 THEN 'D' ELSE 'M' END AS status, CASE WHEN doc_id % 6 = 0 THEN (strlen(t) + 1) / (strlen(t) + 3) WHEN doc_id % 3 = 0 THEN 1.0 END AS similarity FROM d WHERE doc_id % 3 = 0 OR doc_id % 7 = 1 OR doc_id % 5 = 1"""
+
+
+@query("src1_tree_changes", TREE)
+def _(documents, customer):
+    """Customers stand in for commits, each with the half of its number as parent: the last two meet at one of these."""
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    k = F.col("c_custkey")
+    commits = Tables(documents.sparkSession).save(customer.select(name(k).alias("sha"), F.when(k > 1, name(F.floor(k / 2))).alias("parent")))
+    last = customer.agg(F.max("c_custkey")).first()[0] or 1
+    base, head = f"c{last}", f"c{last - 1}"
+    start = history.merge_base(commits, base, head)
+    n = F.col("doc_id")
+    text = F.concat(F.lit("# "), n.cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))  # so that no two are equal
+    docs = documents.where("doc_id IS NOT NULL")
+    more = F.concat(text, F.lit("\nx"))
+    before = docs.select(F.lit(start).alias("sha"), F.concat(F.lit("d/"), n.cast("string")).alias("path"), text.alias("content"))
+    moved = F.concat(F.when(n % 3 == 0, "e/").otherwise("d/"), n.cast("string"))
+    after = docs.where("doc_id % 3 = 0 OR doc_id % 7 <> 1").select(F.lit(head).alias("sha"), moved.alias("path"), F.when((n % 6 == 0) | ((n % 3 != 0) & (n % 5 == 1)), more).otherwise(text).alias("content"))
+    return git.changes(commits, before.unionByName(after), base, head)
+
+
 @query("src4_hunk_header", "SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS old_start, CAST(CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey % 9 ELSE 1 END AS BIGINT) AS old_count, CAST(l_partkey % 20 AS BIGINT) AS new_start, CAST(3 AS BIGINT) AS new_count FROM lineitem")
 def _(lineitem):
     line = F.concat(F.lit("@@ -"), s("l_linenumber"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit(","), (F.col("l_suppkey") % 9).cast("string"))).otherwise(""), F.lit(" +"), (F.col("l_partkey") % 20).cast("string"), F.lit(",3 @@ f()"))
