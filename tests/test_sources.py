@@ -223,6 +223,23 @@ def test_masking_settles_and_keeps_lines(spark):
     assert all(r.r == r.again for r in got)
 
 
+def test_reports_are_masked_before_they_are_cut(spark):
+    token = "gho_" + samples.drawn(40)
+    case = {"fullName": f"opens {token}", "status": "failed", "failureMessages": ["é" * 2040 + token, None, "password: " + samples.drawn(9)]}
+    text = json.dumps({"testResults": [{"name": f"a {token}.ts", "assertionResults": [case]}, {"name": "b", "assertionResults": []}], "other": 1})
+    row = lines.jest_report(make(spark, [("1", text)], "id string, text string")).first()
+    assert (row.file, row.name) == ("a [REDACTED].ts", "opens [REDACTED]")
+    assert row.message == "é" * 2040 + "[REDACTED]\n[REDACTED]"
+    short = lines.jest_report(make(spark, [("1", text)], "id string, text string"), message_bytes=4085).first().message
+    assert short == "é" * 2040 + "[REDA\n[REDACTED]"
+
+
+@pytest.mark.parametrize(("text", "reason"), [("{}", "no test results"), (None, "no valid text"), ("[1", "MALFORMED|FAILFAST|JSON"), ('{"testResults": [', "MALFORMED|FAILFAST|JSON")])
+def test_unreadable_reports_fail(spark, text, reason):
+    with pytest.raises(Exception, match=reason):
+        lines.jest_report(make(spark, [("1", text)], "id string, text string")).collect()
+
+
 def test_search_masks_before_it_shows(spark):
     docs = make(spark, [(1, "find me\npassword=find me"), (2, "findme find_me find me!"), (3, None)], "doc_id int, text string")
     assert [(r.doc_id, r.line, r.text) for r in tools.search_snapshot(docs, "find").collect()] == [(1, 1, "find me"), (2, 1, "findme find_me find me!")]

@@ -494,9 +494,14 @@ def _(events):
     return src.push_event(events.select(s("event_id").alias("id"), j.alias("text")), "gitlab")
 
 
-@query("src16_jest_report", "SELECT CAST(user_id AS VARCHAR) AS id, concat('f', event_id % 3) AS file, concat('t', event_id) AS name, event_type AS status, '' AS message FROM events")
+MESSAGE = SECRET.replace("o_orderkey", "event_id")
+
+
+@query("src16_jest_report", f"SELECT CAST(user_id AS VARCHAR) AS id, concat('f', event_id % 3) AS file, concat('t', event_id) AS name, event_type AS status, concat(replace({MESSAGE}, '@n', CAST(event_id AS VARCHAR)), chr(10), 'at line ', event_id % 9) AS message FROM events")
 def _(events):
-    a = events.groupBy("user_id", (F.col("event_id") % 3).alias("k")).agg(F.collect_list(F.struct(F.concat(F.lit("t"), s("event_id")).alias("fullName"), F.col("event_type").alias("status"), F.array().cast("array<string>").alias("failureMessages"))).alias("assertionResults"))
+    secret = F.replace(F.element_at(F.array(*(F.lit(a) for a, _ in CREDENTIALS)), (F.col("event_id") % len(CREDENTIALS) + 1).cast("int")), F.lit("@n"), s("event_id"))
+    messages = F.array(secret, F.concat(F.lit("at line "), (F.col("event_id") % 9).cast("string")))
+    a = events.groupBy("user_id", (F.col("event_id") % 3).alias("k")).agg(F.collect_list(F.struct(F.concat(F.lit("t"), s("event_id")).alias("fullName"), F.col("event_type").alias("status"), messages.alias("failureMessages"))).alias("assertionResults"))
     f = a.groupBy(s("user_id").alias("id")).agg(F.collect_list(F.struct(F.concat(F.lit("f"), s("k")).alias("name"), "assertionResults")).alias("testResults"))
     return src.jest_report(f.select("id", F.to_json(F.struct("testResults")).alias("text")))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridelta.functions import text as tx
+
 SATURATED = 1 << 30
 
 
@@ -197,12 +199,21 @@ def push_event(texts: DataFrame, forge: str = "github") -> DataFrame:
     return out.where(F.col("ref").startswith("refs/heads/")).withColumn("branch", F.substring("ref", 12, 1 << 20)).drop("ref")
 
 
-def jest_report(texts: DataFrame, message_bytes: int = 2000) -> DataFrame:
-    """Assertions of a nested JSON report: file, name, status and a bounded message; one without results fails the read."""
-    j = F.from_json("text", "testResults array<struct<name string, assertionResults array<struct<fullName string, status string, failureMessages array<string>>>>>")
+def jest_report(texts: DataFrame, message_bytes: int = 4096) -> DataFrame:
+    """Assertions of a nested JSON report: file, name, status and messages, all with credentials masked; one without results or with a text that is no JSON fails the read.
+
+    Each message is masked as a whole and then cut, between characters, to
+    ``message_bytes``, since half a credential can't be told. Messages of an
+    assertion are joined by line ends.
+    """
+    fields = "testResults array<struct<name string, assertionResults array<struct<fullName string, status string, failureMessages array<string>>>>>"
+    valid = F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(F.raise_error(F.lit("test results are no valid text")))
+    j = F.from_json(valid, fields, {"mode": "FAILFAST"})
     ok = F.when(F.col("j.testResults").isNotNull(), F.col("j.testResults")).otherwise(F.raise_error(F.lit("no test results")))
     f = texts.select("id", j.alias("j")).select("id", F.explode(ok).alias("f"))
-    return f.select("id", F.col("f.name").alias("file"), F.explode("f.assertionResults").alias("a")).select("id", "file", F.col("a.fullName").alias("name"), "a.status", F.substring(F.array_join("a.failureMessages", "\n"), 1, message_bytes).alias("message"))
+    a = f.select("id", F.col("f.name").alias("file"), F.explode("f.assertionResults").alias("a")).select("id", "file", "a.*")
+    messages = F.transform("failureMessages", lambda m: tx.truncate_utf8(tx.redact(m), message_bytes))
+    return a.select("id", tx.redact(F.col("file")).alias("file"), tx.redact(F.col("fullName")).alias("name"), tx.redact(F.col("status")).alias("status"), F.array_join(messages, "\n").alias("message"))
 
 
 def junit_report(texts: DataFrame) -> DataFrame:
