@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridelta.session import ship
-from veridelta.streaming import replay, state
+from veridelta.streaming import replay, state, timers
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +48,35 @@ def test_totals_and_feeds_are_the_same_in_parts(spark, events):
     for r in feed.orderBy("seq").collect():
         last[r.key] = (r.kind, r.value)
     assert whole == {k: v for k, (kind, v) in last.items() if kind != "error"}
+
+
+def test_silent_owners_expire(spark, events):
+    """Owners a and b aren't heard of after their attempts ended; the others' events pass the time."""
+    rows = [("a", 1, 100, 101), ("b", 2, 101, 101), ("b", 3, 102, None), ("c", 4, 104, 190), ("c", 5, 160, None), ("d", 6, 111, 112), ("d", 7, 161, 113), (None, 8, 162, 120)]
+    df = spark.createDataFrame(rows, "owner string, seq bigint, at bigint, finished bigint")
+    progress = []
+
+    def make(stream):
+        return timers.expirations(stream, 10)
+
+    def feed(stream, at):
+        q = make(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        progress.extend(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+
+    with replay._stores(spark):
+        replay.arrived(df, "at", feed)
+    got = replay.replayed(df, "at", make)
+    want = {("a", 1, 111), ("b", 2, 111), ("d", 6, 122), ("d", 7, 123), (None, 8, 130)}
+    assert {tuple(r) for r in got.collect()} == want == {tuple(r) for r in timers.expirations(df, 10).collect()}
+    assert progress[-1] < max(progress)  # state falls to what is still to expire
+
+
+def test_absences_need_a_completed_scan(spark, events):
+    seen = {1: "ab", 2: "a", 3: "ac", 4: "c", 5: "bc", 6: "b"}
+    rows = [(7, g, i, "seen") for g, items in seen.items() for i in items] + [(7, g, None, "failed" if g in (2, 5) else "completed") for g in seen] + [(8, 1, "z", "seen"), (8, 2, None, "failed"), (7, 3, None, "seen")]
+    df = spark.createDataFrame(rows, "source bigint, generation bigint, item string, kind string").repartition(3)
+    want = {(7, "b", 3), (7, "a", 4), (7, "c", 6)}  # not by the scans that failed
+    assert {tuple(r) for r in timers.absent(df).collect()} == want
+    for batches in (1, 3):
+        assert {tuple(r) for r in replay.replayed(df, "generation", timers.absences, batches).collect()} == want

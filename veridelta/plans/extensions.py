@@ -305,12 +305,16 @@ def _(nation):
 
 @query("ext6_wait_state", "SELECT repo_key, commit, arg_max(status, seq) AS status, arg_max(status, seq) NOT IN ('queued', 'running') AS done FROM runs GROUP BY ALL")
 def _(runs):
-    # The writes of runs arrive as a stream; once it has ended, what each is waited for is read.
-    files = replay.as_stream(runs.select("repo_key", "commit", "seq", "status"), "seq")
-    at = Tables(runs.sparkSession).at
-    if not tools.wait_for(replay.upsert_to(files, f"{at}/table", f"{at}/log", ["repo_key", "commit"], "seq"), 600):
-        raise TimeoutError("the stream hasn't ended")
-    return tools.settled(replay.current(runs.sparkSession, f"{at}/table", files.schema))
+    # The writes of runs arrive as a stream; when it has read them, what each is waited for is read.
+    rows, at = runs.select("repo_key", "commit", "seq", "status"), []
+
+    def feed(stream, folder):
+        at[:] = [folder]
+        if not tools.wait_for(replay.upsert_to(stream, f"{folder}/table", f"{folder}/log", ["repo_key", "commit"], "seq"), 600):
+            raise TimeoutError("the stream hasn't ended")
+
+    replay.arrived(rows, "seq", feed)
+    return tools.settled(replay.current(runs.sparkSession, f"{at[0]}/table", rows.schema))
 
 
 @query("src47_issue_text", "SELECT CAST(item_id AS VARCHAR) AS id, concat('# ', CASE WHEN item_id % 3 = 0 THEN concat('K-', item_id) ELSE concat('Issue ', item_id) END, chr(10), chr(10), trim(text, chr(9) || chr(10) || chr(13) || ' ')) AS intent FROM benchmark")

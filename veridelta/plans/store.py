@@ -10,7 +10,7 @@ from veridelta.operators import core, store
 from veridelta.operators import documents as dc
 from veridelta.registry import query
 from veridelta.shared import Tables
-from veridelta.streaming import limiter, replay, state
+from veridelta.streaming import limiter, replay, state, timers
 
 SINCE = "2024-01-20"
 ACT = "greatest(queued_at, finished_at)"
@@ -224,11 +224,11 @@ def _(runs):
 EXPIRED = "WITH a AS (SELECT user_key AS owner, seq, CAST(floor(epoch(queued_at)) AS BIGINT) AS at_, CASE WHEN status NOT IN ('queued', 'running') THEN CAST(floor(epoch(finished_at)) AS BIGINT) END AS fin FROM runs)"
 
 
-@query("str5_ttl_state", EXPIRED + " SELECT f.owner, f.seq, min(e.at_) AS expired_at FROM a f JOIN a e ON e.owner = f.owner AND e.at_ > f.fin + 172800 GROUP BY f.owner, f.seq", python=True)
+@query("str5_ttl_state", EXPIRED + " SELECT owner, seq, fin + 172800 AS expired_at FROM a WHERE fin + 172800 <= (SELECT max(at_) FROM a)", python=True)
 def _(runs):
     finished = F.when(~F.col("status").isin(*store.PENDING), F.unix_seconds(F.col("finished_at").cast("timestamp")))
     attempts = runs.select(F.col("user_key").alias("owner"), "seq", F.unix_seconds(F.col("queued_at").cast("timestamp")).alias("at"), finished.alias("finished"))
-    return replay.appended(state.expirations(replay.as_stream(attempts, "at"), 48 * 3600))
+    return replay.replayed(attempts, "at", lambda stream: timers.expirations(stream, 48 * 3600))
 
 
 @query("str7_incremental_learning", "SELECT topic, count(*) AS n, count(*) FILTER (vote = 'up') AS up FROM feedback GROUP BY topic")
@@ -248,7 +248,7 @@ SELECT queue, seq, result FROM w WHERE result <> ''"""
 def _(runs):
     kind = F.when(F.col("status").isin("failed", "done"), "end").otherwise("submit")
     events = runs.select(F.col("user_key").alias("queue"), "seq", kind.alias("kind"), F.col("repo_key").alias("user"), F.concat("repo_key", F.lit("/"), (F.col("seq") % 3).cast("string")).alias("job"))
-    return replay.appended(state.submissions(replay.as_stream(events, "seq"), 2, 6))
+    return replay.replayed(events, "seq", lambda stream: state.submissions(stream, 2, 6))
 
 
 @query("str9_push_filter", "SELECT repo_key, commit, seq FROM runs WHERE variant = '' AND status <> 'failed' AND repo_key <> ''")
@@ -262,10 +262,21 @@ def _(events):
     return replay.apply_feed(feed)
 
 
-@query("str12_absence_detection", "WITH seen AS (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0), all_ AS (SELECT DISTINCT user_id, user_id % 5 AS source FROM events), done AS (SELECT 0 AS source UNION ALL SELECT 1 UNION ALL SELECT 2) SELECT a.user_id, CASE WHEN s.user_id IS NOT NULL THEN 'present' WHEN d.source IS NOT NULL THEN 'removed' ELSE 'unknown' END AS state FROM all_ a LEFT JOIN seen s USING (user_id) LEFT JOIN done d USING (source)")
+SCANS = """WITH RECURSIVE s AS (SELECT DISTINCT user_id % 5 AS source, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS generation, CAST(user_id AS VARCHAR) AS item FROM events),
+m AS (SELECT *, (generation + source) % 3 <> 0 AS done FROM (SELECT DISTINCT source, generation FROM s)), w AS (SELECT *, lead(generation) OVER (PARTITION BY source, item ORDER BY generation) AS again FROM s)
+SELECT w.source, item, min(m.generation) AS generation FROM w JOIN m ON m.source = w.source AND m.done AND m.generation > w.generation GROUP BY w.source, item, w.generation, again HAVING again IS NULL OR min(m.generation) < again"""
+
+
+def scans(events):
+    """A scan of each source a day; two in three are read to the end."""
+    seen = events.select((F.col("user_id") % 5).alias("source"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).alias("generation"), F.col("user_id").cast("string").alias("item"), F.lit("seen").alias("kind"))
+    ends = seen.select("source", "generation").distinct()
+    return seen.unionByName(ends.select("source", "generation", F.lit(None).cast("string").alias("item"), F.when((F.col("generation") + F.col("source")) % 3 != 0, "completed").otherwise("failed").alias("kind")))
+
+
+@query("str12_absence_detection", SCANS, python=True)
 def _(events):
-    known = events.select("user_id", (F.col("user_id") % 5).alias("source")).distinct()
-    return replay.absent(known, events.where("event_id % 2 = 0").select("user_id").distinct(), [0, 1, 2])
+    return replay.replayed(scans(events), "generation", timers.absences)
 
 
 @query("str4_document_state", "SELECT user_id, event_id, CASE WHEN value IS NULL THEN 'unknown' WHEN value > 90 THEN 'too_large' WHEN lag(event_type) OVER w IS NULL THEN 'new' WHEN lag(event_type) OVER w = event_type THEN 'clean' ELSE 'changed' END AS state FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -291,8 +302,7 @@ def _(events):
 
 @query("str10_scan_loop", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def _(events):
-    files = replay.as_stream(events.select("user_id", "event_id", "event_type"), "event_id")
-    return replay.scanned(files, ["user_id"], "event_id")
+    return replay.scanned(events.select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
 
 
 @query("str8_explanation_carry", "WITH ties AS (SELECT concat('x', seq // 5) AS explanation, alert_id AS tie FROM feedback), cur AS (SELECT DISTINCT alert_id AS tie FROM feedback WHERE alert_id NOT IN ('a4', 'a18')) SELECT explanation, bool_and(tie IN (SELECT tie FROM cur)) AS kept FROM ties GROUP BY explanation")
@@ -304,7 +314,7 @@ def _(feedback):
 @query("str6_fan_out", "WITH s AS (SELECT user_key, seq, status, count(*) FILTER (status = 'failed') OVER (PARTITION BY user_key ORDER BY seq) AS part FROM runs) SELECT user_key, seq, row_number() OVER (PARTITION BY user_key, part ORDER BY seq) <= 3 AS delivered FROM s WHERE status <> 'failed'", python=True)
 def _(runs):
     events = runs.select("user_key", "seq", F.when(F.col("status") == "failed", "read").otherwise("publish").alias("kind"))
-    return replay.appended(state.fan_out(replay.as_stream(events, "seq"), 3))
+    return replay.replayed(events, "seq", lambda stream: state.fan_out(stream, 3))
 
 
 @query("snk11_event_push", "SELECT user_key, count(*) AS published, least(count(*), 32) AS delivered, greatest(count(*) - 32, 0) AS dropped FROM runs GROUP BY user_key")

@@ -6,6 +6,9 @@ on a stream unchanged. ``stream_files`` and ``upsert_to`` run them as streams.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veridelta.shared import Tables
 
+from .timers import PROVIDER
+
 
 def stream_files(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of the Parquet files of a folder."""
@@ -35,13 +40,6 @@ def apply_feed(feed: DataFrame) -> DataFrame:
     return last.where("r.kind <> 'error'").select("key", "r.value")
 
 
-def absent(known: DataFrame, seen: DataFrame, completed: list[int]) -> DataFrame:
-    """present, removed (its source was read to the end without it) or unknown (its source failed)."""
-    done = known.sparkSession.createDataFrame([(s,) for s in completed], "source int").withColumn("_done", F.lit(True))
-    marked = known.join(seen.withColumn("_seen", F.lit(True)), "user_id", "left").join(F.broadcast(done), "source", "left")  # a row a source
-    return marked.select("user_id", F.when(F.col("_seen"), "present").when(F.col("_done"), "removed").otherwise("unknown").alias("state"))
-
-
 def document_states(events: DataFrame) -> DataFrame:
     """The state of each version of a document: unknown, too_large, new, clean or changed against the one before."""
     before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
@@ -55,18 +53,48 @@ def carried(ties: DataFrame, present: DataFrame) -> DataFrame:
     return ties.select("explanation", "tie").distinct().join(there, "tie", "left").groupBy("explanation").agg(F.bool_and(F.col("_in").isNotNull()).alias("kept"))
 
 
-def as_stream(rows: DataFrame, order: str, batches: int = 3) -> DataFrame:
-    """A table as a stream of ``batches`` micro-batches, in order of a numeric column; each is written to the shared folder as the files of one scan."""
-    spark, at = rows.sparkSession, f"{Tables(rows.sparkSession).at}/stream"
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+def arrived(rows: DataFrame, order: str, feed: Callable[[DataFrame, str], object], batches: int = 3) -> None:
+    """Lets a table arrive in a folder, in ``batches`` ranges of a numeric column; after each, ``feed`` (stream, folder) is run to its end.
+
+    A run that starts from the same checkpoint reads what is new as one batch,
+    of as many files as were written.
+    """
+    spark, tables = rows.sparkSession, Tables(rows.sparkSession)
+    held = tables.save(rows)
+    lo, hi = held.agg(F.min(order), F.max(order)).first()
     edges = [lo + (hi - lo + 1) * k / batches for k in range(1, batches)] if lo is not None else []
-    part = sum((F.col(order) >= e).cast("int") for e in edges) if edges else F.lit(0)
-    rows.withColumn("_batch", part).write.partitionBy("_batch").parquet(at)
-    for k in range(len(edges) + 1):
-        # A folder for each batch, so that a scan finds one after the other.
-        part = spark.read.schema(rows.schema).parquet(f"{at}/_batch={k}") if _exists(spark, f"{at}/_batch={k}") else rows.limit(0)
-        part.coalesce(1).write.mode("append").parquet(f"{at}-files")
-    return stream_files(spark, f"{at}-files", rows.schema)
+    for k, (a, b) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+        after = F.lit(True) if a is None else F.col(order) >= a
+        before = F.lit(True) if b is None else F.col(order) < b
+        part = held.where(F.coalesce(after & before, F.lit(k == 0)))
+        part.write.mode("append").parquet(f"{tables.at}/in")
+        feed(spark.readStream.schema(rows.schema).parquet(f"{tables.at}/in"), tables.at)
+    tables.drop(held)
+
+
+def replayed(rows: DataFrame, order: str, make: Callable[[DataFrame], DataFrame], batches: int = 3) -> DataFrame:
+    """What a streaming operator appends while a table arrives, as a table of the shared folder."""
+    spark, made = rows.sparkSession, []
+
+    def feed(stream: DataFrame, at: str) -> None:
+        out = make(stream)
+        made[:] = [at, out.schema]
+        out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    with _stores(spark):
+        arrived(rows, order, feed, batches)
+    return spark.read.schema(made[1]).parquet(f"{made[0]}/out")
+
+
+@contextmanager
+def _stores(spark: SparkSession) -> Iterator[None]:
+    """State that operators with timers need, for streams that start meanwhile."""
+    before = spark.conf.get(PROVIDER[0], None)
+    spark.conf.set(*PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER[0], before) if before else spark.conf.unset(PROVIDER[0])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -81,11 +109,16 @@ def appended(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def scanned(stream: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Scans of a folder, one after the other, until nothing is new: the last row of each key."""
-    at = Tables(stream.sparkSession).at
-    upsert_to(stream, f"{at}/table", f"{at}/log", keys, seq).awaitTermination()
-    return current(stream.sparkSession, f"{at}/table", stream.schema)
+def scanned(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Scans of a folder in which rows arrive: the last row of each key."""
+    at = []
+
+    def feed(stream: DataFrame, folder: str) -> None:
+        at[:] = [folder]
+        upsert_to(stream, f"{folder}/table", f"{folder}/log", keys, seq).awaitTermination()
+
+    arrived(rows, seq, feed)
+    return current(rows.sparkSession, f"{at[0]}/table", rows.schema)
 
 
 #: Keys are dealt to so many folders; a batch rewrites only those that it touches.

@@ -86,26 +86,6 @@ def submissions(events: DataFrame, per_user: int, most: int) -> DataFrame:
     return _by_key(events.select("queue", "seq", "kind", "user", "job"), "queue", step, "queue string, seq bigint, result string", "active string")
 
 
-def expirations(attempts: DataFrame, seconds: int) -> DataFrame:
-    """When finished attempts (owner, seq, at, finished: seconds) are forgotten: at the first event of their owner that comes more than ``seconds`` after they ended.
-
-    Attempts that haven't finished (null) are kept. Events come in order of (at,
-    seq); state holds the attempts of an owner that aren't forgotten.
-    """
-
-    def step(state: list | None, rows: pd.DataFrame):
-        kept, out = list(state or []), []
-        for owner, seq, at, finished in rows.sort_values(["at", "seq"])[["owner", "seq", "at", "finished"]].itertuples(index=False):
-            gone = [k for k in kept if k[1] + seconds < at]
-            out += [(owner, k[0], int(at)) for k in gone]
-            kept = [k for k in kept if k[1] + seconds >= at]
-            if not pd.isna(finished):
-                kept.append([int(seq), int(finished)])
-        return out, kept
-
-    return _by_key(attempts.select("owner", "seq", "at", "finished"), "owner", step, "owner string, seq bigint, expired_at bigint", "kept string")
-
-
 def fan_out(events: DataFrame, room: int = 32) -> DataFrame:
     """Whether each published event (user_key, seq, kind) reaches its user's channel, which holds ``room`` until the user reads it (kind ``read``); what doesn't fit is dropped."""
 
