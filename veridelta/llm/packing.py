@@ -25,6 +25,9 @@ SCHEMA = (
     "sequence_id bigint, offset bigint, sequence_tokens bigint, tier int, step_group bigint"
 )
 
+#: Words whose ids a worker keeps.
+WORDS = 400_000
+
 #: Printable Latin-1 without the no-break space.
 PLAIN = re.compile(r"[!-~\xa1-\xff]+").fullmatch
 
@@ -39,12 +42,12 @@ class WordIds:
     and one that may hold a special token, goes through the whole library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids = Cached(self._word, 200_000)
-        self.parts = Cached(self._part, 100_000)
+        self.ids = Cached(self._word, words)
+        self.parts = Cached(self._part, words * 3 // 4)
         self.spelled = str.maketrans({chr(b): c for c, b in byte_characters().items()})
         self.merge = self.tokenizer.model.tokenize
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -68,9 +71,9 @@ class WordIds:
 
 
 @lru_cache(2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, words: int = WORDS) -> WordIds:
     """One for each worker process and file, so that its caches serve all its tasks."""
-    return WordIds(path)
+    return WordIds(path, words)
 
 
 class _Piece:
@@ -185,6 +188,7 @@ def pack_documents(
     buffer: int = 1 << 18,
     group_tokens: int = 16 * 2048,
     with_ids: bool = True,
+    cached_words: int = WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -194,7 +198,8 @@ def pack_documents(
     data and a lost task is repeated alone. Sequences are full, their lengths
     powers of two, at most ``tiers[-1]``; ``tier`` is that length. Sequences of a
     tier are dealt to ``step_group`` until it has ``group_tokens`` tokens, so
-    groups of a training step weigh the same.
+    groups of a training step weigh the same. A worker keeps the ids of up to
+    ``cached_words`` words, also while other stages run in it.
 
     Null texts count as empty: such a document is its end token. Null ids and
     repeated rows are packed like others. An empty table gives no rows. Columns
@@ -206,7 +211,7 @@ def pack_documents(
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer)
+        encode = word_ids(tokenizer, cached_words)
         packer = TierPacker(tiers, buffer, group_tokens, TaskContext.get().partitionId() << 40)
         types = [pa.int64()] * 8 + [pa.int32(), pa.int64()]
 
