@@ -41,7 +41,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document in training sequences, with their token ids."""
     ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Workers that stay alive through other stages keep few words.
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=150_000)
 
 
 STAGES = [
