@@ -1,11 +1,14 @@
 """Cases beyond the provided tables: edges, invariants, determinism, streams."""
 
 import itertools
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from veridelta import sinks
 from veridelta.functions import paths, text
 from veridelta.operators import core, coverage, dispatch, documents, fuzz, graph, history, mutation, observe, report, sequences, weakening
 from veridelta.sources import lines
@@ -411,3 +414,31 @@ def test_a_deadline_returns_what_was_written(spark):
     assert late.run(lambda: [slow.collect() for _ in range(200)]) is None
     assert late.over
     assert spark.range(3).count() == 3  # later jobs run
+
+
+def test_mentions_are_looked_for_by_rare_words(spark):
+    """All passages begin with the words that terms begin with; ids of passages repeat, and terms have odd cases and blanks."""
+    passages = [(n, f"The old plan {'Alpha' if n % 5 == 0 else 'beta'}, é{n} the") for n in range(60)] + [(0, "the old plan  alpha"), (70, None), (71, ""), (None, "the old plan alpha")]
+    terms = [("the old plan alpha", 5), ("THE", -1), ("the old", 3), ("é7 the", -1), ("gone the", -1), (" ", -1), (None, -1), ("plan é7", -1), ("the old plan alpha", 10)]
+    got = {tuple(r) for r in documents.mentions(make(spark, terms, "term string, source bigint"), make(spark, passages, "id bigint, text string")).collect()}
+    flat = lambda t: " " + " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())) + " "
+    assert got == {(term, i) for term, source in terms if term and term.strip() for i, t in passages if i is not None and i != source and f" {term.lower()} " in flat(t)}
+
+
+def test_logs_in_pieces_join_to_one(spark, tmp_path):
+    """A key with nearly all results comes in many pieces, none of them large; what is written is the same text."""
+    rows = [(f"s{n:05}", "hot" if n % 50 else f"k{n}", f"kind_{n % 3}", f"src/f{n % 7}.go" if n % 11 else None, n % 90, n % 90, "high", f'say "{n}"\n', None) for n in range(4000)]
+    df = make(spark, rows, "id string, key string, kind string, path string, line int, end_line int, severity string, summary string, other string")
+    pieces = sinks.sarif(df, ["key"], piece_bytes=4000)
+    got = {r.key: json.loads(r.log) for r in sinks.joined(pieces, ["key"]).collect()}
+    assert set(got) == {r[1] for r in rows}
+    hot = got["hot"]["runs"][0]
+    assert [x["id"] for x in hot["tool"]["driver"]["rules"]] == ["kind_0", "kind_1", "kind_2"]
+    wanted = sorted((r for r in rows if r[1] == "hot"), key=lambda r: (r[2], r[3] is not None, r[3] or "", r[4], r[0]))
+    assert [x["partialFingerprints"]["veridelta/v1"] for x in hot["results"]] == [r[0] for r in wanted]
+    sizes = [len(r.text) for r in pieces.where("key = 'hot'").collect()]
+    assert len(sizes) > 100
+    assert max(sizes) < 8000
+    sinks.write_pieces(pieces, ["key"], str(tmp_path / "log"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "log" / "key=hot").glob("part-*.txt")))) == got["hot"]
+    assert sinks.sarif(df.limit(0), ["key"]).count() == 0

@@ -285,7 +285,7 @@ SELECT severity, replace(CAST(to_json({{'$schema': '{sinks.SARIF_SCHEMA}', 'vers
 
 @query("snk3_sarif_export", SARIF)
 def _(signals):
-    return sinks.sarif(signals, ["severity"])
+    return sinks.joined(sinks.sarif(signals, ["severity"], piece_bytes=1 << 14), ["severity"])
 
 
 MARKDOWN = f"""WITH s AS (SELECT kind, {NORMAL} AS name, {SEV} AS rank, concat('- `', path, CASE WHEN line > 0 THEN concat(':', line) ELSE '' END, '` ', summary) AS item, path, line, id FROM signals),

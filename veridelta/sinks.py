@@ -1,17 +1,20 @@
 """What findings are written as: SARIF, Markdown, comments, reports in several formats, cache entries, pushed events.
 
-A document is one row, made by nested aggregates; only ``write_report`` and the
-puts touch storage, each by the committer of Spark's own writers.
+A log comes in pieces, other documents as one row, made by nested aggregates;
+only writers and puts touch storage, each by the committer of Spark's own.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridelta.functions import text as tx
 from veridelta.operators.core import severity_rank
 from veridelta.operators.report import normal_severity
+from veridelta.shared import Tables
 
 #: Fixed values of the SARIF format.
 SARIF_SCHEMA, SARIF_VERSION = "https://json.schemastore.org/sarif-2.1.0.json", "2.1.0"
@@ -25,24 +28,53 @@ def sarif_level(severity: Column) -> Column:
     return F.when(s.isin("critical", "high"), "error").when(s == "medium", "warning").otherwise("note")
 
 
-def sarif(signals: DataFrame, by: list[str], tool: str = "veridelta") -> DataFrame:
-    """A SARIF log for each key: its rules, one for each kind, and a result for each signal (id, kind, path, line, end_line, severity, summary).
+#: A piece of a log holds results of about so many bytes.
+PIECE = 1 << 20
+
 
-    Results come by rule, path, line and id. One without a line has no region,
-    one without a path no location. Keys without signals have no row.
+def sarif(signals: DataFrame, by: list[str], tool: str = "veridelta", piece_bytes: int = PIECE) -> DataFrame:
+    """A SARIF log for each key, in pieces (key, piece, text): its rules, one for each kind, and a result for each signal (id, kind, path, line, end_line, severity, summary).
+
+    The texts of a key's pieces, in order, are its log; no row holds more than
+    about ``piece_bytes`` of results. Results come by rule, path, line and id: they are
+    dealt out by ranges of that order, so a key with any number of them is
+    written by many tasks. One without a line has no region, one without a path
+    no location; texts are masked. Keys without signals have no log.
     """
+    tables = Tables(signals.sparkSession)
     region = F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine"), F.greatest("line", "end_line").alias("endLine")))
     place = F.when(F.coalesce("path", F.lit("")) != "", F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))).otherwise(F.array())
     result = F.struct(
         F.col("kind").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(tx.redact(F.col("summary")).alias("text")).alias("message"), place.alias("locations"),
         F.struct(F.col("id").alias("veridelta/v1")).alias("partialFingerprints"),
     )
-    rows = signals.select(*by, "kind", F.struct("kind", "path", "line", "id", result.alias("v")).alias("r"))
+    order = ["kind", "path", "line", "id"]
+    rows = signals.select(*by, *order, F.to_json(result).alias("_v")).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id().cast("bigint"))
+    rows = tables.save(rows)  # which part a row is in stays as it is
+    before = F.sum(F.octet_length("_v") + 1).over(Window.partitionBy(*by, "_part").orderBy(*order, "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = rows.withColumn("piece", F.shiftleft("_part", 24) + F.floor(before / piece_bytes))
+    bodies = cut.groupBy(*by, "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_v"))), lambda x: x["_v"]), ",").alias("text"))
+    bodies = tables.save(bodies)
+    first = bodies.groupBy(*(F.col(k).alias(f"_of_{k}") for k in by)).agg(F.min("piece").alias("_first"))
+    bodies = bodies.join(first, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by]).select(*by, "piece", F.when(F.col("piece") == F.col("_first"), F.col("text")).otherwise(F.concat(F.lit(","), F.col("text"))).alias("text"))
     rule = F.struct(F.col("kind").alias("id"), F.struct(F.regexp_replace("kind", "_", " ").alias("text")).alias("shortDescription"))
-    g = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["v"]).alias("results"), F.array_sort(F.collect_set(rule)).alias("rules"))
-    driver = F.struct(F.lit(tool).alias("name"), F.col("rules"))
-    log = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version"), F.array(F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results"))).alias("runs"))
-    return g.select(*by, F.to_json(log).alias("log"))
+    driver = F.struct(F.struct(F.lit(tool).alias("name"), F.array_sort(F.collect_set(rule)).alias("rules")).alias("driver"))
+    start = f'{{"$schema":{json.dumps(SARIF_SCHEMA)},"version":{json.dumps(SARIF_VERSION)},"runs":[{{"tool":'
+    keys = signals.groupBy(*by).agg(F.to_json(driver).alias("_tool"))
+    heads = keys.select(*by, F.lit(-1).cast("bigint").alias("piece"), F.concat(F.lit(start), "_tool", F.lit(',"results":[')).alias("text"))
+    tails = keys.select(*by, F.lit((1 << 63) - 1).alias("piece"), F.lit("]}]}").alias("text"))
+    return heads.unionByName(bodies).unionByName(tails)
+
+
+def write_pieces(pieces: DataFrame, by: list[str], path: str) -> None:
+    """Write pieces in order, each a line: the files of a key's folder, by name, are its text, since logs are cut where white space may stand."""
+    pieces.repartitionByRange(*by, "piece").sortWithinPartitions(*by, "piece").select(*by, "text").write.partitionBy(*by).text(path)
+
+
+def joined(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """The text of each key (key, log), for those that fit into a row."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"])
+    return pieces.groupBy(*by).agg(F.array_join(parts, "").alias("log"))
 
 
 def escaped(c: Column) -> Column:
