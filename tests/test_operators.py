@@ -37,10 +37,19 @@ def test_range_join_does_not_depend_on_buckets(spark, bucket):
     rnd = random.Random(3)
     points = {(rnd.choice("ab"), rnd.randrange(50)) for _ in range(60)}
     ranges = [(rnd.choice("ab"), s := rnd.randrange(50), s + rnd.randrange(20), i) for i in range(40)]
-    got = core.range_join(make(spark, sorted(points), "k string, at int"), make(spark, ranges, "k string, s int, e int, i int"), ["k"], "at", "s", "e", "inner", bucket)
+    got = core.range_join(make(spark, sorted(points), "k string, at int"), make(spark, ranges, "k string, s int, e int, i int"), ["k"], "at", "s", "e", bucket)
     assert {(r.k, r.at, r.i) for r in got.collect()} == {(k, a, i) for k, a in points for q, s, e, i in ranges if k == q and s <= a <= e}
 
 
+def test_long_ranges_have_two_rows(spark):
+    far = 10**7
+    points = make(spark, [("a", 5), ("a", far), ("a", far + 1), (None, 70), ("b", 0)], "k string, at int")
+    ranges = make(spark, [("a", 1, far, 1), ("a", far + 1, far + 1, 2), (None, 64, 64 * 64, 3), (None, 70, 60, 4), ("c", 0, 9, 5), ("b", None, 3, 6)], "k string, s int, e int, i int")
+    got = core.range_join(points, ranges, ["k"], "at", "s", "e")
+    assert {(r.k, r.at, r.i) for r in got.collect()} == {("a", 5, 1), ("a", far, 1), ("a", far + 1, 2), (None, 70, 3)}
+    assert core.range_join(points, ranges.limit(0), ["k"], "at", "s", "e").count() == 0
+
+
 CASES = [
     ("equal", [("base", "v"), ("candidate", "v"), ("repeat", "v")], "EQUAL", ""),
     ("differs", [("base", "v"), ("candidate", "w"), ("repeat", "v")], "DIVERGED", ""),

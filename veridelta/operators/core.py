@@ -40,17 +40,32 @@ def top_with_total(df: DataFrame, keys: list[str], order: list[Column], k: int)
     return df.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy(*order))).where(F.col("place") <= k)
 
 
-def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, start: str, end: str, how: str = "left", bucket: int = 64) -> DataFrame:
-    """Points with the ranges of equal keys that contain them.
+#: How many times wider the blocks of a tier are than those of the tier before, and how many tiers there are.
+_WIDER, _TIERS = 64, 8
 
-    Ranges are dealt to buckets of ``bucket`` values, so the join has an equal
-    key finer than ``keys`` however long a file or how many ranges it has.
+
+def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, start: str, end: str, bucket: int = 64) -> DataFrame:
+    """Points with each range of equal keys (nulls are equal) that contains them.
+
+    A range lies in one or two blocks of the first tier whose blocks aren't
+    shorter than it: blocks of ``bucket`` values, of 64 times as many, and so on.
+    A point asks its block of each tier that any range is in, mostly one. So the
+    join has an equal key finer than ``keys``, and a range of any length has two
+    rows at most; one that ends before it starts, or has no end, holds nothing.
     """
-    p = points.withColumn("_bucket", F.floor(F.col(point) / bucket))
-    r = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.greatest(F.col(start), F.col(end)) / bucket))))
-    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("p._bucket") == F.col("r._bucket"), F.col(f"p.{point}").between(F.col(f"r.{start}"), F.col(f"r.{end}"))]
+    widths = F.array(*(F.lit(bucket * _WIDER**t) for t in range(_TIERS)))
+    last = F.greatest(F.col(start), F.col(end))
+    tier = F.lit(_TIERS - 1)
+    for t in reversed(range(_TIERS - 1)):
+        tier = F.when(last - F.col(start) < bucket * _WIDER**t, t).otherwise(tier)
+    block = lambda c: F.floor(c / F.element_at(widths, F.col("_tier") + 1))
+    tiered = ranges.withColumn("_tier", tier)
+    r = tiered.withColumn("_block", F.explode(F.array_distinct(F.array(block(F.col(start)), block(last)))))
+    used = tiered.agg(F.collect_set("_tier").alias("_tiers"))  # one row, of ``_TIERS`` numbers at most
+    p = points.crossJoin(F.broadcast(used)).withColumn("_tier", F.explode("_tiers")).drop("_tiers").withColumn("_block", block(F.col(point)))
+    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col(f"p.{c}") == F.col(f"r.{c}") for c in ("_tier", "_block")] + [F.col(f"p.{point}").between(F.col(f"r.{start}"), F.col(f"r.{end}"))]
     own = [c for c in ranges.columns if c not in keys]
-    return p.alias("p").join(r.alias("r"), on, how).select(*(F.col(f"p.{c}").alias(c) for c in points.columns), *(F.col(f"r.{c}").alias(c) for c in own))
+    return p.alias("p").join(r.alias("r"), on).select(*(F.col(f"p.{c}").alias(c) for c in points.columns), *(F.col(f"r.{c}").alias(c) for c in own))
 
 
 def ranks(column: str | Column, names: list[str], other: int) -> Column:

@@ -25,6 +25,7 @@ def line_states(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """path, line and state of each line: executed if any block around it ran, else not_run, no_block, or not_measured in a file without blocks."""
     measured = blocks.select(F.col("file").alias("path")).distinct().withColumn("_measured", F.lit(True))
     found = range_join(lines.select("path", "line"), blocks.select(F.col("file").alias("path"), "start_line", "end_line", "count"), ["path"], "line", "start_line", "end_line")
+    found = found.select("path", "line", "count").unionByName(lines.select("path", "line", F.lit(None).cast("bigint").alias("count")))  # lines of no block stay
     ran = found.groupBy("path", "line").agg(F.max("count").alias("_most"))
     state = F.when(F.col("_most") > 0, "executed").when(F.col("_most").isNotNull(), "not_run").when(F.col("_measured"), "no_block").otherwise("not_measured")
     return ran.join(measured, "path", "left").select("path", "line", state.alias("state"))

@@ -59,8 +59,8 @@ def priority(targets: DataFrame, signals: DataFrame) -> DataFrame:
     s = signals.where("side = 'new'").select("path", F.col("line").alias("_s"), F.greatest("line", "end_line").alias("_e"), severity_rank("severity").alias("_rank"))
     t = targets.select("path", "name", F.col("line").alias("_from"), F.greatest("line", "end_line").alias("_to"))
     # Two ranges overlap if either begins in the other; no line is listed.
-    inside = range_join(s, t, ["path"], "_s", "_from", "_to", "inner").select("path", "name", "_rank")
-    around = range_join(t, s, ["path"], "_from", "_s", "_e", "inner").select("path", "name", "_rank")
+    inside = range_join(s, t, ["path"], "_s", "_from", "_to").select("path", "name", "_rank")
+    around = range_join(t, s, ["path"], "_from", "_s", "_e").select("path", "name", "_rank")
     hit = inside.unionByName(around).groupBy("path", "name").agg(F.max("_rank").alias("priority"))
     return targets.join(hit, ["path", "name"], "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
 

@@ -41,7 +41,7 @@ def coordinates(diff: DataFrame, signals: DataFrame) -> DataFrame:
 def _covered(diff: DataFrame, signals: DataFrame) -> DataFrame:
     points = changed_coordinates(diff).withColumnRenamed("line", "at")
     ranges = signals.where("line > 0").select("path", "side", F.col("line").alias("_s"), F.col("end_line").alias("_e"), "severity", "summary", "id", "ord")
-    return range_join(points, ranges, ["path", "side"], "at", "_s", "_e", "inner")
+    return range_join(points, ranges, ["path", "side"], "at", "_s", "_e")
 
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:
