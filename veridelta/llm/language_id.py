@@ -38,8 +38,8 @@ def fit_languages(docs: DataFrame, *, dictionary_bytes: int = 1 << 16, sample: i
     Learns from the text and non-null lang of ``docs``: of each language, the
     ``sample`` distinct texts whose hash is least, so a bounded sample; texts
     without a letter are passed over. Of a text longer than a quarter of the
-    dictionary, a piece of a sixteenth is taken from a place that the hash
-    chooses. What reaches the driver is at most ``most_languages *
+    dictionary, a piece of so many characters as a 64th of its bytes is taken
+    from a place that the hash chooses. What reaches the driver is at most ``most_languages *
     dictionary_bytes``; more languages raise an error.
     """
     place = F.pmod(F.xxhash64("text"), F.lit(PLACES))
