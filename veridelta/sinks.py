@@ -126,15 +126,18 @@ def put_entries(entries: DataFrame, path: str, most_bytes: int = 1 << 20) -> Non
     """Add cache entries (content) under the hash of their content; what is stored already stays, and too large ones are passed over.
 
     Entries are dealt to folders by the first two digits of their key, so a
-    lookup by key reads one folder.
+    lookup by key reads one folder, and a put reads the keys of those folders
+    only that it writes to. A folder gets few files: large ones are split.
     """
     spark = entries.sparkSession
     keyed = entries.select(F.sha2("content", 256).alias("key"), "content").where(F.octet_length("content") <= most_bytes).dropDuplicates(["key"]).withColumn("shard", F.substring("key", 1, 2))
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        keyed = keyed.join(read_entries(spark, path).select("key"), "key", "left_anti")
-    keyed.write.mode("append").partitionBy("shard").parquet(path)
+        keyed = Tables(spark).save(keyed)
+        shards = [r["shard"] for r in keyed.select("shard").distinct().collect()]  # 256 at most
+        keyed = keyed.join(read_entries(spark, path).where(F.col("shard").isin(shards)).select("key"), "key", "left_anti")
+    keyed.hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(path)
 
 
 def read_entries(spark, path: str) -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from veridelta.operators.documents import shift_formula
+
 MOST_PARTS, PART_BYTES = 5000, 64 << 20
 
 
@@ -57,22 +59,24 @@ def link(e: ET.Element) -> str | None:
 
 
 def cells(p: Package) -> Iterator[tuple]:
-    """sheet, ref, value, formula, is_text, is_error of every cell that holds something; shared formulas keep the first one's text."""
+    """sheet, ref, value, formula, is_text, is_error of every cell that holds something; a shared formula is that of the cell that has its text, shifted to where it is used."""
     book = p.tree("xl/workbook.xml")
     strings = p.tree("xl/sharedStrings.xml")
     shared = [text_of(e) for e in strings] if strings is not None else []
     for s in book.iter("sheet") if book is not None else ():
         target = p.relations("xl/workbook.xml").get(link(s))
         sheet = p.tree(target) if target else None
-        groups: dict[str, str] = {}
+        shares = [(c.get("r"), f) for c in (sheet.iter("c") if sheet is not None else ()) if (f := c.find("f")) is not None and f.get("t") == "shared"]
+        masters = {f.get("si"): (ref, f.text) for ref, f in reversed(shares) if f.text}  # followers may stand before them
         for c in sheet.iter("c") if sheet is not None else ():
             kind, f, v = c.get("t", "n"), c.find("f"), c.find("v")
             value = text_of(c) if kind == "inlineStr" else (v.text or "") if v is not None else ""
             if kind == "s" and value:
                 value = shared[int(value)]
             formula = (f.text or "") if f is not None else ""
-            if f is not None and f.get("t") == "shared":
-                formula = groups.setdefault(f.get("si"), formula)
+            if f is not None and f.get("t") == "shared" and not formula and f.get("si") in masters:
+                origin, text = masters[f.get("si")]
+                formula = shift_formula(text, origin, c.get("r"))
             if value or formula:
                 yield s.get("name"), c.get("r"), value, formula, kind in ("s", "str", "inlineStr"), kind == "e"
 
