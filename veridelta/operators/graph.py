@@ -277,18 +277,22 @@ def structure(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(calls: DataFrame) -> DataFrame:
-    """Incoming calls by callee: the sorted sources, and where they begin in one list of all, as a compressed index has them.
+    """Incoming calls in one list, as a compressed index has them: position, dst and src of each, sorted by dst and src.
 
-    The offsets are prefix sums, summed within ranges of the order and then over ranges.
+    Rows are dealt by ranges of that order, so the callers of a hub lie in many
+    parts; positions are counted within a part and added up over parts.
     """
-    by = calls.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("sources"))
-    ranged = by.orderBy("dst").withColumn("_part", F.spark_partition_id())
-    tables = Tables(calls.sparkSession)
-    ranged = tables.save(ranged)
-    sizes = ranged.groupBy("_part").agg(F.sum(F.size("sources")).alias("n"))  # a row a range
+    ranged = calls.select("dst", "src").repartitionByRange("dst", "src").withColumn("_part", F.spark_partition_id())
+    ranged = Tables(calls.sparkSession).save(ranged)  # which part a row is in stays as it is
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # a row a range
     before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
-    own = F.sum(F.size("sources")).over(Window.partitionBy("_part").orderBy("dst")) - F.size("sources")
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").select("dst", "sources", (F.col("_before") + F.col("_own")).alias("start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("dst", "src")) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_own")).alias("position"), "dst", "src")
+
+
+def ranges_of(listed: DataFrame) -> DataFrame:
+    """Where each callee's calls begin in the list of ``adjacency``, and how many there are."""
+    return listed.groupBy("dst").agg(F.min("position").alias("start"), F.count(F.lit(1)).alias("calls"))
 
 
 def references(calls: DataFrame, implementations: DataFrame | None = None, limit: int | None = None) -> DataFrame:

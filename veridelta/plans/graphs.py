@@ -68,9 +68,10 @@ def _(edges):
     return graph.degrees(edges)
 
 
-@query("gra13_adjacency", "SELECT dst, list(src ORDER BY src) AS sources, CAST(sum(count(*)) OVER (ORDER BY dst) - count(*) AS BIGINT) AS start FROM calls GROUP BY dst")
+@query("gra13_adjacency", "WITH l AS (SELECT row_number() OVER (ORDER BY dst, src) - 1 AS position, dst, src FROM calls) SELECT position, dst, src, min(position) OVER (PARTITION BY dst) AS start, count(*) OVER (PARTITION BY dst) AS calls FROM l")
 def _(calls):
-    return graph.adjacency(calls)
+    listed = written(graph.adjacency(calls))
+    return listed.join(graph.ranges_of(listed), "dst").select("position", "dst", "src", "start", "calls")
 
 
 LEVELS = """
