@@ -232,8 +232,10 @@ def test_empty_tables_give_no_rows(spark):
     assert report.severity_counts(make(spark, [], "kind string, severity string"), ["kind"]).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 30, 64])
 @pytest.mark.parametrize("seed", range(3))
-def test_owners_against_a_line_by_line_walk(spark, seed):
+def test_owners_against_a_line_by_line_walk(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(core, "FEW_RANGES", few)
     rnd = random.Random(seed)
     rows = [(rnd.choice("ab"), s := rnd.randrange(60), s + rnd.randrange(25), n) for n in range([1, 7, 60][seed])]
     own = {}
@@ -451,3 +453,31 @@ def test_logs_in_pieces_join_to_one(spark, tmp_path):
     sinks.write_pieces(pieces, ["key"], str(tmp_path / "log"))
     assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "log" / "key=hot").glob("part-*.txt")))) == got["hot"]
     assert sinks.sarif(df.limit(0), ["key"]).count() == 0
+
+
+KINDS = ["int", "bool", "string", *(f"{u}int{b}" for u in ("", "u") for b in (8, 16, 32, 64)), "float32", "float64"]
+
+
+@pytest.mark.parametrize("kind", [*KINDS, *(f"[]{k}" for k in KINDS), "[3]uint8", "[0]int", "...string", "...bool", "...float32"])
+def test_corpora_of_all_types(kind):
+    full = mutation.calls_of("f", [kind], 80)
+    assert len(set(full)) == len(full)
+    assert tuple(full[: len(dict.fromkeys(mutation.edges(kind)))]) == tuple(dict.fromkeys(mutation.edges(kind)))
+    for n in (1, 5, 30, 79):
+        assert mutation.calls_of("f", [kind], n) == full[:n]
+    assert len(full) == 80 or kind in ("bool", "[0]int")  # others have enough values
+    if m := re.fullmatch(r"(u?)int(\d+)", kind):
+        lo, hi = (0, 2 ** int(m[2]) - 1) if m[1] else (-(2 ** (int(m[2]) - 1)), 2 ** (int(m[2]) - 1) - 1)
+        assert {str(lo), str(hi)} < set(full)
+        assert all(lo <= int(x) <= hi for x in full)
+    if kind == "float64":
+        assert full[0] == "float64frombits(0x0000000000000000)"
+        assert full[1] == "float64frombits(0x8000000000000000)"
+    if kind.startswith("[3]"):
+        assert all(x.count(",") == 2 for x in full)
+
+
+def test_inputs_of_several_lists():
+    assert mutation.calls_of("f", ["[]string", "...int"], 3) == ["[]string(nil)", "[]string(nil), 0", "[]string(nil), 1, 0"]
+    with pytest.raises(ValueError, match="chan"):
+        mutation.calls_of("f", ["[]chan"], 3)

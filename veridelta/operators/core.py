@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridelta.shared import Tables
+
 
 def islands(df: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """Runs of consecutive distinct lines: keys, start, end and the number of ``lines``."""
@@ -125,15 +127,27 @@ def newly(now: Column, before: Column) -> Column:
     return F.array_sort(F.array_except(now, F.coalesce(before, F.slice(now, 1, 0))))
 
 
-def owners(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end", rank: str = "rank") -> DataFrame:
-    """Who owns which lines where ranges overlap: of each key the stretches (start, end, rank) of which the least rank that covers them is the same.
+#: Ranges of a key that are compared in one array; keys with more are cut into blocks.
+FEW_RANGES = 64
+
+
+def _segments_of_few(r: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments (keys, _i, _rank, _at, _next) between the ends of ranges (_s, _e, _rank) that any covers, of keys with few ranges: each from one array."""
+    g = r.groupBy(*keys).agg(F.collect_list(F.struct("_s", "_e", "_rank")).alias("_all"))
+    g = g.withColumn("_cuts", F.array_sort(F.array_distinct(F.flatten(F.transform("_all", lambda x: F.array(x["_s"], x["_e"]))))))
+    least = lambda at: F.array_min(F.transform(F.filter("_all", lambda x: (x["_s"] <= at) & (x["_e"] > at)), lambda x: x["_rank"]))
+    segment = lambda at, i: F.struct(i.cast("bigint").alias("_i"), least(at).alias("_rank"), at.alias("_at"), F.element_at("_cuts", i + 2).alias("_next"))
+    return g.select(*keys, F.explode(F.transform(F.slice("_cuts", F.lit(1), F.size("_cuts") - 1), segment)).alias("_x")).select(*keys, "_x.*").where("_rank IS NOT NULL")
+
+
+def _segments_of_many(r: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of keys with any number of ranges.
 
-    Lines are never listed: the ends of all ranges cut a key's lines into
-    segments, at most two a range. A range covers a run of segments, which is cut
-    into blocks of powers of two, and a segment asks the blocks that hold it, so
-    both sides of the join have a row for each doubling of the number of segments.
+    The ends of all ranges cut a key's lines into segments, at most two a range.
+    A range covers a run of segments, which is cut into blocks of powers of two,
+    and a segment asks the blocks that hold it, so both sides of the join have a
+    row for each doubling of the number of segments.
     """
-    r = ranges.where(F.col(end) >= F.col(start)).select(*keys, F.col(start).cast("bigint").alias("_s"), (F.col(end) + 1).cast("bigint").alias("_e"), F.col(rank).alias("_rank"))
     order = Window.partitionBy(*keys).orderBy("_at")
     ends = r.select(*keys, F.explode(F.array("_s", "_e")).alias("_at")).distinct()
     cuts = ends.withColumn("_i", F.row_number().over(order) - 1).withColumn("_next", F.lead("_at").over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
@@ -148,7 +162,21 @@ def owners(ranges: DataFrame, keys: list[str], start: str = "start", end: str =
     # A run of one block at the top of its levels is even there, and found a level up.
     asked = cuts.where("_next IS NOT NULL").select(*keys, "_at", "_next", "_i", F.explode(F.sequence(F.lit(0), F.ceil(F.log2("_n")).cast("int") + 1)).alias("_k"))
     asked = asked.withColumn("_block", F.floor(F.col("_i") / size))
-    own = asked.join(blocks, [*keys, "_k", "_block"]).groupBy(*keys, "_i").agg(F.min("_rank").alias("_rank"), F.first("_at").alias("_at"), F.first("_next").alias("_next"))
+    return asked.join(blocks, [*keys, "_k", "_block"]).groupBy(*keys, "_i").agg(F.min("_rank").alias("_rank"), F.first("_at").alias("_at"), F.first("_next").alias("_next")).withColumn("_i", F.col("_i").cast("bigint"))
+
+
+def owners(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end", rank: str = "rank") -> DataFrame:
+    """Who owns which lines where ranges overlap: of each key the stretches (start, end, rank) of which the least rank that covers them is the same.
+
+    Lines are never listed. Keys with up to ``FEW_RANGES`` ranges are settled in
+    an array each, others by blocks of segments. Rows with a null key own nothing.
+    """
+    r = ranges.where(F.col(end) >= F.col(start)).select(*keys, F.col(start).cast("bigint").alias("_s"), (F.col(end) + 1).cast("bigint").alias("_e"), F.col(rank).alias("_rank")).dropna(subset=keys)
+    many = Tables(ranges.sparkSession).save(r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_RANGES).select(*keys))
+    if many.isEmpty():
+        own = _segments_of_few(r, keys)
+    else:
+        own = _segments_of_few(r.join(many, keys, "left_anti"), keys).unionByName(_segments_of_many(r.join(many, keys, "left_semi"), keys))
     run = own.withColumn("_run", F.col("_i") - F.row_number().over(Window.partitionBy(*keys, "_rank").orderBy("_i")))
     merged = run.groupBy(*keys, "_rank", "_run").agg(F.min("_at").alias(start), (F.max("_next") - 1).alias(end))
     return merged.select(*keys, start, end, F.col("_rank").alias(rank))

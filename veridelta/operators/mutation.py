@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import math
+import re
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -112,40 +117,101 @@ def splitmix64(seed: np.ndarray, n: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-#: The first inputs of each type, as a call writes them.
+#: The first inputs of plain types, as a call writes them.
 EDGES = {"int": ("0", "1", "-1", "2147483647", "-2147483648"), "bool": ("false", "true"), "string": ('""', '"a"', '" "', '"0"', '"\\n"')}
+#: Sizes of whole numbers and floats in bits, and the first floats.
+_SIZED = re.compile(r"(u?int|float)(8|16|32|64)")
+_FLOATS = (0.0, -0.0, 1.0, -1.0, 0.5, math.inf, -math.inf, math.nan)
+#: Prefixes of lists and of rest parameters; lists of a fixed length have it between the brackets.
+_MANY = re.compile(r"(\[\d*\]|\.\.\.)(.+)")
+#: Random lists have fewer items than this.
+_ITEMS = 9
+
+
+def _bits(value: float, bits: int) -> int:
+    return int.from_bytes(struct.pack(">d" if bits == 64 else ">f", value), "big")
+
+
+def _float(pattern: int, bits: int) -> str:
+    """A float by its bits, so that each has one way to be written."""
+    return f"float{bits}frombits(0x{pattern:0{bits // 4}x})"
+
+
+def _listed(form: str, kind: str, items: list[str]) -> str:
+    return ", ".join(items) if form == "..." else f"{form}{kind}{{{', '.join(items)}}}"
+
+
+@lru_cache(256)
+def edges(kind: str) -> tuple[str, ...]:
+    """The first inputs of a type, simplest first; a type that isn't known fails.
+
+    Whole numbers have zero, one and their bounds; floats are bit patterns, both
+    zeros, infinities and a NaN among them. Lists are none, empty, one item, two
+    in falling order, then each other item alone; those of a fixed length are
+    filled with one item; rest parameters have no item at first.
+    """
+    if kind in EDGES:
+        return EDGES[kind]
+    if m := _MANY.fullmatch(kind):
+        form, own = m[1], edges(m[2])
+        if form[1:-1].isdigit():
+            return tuple(_listed(form, m[2], [e] * int(form[1:-1])) for e in own) if int(form[1:-1]) else (_listed(form, m[2], []),)
+        few = [[], [own[0]], [own[1], own[0]], *([e] for e in own[1:])]
+        return (f"{form}{m[2]}(nil)",) * (form == "[]") + tuple(_listed(form, m[2], x) for x in few)
+    m = _SIZED.fullmatch(kind)
+    if not m or m[1] == "float" and int(m[2]) < 32:
+        raise ValueError(f"no inputs of type {kind}")
+    bits = int(m[2])
+    if m[1] == "float":
+        return tuple(_float(_bits(v, bits), bits) for v in _FLOATS)
+    if m[1] == "uint":
+        return ("0", "1", str((1 << bits) - 1), str((1 << bits) - 2))
+    return ("0", "1", "-1", str((1 << (bits - 1)) - 1), str(-(1 << (bits - 1))))
 
 
 def _written(kind: str, z: int) -> str:
-    """A number as an input of a type: whole numbers from -1000 to 1000, truth values, texts of eight hexadecimal digits."""
-    return str(z % 2001 - 1000) if kind == "int" else EDGES["bool"][z & 1] if kind == "bool" else f'"{z:016x}"'[:9] + '"'
+    """A number as an input of a type: ``int`` from -1000 to 1000, texts of eight hexadecimal digits, sized numbers and floats by its upper bits; of a list it seeds the length and the items."""
+    if kind in EDGES:
+        return str(z % 2001 - 1000) if kind == "int" else EDGES["bool"][z & 1] if kind == "bool" else f'"{z:016x}"'[:9] + '"'
+    if m := _MANY.fullmatch(kind):
+        fixed = m[1][1:-1]
+        more = splitmix64(np.array([z], np.uint64), 1 + (int(fixed) if fixed.isdigit() else _ITEMS))[0].tolist()
+        return _listed(m[1], m[2], [_written(m[2], x) for x in more[1 : 1 + (int(fixed) if fixed.isdigit() else more[0] % _ITEMS)]])
+    m = _SIZED.fullmatch(kind)
+    bits = int(m[2])
+    z >>= 64 - bits
+    return _float(z, bits) if m[1] == "float" else str(z - (1 << bits) * (m[1] == "int" and z >> (bits - 1)))
+
+
+def calls_of(target: str, types: list[str], n: int) -> list[str]:
+    """The first ``n`` inputs of a target, as ``corpus`` has them."""
+    joined = lambda c: ", ".join(x for x in c if x)  # a rest parameter may be nothing
+    calls = dict.fromkeys(joined(c) for c in itertools.islice(itertools.product(*map(edges, types)), n))
+    if types and len(calls) < n:
+        seed = np.frombuffer(hashlib.sha256(target.encode()).digest()[:8], ">u8").astype(np.uint64)
+        z = splitmix64(seed, 8 * n * len(types))[0].tolist()
+        for k in range(0, len(z), len(types)):
+            calls[joined(map(_written, types, z[k : k + len(types)]))] = None
+            if len(calls) == n:
+                break
+    return list(calls)
 
 
 def corpus(targets: DataFrame, n: int) -> DataFrame:
     """``n`` distinct calls (target, i, call) of each target (target, types): combinations of edge values first, the last parameter's first, then random rows.
 
-    Random numbers follow from the target's name only: its SHA-256's first eight
-    bytes seed them, a number a parameter. A target without parameters has one
-    call, and one whose types have few values as many as are met in 8 n rows; a
-    type that isn't known fails.
+    Types are ``int``, ``bool``, ``string``, sized ``int8`` to ``uint64``,
+    ``float32`` and ``float64``, and of each of these lists (``[]int``), lists of
+    a length (``[3]int``) and rest parameters (``...int``). Random numbers follow
+    from the target's name only: its SHA-256's first eight bytes seed them, a
+    number a parameter; so the first calls don't depend on how many are asked
+    for. A target without parameters has one call, and one whose types have few
+    values as many as are met in 8 n rows; a type that isn't known fails.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         for b in batches:
-            rows = []
-            for target, types in zip(b["target"], b["types"], strict=True):
-                types = list(types)
-                calls = dict.fromkeys(", ".join(c) for c in itertools.islice(itertools.product(*(EDGES[t] for t in types)), n))
-                if types and len(calls) < n:
-                    seed = np.frombuffer(hashlib.sha256(target.encode()).digest()[:8], ">u8").astype(np.uint64)
-                    z = splitmix64(seed, 8 * n * len(types))[0].tolist()
-                    for k in range(0, len(z), len(types)):
-                        calls[", ".join(map(_written, types, z[k : k + len(types)]))] = None
-                        if len(calls) == n:
-                            break
-                rows += [(target, i, f"{target}({c})") for i, c in enumerate(calls)]
+            rows = [(target, i, f"{target}({c})") for target, types in zip(b["target"], b["types"], strict=True) for i, c in enumerate(calls_of(target, list(types), n))]
             yield pd.DataFrame(rows, columns=["target", "i", "call"])
 
     return targets.select("target", "types").mapInPandas(run, "target string, i int, call string")

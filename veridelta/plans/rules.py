@@ -417,14 +417,15 @@ def _(lineitem):
 
 M64 = "18446744073709551616"
 MIX = "CAST((CAST(xor({z}, {z} >> {s}) AS UHUGEINT) * {c}) % " + M64 + " AS UBIGINT)"
+SIZED_SQL = ", ".join(f"'{t}': [{', '.join(map(quoted, mutation.edges(t)))}]" for t in ("uint8", "int16", "float64", "float32"))
 #: The generator's numbers, 8 n of them a parameter, and calls by place: combinations first, then random rows.
-CORPUS = f"""WITH t AS (SELECT concat('fn', p_partkey) AS target, CASE p_partkey % 3 WHEN 0 THEN ['int'] WHEN 1 THEN ['int', 'bool'] ELSE ['string', 'int'] END AS types FROM part),
-e AS (SELECT MAP {{{{'int': ['0', '1', '-1', '2147483647', '-2147483648'], 'bool': ['false', 'true'], 'string': ['""', '"a"', '" "', '"0"', '"\\n"']}}}} AS e),
-c AS (SELECT target, CAST(a.i * 100 + coalesce(b.i, 0) AS BIGINT) AS o, concat_ws(', ', e[types[1]][a.i + 1], CASE WHEN len(types) > 1 THEN e[types[2]][b.i + 1] END) AS args FROM t, e, range(5) a(i), range(5) b(i) WHERE a.i < len(e[types[1]]) AND CASE WHEN len(types) > 1 THEN b.i < len(e[types[2]]) ELSE b.i = 0 END),
+CORPUS = f"""WITH t AS (SELECT concat('fn', p_partkey) AS target, CASE p_partkey % 5 WHEN 0 THEN ['int'] WHEN 1 THEN ['int', 'bool'] WHEN 2 THEN ['uint8', 'float64'] WHEN 3 THEN ['float32', 'int16'] ELSE ['string', 'int'] END AS types FROM part),
+e AS (SELECT MAP {{{{'int': ['0', '1', '-1', '2147483647', '-2147483648'], 'bool': ['false', 'true'], 'string': ['""', '"a"', '" "', '"0"', '"\\n"'], {SIZED_SQL}}}}} AS e),
+c AS (SELECT target, CAST(a.i * 100 + coalesce(b.i, 0) AS BIGINT) AS o, concat_ws(', ', e[types[1]][a.i + 1], CASE WHEN len(types) > 1 THEN e[types[2]][b.i + 1] END) AS args FROM t, e, range(8) a(i), range(8) b(i) WHERE a.i < len(e[types[1]]) AND CASE WHEN len(types) > 1 THEN b.i < len(e[types[2]]) ELSE b.i = 0 END),
 s AS (SELECT target, types, CAST(concat('0x', left(sha256(target), 16)) AS UBIGINT) AS seed, unnest(range(128 * len(types))) AS k FROM t),
 z0 AS (SELECT *, CAST((CAST(seed AS UHUGEINT) + CAST(k + 1 AS UHUGEINT) * CAST(11400714819323198485 AS UHUGEINT)) % {M64} AS UBIGINT) AS z FROM s),
 z1 AS (SELECT * REPLACE ({MIX.format(z="z", s=30, c="CAST(13787848793156543929 AS UHUGEINT)")} AS z) FROM z0), z2 AS (SELECT * REPLACE ({MIX.format(z="z", s=27, c="CAST(10723151780598845931 AS UHUGEINT)")} AS z) FROM z1), z3 AS (SELECT * REPLACE (xor(z, z >> 31) AS z) FROM z2),
-r AS (SELECT target, 1000 + k // len(types) AS o, string_agg(CASE types[k % len(types) + 1] WHEN 'int' THEN CAST(CAST(z % 2001 AS BIGINT) - 1000 AS VARCHAR) WHEN 'bool' THEN CASE WHEN z % 2 = 1 THEN 'true' ELSE 'false' END ELSE concat('"', left(lpad(lower(to_hex(z)), 16, '0'), 8), '"') END, ', ' ORDER BY k) AS args FROM z3 GROUP BY target, types, k // len(types)),
+r AS (SELECT target, 1000 + k // len(types) AS o, string_agg(CASE types[k % len(types) + 1] WHEN 'int' THEN CAST(CAST(z % 2001 AS BIGINT) - 1000 AS VARCHAR) WHEN 'bool' THEN CASE WHEN z % 2 = 1 THEN 'true' ELSE 'false' END WHEN 'uint8' THEN CAST(z >> 56 AS VARCHAR) WHEN 'int16' THEN CAST(CAST(z >> 48 AS BIGINT) - CASE WHEN z >> 63 = 1 THEN 65536 ELSE 0 END AS VARCHAR) WHEN 'float64' THEN concat('float64frombits(0x', lpad(lower(to_hex(z)), 16, '0'), ')') WHEN 'float32' THEN concat('float32frombits(0x', left(lpad(lower(to_hex(z)), 16, '0'), 8), ')') ELSE concat('"', left(lpad(lower(to_hex(z)), 16, '0'), 8), '"') END, ', ' ORDER BY k) AS args FROM z3 GROUP BY target, types, k // len(types)),
 u AS (SELECT target, args, min(o) AS o FROM (FROM c UNION ALL FROM r) GROUP BY target, args), n AS (SELECT target, row_number() OVER (PARTITION BY target ORDER BY o) - 1 AS i, concat(target, '(', args, ')') AS call FROM u)
 SELECT target, i, call FROM n WHERE i < 16"""
 
@@ -432,5 +433,6 @@ SELECT target, i, call FROM n WHERE i < 16"""
 @query("evd12_seeded_corpus", CORPUS.replace("{{", "{").replace("}}", "}"), python=True)
 def _(part):
     k = F.col("p_partkey")
-    types = F.when(k % 3 == 0, F.array(F.lit("int"))).when(k % 3 == 1, F.array(F.lit("int"), F.lit("bool"))).otherwise(F.array(F.lit("string"), F.lit("int")))
+    of = lambda *t: F.array(*map(F.lit, t))
+    types = F.when(k % 5 == 0, of("int")).when(k % 5 == 1, of("int", "bool")).when(k % 5 == 2, of("uint8", "float64")).when(k % 5 == 3, of("float32", "int16")).otherwise(of("string", "int"))
     return mutation.corpus(part.select(F.concat(F.lit("fn"), k.cast("string")).alias("target"), types.alias("types")), 16)
