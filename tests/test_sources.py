@@ -39,7 +39,7 @@ def test_shared_strings_and_formulas():
             }
         )
     )
-    assert list(packages.cells(p)) == [("A", "A1", "two", "", True, False), ("A", "A2", "2", "B1+1", False, False), ("A", "A3", "#REF!", "B1+1", False, False)]
+    assert list(packages.cells(p)) == [("A", "A1", "two", "", True, False), ("A", "A2", "2", "B1+1", False, False), ("A", "A3", "#REF!", "B2+1", False, False)]
 
 
 @pytest.mark.parametrize(
