@@ -526,6 +526,6 @@ def test_pipeline_stages(shipped, sf):
 
 def test_queries_run(shipped, sf, duck):
     found = queries.queries()
-    assert [n.split("_")[0] for n in found] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in found] == [f"op{n}" for n in range(1, 14)]
     for name, sql in queries.oracle_sql().items():
         same(found[name](shipped, sf).toPandas(), duck.sql(sql).df())
