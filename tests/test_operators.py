@@ -491,3 +491,33 @@ def test_negations_and_dates_have_the_edges_of_their_sql(spark, duck):
     want = [duck.execute(f"SELECT len(regexp_extract_all(regexp_replace(?, '\\s+', '  ', 'g'), {texts.NEG})), len(regexp_extract_all(?, {texts.DATE}, 1))", [t, t]).fetchall()[0] for t in odd]
     assert [tuple(r)[1:] for r in sorted(rows)] == want
     assert want[0][0] == want[1][0] == 1 and want[7][1] == 1
+
+
+def _graph(spark):
+    rng = random.Random(5)
+    types = make(spark, [(f"T{t}", f"m{m}", f"T{t}.m{m}") for t in range(12) for m in rng.sample(range(5), 3)], "type string, method string, id string")
+    faces = make(spark, [(f"I{i}", f"m{m}", f"I{i}.m{m}") for i in range(6) for m in rng.sample(range(5), 1 + i % 2)] + [("I9", "m0", "T0.m0")], "interface string, method string, id string")
+    ends = [r[0] for r in types.select("id").union(faces.select("id")).distinct().collect()]
+    sites = [(rng.choice("fgh"), d, f"p{rng.randrange(4)}", rng.randrange(3), n) for n, d in enumerate(rng.choices(ends[: len(ends) // 2], k=60))]
+    return types, faces, make(spark, sites, "src string, dst string, path string, line int, seq int")
+
+
+def test_dispatch_of_called_methods_is_that_of_all(spark):
+    types, faces, sites = _graph(spark)
+    every = {tuple(r) for r in dispatch.dispatch(types, faces).collect()}
+    called = {r.dst for r in sites.collect()}
+    assert {tuple(r) for r in dispatch.dispatch(types, faces, sites.select(F.col("dst").alias("id"))).collect()} == {(d, v) for d, v in every if v in called} != every
+    assert {r.dst for r in dispatch.reachable(types, faces).collect()} == {d for d, _ in every}
+
+
+def test_unchanged_callers_share_sites_and_come_for_the_first_callees(spark):
+    types, faces, sites = _graph(spark)
+    every, none = dispatch.dispatch(types, faces), make(spark, [], "id string")
+    want = {}
+    for s in sites.collect():
+        for dst, iface in [(s.dst, 0), *((d, 1) for d, v in every.collect() if v == s.dst)]:
+            want[dst, s.path, s.line] = min(want.get((dst, s.path, s.line), (9,)), (iface, s.seq, s.src))
+    want = {(*k, v[2], ("static", "interface")[v[0]]) for k, v in want.items()}
+    assert {tuple(r) for r in dispatch.unchanged_callers(sites, none, none, every).collect()} == want
+    first = sorted({w[0] for w in want})[:4]
+    assert {tuple(r) for r in dispatch.unchanged_callers(sites, none, none, every, first=4).collect()} == {w for w in want if w[0] in first}
