@@ -521,3 +521,31 @@ def test_unchanged_callers_share_sites_and_come_for_the_first_callees(spark):
     assert {tuple(r) for r in dispatch.unchanged_callers(sites, none, none, every).collect()} == want
     first = sorted({w[0] for w in want})[:4]
     assert {tuple(r) for r in dispatch.unchanged_callers(sites, none, none, every, first=4).collect()} == {w for w in want if w[0] in first}
+
+
+def _shuffled_after_joins(df):
+    """Whether an exchange stands above a join of a plan."""
+    lines = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x or "Join" in x]
+    return "Exchange" in lines[0] and any("Join" in x for x in lines)
+
+
+def test_calls_meet_what_they_may_mean_without_a_shuffle_of_pairs(spark):
+    calls = [("a", "n", "x"), ("a", "n", "x"), ("b", "n", "z"), ("b", "o", None), ("c", "none", "x")]
+    have = [("1", "n", "x"), ("2", "n", "x"), ("3", "n", "y"), ("4", "n", "y"), ("5", "o", "x"), ("5", "o", "x")]
+    got = graph.resolve_calls(make(spark, calls, "caller string, name string, file string"), make(spark, have, "id string, name string, home string"))
+    assert not _shuffled_after_joins(got)
+    want = {("a", "n", "x", "1", 0, False), ("a", "n", "x", "2", 0, False), *(("b", "n", "z", d, 1, True) for d in "1234"), ("b", "o", None, "5", 1, False)}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_ties_of_both_kinds_and_of_repeated_ids_come_once(spark):
+    rng = random.Random(3)
+    pick = lambda n, ids: [(rng.randrange(ids), rng.choice([None, 1, 2, 3]), rng.choice(["a", "b", None]), rng.choice("xy")) for _ in range(n)]
+    f, c = pick(20, 14), pick(20, 14)
+    schema = "id int, place int, before string, after string"
+    tied = documents.tied(make(spark, f, schema), make(spark, c, schema))
+    assert not _shuffled_after_joins(tied)  # pairs of ids with one row
+    got = [tuple(r) for r in tied.collect()]
+    want = {(x[0], y[0]) for x in f for y in c if (x[1] is not None and x[1] == y[1]) or (x[2] is not None and x[2:] == y[2:])}
+    assert set(got) == want and len(got) == len(want)
