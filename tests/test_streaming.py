@@ -72,6 +72,27 @@ def test_silent_owners_expire(spark, events):
     assert progress[-1] < max(progress)  # state falls to what is still to expire
 
 
+def test_attempts_of_an_owner_share_states(spark, events):
+    """Nine thousand attempts of one owner, one of them twice, each with a moment of its own to expire; the last does at the very time."""
+    n = 9000
+    rows = [("a", k, k, k) for k in range(1, n)] + [("a", 5, 6000, 6001), ("b", 1, n + 4, None)]
+    df = spark.createDataFrame(rows, "owner string, seq bigint, at bigint, finished bigint")
+    progress = []
+
+    def feed(stream, at):
+        q = timers.expirations(stream, 1000).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(100)
+        progress.extend(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+        found[:] = [spark.read.schema(timers.EXPIRED).parquet(f"{at}/out")]
+
+    found = []
+    with replay._stores(spark):
+        replay.arrived(df, "at", feed, 1)
+    want = {("a", k, k + 1000) for k in range(1, 8005) if k != 5} | {("a", 5, 7001)}
+    assert {tuple(r) for r in found[0].collect()} == want == {tuple(r) for r in timers.expirations(df, 1000).collect()}
+    assert 0 < max(progress) < 20  # a state and a timer a block
+
+
 def test_absences_need_a_completed_scan(spark, events):
     seen = {1: "ab", 2: "a", 3: "ac", 4: "c", 5: "bc", 6: "b"}
     rows = [(7, g, i, "seen") for g, items in seen.items() for i in items] + [(7, g, None, "failed" if g in (2, 5) else "completed") for g in seen] + [(8, 1, "z", "seen"), (8, 2, None, "failed"), (7, 3, None, "seen")]
