@@ -549,3 +549,20 @@ def test_ties_of_both_kinds_and_of_repeated_ids_come_once(spark):
     got = [tuple(r) for r in tied.collect()]
     want = {(x[0], y[0]) for x in f for y in c if (x[1] is not None and x[1] == y[1]) or (x[2] is not None and x[2:] == y[2:])}
     assert set(got) == want and len(got) == len(want)
+
+
+def test_priority_of_many_ranges_makes_no_pairs(spark):
+    """A long range that began earlier counts, ends touch, other sides and null lines don't; equal ranges aren't paired."""
+    spans = [(1, 3), (2, 2), (5, 40), (5, 6), (41, 41), (60, 50), (None, 9)]
+    rows = [(p, a, b, "new" if n % 5 else "old", sev) for n, (p, (a, b), sev) in enumerate(itertools.product(["x", "y", None], spans, ["low", "high", "critical", "none"])) if (p, n % 3) != ("y", 0) and not (sev == "critical" and a != 41)]
+    signals = spark.createDataFrame(rows, "path string, line int, end_line int, side string, severity string")
+    at = [(p, f"f{k}", a, a + k % 3 * 4) for k, (p, a) in enumerate(itertools.product(["x", "y", "z", None], range(0, 64)))]
+    targets = spark.createDataFrame(at, "path string, name string, line int, end_line int")
+    rank = {"critical": 4, "high": 3, "low": 1, "none": 0}
+    want = {(p, f, a): max([0, *(rank[v] for q, s, e, side, v in rows if q == p and p and s and side == "new" and s <= max(a, b) and max(s, e) >= a)]) for p, f, a, b in at}
+    assert {(r.path, r.name, r.line): r.priority for r in fuzz.priority(targets, signals).collect()} == want
+    many = spark.range(20000).selectExpr("concat('x', id % 1) AS path", "1 AS line", "2 AS end_line")
+    got = fuzz.priority(many.selectExpr("*", "'f' AS name"), many.selectExpr("*", "'new' AS side", "'low' AS severity"))
+    assert got.groupBy("priority").count().collect() == [(1, 20000)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # targets meet what was found for their ends, not signals

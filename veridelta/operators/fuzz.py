@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import range_join, severity_rank
+from .core import severity_rank
+
+#: Severity ranks above none, the highest first.
+RANKS = (4, 3, 2, 1)
 
 
 def by_index(records: DataFrame) -> DataFrame:
@@ -55,14 +58,20 @@ def consistent(records: DataFrame) -> DataFrame:
 
 
 def priority(targets: DataFrame, signals: DataFrame) -> DataFrame:
-    """The highest severity rank of the new-side signals that overlap each target (path, name, line, end_line); 0 without one."""
-    s = signals.where("side = 'new'").select("path", F.col("line").alias("_s"), F.greatest("line", "end_line").alias("_e"), severity_rank("severity").alias("_rank"))
-    t = targets.select("path", "name", F.col("line").alias("_from"), F.greatest("line", "end_line").alias("_to"))
-    # Two ranges overlap if either begins in the other; no line is listed.
-    inside = range_join(s, t, ["path"], "_s", "_from", "_to").select("path", "name", "_rank")
-    around = range_join(t, s, ["path"], "_from", "_s", "_e").select("path", "name", "_rank")
-    hit = inside.unionByName(around).groupBy("path", "name").agg(F.max("_rank").alias("priority"))
-    return targets.join(hit, ["path", "name"], "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
+    """The highest severity rank of the new-side signals that overlap each target (path, name, line, end_line); 0 without one.
+
+    Two ranges overlap if, of those that begin before one ends, the furthest end
+    isn't before it: a running maximum for each rank tells that without a pair.
+    Ranges that begin at one line of a file count as one.
+    """
+    end = F.greatest("line", "end_line")
+    s = signals.where("side = 'new' AND line IS NOT NULL").select("path", F.col("line").cast("bigint").alias("_at"), end.cast("bigint").alias("_e"), severity_rank("severity").alias("_rank"))
+    s = s.groupBy("path", "_at").agg(*(F.max(F.when(F.col("_rank") == r, F.col("_e"))).alias(f"_e{r}") for r in RANKS))
+    asked = targets.select("path", end.cast("bigint").alias("_at")).distinct().withColumn("_asked", F.lit(True))
+    w = Window.partitionBy("path").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = s.unionByName(asked, allowMissingColumns=True).select("path", "_at", "_asked", *(F.max(f"_e{r}").over(w).alias(f"_e{r}") for r in RANKS)).where("_asked").drop("_asked")
+    hit = F.coalesce(*(F.when(F.col(f"_e{r}") >= F.col("line"), r) for r in RANKS), F.lit(0))
+    return targets.withColumn("_at", end.cast("bigint")).join(ends, ["path", "_at"], "left").select(*targets.columns, hit.alias("priority"))
 
 
 def budget(targets: DataFrame, most_packages: int, most_functions: int) -> DataFrame:
