@@ -101,3 +101,25 @@ def test_absences_need_a_completed_scan(spark, events):
     assert {tuple(r) for r in timers.absent(df).collect()} == want
     for batches in (1, 3):
         assert {tuple(r) for r in replay.replayed(df, "generation", timers.absences, batches).collect()} == want
+
+
+def test_a_source_of_many_items_is_spread(spark, events):
+    """Items that vanish in all parts, also when a batch has only a scan's end for them."""
+    n = 3000
+    seen = [(7, g, f"i{k}", "seen") for g in (1, 2, 3) for k in range(n) if k % g == 0]
+    rows = [*seen, *((7, g, None, "completed") for g in (1, 2, 3, 4)), (9, 1, "i0", "seen"), (9, 4, None, "failed")]
+    df = spark.createDataFrame(rows, "source bigint, generation bigint, item string, kind string").repartition(3)
+    want = {tuple(r) for r in timers.absent(df).collect()}
+    assert len(want) == n + n // 6  # those that are even but not by three go, come back and go
+    got = []
+    for batches in (1, 4):
+        with replay._stores(spark):
+            replay.arrived(df, "generation", lambda stream, at: got.append(_absent_files(stream, at)), batches)
+        assert {tuple(r) for r in spark.read.schema(timers.REMOVED).parquet(got[-1][0]).collect()} == want
+    assert 50 < got[1][1] < 100  # a state a part, not one an item
+
+
+def _absent_files(stream, at):
+    q = timers.absences(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
+    return f"{at}/out", max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
