@@ -566,3 +566,16 @@ def test_priority_of_many_ranges_makes_no_pairs(spark):
     assert got.groupBy("priority").count().collect() == [(1, 20000)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1  # targets meet what was found for their ends, not signals
+
+
+def test_runs_are_dealt_by_key_once(spark):
+    """A shuffle of the rows and one of the tests; rows aren't multiplied to be counted distinct."""
+    rows = [("t", "k", "base", "1"), ("t", "k", "candidate", "1"), ("t", "k", "repeat", "2"), ("u", "k", "base", "1"), ("v", "k", "base", "1"), ("v", "k", "candidate", None), ("w", None, "base", "1"), ("w", None, "candidate", "2"), ("x", "k", "base", "1"), ("x", "k", "base", "1")]
+    seen = observe.differ(spark.createDataFrame(rows, "test string, key string, side string, value string"))
+    assert {r.test: r.differs for r in seen.collect()} == {"t": False, "u": True, "v": False, "w": True, "x": True}
+    calls = [("t", 0, "f(1)"), ("t", 0, "f(1)"), ("t", 1, None), ("u", 0, "f(1)"), ("u", 0, "f(2)"), ("v", 0, None)]
+    same = fuzz.consistent(spark.createDataFrame(calls, "test string, i int, call string"))
+    assert {r.test: r.consistent for r in same.collect()} == {"t": True, "u": False, "v": False}
+    for df in (seen, same):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange hashpartitioning") == 2 and "Expand" not in plan
