@@ -13,6 +13,7 @@ from veridelta.functions.repair import repair_json
 from veridelta.operators import tools
 from veridelta.plans import samples
 from veridelta.session import ship
+from veridelta import registry
 from veridelta.sources import apis, git, lexer, lines, packages, paged, patches
 
 
@@ -316,3 +317,18 @@ def test_shared_formulas_are_shifted(spark):
     files = make(spark, [("f", bytearray(packages.zipped({"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="x" Target="s.xml"/></Relationships>', "xl/s.xml": sheet})))], "path string, content binary")
     got = {r.ref: r.formula for r in packages.read(files, packages.cells, packages.CELLS).collect()}
     assert got == {"A1": "", "B1": "A1*$A$1", "C1": "B1*$A$1", "B2": "A2*$A$1", "C2": ""}
+
+
+def test_lines_of_a_patch_are_sorted_once(spark):
+    text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n a\n--- b\n+++ c\n@@ -9 +9 @@\n-d\n+e"
+    got = patches.unified_patch(make(spark, [("1", text)], "id string, text string"))
+    assert [(r.hunk, r.pos, r.kind, r.old_line, r.new_line) for r in got.orderBy("hunk", "pos").collect()] == [
+        (1, 1, "context", 1, 1), (1, 2, "delete", 2, None), (1, 3, "add", None, 2), (2, 1, "delete", 9, None), (2, 2, "add", None, 9),
+    ]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+@pytest.mark.parametrize("name", ["src3_unified_patch", "win14_hunk_line_numbers", "src11_lcov"])
+def test_lines_are_dealt_to_texts_once(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1

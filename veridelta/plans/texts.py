@@ -298,9 +298,16 @@ def _(documents):
 # Parsers: texts are rendered from rows of the tables, parsed, and held against the rows.
 
 
-def rendered(df, key, line, order):
-    """A text of each key: its lines in order."""
-    g = df.groupBy(key.cast("string").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("_t")))).alias("l"))
+#: Lines of the largest tables are dealt to so many parts by their text, once: what takes the texts apart again needs no other shuffle.
+PARTS = 128
+
+
+def rendered(df, key, line, order, parts=None):
+    """A text of each key: its lines in order; lines are dealt to ``parts`` where given."""
+    df = df.select(key.cast("string").alias("id"), *order, line.alias("_t"))
+    if parts:
+        df = df.repartition(parts, "id")
+    g = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*order, "_t"))).alias("l"))
     return g.select("id", F.array_join(F.transform("l", lambda x: x["_t"]), "\n").alias("text"))
 
 
@@ -329,7 +336,7 @@ def _(region):
 @query("src11_lcov", "SELECT CAST(l_orderkey // 100 AS VARCHAR) AS id, concat('f', l_orderkey, '.ts') AS file, CAST(l_linenumber AS BIGINT) AS line, CAST(least(sum(l_suppkey * 100000000), 1073741824) AS BIGINT) AS count FROM lineitem GROUP BY ALL")
 def _(lineitem):
     line = F.concat(F.lit("SF:f"), s("l_orderkey"), F.lit(".ts\nDA:"), s("l_linenumber"), F.lit(","), (F.col("l_suppkey") * 100000000).cast("string"), F.lit("\nend_of_record"))
-    return src.lcov(rendered(lineitem, hundreds("l_orderkey"), line, ["l_orderkey", "l_linenumber", "l_suppkey"]))
+    return src.lcov(rendered(lineitem, hundreds("l_orderkey"), line, ["l_orderkey", "l_linenumber", "l_suppkey"], PARTS))
 
 
 # A file per order, of two hunks; two in three lines look like headers once their sign is before them; every seventh file is deleted.
@@ -337,17 +344,18 @@ PATCH = "WITH u AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber > 3
 
 
 def patch(lineitem):
-    u = lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"))
+    text = hundreds("l_orderkey", 50).cast("string").alias("id")
+    u = lineitem.select(text, "l_orderkey", "l_linenumber", "l_returnflag").repartition(PARTS, "id").groupBy("id", "l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"))
     sign = F.when(F.col("f") == "A", "+").when(F.col("f") == "R", "-").otherwise(" ")
     n, k = F.col("l_linenumber"), F.col("l_orderkey")
     line = F.concat(sign, F.when(n % 3 == 0, "-- ").when(n % 3 == 1, "++ ").otherwise(""), F.lit("line "), s("l_linenumber"))
-    hunks = u.groupBy("l_orderkey", (n > 3).alias("g")).agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), line.alias("t")))).alias("l"), F.count_if(F.col("f") != "A").alias("o"), F.count_if(F.col("f") != "R").alias("w"))
+    hunks = u.groupBy("id", "l_orderkey", (n > 3).alias("g")).agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), line.alias("t")))).alias("l"), F.count_if(F.col("f") != "A").alias("o"), F.count_if(F.col("f") != "R").alias("w"))
     start = lambda a, b: F.when(F.col("g"), a).otherwise(b)
     head = F.concat(F.lit("@@ -"), start("110", "10"), F.lit(","), s("o"), F.lit(" +"), start("120", "20"), F.lit(","), s("w"), F.lit(" @@ fn\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n"))
-    files = hunks.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", head.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
+    files = hunks.groupBy("id", "l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", head.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
     name, gone = s("l_orderkey"), k % 7 == 0
     body = F.concat(F.lit("diff --git a/f"), name, F.lit(" b/f"), name, F.when(gone, "\ndeleted file mode 100644").otherwise(""), F.lit("\n--- a/f"), name, F.lit("\n+++ "), F.when(gone, "/dev/null").otherwise(F.concat(F.lit("b/f"), name)), F.lit("\n"), "t")
-    return rendered(files, hundreds("l_orderkey", 50), body, ["l_orderkey"])
+    return rendered(files, F.col("id"), body, ["l_orderkey"])
 
 
 PARSED = PATCH + ", p AS (SELECT k, CAST(k // 50 AS VARCHAR) AS id, concat('f', k) AS path, dense_rank() OVER (PARTITION BY k // 50 ORDER BY k) AS file, dense_rank() OVER (PARTITION BY k ORDER BY g) AS hunk, row_number() OVER (PARTITION BY k, g ORDER BY n) AS pos, kind, CASE WHEN g THEN 109 ELSE 9 END + count(*) FILTER (kind <> 'add') OVER (PARTITION BY k, g ORDER BY n) AS o, CASE WHEN g THEN 119 ELSE 19 END + count(*) FILTER (kind <> 'delete') OVER (PARTITION BY k, g ORDER BY n) AS w, concat(CASE n % 3 WHEN 0 THEN '-- ' WHEN 1 THEN '++ ' ELSE '' END, 'line ', n) AS content FROM u)"

@@ -32,15 +32,20 @@ def _path(line: Column, prefix: str) -> Column:
 
 
 def _marked(texts: DataFrame) -> DataFrame:
-    """id, file, n, line, and of lines of hunks: hunk, cur (its header) and how much of both sides came before."""
+    """id, file, n, line, and of lines of hunks: hunk, cur (its header), how much of both sides came before.
+
+    What counts from a hunk's header on is a running sum over the file's part less
+    that sum at the header, so every window has one order and lines are sorted once.
+    """
     w = Window.partitionBy("id", "file").orderBy("n")
     raw = sections(texts).select("id", "file", F.posexplode(F.split("part", "\n")).alias("n", "line"))
     head = raw.withColumn("h", F.when(F.col("line").startswith("@@ "), hunk_header(F.col("line")))).withColumn("hunk", F.count("h").over(w)).withColumn("cur", F.last("h", ignorenulls=True).over(w))
     first = F.substring("line", 1, 1)
     inside = F.col("h").isNull() & (F.col("hunk") > 0)
     head = head.withColumn("_old", (inside & first.isin(" ", "-", "")).cast("int")).withColumn("_new", (inside & first.isin(" ", "+", "")).cast("int"))
-    own = Window.partitionBy("id", "file", "hunk").orderBy("n")
-    seen = head.withColumn("old_seen", F.sum("_old").over(own) - F.col("_old")).withColumn("new_seen", F.sum("_new").over(own) - F.col("_new"))
+    sums = head.withColumn("_olds", F.sum("_old").over(w)).withColumn("_news", F.sum("_new").over(w))
+    here = lambda c: F.col(c) - F.coalesce(F.last(F.when(F.col("h").isNotNull(), F.col(c)), ignorenulls=True).over(w), F.lit(0))
+    seen = sums.withColumn("old_seen", here("_olds") - F.col("_old")).withColumn("new_seen", here("_news") - F.col("_new")).drop("_old", "_new", "_olds", "_news")
     return seen.withColumn("body", inside & ((F.col("old_seen") < F.col("cur.old_count")) | (F.col("new_seen") < F.col("cur.new_count"))) & (first != "\\"))
 
 
@@ -48,7 +53,9 @@ def _pathed(marked: DataFrame) -> DataFrame:
     w = Window.partitionBy("id", "file").orderBy("n")
     header = ~F.col("body") & F.col("h").isNull()
     last = lambda p: F.last(F.when(header & F.col("line").startswith(p), _path(F.col("line"), p.replace("+", r"\+"))), ignorenulls=True).over(w)
-    return marked.withColumn("_new_path", last("+++ ")).withColumn("_old_path", last("--- "))
+    bodies = marked.withColumn("_new_path", last("+++ ")).withColumn("_old_path", last("--- ")).withColumn("_bodies", F.count_if("body").over(w))
+    start = F.last(F.when(F.col("h").isNotNull(), F.col("_bodies")), ignorenulls=True).over(w)
+    return bodies.withColumn("pos", F.col("_bodies") - start)
 
 
 def unified_patch(texts: DataFrame) -> DataFrame:
@@ -59,14 +66,13 @@ def unified_patch(texts: DataFrame) -> DataFrame:
     empty context line; any other line in it that isn't one of a patch fails the
     read. Null and empty texts, and files without hunks, give no rows.
     """
-    own = Window.partitionBy("id", "file", "hunk").orderBy("n")
     k = _pathed(_marked(texts)).where("body")
     first = F.substring("line", 1, 1)
     kind = F.when(first == "+", "add").when(first == "-", "delete").when(first.isin(" ", ""), "context").otherwise(F.raise_error(F.concat(F.lit("not a line of a patch: "), "line")))
     k = k.withColumn("kind", kind)
     path = F.when(F.col("_new_path") == NOWHERE, F.col("_old_path")).otherwise(F.coalesce("_new_path", "_old_path"))
     return k.select(
-        "id", "file", path.alias("path"), "hunk", F.row_number().over(own).alias("pos"), "kind",
+        "id", "file", path.alias("path"), "hunk", "pos", "kind",
         F.when(F.col("kind") != "add", F.col("cur.old_start") + F.col("old_seen")).alias("old_line"), F.when(F.col("kind") != "delete", F.col("cur.new_start") + F.col("new_seen")).alias("new_line"),
         F.substring("line", 2, 1 << 30).alias("content"),
     )
