@@ -579,3 +579,25 @@ def test_runs_are_dealt_by_key_once(spark):
     for df in (seen, same):
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
         assert plan.count("Exchange hashpartitioning") == 2 and "Expand" not in plan
+
+
+def test_fuzz_records_are_read_once_and_only_recorded_indices_are_made(spark):
+    rec = lambda side, i, h, planned=9: (side, "t", i, planned, "f", h, 1, "d", False)
+    rows = [rec(s, 0, "h") for s in ("base1", "cand1")] + [rec(s, 1, h) for s, h in (("base1", "a"), ("cand1", "b"), ("base2", "a"), ("cand2", "b"))] + [rec("base1", 2, "a"), rec("cand1", 9, "a")]
+    rows += [("base1", "none", 0, 0, "f", "h", 1, "d", False)]
+    records = make(spark, rows, "side string, test string, i int, planned int, call string, hash string, length int, display string, unstable boolean")
+    got = fuzz.evaluate(records)
+    assert [(r.test, r.planned, r.compared, r.unstable, r.unconfirmed, r.not_recorded, r.diverged, r.separating, r.outcome) for r in got.collect()] == [("t", 9, 2, 0, 0, 7, 1, 0, "diverged")]
+    best = fuzz.counterexample(records)
+    assert [(r.test, r.i) for r in best.collect()] == [("t", 1)]
+    for df in (got, best):
+        assert df._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 1
+
+
+def test_edits_are_handed_on_in_bounded_batches():
+    pa = pytest.importorskip("pyarrow")
+    n = 2 * sequences.EDITS_AT_ONCE + 1
+    rows = pa.RecordBatch.from_pydict({"id": ["a", "b"], "before": [None, ["x"]], "after": [[str(k) for k in range(n)], ["x", "y"]]}, schema=pa.schema([("id", pa.string()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))]))
+    got = list(sequences.edit_batches(iter([rows]), None))
+    assert [b.num_rows for b in got] == [sequences.EDITS_AT_ONCE] * 2 + [2]
+    assert got[-1].to_pylist()[-1] == {"id": "b", "i": -1, "j": 1, "before": None, "after": "y", "shortest": True}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import severity_rank
@@ -11,19 +11,20 @@ from .core import severity_rank
 RANKS = (4, 3, 2, 1)
 
 
-def by_index(records: DataFrame) -> DataFrame:
-    """One row for each planned (test, i), with the record of each of the four sides or null; one shuffle."""
-    sides = ("base1", "cand1", "base2", "cand2")
-    rec = F.struct("hash", "length", "unstable", "call", "display")
-    spine = records.select("test", "planned").distinct().select("test", F.explode(F.sequence(F.lit(0), F.col("planned") - 1)).alias("i"))
-    wide = records.groupBy("test", "i").agg(*(F.max(F.when(F.col("side") == s, rec)).alias(s) for s in sides))
-    return spine.join(wide, ["test", "i"], "left")
+SIDES = ("base1", "cand1", "base2", "cand2")
 
 
-def classify(records: DataFrame) -> DataFrame:
-    """The class of each index: not_recorded, unstable, separating, equal, unconfirmed or diverged."""
+def _by_side(records: DataFrame, *fields: str) -> DataFrame:
+    """Of each (test, i) with a record: what is planned, and each side's record of these fields or null; rows are dealt by index once."""
+    rec = F.struct(*fields)
+    dealt = records.select("side", "test", "i", "planned", *fields).repartition("test", "i")
+    return dealt.groupBy("test", "i").agg(F.max("planned").alias("planned"), *(F.max(F.when(F.col("side") == s, rec)).alias(s) for s in SIDES))
+
+
+def _state() -> Column:
+    """The class of an index: not_recorded, unstable, separating, equal, unconfirmed or diverged."""
     same = lambda a, b: (F.col(f"{a}.hash") == F.col(f"{b}.hash")) & (F.col(f"{a}.length") == F.col(f"{b}.length"))
-    state = (
+    return (
         F.when(F.col("base1").isNull() | F.col("cand1").isNull(), "not_recorded")
         .when(F.col("base1.unstable"), "unstable")
         .when(F.col("cand1.unstable"), "separating")
@@ -32,23 +33,33 @@ def classify(records: DataFrame) -> DataFrame:
         .when(F.col("base2.unstable") | F.col("cand2.unstable") | ~same("base1", "base2") | ~same("cand1", "cand2"), "separating")
         .otherwise("diverged")
     )
-    return by_index(records).withColumn("state", state)
+
+
+def _recorded(records: DataFrame, *fields: str) -> DataFrame:
+    """Planned indices with a record, and their state; those without any are never made."""
+    return _by_side(records, "hash", "length", "unstable", *fields).where("i >= 0 AND i < planned").withColumn("state", _state())
 
 
 def evaluate(records: DataFrame) -> DataFrame:
-    """Counts and outcome of each test; planned = compared + unstable + unconfirmed + not_recorded."""
-    n = lambda *s: F.count_if(F.col("state").isin(*s))
-    g = classify(records).groupBy("test").agg(
-        F.count(F.lit(1)).alias("planned"), n("equal", "diverged").alias("compared"), n("unstable", "separating").alias("unstable"), n("unconfirmed").alias("unconfirmed"),
-        n("not_recorded").alias("not_recorded"), n("diverged").alias("diverged"), n("separating").alias("separating"),
-    )
+    """Counts and outcome of each test; planned = compared + unstable + unconfirmed + not_recorded.
+
+    All records of a test say the same of ``planned``. What isn't recorded is
+    what is left of it, so no index without a record is listed.
+    """
+    n = lambda *s: F.count_if(F.col("_in") & F.col("state").isin(*s))
+    k = _by_side(records, "hash", "length", "unstable").withColumn("state", _state()).withColumn("_in", (F.col("i") >= 0) & (F.col("i") < F.col("planned")))
+    g = k.groupBy("test").agg(
+        F.max("planned").cast("bigint").alias("planned"), n("equal", "diverged").alias("compared"), n("unstable", "separating").alias("unstable"), n("unconfirmed").alias("unconfirmed"),
+        n("diverged").alias("diverged"), n("separating").alias("separating"),
+    ).where("planned > 0")
+    g = g.withColumn("not_recorded", F.col("planned") - F.col("compared") - F.col("unstable") - F.col("unconfirmed"))
     outcome = F.when(F.col("diverged") > 0, "diverged").when((F.col("unconfirmed") == 0) & (F.col("compared") > 0) & (F.col("separating") == 0) & (F.col("not_recorded") == 0), "not_diverged").otherwise("inconclusive")
-    return g.withColumn("outcome", outcome)
+    return g.select("test", "planned", "compared", "unstable", "unconfirmed", "not_recorded", "diverged", "separating", outcome.alias("outcome"))
 
 
 def counterexample(records: DataFrame) -> DataFrame:
     """The diverged input of each test that shows best: displays that differ, then the shortest call, then the least index."""
-    d = classify(records).where("state = 'diverged'").withColumn("_key", F.struct((F.col("base1.display") == F.col("cand1.display")).cast("int").alias("a"), F.octet_length("base1.call").alias("b"), F.col("i").alias("c")))
+    d = _recorded(records, "call", "display").where("state = 'diverged'").withColumn("_key", F.struct((F.col("base1.display") == F.col("cand1.display")).cast("int").alias("a"), F.octet_length("base1.call").alias("b"), F.col("i").alias("c")))
     return d.groupBy("test").agg(F.min_by(F.struct("i", F.col("base1.call").alias("input"), F.col("base1.display").alias("base"), F.col("cand1.display").alias("candidate")), "_key").alias("r")).select("test", "r.*")
 
 
