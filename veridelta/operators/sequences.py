@@ -11,15 +11,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import pairwise, zip_longest
+from itertools import islice, pairwise, zip_longest
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: scripts of more deletions and insertions than this aren't looked for.
 MOST_EDITS = 4000
+#: Fixed value: edits of a batch.
+EDITS_AT_ONCE = 10_000
 #: Symbols of more places than this have their bits made once a row.
 _OFTEN = 32
 
@@ -118,24 +121,32 @@ def edit_script(a: Sequence, b: Sequence, most: int | None = MOST_EDITS) -> list
     return [p for gone, new in gaps(a, b, most)[0] for p in zip_longest(gone, new, fillvalue=-1)]
 
 
+def _edits(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple]:
+    for b in batches:
+        for k in range(b.num_rows):
+            key, x, y = (b.column(c)[k].as_py() for c in range(3))
+            x, y = x or [], y or []
+            between, shortest = gaps(x, y, most)
+            for gone, new in between:
+                yield from ((key, i, j, x[i] if i >= 0 else None, y[j] if j >= 0 else None, shortest) for i, j in zip_longest(gone, new, fillvalue=-1))
+
+
+def edit_batches(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Edits of rows (id, before, after), which are taken one by one and handed on ``EDITS_AT_ONCE`` at a time."""
+    schema = pa.schema([("id", pa.string()), ("i", pa.int64()), ("j", pa.int64()), ("before", pa.string()), ("after", pa.string()), ("shortest", pa.bool_())])
+    rows = _edits(batches, most)
+    while part := list(islice(rows, EDITS_AT_ONCE)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
 def sequence_diff(pairs: DataFrame, most: int | None = MOST_EDITS) -> DataFrame:
     """Edits (id, i, j, before, after, shortest) between the arrays before and after of each row.
 
     i and j are -1 where there is none; ``shortest`` is false where ``most``
     deletions and insertions don't suffice. A null array counts as empty.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for key, before, after in zip(b["id"], b["before"], b["after"], strict=True):
-                x, y = ([] if v is None else list(v) for v in (before, after))
-                between, shortest = gaps(x, y, most)
-                edits = (p for gone, new in between for p in zip_longest(gone, new, fillvalue=-1))
-                rows += [(key, i, j, x[i] if i >= 0 else None, y[j] if j >= 0 else None, shortest) for i, j in edits]
-            yield pd.DataFrame(rows, columns=["id", "i", "j", "before", "after", "shortest"]).astype({"i": "int64", "j": "int64", "shortest": "bool"})
-
-    return pairs.select("id", "before", "after").mapInPandas(run, "id string, i bigint, j bigint, before string, after string, shortest boolean")
+    run = lambda batches: edit_batches(batches, most)
+    return pairs.select(F.col("id").cast("string").alias("id"), "before", "after").mapInArrow(run, "id string, i bigint, j bigint, before string, after string, shortest boolean")
 
 
 #: Words that name nothing.
