@@ -339,6 +339,26 @@ def test_a_long_line_takes_few_jobs(spark):
     assert (after.get() if hasattr(after, "get") else after) - before < 120  # joins and writes have some jobs each; a walk has one a commit
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_depths_by_way_of_anchors(spark, monkeypatch, seed):
+    monkeypatch.setattr(history, "SHORT", 8)
+    monkeypatch.setattr(history, "SPARSE", 3)
+    rnd = random.Random(seed)
+    commits = [(f"k{n}", f"k{rnd.randrange(max(0, n - 4), n)}") for n in range(1, 150) for _ in range(rnd.choice([1, 1, 1, 2]))] + [("k0", None)]
+    got = history.commit_depths(make(spark, commits, "sha string, parent string"), "k149").collect()
+    assert {r.sha: r.depth for r in got} == walked(commits, ["k149"])
+
+
+def test_jumps_of_a_line_are_some_four_a_commit(spark, monkeypatch):
+    monkeypatch.setattr(history, "SHORT", 1 << 8)
+    n = 1 << 13
+    line = spark.range(1, n).select(F.concat(F.lit("k"), "id").alias("sha"), F.concat(F.lit("k"), F.col("id") - 1).alias("to"), F.lit(1).cast("bigint").alias("n"))
+    lines, rows = history._Lines(line, history.Tables(spark)), 0
+    while lines is not None:
+        rows, lines = rows + sum(j.count() for j in lines.jumps), getattr(lines, "over", None)
+    assert rows < 5 * n  # with a level of jumps over the whole line for each power they are n log n
+
+
 def test_ways_that_leave_first_parents_again_and_again(spark):
     commits = [(n, n - 1, 0) for n in range(1, 400)] + [(n, n - 3, 1) for n in range(7, 400, 7)]
     df = make(spark, [(f"k{a:03}", f"k{b:03}", p) for a, b, p in commits], "sha string, parent string, place int")

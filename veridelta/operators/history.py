@@ -1,48 +1,82 @@
 """Commit histories (sha, parent): depths, nearest labels and merge bases of long ones, without a job for each commit.
 
-Along first parents, jumps over 1, 4, 16, ... commits are made by joining jumps
-with themselves. A sweep takes the largest jumps first, so it covers a line of n
-commits in log(n) joins; another sweep is needed only for what other parents
-alone reach, so sweeps are as many as branches merged into branches.
+Along first parents, jumps over 1, 2, 4, ... commits are made by joining jumps
+with themselves, but none passes an anchor, which one commit in 16 is by its
+hash. So there are few long ones, and all together are no more than some four a
+commit, however long the history. Lines of anchors are lines again, with a
+sixteenth of the commits. A sweep takes the largest jumps first; another is
+needed only for what other parents alone reach, so sweeps are as many as
+branches merged into branches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridelta.shared import Tables
 
-#: Jumps of a level are so many of the level before.
+#: Steps of a way grow so many times a round.
 BASE = 4
-#: Levels of jumps that one written table covers.
+#: One commit in so many is an anchor; lines of so few commits have none.
+SPARSE, SHORT = 16, 1 << 17
+#: Joins between two writes.
 SAVED = 3
 
 
+def _nearest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("sha").agg(F.min("depth").alias("depth"))
+
+
 class _Lines:
-    """Jumps along one way out of each commit: tables (sha, to1, to2, to3, to4) of one to four times 1, 4, 16, ... steps."""
-
-    def __init__(self, one: DataFrame, tables: Tables):
-        self.tables = tables
-        jump = tables.save(one.select("sha", "to"))
-        n, self.jumps = jump.count(), []
-        while BASE ** len(self.jumps) <= max(n, 1):
-            steps = jump.withColumnRenamed("to", "to1")
-            for k in range(1, BASE):
-                steps = steps.join(jump.select(F.col("sha").alias(f"to{k}"), F.col("to").alias(f"to{k + 1}")), f"to{k}", "left")
-            self.jumps.append(tables.save(steps.select("sha", *(f"to{k}" for k in range(1, BASE + 1)))))
-            jump = self.jumps[-1].select("sha", F.col(f"to{BASE}").alias("to")).where("to IS NOT NULL")
+    """Jumps along one way (sha, to, n) out of each commit, ``n`` steps long: tables (sha, to, n) of 1, 2, 4, ... ways that neither pass an anchor nor end at one."""
+
+    def __init__(self, one: DataFrame, tables: Tables, tier: int = 0):
+        self.tables, self.tier = tables, tier
+        one = tables.save(one.select("sha", "to", "n"))
+        n, self.jumps, self.over = one.count(), [], None
+        jump = one
+        if n > SHORT:
+            self.into = tables.save(one.where(self._anchor("to")))
+            jump = tables.save(one.where(~self._anchor("to")))
+        while 2 ** len(self.jumps) <= n and (len(self.jumps) % SAVED or not jump.isEmpty()):
+            self.jumps.append(jump)
+            # Long lines are merged: their jumps are small as files only, and each would go to the driver to be broadcast.
+            then = self._next(jump, "to")
+            jump = tables.save(jump.join(then.hint("merge") if n > SHORT else then, "to").select("sha", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n")))
+        if n > SHORT:
+            ways = one.where(self._anchor("sha")).select("sha", F.col("sha").alias("_at"), F.lit(0).cast("bigint").alias("n"))
+            for k in reversed(range(len(self.jumps))):
+                ways = ways.join(self._next(self.jumps[k], "_at").hint("merge"), "_at", "left").select("sha", F.coalesce("_to", "_at").alias("_at"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+                if k % SAVED == 0:
+                    ways = tables.save(ways)
+            ways = ways.join(self._next(self.into, "_at").hint("merge"), "_at")
+            self.over = _Lines(ways.select("sha", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n")), tables, tier + 1)
+
+    def _anchor(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(self.tier), F.col(c)), F.lit(SPARSE)) == 0
+
+    @staticmethod
+    def _next(ways: DataFrame, at: str) -> DataFrame:
+        return ways.select(F.col("sha").alias(at), F.col("to").alias("_to"), F.col("n").alias("_n"))
+
+    def _step(self, found: DataFrame, ways: DataFrame) -> DataFrame:
+        return found.join(ways, "sha").select(F.col("to").alias("sha"), (F.col("depth") + F.col("n")).alias("depth"))
+
+    def _spread(self, found: DataFrame) -> DataFrame:
+        """What comes before the next anchor, too."""
+        for jump in reversed(self.jumps):
+            found = self.tables.save(_nearest(found.unionByName(self._step(found, jump))))
+        return found
 
     def cover(self, starts: DataFrame) -> DataFrame:
         """The least depth of each commit on the lines from ``starts`` (sha, depth), those themselves included."""
-        found = starts
-        for k in reversed(range(len(self.jumps))):
-            hops = [F.struct(F.col("sha"), F.col("depth")), *(F.struct(F.col(f"to{m}").alias("sha"), (F.col("depth") + m * BASE**k).alias("depth")) for m in range(1, BASE))]
-            each = found.join(self.jumps[k].drop(f"to{BASE}"), "sha", "left").select(F.explode(F.filter(F.array(*hops), lambda h: h["sha"].isNotNull())).alias("h"))
-            found = each.groupBy(F.col("h.sha").alias("sha")).agg(F.min("h.depth").alias("depth"))
-            if k % SAVED == 0:
-                found = self.tables.save(found)
-        return found
+        found = self._spread(starts)
+        if self.over is None:
+            return found
+        entered = self._step(found, self.into).unionByName(starts.where(self._anchor("sha")))
+        beyond = self._spread(self.over.cover(self.tables.save(_nearest(entered))))
+        return self.tables.save(_nearest(found.unionByName(beyond)))
 
 
 def _along(ways: DataFrame, longest: int, tables: Tables) -> DataFrame:
@@ -71,7 +105,7 @@ def depths(commits: DataFrame, starts: DataFrame) -> DataFrame:
     tables = Tables(commits.sparkSession)
     order = "place" if "place" in commits.columns else "parent"
     edges = tables.save(commits.where("sha IS NOT NULL AND parent IS NOT NULL").groupBy("sha", "parent").agg(F.min(order).alias("_order")))
-    lines = _Lines(edges.groupBy("sha").agg(F.min_by("parent", F.struct("_order", "parent")).alias("to")), tables)
+    lines = _Lines(edges.groupBy("sha").agg(F.min_by("parent", F.struct("_order", "parent")).alias("to"), F.lit(1).cast("bigint").alias("n")), tables)
     known = fresh = tables.save(starts.select("sha", F.lit(0).cast("bigint").alias("depth")).distinct())
     while True:
         came = tables.save(lines.cover(fresh))
@@ -101,11 +135,12 @@ def nearest_labels(commits: DataFrame, labels: DataFrame) -> DataFrame:
     runs are jumped over, so rounds are as many as the ties that follow on ties.
     """
     tables = Tables(commits.sparkSession)
-    known = commits.select("sha").union(commits.select("parent")).where("sha IS NOT NULL").distinct()
-    own = tables.save(labels.join(known, "sha", "left_semi").select("sha", "label").distinct())
+    labels = tables.save(labels.where("sha IS NOT NULL").select("sha", "label").distinct())
+    known = commits.select("sha").union(commits.select("parent")).join(labels.select("sha"), "sha", "left_semi").distinct()
+    own = tables.save(labels.join(known, "sha", "left_semi"))
     far = tables.save(depths(commits, own.select("sha").distinct()))
-    into = commits.where("parent IS NOT NULL").select(F.col("sha").alias("_from"), F.col("parent").alias("sha")).distinct()
-    near = into.join(far, "sha").join(far.select(F.col("sha").alias("_from"), (F.col("depth") + 1).alias("depth")), ["_from", "depth"]).select("sha", "_from")
+    into = commits.select(F.col("sha").alias("_from"), F.col("parent").alias("sha")).join(far, "sha").distinct()
+    near = into.join(far.select(F.col("sha").alias("_from"), (F.col("depth") + 1).alias("depth")), ["_from", "depth"]).select("sha", "_from")
     ways = tables.save(near.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("sha"))))
     # The end of each run of single predecessors, by doubling: a commit that is labelled or where ways meet stays where it is.
     top = tables.save(far.select("sha").join(ways.where("_n = 1").select("sha", F.col("_from").alias("to")), "sha", "left").select("sha", F.coalesce("to", "sha").alias("to")))
