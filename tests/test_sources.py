@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veridelta.functions import text
 from veridelta.functions.repair import repair_json
 from veridelta.operators import tools
-from veridelta.plans import samples
+from veridelta.plans import extensions, samples
 from veridelta.session import ship
 from veridelta import registry
 from veridelta.sources import apis, git, lexer, lines, packages, paged, patches
@@ -332,3 +332,25 @@ def test_lines_of_a_patch_are_sorted_once(spark):
 def test_lines_are_dealt_to_texts_once_in_many_parts(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan  # a number of parts that isn't merged to few
+
+
+def test_rows_of_packages_are_handed_on_in_batches_of_bounded_size(spark, monkeypatch):
+    taken = []
+    batches = packages.handed_on(iter(taken.append(i) or (str(i), b"x") for i in range(25_000)), "path string, content binary")
+    assert next(batches).num_rows == packages.ROWS_AT_ONCE
+    assert len(taken) == packages.ROWS_AT_ONCE  # the others aren't made yet
+    assert [b.num_rows for b in batches] == [10_000, 5_000]
+
+
+def test_packages_are_made_in_a_number_of_parts_that_is_not_merged_to_few(spark):
+    rows = spark.range(300).select(F.col("id").alias("sheet"), F.lit(1).alias("row"), F.lit("2").alias("value"), F.lit("").alias("formula"))
+    made = extensions.built(rows, "sheet", extensions.workbook)
+    assert made.count() == 300
+    assert made.select(F.spark_partition_id()).distinct().count() > 16  # small shuffles are merged to a task a core at most
+
+
+def test_parts_that_packages_share_are_parsed_once(spark):
+    book = packages.zipped({"xl/workbook.xml": '<x:workbook xmlns:x="u"><x:sheets/></x:workbook>'})
+    a, b = (packages.Package(book).tree("xl/workbook.xml", shared=True) for _ in range(2))
+    assert a is b
+    assert [e.tag for e in a.iter()] == ["workbook", "sheets"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from types import SimpleNamespace
+from collections import namedtuple
 
 import pandas as pd
 from pyspark.sql import Window
@@ -19,19 +19,25 @@ from veridelta.sources import apis, git, lexer, packages
 from veridelta.sources import lines as src
 from veridelta.streaming import replay
 
+#: Packages are made and read in so many parts.
+PARTS = 128
 W = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
 def built(df, key, make):
     """(path, content): a package of each key, made of its rows, sorted by their other columns."""
     rest = [c for c in df.columns if c != key]
-    lists = df.groupBy(F.col(key).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("rows"))
+    dealt = df.select(F.col(key).cast("string").alias("path"), *rest).repartition(PARTS, "path")  # rows are few bytes but much work: Spark would merge them to few tasks
+    lists = dealt.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("rows"))
+    row = namedtuple("row", rest)
 
-    def run(batches):
+    def each(batches):
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "content": [packages.zipped(make([SimpleNamespace(**r) for r in rows])) for rows in b["rows"]]})
+            for path, rows in zip(b["path"], b["rows"], strict=True):
+                held = rows.values
+                yield path.as_py(), packages.zipped(make(list(map(row, *(held.field(c).to_pylist() for c in rest)))))
 
-    return lists.mapInPandas(run, "path string, content binary")
+    return lists.mapInArrow(lambda batches: packages.handed_on(each(batches), "path string, content binary"), "path string, content binary")
 
 
 def workbook(b: list) -> dict[str, str]:
