@@ -621,3 +621,10 @@ def test_edits_are_handed_on_in_bounded_batches():
     got = list(sequences.edit_batches(iter([rows]), None))
     assert [b.num_rows for b in got] == [sequences.EDITS_AT_ONCE] * 2 + [2]
     assert got[-1].to_pylist()[-1] == {"id": "b", "i": -1, "j": 1, "before": None, "after": "y", "shortest": True}
+
+
+def test_observations_are_sorted_by_key_first(spark):
+    obs = make(spark, [("base", "T", "k", "v"), ("candidate", "T", "k", "v"), ("repeat", "T", "k", "v")], "side string, test string, key string, value string")
+    got = observe.compare(obs)
+    assert [tuple(r)[:4] for r in got.collect()] == [("T", "k", "EQUAL", "")]
+    assert "Aggregate [key#" in got._jdf.queryExecution().optimizedPlan().toString()  # few tests: sorted by test first, nearly all comparisons are of whole rows
