@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veridelta import sinks
 from veridelta.functions import paths, text
-from veridelta.operators import core, coverage, dispatch, documents, fuzz, graph, history, mutation, observe, report, sequences, weakening
+from veridelta.operators import core, coverage, dispatch, documents, fuzz, graph, history, mutation, observe, report, security, sequences, weakening
 from veridelta.sources import lines
 from veridelta.streaming import limiter, replay
 
@@ -628,3 +628,12 @@ def test_observations_are_sorted_by_key_first(spark):
     got = observe.compare(obs)
     assert [tuple(r)[:4] for r in got.collect()] == [("T", "k", "EQUAL", "")]
     assert "Aggregate [key#" in got._jdf.queryExecution().optimizedPlan().toString()  # few tests: sorted by test first, nearly all comparisons are of whole rows
+
+
+def test_texts_that_rules_need_are_rare_in_prose(spark):
+    prose = "Was it right? The night fell over A & B. They met at noon.".lower()
+    assert not [n for r in security.RULES for needles, _ in r.each() for n in needles if n in prose]  # such a line is read once, for no rule
+    lines = [("a", 1, "host = '10.2.3.4'"), ("a", 2, "see http://10.2.3.5/x"), ("a", 3, "me@10.2.3.6"), ("a", 4, 'GET /x?token=abcdefgh1 and "y"'), ("a", 5, "ghs_" + "a1" * 18), ("a", 6, "plain 10.2.3.7.")]
+    got = {(r.line, r.kind) for r in security.hits(make(spark, lines, "path string, line int, content string")).collect()}
+    assert {(1, "hardcoded_ip"), (2, "hardcoded_ip"), (3, "hardcoded_ip"), (4, "credential_in_url"), (5, "hardcoded_secret")} <= got
+    assert 6 not in {n for n, _ in got}
