@@ -359,6 +359,21 @@ def test_jumps_of_a_line_are_some_four_a_commit(spark, monkeypatch):
     assert rows < 5 * n  # with a level of jumps over the whole line for each power they are n log n
 
 
+def test_jumps_of_long_lines_are_not_sent_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(history, "SHORT", 1, raising=False)
+    plans = []
+
+    class Kept(history.Tables):
+        def save(self, df):
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+            return super().save(df)
+
+    line = spark.range(1, 200).select(F.concat(F.lit("k"), "id").alias("sha"), F.concat(F.lit("k"), F.col("id") - 1).alias("to"), F.lit(1).cast("bigint").alias("n"))
+    history._Lines(line, Kept(spark))
+    assert sum("Join" in p for p in plans) > 5
+    assert sum("BroadcastHashJoin" in p for p in plans) <= 1  # in a line of one way
+
+
 def test_ways_that_leave_first_parents_again_and_again(spark):
     commits = [(n, n - 1, 0) for n in range(1, 400)] + [(n, n - 3, 1) for n in range(7, 400, 7)]
     df = make(spark, [(f"k{a:03}", f"k{b:03}", p) for a, b, p in commits], "sha string, parent string, place int")
