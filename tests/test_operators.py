@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veridelta import sinks
 from veridelta.functions import paths, text
 from veridelta.operators import core, coverage, dispatch, documents, fuzz, graph, history, mutation, observe, report, security, sequences, weakening
+from veridelta.plans import graphs
 from veridelta.sources import lines
 from veridelta.streaming import limiter, replay
 
@@ -429,6 +430,52 @@ def test_callers_through_interfaces(spark):
     assert {(r.test, r.depth, r.through) for r in tests} == {("TestA", 2, "static"), ("TestB", 3, "interface")}
 
 
+def _tests_reached(calls, tests, target, reaches, depth=3):
+    """{test: (depth, interface)} by a search from one target."""
+    into = {}
+    for a, b in calls:
+        for to, i in [(b, 0), *((d, 1) for d, v in reaches if v == b)]:
+            into.setdefault(to, {}).setdefault(a, []).append(i)
+    seen, level, hits = {target}, {target: 0}, {}
+    for d in range(1, depth + 1):
+        reached = {}
+        for n, i in level.items():
+            for a, how in into.get(n, {}).items():
+                if a not in seen:
+                    reached[a] = min(reached.get(a, 1), max(i, min(how)))
+        seen |= set(reached)
+        hits |= {a: (d, i) for a, i in reached.items() if a in tests}
+        level = {a: i for a, i in reached.items() if a not in tests}
+    return hits
+
+
+@pytest.mark.parametrize(("seed", "limit"), [(0, 2), (1, 100)])
+def test_searches_that_targets_share_are_those_of_each(spark, seed, limit):
+    """Targets alike, targets that are tests, calls back to a target, ids that stand twice among nodes."""
+    rng = random.Random(seed)
+    ids = [f"n{k:02}" for k in range(24)]
+    calls = sorted({(rng.choice(ids), rng.choice(ids[:6])) for _ in range(22)} | {(rng.choice(ids), rng.choice(ids)) for _ in range(10)})
+    reaches = sorted({(d, v) for d in ids[8:] for v in rng.choice([["n00"], ["n00", "n03"], ["n05"], []]) if d != v})
+    tests = {n for n in ids if rng.random() < 0.4}
+    nodes = [(n, f"p{k % 5}", f"{n}.{c}", n in tests) for k, n in enumerate(ids) for c in range(1 + (k % 7 == 0))]
+    ways = make(spark, reaches, "dst string, via string")
+    got = dispatch.reaching_tests(make(spark, calls, "src string, dst string"), make(spark, nodes, "id string, path string, name string, test boolean"), make(spark, [(n,) for n in ids] + [(None,)], "id string"), limit=limit, reaches=ways)
+    want = set()
+    for target in ids:
+        hits = _tests_reached(calls, tests, target, reaches)
+        rows = sorted((hits[n][0], path, name, n, hits[n][1]) for n, path, name, _ in nodes if n in hits)
+        want |= {(target, n, d, ("static", "interface")[i], path, name, len(rows), k) for k, (d, path, name, n, i) in enumerate(rows, 1) if k <= limit}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_every_function_is_asked_for_its_tests(spark):
+    ids = [f"function:Supplier#{n:09}" for n in (3, 19, 20, 4711)]
+    nodes = make(spark, [(n, "function", n, n, False) for n in ids] + [("function:TestA", "function", "TestA", "a_test.go", True)], "id string, kind string, name string, path string, test boolean")
+    got = graphs.reach(make(spark, [("function:TestA", n) for n in ids], "src string, dst string"), nodes, make(spark, [], "type string, method string, id string"), make(spark, [], "interface string, method string, id string"))
+    assert {(r.id, r.test, r.total, r.place) for r in got.collect()} == {(n, "function:TestA", 1, 1) for n in ids}
+
+
 def test_sites_prefer_direct_calls_and_leave_out_added_lines(spark):
     methods, interfaces = faces(spark)
     sites = make(spark, [("f", "Sizer.size", "a.go", 1, 1), ("f", "T.size", "a.go", 1, 2), ("g", "Sizer.size", "a.go", 5, 3), ("g", "T.size", "b.go", 9, 4), ("TestA", "T.size", "c.go", 1, 5), ("T.get", "T.size", "d.go", 1, 6)], "src string, dst string, path string, line int, seq int")
