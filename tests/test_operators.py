@@ -633,6 +633,14 @@ def test_ties_of_both_kinds_and_of_repeated_ids_come_once(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_ties_send_no_copies_to_the_driver(spark):
+    rows = spark.range(400).selectExpr("CAST(id AS int) AS id", "CAST(id % 9 AS int) AS place", "CAST(id % 5 AS string) AS before", "CAST(id % 7 AS string) AS after")
+    tied = documents.tied(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
+    assert tied.count() > 0
+    tied.collect()
+    assert "Broadcast" not in tied._jdf.queryExecution().executedPlan().toString()
+
+
 def test_priority_of_many_ranges_makes_no_pairs(spark):
     """A long range that began earlier counts, ends touch, other sides and null lines don't; equal ranges aren't paired."""
     spans = [(1, 3), (2, 2), (5, 40), (5, 6), (41, 41), (60, 50), (None, 9)]
