@@ -605,6 +605,15 @@ def test_unchanged_callers_share_sites_and_come_for_the_first_callees(spark):
     assert {tuple(r) for r in dispatch.unchanged_callers(sites, none, none, every, first=4).collect()} == {w for w in want if w[0] in first}
 
 
+def test_copied_sites_are_neither_shuffled_nor_broadcast(spark):
+    types, faces, sites = _graph(spark)
+    none = make(spark, [], "id string")
+    got = dispatch.unchanged_callers(sites, none, none, dispatch.dispatch(types, faces))
+    assert not _shuffled_after_joins(got)
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def _shuffled_after_joins(df):
     """Whether an exchange stands above a join of a plan."""
     lines = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x or "Join" in x]
