@@ -630,6 +630,18 @@ def test_calls_meet_what_they_may_mean_without_a_shuffle_of_pairs(spark):
     assert set(rows) == want and len(rows) == len(want)
 
 
+def test_calls_meet_lists_of_declarations(spark, monkeypatch):
+    """Joins make a row a list, lists hold so many at most, null ids stay, and no copies are broadcast."""
+    monkeypatch.setattr(graph, "LISTED", 2)
+    have = [(k, "n", "x") for k in (1, 2, 3, 4, 5, None)] + [(6, "n", "y")]
+    got = graph.resolve_calls(make(spark, [("a", "n", "x"), ("b", "n", "z")], "caller string, name string, file string"), make(spark, have, "id int, name string, home string"))
+    want = {("a", "n", "x", k, 0, True) for k in (1, 2, 3, 4, 5, None)} | {("b", "n", "z", k, 1, True) for k in (1, 2, 3, 4, 5, 6, None)}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(_ids" in plan and "Broadcast" not in plan
+
+
 def test_ties_of_both_kinds_and_of_repeated_ids_come_once(spark):
     rng = random.Random(3)
     pick = lambda n, ids: [(rng.randrange(ids), rng.choice([None, 1, 2, 3]), rng.choice(["a", "b", None]), rng.choice("xy")) for _ in range(n)]
